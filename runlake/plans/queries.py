@@ -31,5 +31,6 @@ def key(name: str):
 
 # Modules below register their keys on import.
 from runlake.plans import (  # noqa: E402,F401
+    keys_functions,
     keys_jobs,
 )
