@@ -150,3 +150,4 @@ SELECT job_id, status, {_TERM} AS is_complete, status IN ('completed', 'REVOKED'
 # Family modules register their SQL on import.
 from runlake.oracle import sql_functions  # noqa: E402,F401
 from runlake.oracle import sql_catalog  # noqa: E402,F401
+from runlake.oracle import sql_params  # noqa: E402,F401

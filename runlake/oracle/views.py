@@ -86,6 +86,20 @@ VIEW_SQL: dict[str, str] = {
             (4, 'flag', 'BooleanField', '--flag', true),
             (5, 'total', 'IntegerField', '--total', false),
             (6, 'customer', 'IntegerField', '--customer', true)) AS s(pos, name, form_field, short_param, collapse)""",
+    "v_spec": """
+        SELECT p_partkey * 10 + s.slot AS param_id, p_partkey AS script_id, s.*,
+               p_size % 5 = s.slot AS hidden,
+               (s.group_name = 'Numbers' AND p_partkey % 4 = 0) AS group_hidden,
+               s.slot AS param_order
+        FROM part CROSS JOIN (VALUES
+            (0, 'status', 'ChoiceField', '--status', true, true, '["F","O","P"]', 'null', 'Required', ''),
+            (1, 'priority', 'CharField', '', true, false, NULL, 'null', 'Optional', ''),
+            (2, 'customer', 'IntegerField', '--customer', true, true, NULL, '"+"', 'Required', ''),
+            (3, 'total', 'IntegerField', '--total', false, false, NULL, '2', 'Numbers', 'sub'),
+            (4, 'flag', 'BooleanField', '--flag', true, false, NULL, 'null', 'Optional', 'sub'))
+            AS s(slot, name, form_field, short_param, collapse, required, choices, choice_limit, group_name,
+                 parser_name)""",
+    "v_job_script": "SELECT o_orderkey AS job_id, o_custkey AS script_id FROM orders",
     "v_file": """
         SELECT doc_id AS file_id, doc_id % 97 AS job_id,
                source || '_' || lang || CASE WHEN doc_id % 13 = 0 THEN '.zip' ELSE '.txt' END AS filename,

@@ -34,4 +34,5 @@ from runlake.plans import (  # noqa: E402,F401
     keys_catalog,
     keys_functions,
     keys_jobs,
+    keys_params,
 )

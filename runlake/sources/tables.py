@@ -179,6 +179,38 @@ def v_param(orders: DataFrame) -> DataFrame:
     return (orders.select(k.alias("job_id"), F.inline(slots)))
 
 
+# Parameter specification per script: five slots, built like ``v_param``.
+SPEC_SLOTS = [
+    # (slot, name, form_field, short_param, collapse, required, choices, choice_limit, group, parser)
+    (0, "status", "ChoiceField", "--status", True, True, '["F","O","P"]', "null", "Required", ""),
+    (1, "priority", "CharField", "", True, False, None, "null", "Optional", ""),
+    (2, "customer", "IntegerField", "--customer", True, True, None, '"+"', "Required", ""),
+    (3, "total", "IntegerField", "--total", False, False, None, "2", "Numbers", "sub"),
+    (4, "flag", "BooleanField", "--flag", True, False, None, "null", "Optional", "sub"),
+]
+
+
+def v_spec(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    slots = F.array(*[
+        F.struct(F.lit(i).alias("slot"), F.lit(n).alias("name"), F.lit(ff).alias("form_field"),
+                 F.lit(sp).alias("short_param"), F.lit(co).alias("collapse"), F.lit(rq).alias("required"),
+                 F.lit(ch).cast("string").alias("choices"), F.lit(cl).alias("choice_limit"),
+                 F.lit(g).alias("group_name"), F.lit(pn).alias("parser_name"))
+        for (i, n, ff, sp, co, rq, ch, cl, g, pn) in SPEC_SLOTS])
+    return part.select(k.alias("script_id"), F.col("p_size").alias("_size"), F.inline(slots)).select(
+        (F.col("script_id") * 10 + F.col("slot")).alias("param_id"), "script_id", "slot", "name", "form_field",
+        "short_param", "collapse", "required", "choices", "choice_limit", "group_name", "parser_name",
+        (F.col("_size") % 5 == F.col("slot")).alias("hidden"),
+        ((F.col("group_name") == "Numbers") & (F.col("script_id") % 4 == 0)).alias("group_hidden"),
+        F.col("slot").alias("param_order"))
+
+
+def v_job_script(orders: DataFrame) -> DataFrame:
+    """Script of each parameter-carrying job (orders): the customer key."""
+    return orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("script_id"))
+
+
 # -------------------------------------------------------------- file views
 def v_file(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
@@ -298,6 +330,8 @@ class Catalog:
     def key(self): return v_key(self.t("customer"))
     def request(self): return v_request(self.t("events"))
     def param(self): return v_param(self.t("orders"))
+    def spec(self): return v_spec(self.t("part"))
+    def job_script(self): return v_job_script(self.t("orders"))
     def file(self): return v_file(self.t("documents"))
     def user_file(self): return v_user_file(self.file())
     def local(self): return v_local(self.file())
