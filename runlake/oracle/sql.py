@@ -151,3 +151,4 @@ SELECT job_id, status, {_TERM} AS is_complete, status IN ('completed', 'REVOKED'
 from runlake.oracle import sql_functions  # noqa: E402,F401
 from runlake.oracle import sql_catalog  # noqa: E402,F401
 from runlake.oracle import sql_params  # noqa: E402,F401
+from runlake.oracle import sql_files  # noqa: E402,F401

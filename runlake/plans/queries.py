@@ -32,6 +32,7 @@ def key(name: str):
 # Modules below register their keys on import.
 from runlake.plans import (  # noqa: E402,F401
     keys_catalog,
+    keys_files,
     keys_functions,
     keys_jobs,
     keys_params,
