@@ -145,10 +145,3 @@ FROM v_chunk GROUP BY job_id, channel, CAST(floor(seq / 1024) AS BIGINT)""")
 
 oracle("is_finished", f"""
 SELECT job_id, status, {_TERM} AS is_complete, status IN ('completed', 'REVOKED') AS is_finished FROM v_job""")
-
-
-# Family modules register their SQL on import.
-from runlake.oracle import sql_functions  # noqa: E402,F401
-from runlake.oracle import sql_catalog  # noqa: E402,F401
-from runlake.oracle import sql_params  # noqa: E402,F401
-from runlake.oracle import sql_files  # noqa: E402,F401

@@ -1,22 +1,25 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per key.
 
 Each key binds one operator of the library to the catalog views of a data
-folder.  The DuckDB twin of every key lives in ``runlake.oracle.sql``.
+folder.  The DuckDB twin of every key lives in ``runlake.oracle``.
 Output columns are aliased identically in both, counts are BIGINT and
 measures rounded DOUBLE.
 """
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runlake.sources.tables import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+FAMILIES = ["jobs", "functions", "catalog", "params", "files", "access", "matrix", "sequences",
+            "sources", "streams", "registry"]
+
 
 def key(name: str):
     def deco(fn):
@@ -29,11 +32,9 @@ def key(name: str):
     return deco
 
 
-# Modules below register their keys on import.
-from runlake.plans import (  # noqa: E402,F401
-    keys_catalog,
-    keys_files,
-    keys_functions,
-    keys_jobs,
-    keys_params,
-)
+for _family in FAMILIES:
+    try:
+        importlib.import_module(f"runlake.plans.keys_{_family}")
+    except ModuleNotFoundError as exc:
+        if exc.name != f"runlake.plans.keys_{_family}":
+            raise
