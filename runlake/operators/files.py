@@ -190,7 +190,9 @@ def preview_fasta(lines: DataFrame) -> DataFrame:
     r = recs.select("file_id", F.explode(rec).alias("r")).select("file_id", "r.*").filter(F.col("seq") != "")
     per_hdr = r.groupBy("file_id", "header").agg(F.max_by("seq", "pos").alias("seq"),
                                                  F.min("pos").alias("_first"))
-    return row_number_by(per_hdr, ["file_id"], ["_first"], name="rec_order").drop("_first")
+    # at most 30 records per file: a plain window is bounded
+    w = Window.partitionBy("file_id").orderBy("_first")
+    return per_hdr.withColumn("rec_order", F.row_number().over(w).cast("bigint")).drop("_first")
 
 
 def number_records(lines: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 ``row_number() OVER (PARTITION BY k ORDER BY o)`` sends every row of a key
 to one task.  When one key holds a third of the table that task becomes the
-whole job.  ``row_number_by`` computes the same numbers in three parallel
-steps:
+whole job.  ``row_number_by`` first counts rows per key (a partial
+aggregate) and splits the keys:
 
-1. range-partition on ``(k, o)``: a hot key is cut into consecutive slices
-   that land in different partitions;
-2. number rows inside each (partition, key) slice;
-3. add the number of rows of the same key in earlier partitions (a small
-   table: one row per slice, so a hot key has at most one row per
-   partition) joined back on (partition, key).
+* ordinary keys (at most ``hot_rows`` rows) use the plain window;
+* hot keys (their number is at most ``total / hot_rows``, so the key list
+  is small by construction) are numbered in three parallel steps:
 
-``order`` must be a total order inside each key (add a unique tie-break).
+  1. range-partition their rows on ``(k, o)``: a hot key is cut into
+     consecutive slices that land in different partitions;
+  2. number rows inside each (slice, key);
+  3. add the number of rows of the same key in earlier slices (one row per
+     slice and key) joined back on (slice, key).
+
+The slice ids come from sampled range bounds, so the hot rows are written
+once to the shared checkpoint folder and both branches of step 2/3 read the
+same slices (also after executor loss).  ``order`` must be a total order
+inside each key (add a unique tie-break).
 """
 
 from __future__ import annotations
@@ -22,22 +28,24 @@ from pyspark.sql import functions as F
 
 from runlake.session import ensure_checkpoint_dir
 
+HOT_ROWS = 2_000_000     # rows a single task numbers comfortably (external sort)
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def row_number_by(df: DataFrame, by: list[str], order: list, name: str = "rn",
-                  partitions: int | None = None) -> DataFrame:
-    order_cols = [_col(c) for c in order]
-    args = ([partitions] if partitions else []) + [F.col(c) for c in by] + order_cols
-    # The range bounds come from sampling, so the slice ids are materialised
-    # once in the shared checkpoint folder: both branches below (row numbers
-    # and slice sizes) then read the same slices, also after executor loss.
+def _plain(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+
+
+def _sliced(df: DataFrame, by: list[str], order: list[Column], name: str,
+            partitions: int | None = None) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
+    args = ([partitions] if partitions else []) + [F.col(c) for c in by] + order
     sliced = df.repartitionByRange(*args).withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
-    local = sliced.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_slice", *by).orderBy(*order_cols)))
+    local = sliced.withColumn("_lrn", F.row_number().over(Window.partitionBy("_slice", *by).orderBy(*order)))
     sizes = local.groupBy("_slice", *by).agg(F.max("_lrn").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("_slice").alias("_s2"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)],
@@ -47,6 +55,23 @@ def row_number_by(df: DataFrame, by: list[str], order: list, name: str = "rn",
     return out.select(*df.columns, (F.col("_lrn") + F.col("_off")).cast("bigint").alias(name))
 
 
+def row_number_by(df: DataFrame, by: list[str], order: list, name: str = "rn",
+                  hot_rows: int = HOT_ROWS, partitions: int | None = None) -> DataFrame:
+    order_cols = [_col(c) for c in order]
+    if not by:
+        # one global order: always sliced (the whole table is one group)
+        return _sliced(df, by, order_cols, name, partitions)
+    counts = df.groupBy(*by).agg(F.count("*").alias("_cnt"))
+    hot = counts.filter(F.col("_cnt") > hot_rows).select(*by)
+    if hot.isEmpty():
+        return _plain(df, by, order_cols, name)
+    # at most count / hot_rows hot keys: a proven bound for the broadcast
+    hot_b = F.broadcast(hot)
+    cold = _plain(df.join(hot_b, by, "left_anti"), by, order_cols, name)
+    warm = _sliced(df.join(hot_b, by, "left_semi"), by, order_cols, name, partitions)
+    return cold.unionByName(warm)
+
+
 def top_n_by(df: DataFrame, by: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
     """First ``n`` rows per key.  ``row_number <= n`` is planned with a partial
     WindowGroupLimit before the shuffle, so a hot key ships at most ``n``

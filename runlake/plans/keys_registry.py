@@ -92,8 +92,12 @@ def _parse_commands(c):
         "tokens", lambda t: F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))), " ")
         .alias("command"))
     spec = {"--status": "1", "--customer": "+", "--total": "1", "--flag": "0"}
-    out = CM.parse_commands(cmds, spec)
-    return out.select("job_id", F.explode("options").alias("option", "value"))
+    # the command text is a lambda-heavy expression: evaluate it before the
+    # Python stage (the Arrow UDF then reads a plain column)
+    out = CM.parse_commands(cmds.repartition("job_id"), spec)
+    # explode_outer: an inner explode makes the optimizer infer a filter on
+    # the UDF result, which it cannot evaluate outside the Python node
+    return out.select("job_id", F.explode_outer("options").alias("option", "value"))
 
 
 @key("register_versions")

@@ -315,9 +315,14 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        # one relation per table: branches of a plan share the same scan, so
+        # Spark can reuse its exchanges instead of re-reading the files
+        if name not in self._tables:
+            self._tables[name] = table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     # views
     def job(self): return v_job(self.t("events"))
