@@ -73,21 +73,29 @@ def select_version(versions: DataFrame, requests: DataFrame) -> DataFrame:
     table pre-aggregated to one row per lookup key.
     """
     act = versions.filter(F.col("is_active"))
-    o = _text_order()
-    by_default = act.filter(F.col("default_version")).groupBy("script_id").agg(
-        F.min_by("version_id", o).alias("v_default"))
-    by_both = act.groupBy("script_id", "script_version", "iteration").agg(
-        F.max_by("version_id", o).alias("v_both"))
-    by_version = act.groupBy("script_id", "script_version").agg(F.max_by("version_id", o).alias("v_version"))
-    by_iter = act.groupBy("script_id", "iteration").agg(F.max_by("version_id", o).alias("v_iter"))
-    r = requests.select("request_id", "script_id", F.col("version").alias("script_version"), "iteration")
-    has_v, has_i = F.col("script_version").isNotNull(), F.col("iteration").isNotNull()
-    j = (r.join(by_default, "script_id", "left")
-          .join(by_both, ["script_id", "script_version", "iteration"], "left")
-          .join(by_version, ["script_id", "script_version"], "left")
-          .join(by_iter, ["script_id", "iteration"], "left"))
-    chosen = (F.when(has_v & has_i, F.col("v_both")).when(has_v, F.col("v_version"))
-               .when(has_i, F.col("v_iter")).otherwise(F.col("v_default")))
+    # every active version answers four kinds of lookup key; one aggregation
+    # over the keyed rows builds all lookup tables at once (the version table
+    # is computed once), and each request then needs a single join
+    null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+    variants = F.array(
+        F.struct(F.lit("both").alias("kind"), F.col("script_version").alias("v"), F.col("iteration").alias("i")),
+        F.struct(F.lit("version").alias("kind"), F.col("script_version").alias("v"), null_i.alias("i")),
+        F.struct(F.lit("iter").alias("kind"), null_s.alias("v"), F.col("iteration").alias("i")),
+        F.when(F.col("default_version"), F.struct(F.lit("default").alias("kind"), null_s.alias("v"),
+                                                  null_i.alias("i"))))
+    keyed = act.select("script_id", "version_id", _text_order().alias("_o"),
+                       F.explode(F.filter(variants, lambda x: x.isNotNull())).alias("k"))
+    lookup = keyed.groupBy("script_id", F.col("k.kind").alias("_kind"), F.col("k.v").alias("_v"),
+                           F.col("k.i").alias("_i")).agg(
+        F.max_by("version_id", "_o").alias("_last"), F.min_by("version_id", "_o").alias("_first"))
+    has_v, has_i = F.col("version").isNotNull(), F.col("iteration").isNotNull()
+    kind = F.when(has_v & has_i, "both").when(has_v, "version").when(has_i, "iter").otherwise("default")
+    r = requests.select("request_id", F.col("script_id").cast("bigint").alias("_sid"), kind.alias("_rk"),
+                        F.col("version").alias("_rv"), F.col("iteration").alias("_ri"))
+    cond = ((F.col("_sid") == F.col("script_id")) & (F.col("_rk") == F.col("_kind"))
+            & F.col("_rv").eqNullSafe(F.col("_v")) & F.col("_ri").eqNullSafe(F.col("_i")))
+    j = r.join(lookup, cond, "left")
+    chosen = F.when(F.col("_rk") == "default", F.col("_first")).otherwise(F.col("_last"))
     return j.select("request_id", chosen.alias("version_id"))
 
 

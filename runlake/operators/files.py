@@ -172,27 +172,28 @@ def preview_fasta(lines: DataFrame) -> DataFrame:
     Returns (file_id, rec_order, header, seq).
     """
     head = lines.filter(F.col("line_no") <= FASTA_PREVIEW_LINES).filter(F.col("line").rlike(r"\S"))
-    is_hdr = F.startswith(F.col("line"), F.lit(">"))
-    info = head.groupBy("file_id").agg(
-        F.min(F.when(is_hdr, F.col("line_no"))).alias("_caret"),
-        F.min(F.when(~is_hdr & ~F.startswith(F.col("line"), F.lit(";")), F.col("line_no"))).alias("_bad"))
-    ok = info.filter(F.col("_caret").isNotNull() & (F.col("_bad").isNull() | (F.col("_bad") > F.col("_caret"))))
-    body = head.join(ok, "file_id").filter(F.col("line_no") >= F.col("_caret"))
-    # records: a header line and the lines up to the next header (bounded: 30 lines per file)
-    recs = body.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    hdr_pos = F.filter(F.transform("ls", lambda x, i: F.when(F.startswith(x["line"], F.lit(">")), i)),
-                       lambda i: i.isNotNull())
-    rec = F.transform(hdr_pos, lambda p, k: F.struct(
-        F.element_at("ls", p + 1)["line"].alias("header"),
-        F.array_join(F.transform(F.slice("ls", p + 2, F.coalesce(F.get(hdr_pos, k + 1), F.size("ls")) - p - 1),
-                                 lambda x: x["line"]), "").alias("seq"),
-        p.alias("pos")))
-    r = recs.select("file_id", F.explode(rec).alias("r")).select("file_id", "r.*").filter(F.col("seq") != "")
-    per_hdr = r.groupBy("file_id", "header").agg(F.max_by("seq", "pos").alias("seq"),
-                                                 F.min("pos").alias("_first"))
-    # at most 30 records per file: a plain window is bounded
-    w = Window.partitionBy("file_id").orderBy("_first")
-    return per_hdr.withColumn("rec_order", F.row_number().over(w).cast("bigint")).drop("_first")
+    # one group per file holding at most 30 lines; everything else is array work
+    per_file = head.groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_ls"))
+    ls = F.col("_ls")
+    hdr = lambda x: F.startswith(x["line"], F.lit(">"))
+    caret = F.array_position(F.transform(ls, hdr), True)
+    bad = F.array_position(F.transform(ls, lambda x: ~hdr(x) & ~F.startswith(x["line"], F.lit(";"))), True)
+    ok = (caret > 0) & ((bad == 0) | (bad > caret))
+    body = F.slice(ls, F.greatest(caret, F.lit(1)).cast("int"), FASTA_PREVIEW_LINES)
+    per_file = per_file.filter(ok).select("file_id", body.alias("_b"))
+    b = F.col("_b")
+    hdr_pos = F.filter(F.transform(b, lambda x, i: F.when(hdr(x), i)), lambda i: i.isNotNull())
+    recs = F.filter(F.transform(hdr_pos, lambda p, k: F.struct(
+        F.element_at(b, p + 1)["line"].alias("header"),
+        F.array_join(F.transform(F.slice(b, p + 2, F.coalesce(F.get(hdr_pos, k + 1), F.size(b)) - p - 1),
+                                 lambda x: x["line"]), "").alias("seq"))), lambda r: r["seq"] != "")
+    # a repeated header keeps its first position and its last sequence
+    headers = F.array_distinct(F.transform(recs, lambda r: r["header"]))
+    out = F.transform(headers, lambda h, i: F.struct(
+        h.alias("header"), F.element_at(F.filter(recs, lambda r: r["header"] == h), -1)["seq"].alias("seq"),
+        (i + 1).cast("bigint").alias("rec_order")))
+    return per_file.select("file_id", F.inline(out))
 
 
 def number_records(lines: DataFrame) -> DataFrame:

@@ -164,19 +164,20 @@ def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame) -> DataF
     Missing required fields are found with one left join from the expected
     (job, required field) pairs to the submitted ones, per job's script.
     """
-    sp = spec.select("script_id", "name", "form_field", "required", "choices", "choice_limit")
+    # choice lists and limits are parsed once per specification row, not per value
+    sp = spec.select("script_id", "name", "form_field", "required",
+                     F.from_json(F.col("choices"), "array<string>").alias("_choices"),
+                     max_choices(F.col("choice_limit")).alias("_max"))
     v = values.select("job_id", "name", "raw").join(job_script, "job_id")
-    vs = v.join(sp, ["script_id", "name"])
+    vs = v.join(sp.drop("required"), ["script_id", "name"])
     present = F.col("raw").isNotNull() & (F.col("raw") != "")
     per_field = vs.groupBy("job_id", "script_id", "name").agg(
         F.count_if(present).alias("n"),
-        F.first("form_field").alias("form_field"),
-        F.first("choices").alias("choices"),
-        F.first("choice_limit").alias("choice_limit"),
+        F.first("_max").alias("_max"),
         F.count_if(present & (F.col("form_field") == INTEGER) & ~F.col("raw").rlike("^[0-9]+$")).alias("bad_int"),
-        F.count_if(present & F.col("choices").isNotNull()
-                   & ~F.array_contains(F.from_json(F.col("choices"), "array<string>"), F.col("raw"))).alias("bad_choice"))
-    lim = max_choices(F.col("choice_limit"))
+        F.count_if(present & F.col("_choices").isNotNull()
+                   & ~F.array_contains(F.col("_choices"), F.col("raw"))).alias("bad_choice"))
+    lim = F.col("_max")
     errs = F.filter(F.array(
         F.when(F.col("bad_choice") > 0, F.lit(ERR_CHOICE)),
         F.when(F.col("bad_int") > 0, F.lit(ERR_INTEGER)),

@@ -96,22 +96,28 @@ def v_version(lineitem: DataFrame) -> DataFrame:
     A partial (map-side) aggregate runs before the shuffle, so a hot
     part key only ships one partial row per input partition.
     """
+    # max(flag) <> 'R' and min(status) = 'F' are computed from boolean
+    # aggregates: string min/max have no fixed-width buffer and would turn
+    # the whole aggregation into a sort-based one.
+    rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     g = lineitem.groupBy("l_partkey", "l_suppkey").agg(
         F.min("l_linenumber").alias("_ln"),
         F.max("l_quantity").alias("_q"),
-        F.max("l_returnflag").alias("_rf"),
-        F.min("l_linestatus").alias("_ls"),
+        F.bool_or(rf == "R").alias("_r_eq"), F.bool_or(rf > "R").alias("_r_gt"),
+        F.bool_or(ls == "F").alias("_f_eq"), F.bool_or(ls < "F").alias("_f_lt"),
         F.min("l_shipdate").alias("created_date"),
     )
     s = F.col("l_suppkey")
+    max_is_r = F.col("_r_eq") & ~F.col("_r_gt")
+    min_is_f = F.col("_f_eq") & ~F.col("_f_lt")
     return g.select(
         (F.col("l_partkey") * 100000 + s).alias("version_id"),
         F.col("l_partkey").alias("script_id"),
         F.concat(F.col("_ln").cast("string"), F.lit("."),
                  F.floor(F.col("_q")).cast("int").cast("string")).alias("script_version"),
         (s % 5 + 1).cast("int").alias("iteration"),
-        (F.col("_rf") != "R").alias("is_active"),
-        ((F.col("_ls") == "F") & (s % 20 == 0)).alias("default_version"),
+        (~max_is_r).alias("is_active"),
+        (min_is_f & (s % 20 == 0)).alias("default_version"),
         F.sha1(F.concat(F.col("l_partkey").cast("string"), F.lit("|"), (s % 7).cast("string"))).alias("checksum"),
         F.col("created_date"),
     )
