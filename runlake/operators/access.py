@@ -79,11 +79,13 @@ def toggle_favorites(favorites: DataFrame, toggles: DataFrame) -> DataFrame:
     """Favorites after a toggle log: present iff initially present XOR an odd
     number of toggles."""
     keys = ["user_id", "content_type", "object_id"]
-    init = favorites.select(*keys).distinct().withColumn("_init", F.lit(True))
-    odd = toggles.groupBy(*keys).agg((F.count("*") % 2 == 1).alias("_odd"))
-    j = init.join(odd, keys, "full_outer")
+    # one struct join key: a content type that is a constant on both sides
+    # must not fold into a constant join condition (nested-loop join)
+    init = favorites.select(F.struct(*keys).alias("_k")).distinct().withColumn("_init", F.lit(True))
+    odd = toggles.groupBy(F.struct(*keys).alias("_k")).agg((F.count("*") % 2 == 1).alias("_odd"))
+    j = init.join(odd, "_k", "full_outer")
     present = F.coalesce(F.col("_init"), F.lit(False)) != F.coalesce(F.col("_odd"), F.lit(False))
-    return j.filter(present).select(*keys)
+    return j.filter(present).select(*[F.col("_k")[k].alias(k) for k in keys])
 
 
 def favorite_count(favorites: DataFrame) -> DataFrame:
