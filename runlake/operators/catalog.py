@@ -44,6 +44,13 @@ def with_optional(jobs: DataFrame, users: DataFrame) -> DataFrame:
     return jobs.join(u, "user_id", "left").withColumn("username", F.coalesce("username", F.lit("")))
 
 
+def version_params(versions: DataFrame, bridge: DataFrame, params: DataFrame) -> DataFrame:
+    """Many-to-many: versions x parameters through a bridge (two equi-joins)."""
+    return (bridge.select("version_id", "param_id")
+                  .join(versions.select("version_id", "script_version", "iteration"), "version_id")
+                  .join(params, "param_id"))
+
+
 def has_default(scripts: DataFrame, versions: DataFrame) -> DataFrame:
     """Scripts having an active default version (semi join)."""
     return scripts.join(versions.filter(_active_default()).select("script_id"), "script_id", "left_semi")

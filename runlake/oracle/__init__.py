@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["functions", "catalog", "params", "files", "access", "matrix", "sequences",
+FAMILIES = ["functions", "scalars", "catalog", "params", "files", "access", "matrix", "sequences",
             "sources", "streams", "registry"]
 
 

@@ -17,7 +17,7 @@ from runlake.sources.tables import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-FAMILIES = ["jobs", "functions", "catalog", "params", "files", "access", "matrix", "sequences",
+FAMILIES = ["jobs", "functions", "scalars", "catalog", "params", "files", "access", "matrix", "sequences",
             "sources", "streams", "registry"]
 
 
