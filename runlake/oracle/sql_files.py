@@ -24,7 +24,7 @@ WITH t AS ({_TYPED}),
 g AS (SELECT file_id, size_bytes, {_GROUP} AS grp FROM t),
 e AS (SELECT file_id, size_bytes, grp AS "group" FROM g
       UNION ALL SELECT file_id, size_bytes, 'all' FROM g WHERE grp <> 'all')
-SELECT "group", count(*) AS n_files, sum(size_bytes) AS total_bytes FROM e GROUP BY "group" """)
+SELECT "group", count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM e GROUP BY "group" """)
 
 oracle("ungrouped_files", f"""
 WITH t AS ({_TYPED}) SELECT file_id, path FROM t WHERE {_GROUP} = 'all'""")

@@ -274,7 +274,7 @@ def v_chunk(conversations: DataFrame) -> DataFrame:
 
 def v_line(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("_p", "line")) \
-                    .select("doc_id", (F.col("_p") + 1).alias("line_no"), "line")
+                    .select("doc_id", (F.col("_p") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def v_cells(lines: DataFrame) -> DataFrame:
