@@ -185,18 +185,36 @@ def script_report(scripts: DataFrame, versions: DataFrame) -> DataFrame:
         "default_version_id")
 
 
-def version_history(versions: DataFrame) -> DataFrame:
-    """Per (script, version text): the sorted iteration list."""
-    return versions.groupBy("script_id", "script_version").agg(
-        F.array_sort(F.collect_list("iteration")).alias("iterations"),
+LIST_BLOCK = 1000   # items per text block of a per-key list
+
+
+def blocked_lists(df: DataFrame, by: list[str], item: str, order: list, sep: str,
+                  block: int = LIST_BLOCK) -> DataFrame:
+    """Sorted per-key item lists as text blocks of at most ``block`` items:
+    (by..., block, text, n).  Items are numbered with ``row_number_by``
+    (hot keys are split), so no group ever holds more than ``block`` items;
+    the full list of a key is its blocks in ``block`` order."""
+    r = row_number_by(df, by, order, name="_i")
+    r = r.withColumn("block", F.floor((F.col("_i") - 1) / F.lit(block)).cast("bigint"))
+    return r.groupBy(*by, "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", item))), lambda x: x[item]), sep)
+         .alias("text"),
         F.count("*").alias("n"))
 
 
+def version_history(versions: DataFrame) -> DataFrame:
+    """Per (script, version text): the iterations in ascending order, as
+    blocks of at most 1000 (``text`` comma-joined)."""
+    v = versions.withColumn("_it", F.col("iteration").cast("string"))
+    return blocked_lists(v, ["script_id", "script_version"], "_it", ["iteration", "version_id"], ",")
+
+
 def version_labels(versions: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Per checksum (shared script file): comma-joined ``script: iteration``."""
+    """Per checksum (shared script file): ``script: iteration`` labels in
+    text order, comma-joined in blocks of at most 1000."""
     v = versions.join(scripts.select("script_id", "script_name"), "script_id")
-    lab = F.concat(F.col("script_name"), F.lit(": "), F.col("iteration").cast("string"))
-    return v.groupBy("checksum").agg(F.array_join(F.array_sort(F.collect_list(lab)), ", ").alias("labels"))
+    v = v.withColumn("_lab", F.concat(F.col("script_name"), F.lit(": "), F.col("iteration").cast("string")))
+    return blocked_lists(v, ["checksum"], "_lab", ["_lab", "version_id"], ", ")
 
 
 # ----------------------------------------------------------------- sorts

@@ -252,14 +252,14 @@ def purge_plan(refs: DataFrame, purged_jobs: DataFrame) -> DataFrame:
     """On purging jobs: their output or unattached references are dropped;
     a stored file is dropped only when no other job references it."""
     p = refs.join(purged_jobs, "job_id", "left_semi").filter(F.col("param").isNull() | F.col("is_output"))
-    other = refs.select(F.col("file_id").alias("_f"), F.col("job_id").alias("_j"))
-    # references of the same file by a job other than the purging one
-    shared = (p.select("file_id", "job_id").join(other, (F.col("file_id") == F.col("_f"))
-                                                 & (F.col("job_id") != F.col("_j")), "left_semi"))
-    return (p.select("file_id", "job_id")
-             .join(shared.withColumn("_shared", F.lit(True)), ["file_id", "job_id"], "left")
+    # a file is shared when it has references outside the purging job:
+    # total references minus the job's own, from two partial aggregates
+    # (no pairing of references, so a file referenced everywhere stays linear)
+    total = refs.groupBy("file_id").agg(F.count("*").alias("_all"))
+    own = refs.groupBy("file_id", "job_id").agg(F.count("*").alias("_own"))
+    return (p.select("file_id", "job_id").join(total, "file_id").join(own, ["file_id", "job_id"])
              .select("file_id", "job_id", F.lit(True).alias("drop_ref"),
-                     (~F.coalesce("_shared", F.lit(False))).alias("drop_file")))
+                     (F.col("_all") - F.col("_own") == 0).alias("drop_file")))
 
 
 # ---------------------------------------------------------- storage plans

@@ -22,10 +22,11 @@ ERR_TOO_MANY = "Too many values."
 def subprocess_value(form_field: Column, raw: Column) -> Column:
     """Text a value contributes to a command: NULL when skipped, '' for a
     boolean flag (flag alone), the normalized integer, else the text."""
-    stored = coerce_value(form_field, raw)
-    return (F.when(stored.isNull(), F.lit(None).cast("string"))
+    # the same rules as ``coerce_value`` without building JSON text
+    return (F.when(raw.isNull(), F.lit(None).cast("string"))
+             .when(form_field == CHAR, F.when(raw != "", raw))
+             .when(form_field == INTEGER, F.when(raw.rlike("^[0-9]+$"), raw.try_cast("decimal(38,0)").cast("string")))
              .when(form_field == BOOLEAN, F.lit(""))
-             .when(form_field == INTEGER, stored)
              .otherwise(raw))
 
 

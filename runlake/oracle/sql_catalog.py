@@ -106,13 +106,19 @@ WITH c AS ({_COUNTS})
 SELECT s.script_id, {_ISSUES} AS issues FROM v_script s LEFT JOIN c ON s.script_id = c.script_id""")
 
 oracle("version_history", """
-SELECT script_id, script_version, array_to_string(list_sort(list(iteration)), ',') AS iterations, count(*) AS n
-FROM v_version GROUP BY script_id, script_version""")
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY script_id, script_version ORDER BY iteration, version_id) AS i
+           FROM v_version)
+SELECT script_id, script_version, CAST(floor((i - 1) / 1000) AS BIGINT) AS block,
+       string_agg(CAST(iteration AS VARCHAR), ',' ORDER BY i) AS iterations, count(*) AS n
+FROM r GROUP BY script_id, script_version, CAST(floor((i - 1) / 1000) AS BIGINT)""")
 
 oracle("version_labels", """
-SELECT v.checksum, array_to_string(list_sort(list(s.script_name || ': ' || CAST(v.iteration AS VARCHAR))), ', ')
-           AS labels
-FROM v_version v JOIN v_script s ON v.script_id = s.script_id GROUP BY v.checksum""")
+WITH l AS (SELECT v.checksum, v.version_id, s.script_name || ': ' || CAST(v.iteration AS VARCHAR) AS lab
+           FROM v_version v JOIN v_script s ON v.script_id = s.script_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY lab, version_id) AS i FROM l)
+SELECT checksum, CAST(floor((i - 1) / 1000) AS BIGINT) AS block, string_agg(lab, ', ' ORDER BY i) AS labels,
+       count(*) AS n
+FROM r GROUP BY checksum, CAST(floor((i - 1) / 1000) AS BIGINT)""")
 
 oracle("sort_versions", """
 SELECT version_id, script_id,

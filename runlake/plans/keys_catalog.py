@@ -102,12 +102,12 @@ def _script_issues(c):
 @key("version_history")
 def _version_history(c):
     return C.version_history(c.version()).select(
-        "script_id", "script_version", F.array_join("iterations", ",").alias("iterations"), "n")
+        "script_id", "script_version", "block", F.col("text").alias("iterations"), "n")
 
 
 @key("version_labels")
 def _version_labels(c):
-    return C.version_labels(c.version(), c.script())
+    return C.version_labels(c.version(), c.script()).select("checksum", "block", F.col("text").alias("labels"), "n")
 
 
 @key("sort_versions")
