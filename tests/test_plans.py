@@ -67,3 +67,15 @@ def test_parse_commands_round_trip(spark):
     parsed = entry.queries()["parse_commands"](spark, SF_SMALL)
     assert parsed.filter(F.col("option") == "__error__").count() == 0
     assert parsed.filter(F.col("option") == "--status").count() > 0
+
+
+@pytest.mark.parametrize("stream_key,batch_key", [("stream_output", "concat_output"),
+                                                  ("stream_expiry", "expire_jobs"),
+                                                  ("stream_uploads", "write_content_addressed")])
+def test_more_streams_equal_batch(spark, stream_key, batch_key):
+    q = entry.queries()
+    s = q[stream_key](spark, SF_SMALL)
+    b = q[batch_key](spark, SF_SMALL)
+    if stream_key == "stream_uploads":
+        b = b.select("checksum")
+    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
