@@ -39,33 +39,33 @@ def assemble_commands(values: DataFrame) -> DataFrame:
     positional (empty) flag writes values only; the sub-parser name comes
     once before its first token.
 
-    One shuffle: each job's value rows are gathered once (a job's values
-    are bounded by its command line) and folded with array functions.
+    One shuffle: rows are hash-partitioned by job once; the per-flag and the
+    per-job aggregation both reuse that partitioning (a job's values are
+    bounded by its command line).  The ordering key is one BIGINT so the
+    aggregates stay hash-based.
     """
     has_parser = "parser_name" in values.columns
     v = values.withColumn("parser_name", F.col("parser_name") if has_parser else F.lit(""))
     v = v.withColumn("_val", subprocess_value(F.col("form_field"), F.col("raw"))).filter(F.col("_val").isNotNull())
-    rows = F.array_sort(F.collect_list(F.struct(
-        (F.col("parser_name") != "").alias("sub"), F.col("pos"), F.col("parser_name").alias("parser"),
-        F.col("short_param").alias("flag"), F.col("collapse"), F.col("_val").alias("val"))))
-    per_job = v.groupBy("job_id").agg(rows.alias("_r"))
-    r = F.col("_r")
-    # distinct (parser, flag) pairs in first-seen order
-    keys = F.array_distinct(F.transform(r, lambda x: F.struct(x["parser"].alias("parser"), x["flag"].alias("flag"))))
-
-    def entry_tokens(k, i):
-        same = F.filter(r, lambda x: (x["parser"] == k["parser"]) & (x["flag"] == k["flag"]))
-        vals = F.transform(F.filter(same, lambda x: x["val"] != ""), lambda x: x["val"])
-        collapse = F.element_at(same, -1)["collapse"]
-        flag = k["flag"]
-        toks = F.when((flag != "") & (F.size(vals) == 0), F.array(flag)).otherwise(
-            F.flatten(F.transform(vals, lambda x, j: F.when((flag != "") & (~collapse | (j == 0)),
-                                                            F.array(flag, x)).otherwise(F.array(x)))))
-        first_of_parser = F.array_position(F.transform(keys, lambda y: y["parser"]), k["parser"]) == i + 1
-        return F.when(first_of_parser & (k["parser"] != "") & (F.size(toks) > 0),
-                      F.concat(F.array(k["parser"]), toks)).otherwise(toks)
-
-    return per_job.select("job_id", F.flatten(F.transform(keys, entry_tokens)).alias("tokens"))
+    order = (F.col("parser_name") != "").cast("bigint") * F.lit(1 << 32) + F.col("pos").cast("bigint")
+    v = v.withColumn("_ord", order).repartition("job_id")
+    per_flag = v.groupBy("job_id", "parser_name", F.col("short_param").alias("flag")).agg(
+        F.min("_ord").alias("first"),
+        F.max_by("collapse", "_ord").alias("collapse"),
+        F.array_sort(F.collect_list(F.when(F.col("_val") != "", F.struct("_ord", "_val")))).alias("vals"))
+    flag, vals = F.col("flag"), F.transform(F.col("vals"), lambda x: x["_val"])
+    toks = F.when((flag != "") & (F.size(vals) == 0), F.array(flag)).otherwise(
+        F.flatten(F.transform(vals, lambda x, i: F.when((flag != "") & (~F.col("collapse") | (i == 0)),
+                                                        F.array(flag, x)).otherwise(F.array(x)))))
+    per_job = per_flag.groupBy("job_id").agg(F.array_sort(F.collect_list(
+        F.struct("first", F.col("parser_name").alias("parser"), toks.alias("toks")))).alias("_e"))
+    e = F.col("_e")
+    parsers = F.transform(e, lambda x: x["parser"])
+    # the sub-parser name goes before the first entry of its parser
+    with_parser = F.transform(e, lambda x, i: F.when(
+        (x["parser"] != "") & (F.size(x["toks"]) > 0) & (F.array_position(parsers, x["parser"]) == i + 1),
+        F.concat(F.array(x["parser"]), x["toks"])).otherwise(x["toks"]))
+    return per_job.select("job_id", F.flatten(with_parser).alias("tokens"))
 
 
 def explode_values(jobs: DataFrame, col: str = "values") -> DataFrame:

@@ -41,3 +41,8 @@ FROM t JOIN v_key k ON t.key_hash = k.key_hash JOIN v_user u ON u.user_id = k.us
 WHERE k.active AND u.is_active GROUP BY k.key_id, k.user_id""")
 
 oracle("stream_expiry", _RAW["expire_jobs"])
+
+oracle("stream_output_stateful", f"""
+SELECT c.job_id, c.channel, string_agg(coalesce(c.chunk, ''), '' ORDER BY c.seq) AS text, count(*) AS n_chunks,
+       coalesce(bool_or(j.{_TERM}), false) AS closed
+FROM v_chunk c LEFT JOIN v_job j ON c.job_id = j.job_id GROUP BY c.job_id, c.channel""")

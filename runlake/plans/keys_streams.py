@@ -69,3 +69,10 @@ def _stream_files(c):
     """New files of the data folder through the binary file stream (rows-only)."""
     out = ST.run_stream(ST.stream_files(c.spark, c.sf_dir, "*.parquet"), "files", "append")
     return out.select(F.substring_index("path", "/", -1).alias("name"), "size_bytes", "checksum")
+
+
+@key("stream_output_stateful")
+def _stream_output_stateful(c):
+    chunks = T.v_chunk(ST.read_stream(c.spark, c.sf_dir, "conversations"))
+    return ST.run_stream(ST.stream_output_stateful(chunks, c.job()), "output_state", "update",
+                         keys=["job_id", "channel"])

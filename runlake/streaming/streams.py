@@ -36,11 +36,12 @@ def event_time(c) -> Column:
     return F.make_timestamp(F.year(x), F.month(x), F.dayofmonth(x), F.hour(x), F.minute(x), secs, F.lit("UTC"))
 
 
-def run_stream(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def run_stream(df: DataFrame, name: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run a streaming DataFrame to completion (AvailableNow) and return the
     result table.  Complete mode rewrites the table each micro-batch;
-    append/update modes append.  Checkpoint and output live under the
-    session's ``spark.checkpoint.dir``."""
+    append mode appends; update mode appends each batch's changed rows with
+    their batch id, and ``keys`` then selects the latest row per key.
+    Checkpoint and output live under the session's ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -48,8 +49,11 @@ def run_stream(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{base}/table"
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def sink(batch: DataFrame, epoch: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(out)
 
     q = (df.writeStream.outputMode(mode).foreachBatch(sink)
            .option("checkpointLocation", f"{base}/checkpoint")
@@ -57,7 +61,13 @@ def run_stream(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(df.schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], df.schema)
+    if not _exists(spark, out):
+        return spark.createDataFrame([], df.schema)
+    res = spark.read.parquet(out)
+    if mode == "update" and keys:
+        last = res.groupBy(*keys).agg(F.max("_epoch").alias("_last"))
+        res = res.join(last, keys).filter(F.col("_epoch") == F.col("_last"))
+    return res.select(*df.columns)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -76,6 +86,41 @@ def stream_output(chunks: DataFrame, block_size: int = 1024) -> DataFrame:
                        F.count("*").alias("n_chunks")))
 
 
+def stream_output_stateful(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Live output per (job, channel) with per-key state that is dropped as
+    soon as the job is terminal (update mode, ``applyInPandasWithState``).
+
+    Chunks of one key arrive in ``seq`` order across micro-batches (a reader
+    appends them as the process writes); inside a batch they are sorted.
+    The job status comes from a stream-static join with the job table.
+    Output: (job_id, channel, text, n_chunks, closed).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    terminal = jobs.select("job_id", F.col("status").isin(*TERMINAL_STATES).alias("closed"))
+    c = chunks.join(terminal, "job_id", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+
+    def fold(key, pdfs, state):
+        text, n = (state.get if state.exists else ("", 0))
+        closed = False
+        for pdf in pdfs:
+            pdf = pdf.sort_values("seq")
+            text += "".join(pdf["chunk"].fillna(""))
+            n += len(pdf)
+            closed = closed or bool(pdf["closed"].any())
+        if closed:
+            state.remove()
+        else:
+            state.update((text, n))
+        yield pd.DataFrame({"job_id": [key[0]], "channel": [key[1]], "text": [text], "n_chunks": [n],
+                            "closed": [closed]})
+
+    return c.groupBy("job_id", "channel").applyInPandasWithState(
+        fold, "job_id long, channel string, text string, n_chunks long, closed boolean",
+        "text string, n long", "update", GroupStateTimeout.NoTimeout)
+
+
 def stream_status(events: DataFrame) -> DataFrame:
     """Effective status per (job, attempt): the first terminal status sticks,
     otherwise the latest (update/complete mode)."""
