@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FILE_DIR = "wooey_files"   # fixed value: default storage folder name of job files
+FILE_DIR = "job_files"     # default storage folder of job files
 
 
 def _c(x) -> Column:

@@ -283,7 +283,7 @@ def stale_copies(catalog: DataFrame, local: DataFrame) -> DataFrame:
                     .when(F.col("local_checksum") != F.col("checksum"), "stale").otherwise("ok").alias("action"))
 
 
-def write_addressed_paths(files: DataFrame, root: str = "wooey_files") -> DataFrame:
+def write_addressed_paths(files: DataFrame, root: str = "job_files") -> DataFrame:
     """One stored copy per checksum under root/ck[:2]/ck[-2:]/ck/name."""
     from runlake.functions.paths import upload_path
     first = files.groupBy("checksum").agg(F.min_by("filename", "file_id").alias("filename"))

@@ -71,17 +71,19 @@ def sparse_patch(scripts: DataFrame, patches: DataFrame) -> DataFrame:
     )
 
 
-def check_version_patches(patches: DataFrame) -> DataFrame:
-    """Form errors of version patches: at least one field; a submitted field
-    must parse as a boolean."""
-    p = F.col("patch")
-    errs = F.filter(F.array(
+def version_patch_errors(p: Column) -> Column:
+    """Form errors of one version patch: at least one field; a submitted
+    field must parse as a boolean."""
+    return F.filter(F.array(
         F.when(~has(p, "default_version") & ~has(p, "is_active"), F.lit(ERR_EMPTY)),
         F.when(has(p, "default_version") & null_boolean(p["default_version"]).isNull(),
                F.lit("default_version: " + ERR_REQUIRED)),
         F.when(has(p, "is_active") & null_boolean(p["is_active"]).isNull(), F.lit("is_active: " + ERR_REQUIRED))),
         lambda x: x.isNotNull())
-    return patches.select("version_id", errs.alias("errors"))
+
+
+def check_version_patches(patches: DataFrame) -> DataFrame:
+    return patches.select("version_id", version_patch_errors(F.col("patch")).alias("errors"))
 
 
 def apply_version_patches(versions: DataFrame, patches: DataFrame) -> DataFrame:
@@ -97,8 +99,7 @@ def apply_version_patches(versions: DataFrame, patches: DataFrame) -> DataFrame:
 
     Returns every version with its new flags and the patch error (if any).
     """
-    chk = check_version_patches(patches)
-    p = patches.join(chk, "version_id")
+    p = patches.withColumn("errors", version_patch_errors(F.col("patch")))
     defaults = (versions.filter(F.col("is_active") & F.col("default_version"))
                         .groupBy("script_id").agg(F.count("*").alias("_n_def")))
     v = versions.join(p, "version_id", "left").join(defaults, "script_id", "left")

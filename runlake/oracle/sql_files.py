@@ -121,7 +121,7 @@ FROM c LEFT JOIN l ON c.path = l.path""")
 oracle("write_content_addressed", """
 WITH f AS (SELECT checksum, arg_min(filename, file_id) AS filename FROM v_file GROUP BY checksum)
 SELECT checksum,
-       'wooey_files/' || substr(checksum, 1, 2) || '/' || substr(checksum, -2, 2) || '/' || checksum || '/'
+       'job_files/' || substr(checksum, 1, 2) || '/' || substr(checksum, -2, 2) || '/' || checksum || '/'
            || filename AS stored_path,
        substr(checksum, 1, 2) AS prefix, substr(checksum, -2, 2) AS suffix
 FROM f""")

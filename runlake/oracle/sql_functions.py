@@ -17,7 +17,7 @@ SELECT script_id, translate(script_name, ' -', '__') AS safe_name,
        CASE WHEN strpos(fslug, '-') > 0 THEN substr(fslug, strpos(fslug, '-') + 1) ELSE fslug END AS param_slug,
        ends_with(script_name, 'bolt') AS ends_bolt,
        script_name || CAST(script_order AS VARCHAR) AS joined,
-       'wooey-script-' || CAST(script_id AS VARCHAR) AS object_key,
+       'runlake-script-' || CAST(script_id AS VARCHAR) AS object_key,
        CASE WHEN ver IS NOT NULL AND regexp_matches(ver, '{VERSION_PATTERN}') THEN ver ELSE '1' END AS version,
        coalesce(nullif(script_group, ''), 'Scripts') AS group_or_default,
        coalesce(description, group_name) AS created_by
@@ -47,9 +47,9 @@ SELECT file_id,
             THEN regexp_extract(string_split(path, '/')[-1], '^(.*)\.[^.]*$', 1)
             ELSE string_split(path, '/')[-1] END AS stem,
        regexp_extract(string_split(path, '/')[-1], '\.([^.]*)$', 1) AS extension,
-       'wooey_files/' || substr(checksum, 1, 2) || '/' || substr(checksum, -2, 2) || '/' || checksum || '/'
+       'job_files/' || substr(checksum, 1, 2) || '/' || substr(checksum, -2, 2) || '/' || checksum || '/'
            || filename AS upload_path,
-       'wooey_files/' || uname || '/' || folder || '/' || CAST(job_id AS VARCHAR) AS output_path,
+       'job_files/' || uname || '/' || folder || '/' || CAST(job_id AS VARCHAR) AS output_path,
        ltrim(substr(abs_path, strpos(abs_path, 'jobs/')), '/') AS relative_path,
        trim(ref) <> '' AND (trim(ref) = path OR replace(trim(ref), '\', '/') = path) AS ref_matches
 FROM f""")

@@ -51,7 +51,7 @@ oracle("complement", """
 SELECT seq_id, translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', 'TGCANtgcan') AS value
 FROM v_seq""")
 
-oracle("object_key", "SELECT file_id, 'wooey-userfile-' || CAST(file_id AS VARCHAR) AS value FROM v_file")
+oracle("object_key", "SELECT file_id, 'runlake-userfile-' || CAST(file_id AS VARCHAR) AS value FROM v_file")
 
 oracle("version_or_default", f"""
 WITH v AS (

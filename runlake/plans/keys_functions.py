@@ -33,7 +33,7 @@ def _text_functions(c):
         T.strip_form_prefix(slug).alias("param_slug"),
         T.ends_with("script_name", "bolt").alias("ends_bolt"),
         T.concat_text("script_name", "script_order").alias("joined"),
-        T.object_key("wooey", "script", sid).alias("object_key"),
+        T.object_key("runlake", "script", sid).alias("object_key"),
         T.version_or_default(ver).alias("version"),
         T.default_group("script_group").alias("group_or_default"),
         T.audit_stamp(F.col("description"), F.col("group_name")).alias("created_by"),

@@ -80,7 +80,7 @@ def _complement(c):
 
 @key("object_key")
 def _object_key(c):
-    return c.file().select("file_id", T.object_key("wooey", "userfile", F.col("file_id")).alias("value"))
+    return c.file().select("file_id", T.object_key("runlake", "userfile", F.col("file_id")).alias("value"))
 
 
 @key("version_or_default")
