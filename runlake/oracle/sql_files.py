@@ -162,3 +162,43 @@ k AS (
 SELECT folder, name, 'txt' AS ext,
        CASE WHEN k = 0 THEN name || '.txt' ELSE name || '_' || CAST(k AS VARCHAR) || '.txt' END AS available
 FROM k""")
+
+_NORMALIZE = """CASE WHEN trim(ref) = '' OR ref IS NULL OR starts_with(replace(trim(ref), chr(92), '/'), '/') THEN NULL
+  ELSE (SELECT CASE WHEN s.bad THEN NULL ELSE array_to_string(s.st, '/') END FROM (SELECT list_reduce(
+      list_filter(string_split(replace(trim(ref), chr(92), '/'), '/'), lambda x: x <> '' AND x <> '.'),
+      lambda acc, x: CASE WHEN x = '..'
+                          THEN {'st': CASE WHEN len(acc.st) > 0 THEN acc.st[1:len(acc.st) - 1] ELSE acc.st END,
+                                'bad': acc.bad OR len(acc.st) = 0}
+                          ELSE {'st': list_append(acc.st, x), 'bad': acc.bad} END,
+      {'st': []::VARCHAR[], 'bad': false}) AS s)) END"""
+
+oracle("resolve_file_ref", f"""
+WITH refs AS (
+  SELECT file_id AS ref_id, file_id % 150 AS viewer_id,
+         CASE file_id % 6 WHEN 0 THEN path WHEN 1 THEN '  ' || replace(path, '/', chr(92)) || ' '
+                          WHEN 2 THEN '../' || path WHEN 3 THEN path || '/../x' WHEN 4 THEN ''
+                          ELSE './' || CAST(job_id AS VARCHAR) || '//' || filename END AS ref
+  FROM v_file),
+r AS (
+  SELECT *, trim(ref) AS raw, replace(trim(ref), chr(92), '/') AS slash,
+         string_split(replace(trim(ref), chr(92), '/'), '/')[-1] AS base, {_NORMALIZE} AS norm
+  FROM refs),
+cand AS (
+  SELECT f.path, f.filename, j.user_id AS owner_id
+  FROM v_user_file uf JOIN v_file f ON uf.file_id = f.file_id LEFT JOIN v_job j ON uf.job_id = j.job_id),
+m AS (
+  SELECT r.ref_id, r.viewer_id, c.path, c.owner_id, 0 AS rule FROM r JOIN cand c ON c.path = r.norm AND c.filename = r.base
+  UNION ALL
+  SELECT r.ref_id, r.viewer_id, c.path, c.owner_id, 1 FROM r JOIN cand c ON c.path = r.raw AND c.filename = r.base
+  UNION ALL
+  SELECT r.ref_id, r.viewer_id, c.path, c.owner_id, 1 FROM r JOIN cand c ON c.path = r.slash AND c.filename = r.base),
+b AS (SELECT ref_id, min(rule) AS best FROM m GROUP BY ref_id),
+mm AS (SELECT m.* FROM m JOIN b ON m.ref_id = b.ref_id AND m.rule = b.best),
+a AS (
+  SELECT ref_id, bool_or(owner_id IS NULL OR (viewer_id IS NOT NULL AND owner_id = viewer_id)) AS anyvis,
+         min(path) AS path
+  FROM mm GROUP BY ref_id)
+SELECT refs.ref_id,
+       CASE WHEN a.anyvis IS NULL THEN 'not found' WHEN NOT a.anyvis THEN 'not permitted' ELSE 'found' END AS outcome,
+       CASE WHEN a.anyvis THEN a.path END AS path
+FROM refs LEFT JOIN a ON refs.ref_id = a.ref_id""")

@@ -23,7 +23,7 @@ SELECT s.script_id,
 FROM v_script s LEFT JOIN p ON s.script_id = p.script_id""")
 
 oracle("version_patch_rules", """
-WITH p AS (SELECT version_id, version_id % 6 AS k FROM v_version WHERE version_id % 4 = 1),
+WITH p AS (SELECT version_id, CAST(floor(version_id / 4) AS BIGINT) % 6 AS k FROM v_version WHERE version_id % 4 = 1),
 d AS (SELECT script_id, count(*) AS n_def FROM v_version WHERE is_active AND default_version GROUP BY script_id),
 x AS (
   SELECT v.*, p.k, coalesce(d.n_def, 0) - CAST(v.is_active AND v.default_version AS INTEGER) AS others
@@ -86,7 +86,8 @@ FROM n JOIN v_param p ON p.job_id = n.job_id""")
 oracle("register_versions", f"""
 WITH b AS (
   SELECT p_partkey AS batch_id, p_name AS script_name,
-         sha1(CAST(p_partkey AS VARCHAR) || '|' || CAST(p_partkey % 7 AS VARCHAR)) AS checksum,
+         CASE WHEN p_partkey % 2 = 0 THEN sha1(CAST(p_partkey AS VARCHAR) || '|' || CAST(p_partkey % 7 AS VARCHAR))
+              ELSE sha1(CAST(p_partkey AS VARCHAR) || '|new') END AS checksum,
          CASE WHEN p_partkey % 3 = 0 THEN '2.0' WHEN p_partkey % 3 = 1 THEN 'not a version!' END AS version_text,
          p_type AS description, p_size % 2 = 0 AS set_default
   FROM part WHERE p_partkey % 5 = 0),
