@@ -212,23 +212,26 @@ def job_requests(jobs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def page_visible(jobs: DataFrame, requests: DataFrame, users: DataFrame,
-                 favorites: DataFrame) -> DataFrame:
+                 user_files: DataFrame, favorites: DataFrame) -> DataFrame:
     """Detail-page rule: unowned, owner, superuser, or opened by shared uuid.
 
-    Returns per request the decision and whether the viewer marked the job
-    as a favorite (left join, never a product).
+    For a visible page, the number of the job's files the viewer marked as
+    favorite: favorites are joined to the file references and counted per
+    (viewer, job) first, then joined to the requests (no request x file
+    product).
     """
     j = jobs.select("job_id", F.col("user_id").alias("owner_id"))
     u = users.select(F.col("user_id").alias("viewer_id"), F.col("is_staff").alias("superuser"))
-    fav = (favorites.filter(F.col("content_type") == "job")
-                    .select(F.col("user_id").alias("viewer_id"), F.col("object_id").alias("job_id"),
-                            F.lit(True).alias("_fav")).distinct())
+    fav = (favorites.filter(F.col("content_type") == "userfile")
+                    .select(F.col("user_id").alias("viewer_id"), F.col("object_id").alias("file_id")).distinct()
+                    .join(user_files.select("file_id", "job_id").distinct(), "file_id")
+                    .groupBy("viewer_id", "job_id").agg(F.count("*").alias("_nfav")))
     r = (requests.join(j, "job_id", "inner").join(u, "viewer_id", "left")
                  .join(fav, ["viewer_id", "job_id"], "left"))
-    ok = (F.col("owner_id").isNull() | (F.col("owner_id") == F.col("viewer_id"))
-          | F.coalesce(F.col("superuser"), F.lit(False)) | F.col("by_uuid"))
-    return r.select("request_id", "viewer_id", "job_id", F.coalesce(ok, F.lit(False)).alias("visible"),
-                    F.coalesce(F.col("_fav"), F.lit(False)).alias("is_favorite"))
+    ok = F.coalesce(F.col("owner_id").isNull() | (F.col("owner_id") == F.col("viewer_id"))
+                    | F.coalesce(F.col("superuser"), F.lit(False)) | F.col("by_uuid"), F.lit(False))
+    return r.select("request_id", "viewer_id", "job_id", ok.alias("visible"),
+                    F.when(ok, F.coalesce(F.col("_nfav"), F.lit(0))).cast("bigint").alias("favorite_files"))
 
 
 def job_details(jobs: DataFrame, user_files: DataFrame, files: DataFrame) -> DataFrame:

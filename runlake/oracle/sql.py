@@ -95,12 +95,20 @@ SELECT r.request_id, r.viewer_id, r.job_id,
 FROM v_job_request r LEFT JOIN v_job j ON r.job_id = j.job_id""")
 
 oracle("job_page_visible", """
+WITH fav AS (
+  SELECT f.user_id AS viewer_id, uf.job_id, count(*) AS nfav
+  FROM (SELECT DISTINCT user_id, object_id FROM v_favorite WHERE content_type = 'userfile') f
+  JOIN (SELECT DISTINCT file_id, job_id FROM v_user_file) uf ON uf.file_id = f.object_id
+  GROUP BY f.user_id, uf.job_id)
 SELECT r.request_id, r.viewer_id, r.job_id,
        coalesce(j.user_id IS NULL OR j.user_id = r.viewer_id OR coalesce(u.is_staff, false) OR r.by_uuid, false)
            AS visible,
-       EXISTS (SELECT 1 FROM v_favorite f WHERE f.user_id = r.viewer_id AND f.object_id = r.job_id) AS is_favorite
+       CASE WHEN coalesce(j.user_id IS NULL OR j.user_id = r.viewer_id OR coalesce(u.is_staff, false) OR r.by_uuid,
+                          false)
+            THEN CAST(coalesce(fav.nfav, 0) AS BIGINT) END AS favorite_files
 FROM v_job_request r JOIN v_job j ON r.job_id = j.job_id
-LEFT JOIN v_user u ON u.user_id = r.viewer_id""")
+LEFT JOIN v_user u ON u.user_id = r.viewer_id
+LEFT JOIN fav ON fav.viewer_id = r.viewer_id AND fav.job_id = r.job_id""")
 
 oracle("job_details", f"""
 SELECT DISTINCT j.job_id, j.status, j.{_TERM} AS is_complete,

@@ -62,8 +62,7 @@ def _job_status(c):
 
 @key("job_page_visible")
 def _job_page_visible(c):
-    return J.page_visible(c.job(), c.job_request(), c.user(),
-                          c.favorite().withColumn("content_type", F.lit("job")))
+    return J.page_visible(c.job(), c.job_request(), c.user(), c.user_file(), c.favorite())
 
 
 @key("job_details")
