@@ -50,10 +50,12 @@ def run_stream(df: DataFrame, name: str, mode: str = "complete", keys: list[str]
     out = f"{base}/table"
 
     def sink(batch: DataFrame, epoch: int) -> None:
+        # idempotent per micro-batch: a batch replayed after a failure
+        # overwrites its own output instead of appending it twice
         if mode == "complete":
             batch.write.mode("overwrite").parquet(out)
         else:
-            batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(out)
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (df.writeStream.outputMode(mode).foreachBatch(sink)
            .option("checkpointLocation", f"{base}/checkpoint")
@@ -65,8 +67,8 @@ def run_stream(df: DataFrame, name: str, mode: str = "complete", keys: list[str]
         return spark.createDataFrame([], df.schema)
     res = spark.read.parquet(out)
     if mode == "update" and keys:
-        last = res.groupBy(*keys).agg(F.max("_epoch").alias("_last"))
-        res = res.join(last, keys).filter(F.col("_epoch") == F.col("_last"))
+        last = res.groupBy(*keys).agg(F.max("epoch").alias("_last"))
+        res = res.join(last, keys).filter(F.col("epoch") == F.col("_last"))
     return res.select(*df.columns)
 
 
