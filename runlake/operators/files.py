@@ -357,23 +357,32 @@ def resolve_refs(refs: DataFrame, user_files: DataFrame, files: DataFrame, jobs:
     reference; if none does, the raw (or slash-converted) reference.  Each
     rule is an equi-join on the path, so a common base name never fans out.
     Outcome: found / not found / not permitted.
+
+    The references of a path are summarised before matching: one row per
+    (path, file name) with "has an unowned job", and the distinct
+    (path, owner) pairs; a request then joins one summary row and at most
+    one pair, so a file referenced by very many jobs does not multiply the
+    requests that name it.
     """
     uf = (user_files.join(files.select("file_id", "filename", "path"), "file_id")
                     .join(jobs.select("job_id", F.col("user_id").alias("owner_id")), "job_id", "left"))
-    cand = uf.select("path", "owner_id", "filename")
+    stats = uf.groupBy("path", "filename").agg(F.bool_or(F.col("owner_id").isNull()).alias("_pub"))
+    pairs = (uf.filter(F.col("owner_id").isNotNull())
+               .select(F.col("path").alias("_pp"), F.col("owner_id").alias("_po")).distinct())
     raw = F.trim(F.col("ref"))
     r = refs.withColumn("_norm", normalize_ref(F.col("ref"))).withColumn("_raw", raw) \
             .withColumn("_slash", F.replace(raw, F.lit("\\"), F.lit("/"))).withColumn("_base", basename(raw))
 
     def matches(key, rule):
-        c = cand.withColumnRenamed("path", key)
+        c = stats.withColumnRenamed("path", key)
         return r.join(c, key).filter(F.col("filename") == F.col("_base")).select(
-            "ref_id", "viewer_id", F.col(key).alias("path"), "owner_id", F.lit(rule).alias("rule"))
+            "ref_id", "viewer_id", F.col(key).alias("path"), "_pub", F.lit(rule).alias("rule"))
 
     allm = matches("_norm", 0).unionByName(matches("_raw", 1)).unionByName(matches("_slash", 1))
     best = allm.groupBy("ref_id").agg(F.min("rule").alias("_best"))
     m = allm.join(best, "ref_id").filter(F.col("rule") == F.col("_best"))
-    vis = F.col("owner_id").isNull() | (F.col("viewer_id").isNotNull() & (F.col("owner_id") == F.col("viewer_id")))
+    m = m.join(pairs, (F.col("path") == F.col("_pp")) & (F.col("viewer_id") == F.col("_po")), "left")
+    vis = F.coalesce(F.col("_pub"), F.lit(False)) | F.col("_po").isNotNull()
     agg = m.groupBy("ref_id").agg(F.bool_or(vis).alias("_any_vis"), F.min("path").alias("path"))
     out = refs.select("ref_id").join(agg, "ref_id", "left")
     return out.select("ref_id",
