@@ -58,7 +58,7 @@ FROM v_version GROUP BY script_id""")
 oracle("flip_default", """
 WITH w AS (
   SELECT script_id, arg_max(version_id, (created_date, version_id)) AS win FROM v_version
-  WHERE iteration = 5 AND is_active AND script_id % 2 = 0 GROUP BY script_id)
+  WHERE iteration = 5 AND is_active GROUP BY script_id)
 SELECT v.version_id, v.script_id,
        CASE WHEN w.win IS NULL THEN v.default_version ELSE v.version_id = w.win END AS default_version
 FROM v_version v LEFT JOIN w ON v.script_id = w.script_id""")

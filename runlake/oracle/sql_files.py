@@ -85,8 +85,8 @@ SELECT file_id, checksum, min(file_id) OVER (PARTITION BY checksum) AS keeper_id
 FROM v_file WHERE NOT is_output""")
 
 oracle("match_or_insert", """
-WITH s AS (SELECT * FROM v_file WHERE file_id % 2 = 0),
-n AS (SELECT * FROM v_file WHERE file_id % 2 = 1),
+WITH s AS (SELECT * FROM v_file WHERE is_output),
+n AS (SELECT * FROM v_file WHERE NOT is_output),
 ex AS (SELECT checksum, min(file_id) AS existing_id FROM s GROUP BY checksum),
 fresh AS (
   SELECT checksum, (SELECT coalesce(max(file_id), 0) FROM s) + row_number() OVER (ORDER BY checksum) AS new_id
@@ -98,7 +98,7 @@ FROM n LEFT JOIN ex ON n.checksum = ex.checksum LEFT JOIN fresh ON n.checksum =
 oracle("unreferenced_files", """
 WITH p AS (
   SELECT * FROM v_user_file
-  WHERE job_id % 10 = 3 AND (param IS NULL OR is_output))
+  WHERE job_id IN (SELECT job_id FROM v_job WHERE status = 'deleted') AND (param IS NULL OR is_output))
 SELECT p.file_id, p.job_id, true AS drop_ref,
        NOT EXISTS (SELECT 1 FROM v_user_file o WHERE o.file_id = p.file_id AND o.job_id <> p.job_id) AS drop_file
 FROM p""")
@@ -141,7 +141,7 @@ SELECT job_id, job_name || '/', CAST(0 AS BIGINT) FROM jn WHERE job_id IN (SELEC
 oracle("unlisted_outputs", """
 WITH k AS (
   SELECT '/srv/media/' || f.path AS known_path FROM v_user_file uf JOIN v_file f ON uf.file_id = f.file_id
-  WHERE uf.param = 'out' AND uf.file_id % 3 = 1)
+  WHERE uf.param = 'out')
 SELECT file_id, path FROM v_file f
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE ends_with(k.known_path, f.path))""")
 

@@ -95,7 +95,7 @@ _SCOPE = """
          ch.job_id IS NOT NULL AS has_choice
   FROM v_param v JOIN v_job_script js ON v.job_id = js.job_id
   JOIN v_spec s ON s.script_id = js.script_id AND s.name = v.name
-  LEFT JOIN (SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 3 = 0) ch ON ch.job_id = v.job_id
+  LEFT JOIN (SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'F') ch ON ch.job_id = v.job_id
   LEFT JOIN (SELECT script_id, count(DISTINCT parser_name) AS n_sub FROM v_spec WHERE parser_name <> ''
              GROUP BY script_id) ns ON ns.script_id = js.script_id
   WHERE s.parser_name = '' OR (ch.job_id IS NOT NULL AND s.parser_name = 'sub')"""
@@ -139,8 +139,8 @@ SELECT file_id, row_no,
 FROM v_cells""")
 
 oracle("reuse_params", """
-WITH o AS (SELECT * FROM v_spec WHERE script_id % 2 = 0),
-n AS (SELECT * FROM v_spec WHERE script_id % 2 = 1)
+WITH o AS (SELECT * FROM v_spec WHERE parser_name = ''),
+n AS (SELECT * FROM v_spec)
 SELECT n.param_id AS new_key, min(o.param_id) AS param_id, min(o.param_id) IS NULL AS is_new
 FROM n LEFT JOIN o ON n.name IS NOT DISTINCT FROM o.name AND n.form_field IS NOT DISTINCT FROM o.form_field
   AND n.short_param IS NOT DISTINCT FROM o.short_param AND n.collapse IS NOT DISTINCT FROM o.collapse

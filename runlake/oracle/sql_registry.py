@@ -9,10 +9,10 @@ oracle("patch_checks", """
 SELECT script_id,
        CASE script_id % 5 WHEN 3 THEN 'script_name: This field is required.'
                           WHEN 4 THEN 'script_order: invalid|is_active: invalid' ELSE '' END AS errors
-FROM v_script WHERE script_id % 2 = 0""")
+FROM v_script""")
 
 oracle("sparse_patch", """
-WITH p AS (SELECT script_id, script_id % 5 AS k FROM v_script WHERE script_id % 2 = 0)
+WITH p AS (SELECT script_id, script_id % 5 AS k FROM v_script)
 SELECT s.script_id,
        CASE WHEN p.k = 0 THEN upper(s.script_name) ELSE s.script_name END AS script_name,
        CASE WHEN p.k = 1 THEN 'Scripts' ELSE s.group_name END AS group_name,
@@ -23,7 +23,7 @@ SELECT s.script_id,
 FROM v_script s LEFT JOIN p ON s.script_id = p.script_id""")
 
 oracle("version_patch_rules", """
-WITH p AS (SELECT version_id, CAST(floor(version_id / 4) AS BIGINT) % 6 AS k FROM v_version WHERE version_id % 4 = 1),
+WITH p AS (SELECT version_id, version_id % 6 AS k FROM v_version),
 d AS (SELECT script_id, count(*) AS n_def FROM v_version WHERE is_active AND default_version GROUP BY script_id),
 x AS (
   SELECT v.*, p.k, coalesce(d.n_def, 0) - CAST(v.is_active AND v.default_version AS INTEGER) AS others
@@ -77,7 +77,7 @@ FROM x WHERE NOT allowed OR NOT known""")
 oracle("clone_jobs", """
 WITH r AS (
   SELECT o_orderkey * 2 AS request_id, o_orderkey AS job_id, o_custkey AS requester_id FROM orders
-  WHERE o_orderkey % 10 = 0),
+  WHERE o_orderstatus = 'P'),
 n AS (
   SELECT r.*, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY request_id) AS new_job_id FROM r)
 SELECT n.new_job_id AS job_id, p.pos, p.name, p.raw, n.job_id AS source_job_id, n.requester_id AS user_id
@@ -90,7 +90,7 @@ WITH b AS (
               ELSE sha1(CAST(p_partkey AS VARCHAR) || '|new') END AS checksum,
          CASE WHEN p_partkey % 3 = 0 THEN '2.0' WHEN p_partkey % 3 = 1 THEN 'not a version!' END AS version_text,
          p_type AS description, p_size % 2 = 0 AS set_default
-  FROM part WHERE p_partkey % 5 = 0),
+  FROM part),
 named AS (SELECT v.*, s.script_name FROM v_version v JOIN v_script s ON v.script_id = s.script_id),
 ex AS (SELECT script_name, checksum, arg_max(version_id, (script_version, iteration, version_id)) AS existing_id
        FROM named GROUP BY script_name, checksum),

@@ -58,7 +58,7 @@ def _latest_version(c):
 @key("flip_default")
 def _flip_default(c):
     v = c.version()
-    new = v.filter((F.col("iteration") == 5) & F.col("is_active") & (F.col("script_id") % 2 == 0)).select("version_id")
+    new = v.filter((F.col("iteration") == 5) & F.col("is_active")).select("version_id")
     return C.flip_default(v, new)
 
 

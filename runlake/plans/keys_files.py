@@ -52,11 +52,13 @@ def _first_per_checksum(c):
 @key("match_or_insert")
 def _match_or_insert(c):
     f = c.file()
-    return FL.match_files(f.filter(F.col("file_id") % 2 == 1), f.filter(F.col("file_id") % 2 == 0))
+    """Uploads matched against stored job outputs by checksum."""
+    return FL.match_files(f.filter(~F.col("is_output")), f.filter(F.col("is_output")))
 
 
 def _purged(c):
-    return c.user_file().select("job_id").distinct().filter(F.col("job_id") % 10 == 3)
+    """Jobs whose status is deleted."""
+    return c.job().filter(F.col("status") == "deleted").select("job_id")
 
 
 @key("unreferenced_files")
@@ -98,7 +100,6 @@ def _bundle_manifest(c):
 def _unlisted_outputs(c):
     f = c.file()
     known = (c.user_file().filter(F.col("param") == "out").join(f.select("file_id", "path"), "file_id")
-              .filter(F.col("file_id") % 3 == 1)
               .select(F.concat(F.lit("/srv/media/"), F.col("path")).alias("known_path")))
     return FL.unlisted_outputs(f.select("file_id", "path"), known).select("file_id", "path")
 

@@ -86,7 +86,7 @@ def _parser_coverage(c):
 
 def _chosen(c):
     o = c.t("orders")
-    return o.filter(F.col("o_orderkey") % 3 == 0).select(F.col("o_orderkey").alias("job_id"),
+    return o.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("job_id"),
                                                          F.lit("sub").alias("parser_name"))
 
 
@@ -118,8 +118,8 @@ def _merge_values(c):
 @key("reuse_params")
 def _reuse_params(c):
     s = c.spec()
-    old = s.filter(F.col("script_id") % 2 == 0)
-    new = s.filter(F.col("script_id") % 2 == 1).withColumn("new_key", F.col("param_id"))
+    old = s.filter(F.col("parser_name") == "")
+    new = s.withColumn("new_key", F.col("param_id"))
     return PR.reuse_params(old, new, REUSE_ATTRS)
 
 
