@@ -151,8 +151,8 @@ SELECT page_id, key, arg_max(value, i) AS value FROM e GROUP BY page_id, key""")
 
 oracle("merge_attributes", r"""
 WITH m AS (
-  SELECT page_id, regexp_extract_all(substr(html, 1, 400), '(\w+)="([^"]+)"', 1) AS k,
-         regexp_extract_all(substr(html, 1, 400), '(\w+)="([^"]+)"', 2) AS v,
+  SELECT page_id, regexp_extract_all(html, '(\w+)="([^"]+)"', 1) AS k,
+         regexp_extract_all(html, '(\w+)="([^"]+)"', 2) AS v,
          string_split(url, '/')[3] AS cls
   FROM v_html),
 e AS (

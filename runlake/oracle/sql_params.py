@@ -135,7 +135,7 @@ WHERE s.required AND NOT EXISTS (SELECT 1 FROM lim WHERE lim.job_id = js.job_id
 
 oracle("merge_values", """
 SELECT file_id, row_no,
-       array_to_string(list_sort(list_distinct(list_concat(cells[1:3], cells[2:4]))), '|') AS merged
+       array_to_string(list_sort(list_distinct(list_concat(cells, string_split(lower(array_to_string(cells, ',')), ',')))), '|') AS merged
 FROM v_cells""")
 
 oracle("reuse_params", """

@@ -182,6 +182,6 @@ def _attribute_map(c):
 @key("merge_attributes")
 def _merge_attributes(c):
     h = c.html()
-    m = T.merge_attributes(F.lit("custom-property lang"), F.substring("html", 1, 400), F.element_at(
+    m = T.merge_attributes(F.lit("custom-property lang"), F.col("html"), F.element_at(
         F.split(F.col("url"), "/"), 3))
     return h.select("page_id", F.explode(m).alias("key", "value"))

@@ -112,7 +112,7 @@ def _validate_submission(c):
 def _merge_values(c):
     cl = c.cells()
     return cl.select("file_id", "row_no", F.array_join(F.array_sort(
-        PR.merge_values(F.slice("cells", 1, 3), F.slice("cells", 2, 3))), "|").alias("merged"))
+        PR.merge_values(F.col("cells"), F.split(F.lower(F.array_join("cells", ",")), ","))), "|").alias("merged"))
 
 
 @key("reuse_params")
