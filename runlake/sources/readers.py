@@ -5,14 +5,13 @@ from __future__ import annotations
 import csv
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from runlake.functions.text import last_wins_map
 from runlake.operators.ranking import row_number_by
 
-SNIFF_LINES = 200            # lines of a file's head handed to the sniffer
 SNIFF_BYTES = 16 * 1024      # fixed value: sniff window
 
 
@@ -105,19 +104,25 @@ def _sniff(head: pd.Series) -> pd.Series:
 def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
     """Delimited files of unknown dialect to (path, row_no, cells).
 
-    Only the head of each file (first lines, at most 16 KiB) goes through
-    the standard library sniffer (one small group per file); the rows are
-    then split natively with the file's delimiter.  Files the sniffer
-    rejects are not tabular and give no rows.
+    Only the first 16 KiB of each file go through the standard library
+    sniffer (one small group per file); the rows are then split natively
+    with the file's delimiter.  Files the sniffer rejects are not tabular
+    and give no rows.
     """
     lines = (spark.read.text(path)
                   .select(F.col("_metadata.file_path").alias("path"), "value",
                           F.monotonically_increasing_id().alias("_pos")))
     numbered = row_number_by(lines, ["path"], ["_pos"], name="row_no").drop("_pos")
-    head = (numbered.filter(F.col("row_no") <= SNIFF_LINES)
-                    .groupBy("path")
-                    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "value"))),
-                                                  lambda x: x["value"]), "\n").alias("_head")))
+    # the 16 KiB window lies within the first 16384 lines; a running length
+    # over those (bounded) lines keeps only the lines that start inside it
+    cut = F.substring("value", 1, SNIFF_BYTES)
+    w = Window.partitionBy("path").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    first = (numbered.filter(F.col("row_no") <= SNIFF_BYTES)
+                     .withColumn("_before", F.coalesce(F.sum(F.length(cut) + 1).over(w), F.lit(0)))
+                     .filter(F.col("_before") < SNIFF_BYTES))
+    head = (first.groupBy("path")
+                 .agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", cut.alias(
+                      "v")))), lambda x: x["v"]), "\n"), 1, SNIFF_BYTES).alias("_head")))
     dialect = head.select("path", _sniff(F.col("_head")).alias("delimiter")).filter(F.col("delimiter").isNotNull())
     rows = numbered.join(dialect, "path")
     cells = F.when(F.col("delimiter") == ",", F.split("value", ",")).otherwise(F.split("value", "\t"))
