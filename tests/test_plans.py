@@ -79,3 +79,18 @@ def test_more_streams_equal_batch(spark, stream_key, batch_key):
     if stream_key == "stream_uploads":
         b = b.select("checksum")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_all_sql_keys_plans(spark):
+    """Every SQL-checked key (except streams and file round trips, which run
+    jobs while building) plans without products and without Python."""
+    q, s = entry.queries(), entry.oracle_sql()
+    skip = {k for k in s if k.startswith("stream_")} | {"read_delimited", "write_fasta", "write_tsv"}
+    bad = []
+    for k in sorted(set(s) - skip):
+        plan = q[k](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append((k, "product"))
+        if k not in PYTHON_OK and ("ArrowEvalPython" in plan or "BatchEvalPython" in plan):
+            bad.append((k, "python"))
+    assert bad == []
