@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.functions.values import (BOOLEAN, CHAR, INTEGER, coerce_value, max_choices)
+from runlake.operators.ranking import row_number_by
 
 # Validation messages.
 ERR_REQUIRED = "This field is required."
@@ -68,6 +69,55 @@ def assemble_commands(values: DataFrame) -> DataFrame:
     return per_job.select("job_id", F.flatten(with_parser).alias("tokens"))
 
 
+def command_tokens(values: DataFrame) -> DataFrame:
+    """The same command as ``assemble_commands`` as a token table
+    (job_id, token_pos, token) that never gathers a job's values.
+
+    Entries are (job, parser, flag) groups: their first position, collapse
+    flag and value count come from partial aggregates; entry order and
+    token offsets use windows over the entries of one job (one row per
+    distinct flag).  Each value's index inside its flag group comes from
+    ``row_number_by``, which splits a hot (job, flag) group, so a job with
+    very many values is laid out in parallel.
+    """
+    has_parser = "parser_name" in values.columns
+    v = values.withColumn("parser_name", F.col("parser_name") if has_parser else F.lit(""))
+    v = v.withColumn("_val", subprocess_value(F.col("form_field"), F.col("raw"))).filter(F.col("_val").isNotNull())
+    v = v.withColumn("_ord", (F.col("parser_name") != "").cast("bigint") * F.lit(1 << 32)
+                     + F.col("pos").cast("bigint")).withColumn("flag", F.col("short_param"))
+    key = ["job_id", "parser_name", "flag"]
+    ent = v.groupBy(*key).agg(F.min("_ord").alias("first"), F.max_by("collapse", "_ord").alias("collapse"),
+                              F.count_if(F.col("_val") != "").alias("n_vals"))
+    has_flag = F.col("flag") != ""
+    n_tok = (F.when(has_flag & (F.col("n_vals") == 0), F.lit(1))
+              .when(has_flag & F.col("collapse"), F.col("n_vals") + 1)
+              .when(has_flag, F.col("n_vals") * 2)
+              .otherwise(F.col("n_vals")))
+    by_job = Window.partitionBy("job_id").orderBy("first")
+    first_of_parser = F.col("first") == F.min("first").over(Window.partitionBy("job_id", "parser_name"))
+    lead = (first_of_parser & (F.col("parser_name") != "") & (n_tok > 0)).cast("long")
+    ent = ent.withColumn("_lead", lead).withColumn("_n", n_tok + F.col("_lead"))
+    ent = ent.withColumn("_off", F.coalesce(F.sum("_n").over(by_job.rowsBetween(Window.unboundedPreceding, -1)),
+                                            F.lit(0)))
+    # parser names and flags written once per entry
+    heads = ent.select("job_id", (F.col("_off") + 1).alias("token_pos"), F.col("parser_name").alias("token")) \
+               .where(F.col("_lead") == 1)
+    alone = ent.filter(has_flag & ((F.col("n_vals") == 0) | F.col("collapse"))).select(
+        "job_id", (F.col("_off") + F.col("_lead") + 1).alias("token_pos"), F.col("flag").alias("token"))
+    vals = row_number_by(v.filter(F.col("_val") != "").select(*key, "_ord", "_val"), key, ["_ord"], name="_j")
+    vals = vals.join(ent.select(*key, F.col("collapse").alias("_coll"), "_lead", "_off"), key)
+    base = F.col("_off") + F.col("_lead")
+    j = F.col("_j")
+    value_pos = (F.when(has_flag & F.col("_coll"), base + 1 + j)
+                  .when(has_flag, base + 2 * j)
+                  .otherwise(base + j))
+    repeated = vals.filter(has_flag & ~F.col("_coll")).select(
+        "job_id", (base + 2 * j - 1).alias("token_pos"), F.col("flag").alias("token"))
+    value_toks = vals.select("job_id", value_pos.alias("token_pos"), F.col("_val").alias("token"))
+    out = heads.unionByName(alone).unionByName(repeated).unionByName(value_toks)
+    return out.select("job_id", F.col("token_pos").cast("bigint").alias("token_pos"), "token")
+
+
 def explode_values(jobs: DataFrame, col: str = "values") -> DataFrame:
     """One row per value of a multi-valued parameter, with its position."""
     return jobs.select(*[c for c in jobs.columns if c != col],

@@ -152,3 +152,23 @@ GROUP BY n.param_id""")
 
 oracle("distinct_rows", """
 SELECT DISTINCT js.script_id, v.name FROM v_param v JOIN v_job_script js ON v.job_id = js.job_id""")
+
+
+oracle("command_tokens", f"""
+WITH v AS (
+  SELECT job_id, pos, short_param AS flag, collapse,
+         CASE WHEN {coerced()} IS NULL THEN NULL WHEN form_field = 'BooleanField' THEN ''
+              WHEN form_field = 'IntegerField' THEN {coerced()} ELSE raw END AS val
+  FROM v_param),
+f AS (
+  SELECT job_id, flag, min(pos) AS first, arg_max(collapse, pos) AS collapse,
+         list(val ORDER BY pos) FILTER (WHERE val <> '') AS vals
+  FROM v WHERE val IS NOT NULL GROUP BY job_id, flag),
+t AS (
+  SELECT job_id, first,
+         CASE WHEN flag <> '' AND len(coalesce(vals, [])) = 0 THEN [flag]
+              ELSE flatten(list_transform(coalesce(vals, []), lambda x, i:
+                   CASE WHEN flag <> '' AND (NOT collapse OR i = 1) THEN [flag, x] ELSE [x] END)) END AS toks
+  FROM f),
+a AS (SELECT job_id, flatten(list(toks ORDER BY first)) AS tokens FROM t GROUP BY job_id)
+SELECT job_id, CAST(i AS BIGINT) AS token_pos, tokens[i] AS token FROM a, generate_series(1, len(tokens)) AS g(i)""")

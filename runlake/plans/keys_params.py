@@ -127,3 +127,8 @@ def _reuse_params(c):
 def _distinct_rows(c):
     v = c.param().join(c.job_script(), "job_id")
     return PR.distinct_matches(v.select("script_id", "name"), ["script_id", "name"])
+
+
+@key("command_tokens")
+def _command_tokens(c):
+    return PR.command_tokens(c.param())

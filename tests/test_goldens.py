@@ -253,3 +253,21 @@ def test_version_patch_rules(spark):
     assert out[4][2] == "A script must have a default version."
     assert PT.check_version_patches(p.filter("version_id = 1")).first()["errors"] == [
         "At least one field is required."]
+
+
+def test_token_table_equals_token_array(spark):
+    schema = ("job_id long, pos int, name string, form_field string, short_param string, collapse boolean, "
+              "raw string, parser_name string")
+    v = spark.createDataFrame([
+        (1, 0, "a", "IntegerField", "--sp", True, "3", "sub1"), (1, 1, "b", "FloatField", "--base", True, "2.3", ""),
+        (1, 2, "c", "IntegerField", "--sq", False, "4", "sub1"), (1, 3, "c", "IntegerField", "--sq", False, "5", "sub1"),
+        (2, 0, "p", "CharField", "", True, "x"), (2, 1, "f", "BooleanField", "--flag", True, "True"),
+        (2, 2, "n", "IntegerField", "--n", True, "1"), (2, 3, "n", "IntegerField", "--n", True, "2")], schema)
+    arrays = {r["job_id"]: r["tokens"] for r in PR.assemble_commands(v).collect()}
+    rows = PR.command_tokens(v).collect()
+    table = {}
+    for r in sorted(rows, key=lambda r: (r["job_id"], r["token_pos"])):
+        table.setdefault(r["job_id"], []).append(r["token"])
+    assert table == arrays
+    assert arrays[1] == ["--base", "2.3", "sub1", "--sp", "3", "--sq", "4", "--sq", "5"]
+    assert arrays[2] == ["x", "--flag", "--n", "1", "2"]
