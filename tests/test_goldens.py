@@ -261,8 +261,8 @@ def test_token_table_equals_token_array(spark):
     v = spark.createDataFrame([
         (1, 0, "a", "IntegerField", "--sp", True, "3", "sub1"), (1, 1, "b", "FloatField", "--base", True, "2.3", ""),
         (1, 2, "c", "IntegerField", "--sq", False, "4", "sub1"), (1, 3, "c", "IntegerField", "--sq", False, "5", "sub1"),
-        (2, 0, "p", "CharField", "", True, "x"), (2, 1, "f", "BooleanField", "--flag", True, "True"),
-        (2, 2, "n", "IntegerField", "--n", True, "1"), (2, 3, "n", "IntegerField", "--n", True, "2")], schema)
+        (2, 0, "p", "CharField", "", True, "x", ""), (2, 1, "f", "BooleanField", "--flag", True, "True", ""),
+        (2, 2, "n", "IntegerField", "--n", True, "1", ""), (2, 3, "n", "IntegerField", "--n", True, "2", "")], schema)
     arrays = {r["job_id"]: r["tokens"] for r in PR.assemble_commands(v).collect()}
     rows = PR.command_tokens(v).collect()
     table = {}
