@@ -40,9 +40,15 @@ ATTRIBUTE_PATTERN = r'(?Ud)(\w+)=(?<!\\)"(.+?)(?<!\\)"'
 
 def attribute_pairs(c) -> Column:
     """Array of (key, value) structs in text order."""
-    keys = F.regexp_extract_all(_c(c), F.lit(ATTRIBUTE_PATTERN), 1)
-    vals = F.regexp_extract_all(_c(c), F.lit(ATTRIBUTE_PATTERN), 2)
-    return F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(vals, i).alias("value")))
+    # one regex pass for whole matches ``key="value"``; the key has no '='
+    # (word characters), so plain string functions split each match
+    matches = F.regexp_extract_all(_c(c), F.lit(ATTRIBUTE_PATTERN), 0)
+
+    def pair(m):
+        k = F.substring_index(m, "=", 1)
+        return F.struct(k.alias("key"), F.substring(m, F.length(k) + 3, F.length(m) - F.length(k) - 3).alias("value"))
+
+    return F.transform(matches, pair)
 
 
 def last_wins_map(entries: Column) -> Column:
@@ -54,9 +60,15 @@ def last_wins_map(entries: Column) -> Column:
     """
     indexed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), (-i).alias("o"),
                                                          e["value"].alias("v")))
-    s = F.array_sort(indexed)
-    firsts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["k"] != x["k"], F.lit(True)))
-    return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
+
+    def dedup(s):
+        # ``s`` is a lambda variable: the sorted array is built once, not
+        # once per element of the filter below
+        firsts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["k"] != x["k"], F.lit(True)))
+        return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["k"].alias("key"),
+                                                                         x["v"].alias("value"))))
+
+    return F.element_at(F.transform(F.array(F.array_sort(indexed)), dedup), 1)
 
 
 def attribute_map(c) -> Column:

@@ -182,12 +182,18 @@ def preview_fasta(lines: DataFrame) -> DataFrame:
     ok = (caret > 0) & ((bad == 0) | (bad > caret))
     body = F.slice(ls, F.greatest(caret, F.lit(1)).cast("int"), FASTA_PREVIEW_LINES)
     per_file = per_file.filter(ok).select("file_id", body.alias("_b"))
+    # each step is its own column, so the lambdas below read arrays that are
+    # built once per file (an expression used inside a lambda is rebuilt for
+    # every element)
     b = F.col("_b")
-    hdr_pos = F.filter(F.transform(b, lambda x, i: F.when(hdr(x), i)), lambda i: i.isNotNull())
-    recs = F.filter(F.transform(hdr_pos, lambda p, k: F.struct(
+    per_file = per_file.withColumn(
+        "_hp", F.filter(F.transform(b, lambda x, i: F.when(hdr(x), i)), lambda i: i.isNotNull()))
+    hp = F.col("_hp")
+    per_file = per_file.select("file_id", F.filter(F.transform(hp, lambda p, k: F.struct(
         F.element_at(b, p + 1)["line"].alias("header"),
-        F.array_join(F.transform(F.slice(b, p + 2, F.coalesce(F.get(hdr_pos, k + 1), F.size(b)) - p - 1),
-                                 lambda x: x["line"]), "").alias("seq"))), lambda r: r["seq"] != "")
+        F.array_join(F.transform(F.slice(b, p + 2, F.coalesce(F.get(hp, k + 1), F.size(b)) - p - 1),
+                                 lambda x: x["line"]), "").alias("seq"))), lambda r: r["seq"] != "").alias("_recs"))
+    recs = F.col("_recs")
     # a repeated header keeps its first position and its last sequence
     headers = F.array_distinct(F.transform(recs, lambda r: r["header"]))
     out = F.transform(headers, lambda h, i: F.struct(

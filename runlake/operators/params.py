@@ -251,12 +251,14 @@ def reuse_params(old: DataFrame, new: DataFrame, attrs: list[str]) -> DataFrame:
     """Match new parameter definitions to existing rows equal on every
     attribute (NULL-safe).  Returns (new_key, param_id, is_new).
 
-    All attributes are hashed into one join key (one shuffle), then compared
-    NULL-safely to rule out hash collisions; among several equal old rows the
-    lowest id is reused.
+    Old rows are first reduced to one row per distinct attribute tuple (its
+    lowest id, a partial aggregate), so many identical definitions never
+    multiply the join; all attributes are hashed into one join key and then
+    compared NULL-safely to rule out hash collisions.
     """
     h = F.xxhash64(*[F.col(a) for a in attrs])
-    o = old.select(F.col("param_id").alias("_old_id"), h.alias("_oh"), *[F.col(a).alias(f"_o_{a}") for a in attrs])
+    o = (old.groupBy(h.alias("_oh"), *[F.col(a).alias(f"_o_{a}") for a in attrs])
+            .agg(F.min("param_id").alias("_old_id")))
     n = new.select("new_key", *attrs, h.alias("_h"))
     cond = [F.col("_h") == F.col("_oh")] + [F.col(a).eqNullSafe(F.col(f"_o_{a}")) for a in attrs]
     j = n.join(o, cond, "left").groupBy("new_key").agg(F.min("_old_id").alias("param_id"))
