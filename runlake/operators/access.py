@@ -8,10 +8,11 @@ never enumerates users x objects.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlake.functions.text import bearer_token, key_hash
+from runlake.operators.ranking import row_number_by
 
 
 def common_groups(a, b) -> Column:
@@ -109,10 +110,9 @@ def favorites_first(scripts: DataFrame, favorites: DataFrame) -> DataFrame:
     f = (favorites.filter(F.col("content_type") == "script")
                   .select("user_id", F.col("object_id").alias("script_id")).distinct()
                   .join(scripts.select("script_id", "script_name"), "script_id"))
-    w = Window.partitionBy("user_id").orderBy("script_name", "script_id")
-    fav = f.select("user_id", "script_id", F.lit("favorite").alias("block"),
-                   F.row_number().over(w).cast("bigint").alias("position"))
-    from runlake.operators.ranking import row_number_by
+    # a user with very many favorites is numbered in slices (row_number_by)
+    fav = row_number_by(f, ["user_id"], ["script_name", "script_id"], name="position").select(
+        "user_id", "script_id", F.lit("favorite").alias("block"), "position")
     shared = row_number_by(scripts.select("script_id", "script_name"), [], ["script_name", "script_id"],
                            name="position")
     return fav.unionByName(shared.select(F.lit(None).cast("bigint").alias("user_id"), "script_id",
