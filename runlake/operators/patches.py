@@ -86,7 +86,7 @@ def check_version_patches(patches: DataFrame) -> DataFrame:
     return patches.select("version_id", version_patch_errors(F.col("patch")).alias("errors"))
 
 
-def apply_version_patches(versions: DataFrame, patches: DataFrame) -> DataFrame:
+def apply_version_patches(versions: DataFrame, patches: DataFrame | None = None) -> DataFrame:
     """Default/active rules of version patches, evaluated against the
     current catalog:
 
@@ -98,11 +98,17 @@ def apply_version_patches(versions: DataFrame, patches: DataFrame) -> DataFrame:
     * disabling a version clears its own default.
 
     Returns every version with its new flags and the patch error (if any).
+    ``patches=None`` means the versions already carry a ``patch`` column
+    (no join needed).
     """
-    p = patches.withColumn("errors", version_patch_errors(F.col("patch")))
     defaults = (versions.filter(F.col("is_active") & F.col("default_version"))
                         .groupBy("script_id").agg(F.count("*").alias("_n_def")))
-    v = versions.join(p, "version_id", "left").join(defaults, "script_id", "left")
+    if patches is None:
+        v = versions
+    else:
+        v = versions.join(patches.select("version_id", "patch"), "version_id", "left")
+    v = v.withColumn("errors", F.when(F.col("patch").isNotNull(), version_patch_errors(F.col("patch"))))
+    v = v.join(defaults, "script_id", "left")
     m = F.col("patch")
     form_ok = F.col("errors").isNotNull() & (F.size("errors") == 0)
     want_def = null_boolean(m["default_version"])

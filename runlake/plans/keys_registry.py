@@ -43,12 +43,13 @@ def _version_patches(c):
               .when(k == 3, F.create_map(F.lit("default_version"), f, F.lit("is_active"), f))
               .when(k == 4, F.create_map().cast("map<string,string>"))
               .otherwise(F.create_map(F.lit("is_active"), F.lit("maybe"))))
-    return v.select("version_id", patch.alias("patch"))
+    return v.withColumn("patch", patch)
 
 
 @key("version_patch_rules")
 def _version_patch_rules(c):
-    return PT.apply_version_patches(c.version(), _version_patches(c))
+    # every version carries its patch: one version table, no patch join
+    return PT.apply_version_patches(_version_patches(c))
 
 
 def _command_log(c):
