@@ -26,6 +26,23 @@ def fasta_records(lines: DataFrame) -> DataFrame:
     return recs.filter(F.col("seq") != "")
 
 
+def fasta_blocks(lines: DataFrame, block_lines: int = 4096) -> DataFrame:
+    """Records as bounded blocks: (file_id, rec_no, header, block, seq) where
+    ``block`` numbers runs of at most ``block_lines`` sequence lines of a
+    record; a record's sequence is its blocks in order.  No group holds more
+    than ``block_lines`` lines, however long a record is."""
+    numbered = number_records(lines).filter(F.col("rec_no") > 0)
+    is_hdr = F.startswith(F.col("line"), F.lit(">"))
+    hdr = numbered.filter(is_hdr).select("file_id", "rec_no", F.col("line").alias("header"),
+                                         F.col("line_no").alias("_h"))
+    body = numbered.filter(~is_hdr).join(hdr, ["file_id", "rec_no"])
+    block = F.floor((F.col("line_no") - F.col("_h") - 1) / F.lit(block_lines)).cast("bigint")
+    out = body.groupBy("file_id", "rec_no", "header", block.alias("block")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+            "line_no", F.btrim(F.col("line"), F.lit(" \t\r")).alias("l")))), lambda x: x["l"]), "").alias("seq"))
+    return out.filter(F.col("seq") != "")
+
+
 def translate_sequences(df: DataFrame, frame: str = "+1", seq: str = "seq", upper: bool = False) -> DataFrame:
     """Translate every sequence of a table in one frame.  ``upper=True``
     upper-cases first (the single-sequence path); file input is translated

@@ -23,3 +23,8 @@ def _translate_upper(c):
 @key("read_fasta")
 def _read_fasta(c):
     return SQ.fasta_records(c.fasta_line())
+
+
+@key("fasta_blocks")
+def _fasta_blocks(c):
+    return SQ.fasta_blocks(c.fasta_line())

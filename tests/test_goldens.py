@@ -271,3 +271,13 @@ def test_token_table_equals_token_array(spark):
     assert table == arrays
     assert arrays[1] == ["--base", "2.3", "sub1", "--sp", "3", "--sq", "4", "--sq", "5"]
     assert arrays[2] == ["x", "--flag", "--n", "1", "2"]
+
+
+def test_fasta_blocks_split_long_records(spark):
+    from runlake.operators.sequences import fasta_blocks, fasta_records
+    lines = [">r1", "AC", "GT", "TT", ">r2", "G", ">r3"]
+    df = spark.createDataFrame([(1, i + 1, l) for i, l in enumerate(lines)], "file_id long, line_no long, line string")
+    blocks = sorted((r["rec_no"], r["block"], r["seq"]) for r in fasta_blocks(df, block_lines=2).collect())
+    assert blocks == [(1, 0, "ACGT"), (1, 1, "TT"), (2, 0, "G")]
+    whole = {r["header"]: r["seq"] for r in fasta_records(df).collect()}
+    assert whole == {">r1": "ACGTTT", ">r2": "G"}
