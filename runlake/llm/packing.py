@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -69,7 +70,7 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     known: dict[str, bytes] = {"": b""}
 
     def ids(encoding) -> bytes:
-        return np.asarray(encoding.ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
 
     def learn(new: list[str]) -> None:
         if len(pieces) > CACHED:
@@ -81,7 +82,7 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
                 parts[w] = [low] if low.isalpha() else cut(low)
             else:
                 known[w] = ids(whole.encode(w, add_special_tokens=False))
-        fresh = list({p for ps in parts.values() for p in ps} - pieces.keys())
+        fresh = [p for p in {p for ps in parts.values() for p in ps} if p not in pieces]
         if fresh:
             signs = [p.encode().decode("latin-1").translate(byte_char) for p in fresh]
             for p, e in zip(fresh, bare.encode_batch_fast(signs, add_special_tokens=False)):

@@ -34,8 +34,8 @@ COMMON = {
     "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "im", "dem", "nicht", "ein", "als"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
 }
-MIN_CHARS, MIN_WORDS = 200, 60
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+MIN_CHARS, MIN_WORDS = 300, 80
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.26
 P = "_q_"                             # prefix of helper columns
 
 
