@@ -13,10 +13,13 @@ ASCII-lower-cased words).
   class; only one row of a class goes on.
 * **Bands.**  40 bands of 5 coordinates: a pair at similarity 0.75 meets in
   none with probability 2e-5, at 0.8 with 1e-7.
-* **Links.**  All members of a bucket are checked against its smallest member
-  (a star, linear in the bucket).  Classes already joined need no further
-  check; the pairs still left in a bucket, between different components, are
-  checked too, so no candidate is skipped.  Checks use the full sets.
+* **Links.**  All members of a bucket are checked against one of them, its hub
+  (a star, linear in the bucket; each bucket draws its own hub), then against
+  the best-linked one.  Classes already joined need no further check.  Among
+  the others every pair is checked that shares a rare shingle (held by at most
+  8 of them, so these pairs are linear in the shingles), and every pair of a
+  bucket whose other shingles are enough for a link.  No pair of a bucket that
+  could link is skipped.  Checks use the full sets.
 * **Components** run on class links.
 
 Without words or text the set is empty and linked with nothing.  A row without
@@ -39,8 +42,9 @@ from runlake.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 40
 WIDTH = ROWS * BANDS
+RARE = 8                               # classes that share a rare shingle, at most
 BROADCAST_IDS = 2_000_000              # ids (8 bytes each) that may be sent to every task
-CACHED = 400_000
+CACHED = 100_000
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -133,19 +137,20 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(full("text").alias("s")).select("s.*")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that hold 100 |A & B| >= 75 |A | B|, on full sets.
+def _class_sets(classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, shingles for the classes named in column ``cid``, read again from their texts.
 
-    Only classes named by a pair are read again; their ids go to the scan as a
-    broadcast if few enough, else by a shuffle join."""
-    pairs = stage(pairs, "nd-pairs")
-    named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = stage(members.where("key = cid").select("cid", "digest", "doc_id").join(named, "cid"), "nd-named")
+    Their ids go to the scan as a broadcast if few enough, else by a shuffle join."""
+    wanted = stage(members.where("key = cid").select("cid", "digest", "doc_id").join(classes, "cid"), "nd-named")
     ids = wanted.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = _sets(docs.join(ids, "doc_id", "left_semi")).join(wanted.select("cid", "digest"), "digest")
-    sets = stage(sets.select("cid", "shingles").dropDuplicates(["cid"]), "nd-sets")
+    return stage(sets.select("cid", "shingles").dropDuplicates(["cid"]), "nd-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes with 100 * intersection >= 75 * union, on full sets."""
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("_sb"))
     both = pairs.join(left, "a").join(right, "b").select(
@@ -154,6 +159,81 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFram
     return stage(both.where("100 * _i >= 75 * (_n - _i)").select("a", "b"), "nd-links")
 
 
+def _open(shared: DataFrame) -> DataFrame:
+    """Rows of buckets that still hold two components."""
+    split = shared.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
+    return shared.join(split.select("bucket"), "bucket", "left_semi")
+
+
+def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket rows with their components under ``links``; only buckets that still hold two."""
+    roots = components(links)
+    rows = shared.drop("root").join(roots, F.col("cid") == F.col("node"), "left")
+    return stage(_open(rows.select(*shared.drop("root").columns, F.coalesce("root", "cid").alias("root"))), "nd-open")
+
+
+def _rare(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """s, cid, root, n: shingles that at most ``RARE`` open classes have, and those classes."""
+    classes = shared.select("cid", "root", "n").distinct()
+    rows = stage(sets.join(classes, "cid").select("cid", "root", "n", F.explode("shingles").alias("s")), "nd-shingles")
+    few = rows.groupBy("s").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= RARE)
+    return stage(rows.join(few.select("s"), "s", "left_semi"), "nd-rare")
+
+
+def _linkable(shared: DataFrame, rare: DataFrame) -> DataFrame:
+    """Bucket rows that may link with something in the bucket without sharing a rare shingle.
+
+    Adds ``common``, the shingles that are not rare.  With c of them among n, a
+    document and one of at least ``low`` shingles reach at most
+    c / (n + low - c)."""
+    own = rare.groupBy(F.col("cid").alias("_c")).agg(F.count(F.lit(1)).alias("_rare"))
+    rows = shared.join(own, F.col("cid") == F.col("_c"), "left").select(
+        *shared.columns, (F.col("n") - F.coalesce("_rare", F.lit(0))).alias("common"))
+    low = rows.groupBy("bucket").agg(F.min("n").alias("_low"))
+    return stage(_open(rows.join(low, "bucket").where("100 * common >= 75 * (n + _low - common)")), "nd-open")
+
+
+def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between classes, enough of them to connect every component."""
+    rows = members.where("key = cid").select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    # every bucket has a hub of its own, so a member of a large group meets up to one hub per band
+    hubs = rows.groupBy("bucket").agg(F.min_by("cid", F.xxhash64("cid", "bucket")).alias("hub"),
+                                      F.min("cid").alias("_low"), F.max("cid").alias("_top")).where("_low < _top")
+    shared = stage(rows.join(hubs.select("bucket", "hub"), "bucket"), "nd-buckets")
+    sets = _class_sets(shared.select("cid").distinct(), members, docs)
+
+    def star(rows: DataFrame) -> DataFrame:
+        return rows.where("hub <> cid").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
+
+    tried = stage(star(shared), "nd-star")
+    links = _verified(tried, sets)
+
+    # once more around the best-linked member: variants of one text all resemble it, if nothing else
+    shared = _rooted(shared.drop("hub"), links)
+    degree = links.select(F.col("a").alias("_c")).unionAll(links.select("b")).groupBy("_c").agg(F.count(F.lit(1)).alias("_d"))
+    ranked = shared.join(degree, F.col("cid") == F.col("_c"), "left")
+    best = ranked.groupBy("bucket").agg(F.max_by(F.struct("cid", "root"), F.struct(F.coalesce("_d", F.lit(0)), -F.col("cid"))).alias("h"))
+    again = shared.join(best, "bucket").where("h.root <> root").select("cid", F.col("h.cid").alias("hub"))
+    again = stage(star(again).join(tried, ["a", "b"], "left_anti"), "nd-star")
+    links = links.unionByName(_verified(again, sets))
+
+    # what is still apart: pairs with a rare shingle in common, and pairs of a bucket that can link without one
+    shared = _rooted(shared, links)
+    rare = _rare(shared, sets)
+
+    def pairs(rows: DataFrame, on: str, *more: str) -> DataFrame:
+        one, two = (rows.select(on, *[F.col(x).alias(f"{x}_{c}") for x in ("cid", "root", "n", *more)]) for c in "ab")
+        close = F.expr("cid_a < cid_b and root_a <> root_b and 100 * n_a >= 75 * n_b and 100 * n_b >= 75 * n_a")
+        if more:
+            most = F.least("common_a", "common_b")
+            close = close & (100 * most >= 75 * (F.col("n_a") + F.col("n_b") - most))
+        return one.join(two, on).where(close).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+    rest = pairs(rare, "s").unionByName(pairs(_linkable(shared, rare), "bucket", "common")).distinct()
+    rest = rest.join(tried.unionByName(again), ["a", "b"], "left_anti")
+    return links.unionByName(_verified(stage(rest, "nd-rest"), sets))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     found = stage(sketches(docs).withColumn("key", F.monotonically_increasing_id()), "nd-sketches")
@@ -162,31 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(found.where(usable).join(classes, "digest").select(
         "key", "doc_id", "n_shingles", "digest", "cid", F.when(F.col("key") == F.col("cid"), F.col("bands")).alias("bands")),
         "nd-members")
-
-    rows = members.where("key = cid").select("cid", F.explode("bands").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("_top")).where("hub < _top")
-    shared = stage(rows.join(hubs.select("bucket", "hub"), "bucket"), "nd-buckets")
-    star = stage(shared.where("hub < cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "nd-star")
-    links = _verified(star, members, docs)
-
+    links = _class_links(members, docs)
     # rows that repeat a doc_id are one node, whatever their texts
     same_id = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("_top")).where("a < _top")
     links = links.unionByName(members.join(same_id, "doc_id").select("a", F.col("cid").alias("b")).where("a < b"))
     roots = components(links)
 
-    # pairs that share a bucket but no component yet
-    rooted = shared.join(roots, F.col("cid") == F.col("node"), "left").select(
-        "bucket", "cid", F.coalesce("root", "cid").alias("root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
-    open_ = stage(rooted.join(split.select("bucket"), "bucket").join(
-        members.where("key = cid").select("cid", "n_shingles"), "cid"), "nd-open")
-    one, two = open_.select("bucket", F.col("cid").alias("a"), F.col("root").alias("_ra"), F.col("n_shingles").alias("_na")), \
-        open_.select("bucket", F.col("cid").alias("b"), F.col("root").alias("_rb"), F.col("n_shingles").alias("_nb"))
-    rest = one.join(two, "bucket").where(
-        "a < b and _ra <> _rb and 100 * _na >= 75 * _nb and 100 * _nb >= 75 * _na").select("a", "b").distinct()
-    more = _verified(rest.join(star, ["a", "b"], "left_anti"), members, docs)
-    roots = components(links.unionByName(more))
-
     placed = stage(members.join(roots, F.col("cid") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "cid").alias("root")), "nd-placed")
     least = placed.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))

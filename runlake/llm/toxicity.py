@@ -34,7 +34,7 @@ SAMPLE_ROWS = 16_000
 REPLAY = 30_000_000
 PASSES = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
-CACHED = 400_000
+CACHED = 100_000
 WORD = re.compile(r"\w+")
 
 
