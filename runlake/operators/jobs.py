@@ -252,14 +252,16 @@ def job_details(jobs: DataFrame, user_files: DataFrame, files: DataFrame) -> Dat
 
 
 def effective_output(jobs: DataFrame, live: DataFrame) -> DataFrame:
-    """Live text wins while the job is not terminal and the live text is non-empty."""
-    j = jobs.join(live, "job_id", "left")
-    term = is_complete(F.col("status"))
-
-    def pick(ch):
-        return F.coalesce(F.when(~term, F.nullif(F.col(f"live_{ch}"), F.lit(""))), F.col(ch)).alias(ch)
-
-    return j.select("job_id", "status", pick("stdout"), pick("stderr"))
+    """Output text per (job, channel, block): live blocks (see ``concat_output``)
+    while the job is not terminal and a channel has live text, else the stored
+    text as block 0.  No block is dropped, however long the output is."""
+    stored = jobs.select("job_id", "status", F.explode(F.create_map(
+        F.lit("stdout"), F.col("stdout"), F.lit("stderr"), F.col("stderr"))).alias("channel", "stored"))
+    running = stored.filter(~is_complete(F.col("status"))).select("job_id", "channel")
+    shown = live.filter(F.col("text") != "").join(running, ["job_id", "channel"], "left_semi")
+    return (stored.join(shown.select("job_id", "channel", "block", "text"), ["job_id", "channel"], "left")
+                  .select("job_id", "status", "channel", F.coalesce("block", F.lit(0)).cast("bigint").alias("block"),
+                          F.coalesce("text", "stored").alias("text")))
 
 
 def dead_jobs(jobs: DataFrame, active: DataFrame | None) -> DataFrame:

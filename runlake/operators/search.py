@@ -1,40 +1,44 @@
-"""Keyword search over text columns."""
+"""Keyword search over text columns.
 
-from __future__ import annotations
+A row matches a query when every term of it occurs, in any letter case, in at
+least one of the searched columns.  Terms come from the ``search_terms`` column
+function, so queries may be literals or a column; everything is evaluated in
+the scan stage, in one pass over the table.
+"""
 
-import re
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A term is a quoted phrase or a run of non-space characters;
-# runs of two or more whitespace characters inside a phrase become one space.
-_TERMS = re.compile(r'"([^"]+)"|(\S+)')
-_SPACES = re.compile(r"\s{2,}")
-
-
-def query_terms(query: str) -> list[str]:
-    """Terms of one query string (phrases kept whole)."""
-    return [_SPACES.sub(" ", (a or b).strip()) for a, b in _TERMS.findall(query)]
-
+from runlake.functions.text import search_terms
 
-def search_condition(query: str, fields: list[str]) -> Column:
-    """AND over terms of (OR over fields of case-insensitive contains).
-    An empty query matches every row."""
-    terms = query_terms(query.strip())
-    if not terms:
-        return F.lit(True)
+MAX_QUERIES = 10_000       # queries that travel with the plan in ``search_many``
 
-    def term_cond(t: str) -> Column:
-        lit = F.lit(t.lower())
-        return reduce(lambda a, b: a | b,
-                      [F.coalesce(F.contains(F.lower(F.col(f)), lit), F.lit(False)) for f in fields])
 
-    return reduce(lambda a, b: a & b, [term_cond(t) for t in terms])
+def matches(query: Column, fields: list[str]) -> Column:
+    """Whether a row matches; a query without terms matches every row."""
+    shown = F.array(*[F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    wanted = search_terms(F.lower(query))
+    # the outer exists only names the lower-cased columns, so they are built once per row
+    return F.exists(F.array(shown), lambda s: F.forall(wanted, lambda t: F.exists(s, lambda x: F.contains(x, t))))
 
 
 def keyword_search(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
-    """Rows matching the query; a plain filter that Spark evaluates in the
-    scan stage (codegen), so it is one pass over the table."""
-    return df.filter(search_condition(query, fields))
+    """Rows matching one query."""
+    return df.filter(matches(F.lit(query), fields))
+
+
+def search_many(df: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of ``df`` with ``query_id`` for every query (query_id, query) they match.
+
+    The query table is checked to be small; a larger one is searched in parts."""
+    asked = queries.select("query_id", "query").limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in one search")
+    if not asked:
+        return df.withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType)).limit(0)
+    listed = F.array(*[F.struct(F.lit(q["query_id"]).alias("id"), F.coalesce(F.lit(q["query"]).cast("string"), F.lit("")).alias("q"))
+                       for q in asked])
+    every = df.withColumn("_asked", F.explode(listed)).filter(matches(F.col("_asked.q"), fields))
+    return every.withColumn("query_id", F.col("_asked.id")).drop("_asked")

@@ -118,15 +118,13 @@ FROM v_job j LEFT JOIN (v_user_file uf JOIN v_file f ON uf.file_id = f.file_id)
 
 oracle("effective_output", f"""
 WITH live AS (
-  SELECT job_id,
-         string_agg(CASE WHEN channel = 'stdout' THEN chunk END, '' ORDER BY seq) AS live_stdout,
-         string_agg(CASE WHEN channel = 'stderr' THEN chunk END, '' ORDER BY seq) AS live_stderr
-  FROM v_chunk GROUP BY job_id)
-SELECT j.job_id, j.status,
-       coalesce(CASE WHEN NOT j.{_TERM} THEN nullif(l.live_stdout, '') END,
-                'stored out ' || CAST(j.job_id AS VARCHAR)) AS stdout,
-       coalesce(CASE WHEN NOT j.{_TERM} THEN nullif(l.live_stderr, '') END, '') AS stderr
-FROM v_job j LEFT JOIN live l ON j.job_id = l.job_id""")
+  SELECT job_id, channel, CAST(seq // 1024 AS BIGINT) AS block, string_agg(chunk, '' ORDER BY seq) AS text
+  FROM v_chunk GROUP BY ALL HAVING string_agg(chunk, '') <> ''),
+stored AS (
+  SELECT job_id, status, 'stdout' AS channel, 'stored out ' || CAST(job_id AS VARCHAR) AS text FROM v_job
+  UNION ALL SELECT job_id, status, 'stderr', '' FROM v_job)
+SELECT s.job_id, s.status, s.channel, coalesce(l.block, 0) AS block, coalesce(l.text, s.text) AS text
+FROM stored s LEFT JOIN live l ON l.job_id = s.job_id AND l.channel = s.channel AND NOT s.{_TERM}""")
 
 oracle("dead_jobs", """
 SELECT job_id,

@@ -72,14 +72,10 @@ def _job_details(c):
 
 @key("effective_output")
 def _effective_output(c):
-    live = (J.concat_output(c.chunk())
-             .groupBy("job_id")
-             .agg(F.max(F.when(F.col("channel") == "stdout", F.col("text"))).alias("live_stdout"),
-                  F.max(F.when(F.col("channel") == "stderr", F.col("text"))).alias("live_stderr")))
     jobs = c.job().select("job_id", "status",
                           F.concat(F.lit("stored out "), F.col("job_id").cast("string")).alias("stdout"),
                           F.lit("").alias("stderr"))
-    return J.effective_output(jobs, live)
+    return J.effective_output(jobs, J.concat_output(c.chunk()))
 
 
 @key("dead_jobs")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Session settings applied by ``get_spark``.  AQE re-plans joins and
@@ -29,12 +30,22 @@ DEFAULT_CONF = {
 }
 
 
+CLUSTER_PARTITIONS = 8192
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "runlake", extra: dict | None = None) -> SparkSession:
+    """Session with the settings above.
+
+    The master is the given one, else the one the cluster configured, else
+    local.  On a cluster shuffles start with many partitions, which AQE merges
+    where they turn out small; locally they match the cores."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    master = master or SparkConf().get("spark.master", None) or f"local[{cpus}]"
+    builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
+    initial = cpus if master.startswith("local") else CLUSTER_PARTITIONS
+    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or initial)
     conf["spark.driver.memory"] = os.environ.get("RUNLAKE_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
@@ -57,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="runlake-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured

@@ -12,7 +12,7 @@ from runlake.operators import files as FL
 from runlake.operators import jobs as J
 from runlake.operators import params as PR
 from runlake.operators import patches as PT
-from runlake.operators.search import query_terms
+from runlake.operators.search import keyword_search, search_many
 
 
 def _one(spark, col):
@@ -103,10 +103,23 @@ def test_email_hash_golden(spark):
 def test_search_terms(spark):
     q = '  some random  words "with   quotes  " and   spaces'
     want = ["some", "random", "words", "with quotes", "and", "spaces"]
-    assert query_terms(q) == want
     assert _one(spark, T.search_terms(F.lit(q))) == want
 
 
+def test_keyword_search_one_and_many(spark):
+    rows = spark.createDataFrame([(1, "A  big Red fox", None), (2, "red", "BIG dog"), (3, None, None)],
+                                 "id int, name string, note string")
+
+    def found(query):
+        return [r["id"] for r in keyword_search(rows, query, ["name", "note"]).orderBy("id").collect()]
+
+    assert found("big red") == [1, 2] and found('"red fox"') == [1] and found("") == [1, 2, 3] and found("cat") == []
+    asked = spark.createDataFrame([(7, "dog"), (8, "red"), (9, None)], "query_id int, query string")
+    got = {(r["query_id"], r["id"]) for r in search_many(rows, asked, ["name", "note"]).collect()}
+    assert got == {(7, 2), (8, 1), (8, 2), (9, 1), (9, 2), (9, 3)}
+    assert search_many(rows, asked.limit(0), ["name"]).count() == 0
+
+
 def test_bearer_token(spark):
     assert _one(spark, T.bearer_token(F.lit("Bearer abc"))) == "abc"
     assert _one(spark, T.bearer_token(F.lit("Bearer"))) is None
@@ -281,3 +294,14 @@ def test_fasta_blocks_split_long_records(spark):
     assert blocks == [(1, 0, "ACGT"), (1, 1, "TT"), (2, 0, "G")]
     whole = {r["header"]: r["seq"] for r in fasta_records(df).collect()}
     assert whole == {">r1": "ACGTTT", ">r2": "G"}
+
+
+def test_effective_output_keeps_every_block(spark):
+    from runlake.operators import jobs as J
+    chunks = spark.createDataFrame([(1, "stdout", i, "x") for i in range(3000)] + [(2, "stdout", 0, "y")],
+                                   "job_id long, channel string, seq long, chunk string")
+    table = spark.createDataFrame([(1, "running", "old", ""), (2, "completed", "old", "")],
+                                  "job_id long, status string, stdout string, stderr string")
+    out = J.effective_output(table, J.concat_output(chunks)).collect()
+    assert sum(len(r["text"]) for r in out if r["job_id"] == 1 and r["channel"] == "stdout") == 3000
+    assert [(r["block"], r["text"]) for r in out if r["job_id"] == 2 and r["channel"] == "stdout"] == [(0, "old")]
