@@ -12,8 +12,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlake.session import ensure_checkpoint_dir
@@ -25,10 +26,22 @@ WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows at a time in Python workers, for work done inside the block: bounds their memory on long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add ``name``.  A one-element ``explode`` keeps the optimizer from copying
     ``expr`` into every later use of the column."""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlake.llm.common import stage
+from runlake.llm.common import small_batches, stage
 from runlake.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 40
@@ -146,7 +146,8 @@ def _class_sets(classes: DataFrame, members: DataFrame, docs: DataFrame) -> Data
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = _sets(docs.join(ids, "doc_id", "left_semi")).join(wanted.select("cid", "digest"), "digest")
-    return stage(sets.select("cid", "shingles").dropDuplicates(["cid"]), "nd-sets")
+    with small_batches(docs.sparkSession):
+        return stage(sets.select("cid", "shingles").dropDuplicates(["cid"]), "nd-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,7 +237,8 @@ def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    found = stage(sketches(docs).withColumn("key", F.monotonically_increasing_id()), "nd-sketches")
+    with small_batches(docs.sparkSession):
+        found = stage(sketches(docs).withColumn("key", F.monotonically_increasing_id()), "nd-sketches")
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = found.where(usable).groupBy("digest").agg(F.min("key").alias("cid"))
     members = stage(found.where(usable).join(classes, "digest").select(
