@@ -22,6 +22,7 @@ empty table gives no rows; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import stage
+from runlake.llm.common import small_batches, stage
 
 CUTS = (
     (0, 128, re.compile(r"\S+\s?|\s{1,16}")),
@@ -144,19 +145,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["part"]):
                 tree = fingerprint(text)
                 if held is None:
-                    out.append(("first", part, doc_id, text, *blank))
+                    out.append(("first", part, doc_id, text, *blank, None))
                 else:
-                    out.append(("done", part, held[0], None, *_compare(held[1], held[2], text, tree)))
+                    made = _compare(held[1], held[2], text, tree)
+                    same = max(33, len(os.path.commonprefix((made[2][33:], made[3][33:]))) + 33)
+                    out.append(("done", part, held[0], None, *made, same))
                 held = (doc_id, text, tree, part)
             yield frame(out)
         if held is not None:
-            yield frame([("last", held[3], held[0], held[1], *blank)])
+            yield frame([("last", held[3], held[0], held[1], *blank, None)])
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        f = pd.DataFrame(out, columns=["what", "part", "doc_id", "text", *columns])
-        return f.astype({c: "Int64" for c in ("n_chars", "change_section", "change_leaf")})
-
-    done = stage(rows.mapInPandas(run, f"what string, part int, doc_id string, text string, {FIELDS}"), "merkle")
+        f = pd.DataFrame(out, columns=["what", "part", "doc_id", "text", *columns, "_same"])
+        return f.astype({c: "Int64" for c in ("n_chars", "change_section", "change_leaf", "_same")})
+
+    # staged without what an edited fingerprint shares with the first one behind the root
+    fresh = F.expr("length(edited_fingerprint)") - F.col("_same")
+    done = rows.mapInPandas(run, f"what string, part int, doc_id string, text string, {FIELDS}, _same int")
+    with small_batches(docs.sparkSession):
+        done = stage(done.withColumn("edited_fingerprint", F.concat(
+            F.substring("edited_fingerprint", 1, 33), F.substr("edited_fingerprint", F.col("_same") + 1, fresh))), "merkle")
+    tail = F.substr("edited_fingerprint", F.lit(34))
+    done = done.withColumn("edited_fingerprint", F.concat(
+        F.substring("edited_fingerprint", 1, 33), F.substr("fingerprint", F.lit(34), F.col("_same") - 33), tail))
     firsts = done.where("what = 'first'").select("part", F.col("text").alias("following"))
     # one row per partition: each learns the next one that has documents, the last the first
     parts = firsts.select("part")
