@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.operators.ranking import row_number_by
+from runlake.operators.ranking import free_numbers, row_number_by
 
 # Script issue texts in the order they are checked.
 ISSUE_NO_VERSIONS = "This script does not have any script versions."
@@ -249,11 +249,24 @@ def build_versions(scripts: DataFrame) -> DataFrame:
 
 
 def unique_slugs(df: DataFrame, col: str, key: str) -> DataFrame:
-    """Slug from a name, numbered ``-2``, ``-3`` .. on collision (by key)."""
+    """Slug from a name, numbered ``-2``, ``-3`` .. on collision (by key).
+
+    The first row of a slug keeps it plain; later rows take the next numbers
+    whose text is not itself the plain slug of another name, so no slug
+    appears twice.  A numbered text has one reading (its last hyphen), so
+    rows of different slugs cannot meet either.
+    """
     base = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col(col))), r"[^a-z0-9\s_-]", ""), r"[\s_-]+", "-")
-    r = row_number_by(df.withColumn("_slug", base), ["_slug"], [key], name="_n")
-    return r.select(key, col, F.when(F.col("_n") == 1, F.col("_slug"))
-                    .otherwise(F.concat(F.col("_slug"), F.lit("-"), F.col("_n").cast("string"))).alias("slug"))
+    r = row_number_by(df.select(key, col, base.alias("_slug")), ["_slug"], [key], name="_n")
+    first = r.filter(F.col("_n") == 1)
+    numbered = r"^(.*)-([1-9][0-9]*)$"
+    taken = first.select(F.regexp_extract("_slug", numbered, 1).alias("_stem"),
+                         F.regexp_extract("_slug", numbered, 2).try_cast("bigint").alias("_idx"))
+    taken = taken.filter(F.col("_idx") >= 2).withColumnRenamed("_stem", "_slug")
+    later = r.filter(F.col("_n") > 1).withColumn("_rank", F.col("_n") - 1)
+    later = free_numbers(later, taken, ["_slug"], "_idx", "_rank", "_no", start=2)
+    return first.select(key, col, F.col("_slug").alias("slug")).unionByName(
+        later.select(key, col, F.concat(F.col("_slug"), F.lit("-"), F.col("_no").cast("string")).alias("slug")))
 
 
 def cascade_delete(scripts: DataFrame, versions: DataFrame, jobs: DataFrame,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from runlake.functions.paths import basename, normalize_ref
-from runlake.operators.ranking import row_number_by
+from runlake.operators.ranking import free_numbers, row_number_by
 
 SNIFF_BYTES = 16 * 1024          # fixed value: delimiter sniff window
 FASTA_PREVIEW_LINES = 30         # fixed value: fasta preview window
@@ -256,23 +256,25 @@ def match_files(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 def purge_plan(refs: DataFrame, purged_jobs: DataFrame) -> DataFrame:
     """On purging jobs: their output or unattached references are dropped;
-    a stored file is dropped only when no other job references it."""
-    p = refs.join(purged_jobs, "job_id", "left_semi").filter(F.col("param").isNull() | F.col("is_output"))
-    # a file is shared when it has references outside the purging job:
-    # total references minus the job's own, from two partial aggregates
-    # (no pairing of references, so a file referenced everywhere stays linear)
-    total = refs.groupBy("file_id").agg(F.count("*").alias("_all"))
-    own = refs.groupBy("file_id", "job_id").agg(F.count("*").alias("_own"))
-    return (p.select("file_id", "job_id").join(total, "file_id").join(own, ["file_id", "job_id"])
-             .select("file_id", "job_id", F.lit(True).alias("drop_ref"),
-                     (F.col("_all") - F.col("_own") == 0).alias("drop_file")))
+    a stored file is dropped when no job outside the purged ones references
+    it, however many purged jobs do."""
+    gone = purged_jobs.select("job_id").distinct().withColumn("_purged", F.lit(True))
+    flagged = refs.join(gone, "job_id", "left")
+    # one partial aggregate per file: references are never paired
+    held = flagged.groupBy("file_id").agg(F.count_if(F.col("_purged").isNull()).alias("_held"))
+    p = flagged.filter(F.col("_purged") & (F.col("param").isNull() | F.col("is_output")))
+    return p.join(held, "file_id").select("file_id", "job_id", F.lit(True).alias("drop_ref"),
+                                          (F.col("_held") == 0).alias("drop_file"))
 
 
 # ---------------------------------------------------------- storage plans
 def sync_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Mirror local files to remote storage: upload when missing, replace an
-    empty remote copy, upload a variant when sizes differ, else skip."""
-    r = remote.select("path", F.col("size_bytes").alias("remote_size"))
+    empty remote copy, upload a variant when sizes differ, else skip.
+
+    A path listed more than once counts with its newest entry (highest id),
+    so there is exactly one action per local file."""
+    r = remote.groupBy("path").agg(F.max_by("size_bytes", "file_id").alias("remote_size"))
     j = local.join(r, "path", "left")
     action = (F.when(F.col("remote_size").isNull(), "upload")
                .when(F.col("remote_size") == 0, "replace")
@@ -281,10 +283,18 @@ def sync_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     return j.select("file_id", "path", action.alias("action"))
 
 
+def _newest_per_path(files: DataFrame, name: str) -> DataFrame:
+    """Checksum of the newest entry (highest id) of each path."""
+    top = files.groupBy("path").agg(F.max("file_id").alias("file_id"))
+    return files.join(top, ["path", "file_id"]).select("path", F.col("checksum").alias(name))
+
+
 def stale_copies(catalog: DataFrame, local: DataFrame) -> DataFrame:
-    """Stored checksum vs local copy: fetch when absent, report when stale."""
-    l2 = local.select("path", F.col("checksum").alias("local_checksum"))
-    j = catalog.join(l2, "path", "left")
+    """Stored checksum vs local copy, one row per stored path: fetch when
+    absent, report when stale.  Both sides are (path, file_id, checksum); the
+    newest entry of a path counts."""
+    c, l2 = _newest_per_path(catalog, "checksum"), _newest_per_path(local, "local_checksum")
+    j = c.join(l2, "path", "left")
     return j.select("path", F.when(F.col("local_checksum").isNull(), "fetch")
                     .when(F.col("local_checksum") != F.col("checksum"), "stale").otherwise("ok").alias("action"))
 
@@ -328,32 +338,29 @@ def first_by_name(files: DataFrame) -> DataFrame:
 def available_names(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """First free ``name.ext``, ``name_1.ext``, ``name_2.ext`` .. per folder.
 
-    Existing names are parsed to (folder, name, ext, index); the answer is
-    the smallest index missing from the taken set, found without collecting
-    the set: the first gap in the ranked distinct indices.
+    An existing file name is split at each of its dots, so an extension may
+    hold dots itself (``tar.gz``); a split counts as ``name.ext`` and, when
+    the part before the dot ends in ``_<number>`` as this operator writes it
+    (no leading zero), as that numbered name too.  Repeated requests of one
+    name get the first, second, .. free number.
     """
-    pat = r"^(.*?)(?:_([0-9]+))?\.([^.]+)$"
-    ex = existing.select("folder", F.col("filename"))
-    parsed_plain = ex.select("folder", F.regexp_extract("filename", r"^(.*)\.([^.]+)$", 1).alias("name"),
-                             F.regexp_extract("filename", r"^(.*)\.([^.]+)$", 2).alias("ext"),
-                             F.lit(0).cast("bigint").alias("idx"))
-    parsed_num = ex.select("folder", F.regexp_extract("filename", pat, 1).alias("name"),
-                           F.regexp_extract("filename", pat, 3).alias("ext"),
-                           F.regexp_extract("filename", pat, 2).alias("_i")).filter(F.col("_i") != "").select(
-        "folder", "name", "ext", F.col("_i").cast("bigint").alias("idx"))
-    taken = (parsed_plain.unionByName(parsed_num)
-             .join(requests.select("folder", "name", "ext").distinct(), ["folder", "name", "ext"], "left_semi")
-             .filter(F.col("idx") >= 0).distinct())
-    ranked = row_number_by(taken, ["folder", "name", "ext"], ["idx"], name="_r")
-    gaps = ranked.groupBy("folder", "name", "ext").agg(
-        F.min(F.when(F.col("idx") != F.col("_r") - 1, F.col("_r") - 1)).alias("_gap"),
-        F.count("*").alias("_n"))
-    r = requests.join(gaps, ["folder", "name", "ext"], "left")
-    k = F.coalesce(F.col("_gap"), F.col("_n"), F.lit(0))
-    return r.select("folder", "name", "ext",
-                    F.when(k == 0, F.concat_ws(".", "name", "ext"))
-                     .otherwise(F.concat(F.col("name"), F.lit("_"), k.cast("string"), F.lit("."), F.col("ext")))
-                     .alias("available"))
+    key = ["folder", "name", "ext"]
+    splits = existing.filter(F.col("filename").contains(".")).select("folder", "filename", F.explode(
+        F.sequence(F.lit(1), F.size(F.split("filename", r"\.")) - 1)).alias("_d"))
+    splits = splits.withColumn("_stem", F.expr("substring_index(filename, '.', _d)"))
+    splits = splits.select("folder", "_stem", F.expr("substring(filename, length(_stem) + 2)").alias("ext"))
+    numbered = F.regexp_extract("_stem", r"^(?s)(.*)_([1-9][0-9]*)$", 2).try_cast("bigint")
+    taken = splits.select("folder", "ext", F.explode(F.array(
+        F.struct(F.col("_stem").alias("name"), F.lit(0).cast("bigint").alias("idx")),
+        F.struct(F.regexp_extract("_stem", r"^(?s)(.*)_([1-9][0-9]*)$", 1).alias("name"), numbered.alias("idx")))
+        ).alias("_p")).select("folder", "_p.name", "ext", "_p.idx").filter(F.col("idx").isNotNull())
+    taken = taken.join(requests.select(*key).distinct(), key, "left_semi")
+    asked = row_number_by(requests, key, ["ext"], name="_rank")
+    r = free_numbers(asked, taken, key, "idx", "_rank", "_k")
+    k = F.col("_k")
+    return r.select(*key, F.when(k == 0, F.concat_ws(".", "name", "ext"))
+                    .otherwise(F.concat(F.col("name"), F.lit("_"), k.cast("string"), F.lit("."), F.col("ext")))
+                    .alias("available"))
 
 
 def resolve_refs(refs: DataFrame, user_files: DataFrame, files: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -241,14 +241,15 @@ def job_details(jobs: DataFrame, user_files: DataFrame, files: DataFrame) -> Dat
     so a job with very many outputs is never gathered into one row.
     """
     term = is_complete(F.col("status"))
+    head = jobs.select("job_id", "status", term.alias("is_complete"))
+    # only terminal jobs bring their references along: a running job is one row
     refs = (user_files.join(files.select("file_id", "filename", "path"), "file_id", "inner")
+                      .join(head.filter("is_complete").select("job_id"), "job_id", "left_semi")
                       .select("job_id", "filename", "path"))
-    head = jobs.select("job_id", "status", term.alias("is_complete"))
     return (head.join(refs, "job_id", "left")
                 .select("job_id", "status", "is_complete",
                         F.when(F.col("is_complete"), F.col("filename")).alias("asset_name"),
-                        F.when(F.col("is_complete"), F.col("path")).alias("asset_path"))
-                .dropDuplicates())
+                        F.when(F.col("is_complete"), F.col("path")).alias("asset_path")))
 
 
 def effective_output(jobs: DataFrame, live: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.functions.values import (BOOLEAN, CHAR, INTEGER, coerce_value, max_choices)
+from runlake.functions.values import (BOOLEAN, CHAR, FLOAT, INTEGER, coerce_value, max_choices)
 from runlake.operators.ranking import row_number_by
 
 # Validation messages.
@@ -18,6 +18,12 @@ ERR_REQUIRED = "This field is required."
 ERR_CHOICE = "Select a valid choice."
 ERR_INTEGER = "Enter a whole number."
 ERR_TOO_MANY = "Too many values."
+ERR_NUMBER = "Enter a number."
+ERR_PARSER = "A sub-command must be chosen."
+
+# Texts a form accepts as a whole number (zero decimals allowed) and as a finite number.
+INTEGER_TEXT = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+FLOAT_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def subprocess_value(form_field: Column, raw: Column) -> Column:
@@ -191,22 +197,28 @@ def add_missing_parsers(layout: DataFrame, parsers: DataFrame) -> DataFrame:
         "script_id", "parser_name", F.array().cast(layout.schema["layout"].dataType).alias("layout")))
 
 
-def scope_params(values: DataFrame, spec: DataFrame, job_script: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Keep values of the chosen sub-parser or of the base parser ('').
+def scope_params(values: DataFrame, spec: DataFrame, job_script: DataFrame, chosen: DataFrame,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """Keep values of the chosen parser or of the base parser ('').
 
-    ``chosen``: (job_id, parser_name).  Jobs of scripts with several
-    sub-parsers and no choice get an error row instead.
+    ``chosen``: (job_id, parser_name).  Without a choice a script's only
+    parser is chosen; a job of a script with several parsers, the base one
+    counted, gets one error row (pos, name, parser_name NULL) and no values.
+    ``carry`` names value columns to keep.
     """
+    parsers = spec.groupBy("script_id").agg(F.countDistinct("parser_name").alias("_n"),
+                                            F.min("parser_name").alias("_only"))
+    c = chosen.select("job_id", F.col("parser_name").alias("_asked"))
+    jobs = job_script.join(c, "job_id", "left").join(parsers, "script_id", "left").select(
+        "job_id", "script_id", F.coalesce("_asked", F.when(F.col("_n") == 1, F.col("_only"))).alias("_chosen"),
+        (F.col("_asked").isNull() & (F.coalesce("_n", F.lit(0)) > 1)).alias("_unchosen"))
     s = spec.select("script_id", "name", "parser_name")
-    v = values.join(job_script, "job_id").join(s, ["script_id", "name"])
-    n_sub = spec.filter(F.col("parser_name") != "").groupBy("script_id").agg(
-        F.countDistinct("parser_name").alias("_n_sub"))
-    c = chosen.select("job_id", F.col("parser_name").alias("_chosen"))
-    v = v.join(c, "job_id", "left").join(n_sub, "script_id", "left")
-    keep = (F.col("parser_name") == "") | (F.col("parser_name") == F.col("_chosen"))
-    err = F.when(F.col("_chosen").isNull() & (F.coalesce(F.col("_n_sub"), F.lit(0)) > 1),
-                 F.lit("A sub-command must be chosen."))
-    return v.filter(keep).select("job_id", "pos", "name", "parser_name", err.alias("error"))
+    v = (values.select("job_id", "pos", "name", *carry).join(jobs.filter(~F.col("_unchosen")), "job_id")
+               .join(s, ["script_id", "name"]))
+    kept = v.filter((F.col("parser_name") == "") | (F.col("parser_name") == F.col("_chosen"))).select(
+        "job_id", "pos", "name", "parser_name", F.lit(None).cast("string").alias("error"), *carry)
+    errors = jobs.filter("_unchosen").select("job_id", F.lit(ERR_PARSER).alias("error"))
+    return kept.unionByName(errors, allowMissingColumns=True)
 
 
 def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame) -> DataFrame:
@@ -225,13 +237,15 @@ def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame) -> DataF
     per_field = vs.groupBy("job_id", "script_id", "name").agg(
         F.count_if(present).alias("n"),
         F.first("_max").alias("_max"),
-        F.count_if(present & (F.col("form_field") == INTEGER) & ~F.col("raw").rlike("^[0-9]+$")).alias("bad_int"),
+        F.count_if(present & (F.col("form_field") == INTEGER) & ~F.col("raw").rlike(INTEGER_TEXT)).alias("bad_int"),
+        F.count_if(present & (F.col("form_field") == FLOAT) & ~F.col("raw").rlike(FLOAT_TEXT)).alias("bad_float"),
         F.count_if(present & F.col("_choices").isNotNull()
                    & ~F.array_contains(F.col("_choices"), F.col("raw"))).alias("bad_choice"))
     lim = F.col("_max")
     errs = F.filter(F.array(
         F.when(F.col("bad_choice") > 0, F.lit(ERR_CHOICE)),
         F.when(F.col("bad_int") > 0, F.lit(ERR_INTEGER)),
+        F.when(F.col("bad_float") > 0, F.lit(ERR_NUMBER)),
         F.when((lim != -1) & (F.col("n") > lim), F.lit(ERR_TOO_MANY))), lambda x: x.isNotNull())
     found = per_field.select("job_id", "name", F.explode(errs).alias("error"))
     required = sp.filter("required").select("script_id", "name")

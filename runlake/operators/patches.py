@@ -93,6 +93,8 @@ def apply_version_patches(versions: DataFrame, patches: DataFrame | None = None)
     * making a disabled version default is an error;
     * removing the default needs another active default in the script,
       unless the same patch disables the version;
+    * when one batch takes every default of a script away and makes no new
+      one, the last of them (highest id) stays and gets that error;
     * making a version default clears every other default of its script
       (several in one script: the newest version wins);
     * disabling a version clears its own default.
@@ -123,9 +125,18 @@ def apply_version_patches(versions: DataFrame, patches: DataFrame | None = None)
         "_err", F.when(F.col("errors").isNotNull() & (F.size("errors") > 0), F.array_join("errors", "; "))
                  .otherwise(rule_err))
     v = v.withColumn("_makes_default", F.col("_applied") & has(m, "default_version") & F.coalesce(want_def, F.lit(False)))
-    winner = (v.filter("_makes_default").groupBy("script_id")
-               .agg(F.max_by("version_id", F.struct("created_date", "version_id")).alias("_win")))
-    v = v.join(winner, "script_id", "left")
+    # one pass per script: the new default, and what the batch leaves of the old ones
+    held = F.col("is_active") & F.col("default_version")
+    removes = F.col("_applied") & has(m, "default_version") & F.coalesce(~want_def, F.lit(False)) & ~disabling
+    per_script = v.groupBy("script_id").agg(
+        F.max_by("version_id", F.when(F.col("_makes_default"), F.struct("created_date", "version_id"))).alias("_win"),
+        F.count_if(held & ~removes & ~(F.col("_applied") & disabling)).alias("_left"),
+        F.max(F.when(held & removes, F.col("version_id"))).alias("_last"))
+    v = v.join(per_script, "script_id", "left")
+    last_kept = F.coalesce((F.col("_left") == 0) & F.col("_win").isNull()
+                           & (F.col("version_id") == F.col("_last")), F.lit(False))
+    v = v.withColumn("_err", F.when(last_kept, F.lit(ERR_NEED_DEFAULT)).otherwise(F.col("_err")))
+    v = v.withColumn("_applied", F.col("_applied") & ~last_kept)
     new_default = (F.when(F.col("_win").isNotNull(), F.col("version_id") == F.col("_win"))
                     .when(F.col("_applied") & has(m, "default_version"), F.coalesce(want_def, F.col("default_version")))
                     .otherwise(F.col("default_version")))

@@ -78,3 +78,24 @@ def top_n_by(df: DataFrame, by: list[str], order: list, n: int, name: str = "ran
     rows per input partition; no slicing is needed."""
     w = Window.partitionBy(*by).orderBy(*[_col(c) for c in order])
     return df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= n)
+
+
+def free_numbers(requests: DataFrame, taken: DataFrame, by: list[str], idx: str, rank: str, name: str,
+                 start: int = 0) -> DataFrame:
+    """Give the request of rank r (from 1) of a key the r-th whole number from
+    ``start`` upward that is not among the key's ``taken`` numbers.
+
+    A taken number with f free numbers below it is passed over by every
+    request of rank above f, so one running maximum over the two kinds of
+    rows finds how many numbers a request passes over; no list of taken
+    numbers is gathered.  Keys are compared like grouping keys (NULL equals
+    NULL).
+    """
+    t = taken.select(*by, F.col(idx).cast("bigint").alias("_t")).filter(F.col("_t") >= start).distinct()
+    t = row_number_by(t, by, ["_t"], name="_i")
+    steps = t.groupBy(*by, (F.col("_t") - start - F.col("_i") + 1).alias("_free")).agg(F.max("_i").alias("_skip"))
+    rows = requests.withColumn("_free", F.col(rank).cast("bigint") - 1).withColumn("_ask", F.lit(True))
+    both = rows.unionByName(steps.withColumn("_ask", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("_free", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.col("_free") + F.lit(start) + F.coalesce(F.max("_skip").over(w), F.lit(0))
+    return both.withColumn(name, number.cast("bigint")).filter("_ask").drop("_free", "_ask", "_skip")

@@ -111,10 +111,9 @@ LEFT JOIN v_user u ON u.user_id = r.viewer_id
 LEFT JOIN fav ON fav.viewer_id = r.viewer_id AND fav.job_id = r.job_id""")
 
 oracle("job_details", f"""
-SELECT DISTINCT j.job_id, j.status, j.{_TERM} AS is_complete,
-       CASE WHEN j.{_TERM} THEN f.filename END AS asset_name,
-       CASE WHEN j.{_TERM} THEN f.path END AS asset_path
-FROM v_job j LEFT JOIN (v_user_file uf JOIN v_file f ON uf.file_id = f.file_id) ON uf.job_id = j.job_id""")
+SELECT j.job_id, j.status, j.{_TERM} AS is_complete, f.filename AS asset_name, f.path AS asset_path
+FROM v_job j LEFT JOIN (v_user_file uf JOIN v_file f ON uf.file_id = f.file_id)
+  ON uf.job_id = j.job_id AND j.{_TERM}""")
 
 oracle("effective_output", f"""
 WITH live AS (

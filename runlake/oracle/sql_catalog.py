@@ -145,9 +145,17 @@ WITH s AS (
          regexp_replace(regexp_replace(lower(trim(script_name)), '[^a-z0-9\s_-]', '', 'g'), '[\s_-]+', '-', 'g')
              AS base
   FROM v_script),
-r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY script_id) AS n FROM s)
-SELECT script_id, script_name, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS slug
-FROM r""")
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY script_id) AS n FROM s),
+b AS (SELECT base, count(*) AS n FROM s GROUP BY base),
+t AS (SELECT regexp_extract(base, '^(.*)-([1-9][0-9]*)$', 1) AS stem, count(*) AS n_taken FROM b GROUP BY stem),
+k AS (
+  SELECT b.base, unnest(generate_series(2, b.n + coalesce(t.n_taken, 0))) AS k
+  FROM b LEFT JOIN t ON t.stem = b.base WHERE b.n > 1),
+free AS (
+  SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) + 1 AS n
+  FROM k WHERE base || '-' || CAST(k AS VARCHAR) NOT IN (SELECT base FROM b WHERE base IS NOT NULL))
+SELECT script_id, script_name, CASE WHEN r.n = 1 THEN r.base ELSE r.base || '-' || CAST(free.k AS VARCHAR) END AS slug
+FROM r LEFT JOIN free ON free.base = r.base AND free.n = r.n""")
 
 oracle("cascade_delete", """
 WITH d AS (SELECT script_id FROM v_script WHERE script_order > 45),

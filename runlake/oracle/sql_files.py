@@ -100,21 +100,24 @@ WITH p AS (
   SELECT * FROM v_user_file
   WHERE job_id IN (SELECT job_id FROM v_job WHERE status = 'deleted') AND (param IS NULL OR is_output))
 SELECT p.file_id, p.job_id, true AS drop_ref,
-       NOT EXISTS (SELECT 1 FROM v_user_file o WHERE o.file_id = p.file_id AND o.job_id <> p.job_id) AS drop_file
+       NOT EXISTS (SELECT 1 FROM v_user_file o WHERE o.file_id = p.file_id
+                   AND o.job_id NOT IN (SELECT job_id FROM v_job WHERE status = 'deleted')) AS drop_file
 FROM p""")
 
 oracle("sync_plan", """
 SELECT l.file_id, l.path,
        CASE WHEN r.path IS NULL THEN 'upload' WHEN r.size_bytes = 0 THEN 'replace'
             WHEN r.size_bytes <> l.size_bytes THEN 'upload_variant' ELSE 'skip' END AS action
-FROM v_local l LEFT JOIN v_remote r ON l.path = r.path""")
+FROM v_local l
+LEFT JOIN (SELECT path, arg_max(size_bytes, file_id) AS size_bytes FROM v_remote GROUP BY path) r ON l.path = r.path""")
 
 oracle("storage_diff", """
-WITH c AS (SELECT DISTINCT path, checksum FROM v_file),
+WITH c AS (SELECT path, arg_max(checksum, file_id) AS checksum FROM v_file GROUP BY path),
 l AS (
-  SELECT l.path, CASE WHEN l.file_id % 7 = 0 THEN sha1(f.content || 'x') ELSE f.checksum END AS checksum
-  FROM v_local l JOIN v_file f ON l.file_id = f.file_id)
-SELECT DISTINCT c.path,
+  SELECT l.path,
+         arg_max(CASE WHEN l.file_id % 7 = 0 THEN sha1(f.content || 'x') ELSE f.checksum END, l.file_id) AS checksum
+  FROM v_local l JOIN v_file f ON l.file_id = f.file_id GROUP BY l.path)
+SELECT c.path,
        CASE WHEN l.checksum IS NULL THEN 'fetch' WHEN l.checksum <> c.checksum THEN 'stale' ELSE 'ok' END AS action
 FROM c LEFT JOIN l ON c.path = l.path""")
 

@@ -89,22 +89,27 @@ p AS (SELECT DISTINCT script_id, parser_name FROM v_spec)
 SELECT p.script_id, p.parser_name, CAST(coalesce(g.n, 0) AS BIGINT) AS n_groups
 FROM p LEFT JOIN g ON p.script_id = g.script_id AND p.parser_name = g.parser_name""")
 
-_SCOPE = """
-  SELECT v.job_id, v.pos, v.name, s.parser_name,
-         CASE WHEN ch.job_id IS NULL AND coalesce(ns.n_sub, 0) > 1 THEN 'A sub-command must be chosen.' END AS error,
-         ch.job_id IS NOT NULL AS has_choice
-  FROM v_param v JOIN v_job_script js ON v.job_id = js.job_id
-  JOIN v_spec s ON s.script_id = js.script_id AND s.name = v.name
-  LEFT JOIN (SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'F') ch ON ch.job_id = v.job_id
-  LEFT JOIN (SELECT script_id, count(DISTINCT parser_name) AS n_sub FROM v_spec WHERE parser_name <> ''
-             GROUP BY script_id) ns ON ns.script_id = js.script_id
-  WHERE s.parser_name = '' OR (ch.job_id IS NOT NULL AND s.parser_name = 'sub')"""
-
-oracle("subparser_scope", f"SELECT job_id, pos, name, parser_name, error FROM ({_SCOPE})")
+_JOBS = """
+  SELECT js.job_id, js.script_id, ch.job_id IS NOT NULL AS asked,
+         CASE WHEN ch.job_id IS NOT NULL THEN 'sub' WHEN np.n = 1 THEN np.only_parser END AS chosen,
+         coalesce(np.n, 0) AS n
+  FROM v_job_script js
+  LEFT JOIN (SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'F') ch ON ch.job_id = js.job_id
+  LEFT JOIN (SELECT script_id, count(DISTINCT parser_name) AS n, min(parser_name) AS only_parser FROM v_spec
+             GROUP BY script_id) np ON np.script_id = js.script_id"""
+_SCOPE = f"""
+  SELECT v.job_id, v.pos, v.name, s.parser_name, v.form_field, v.raw
+  FROM v_param v JOIN ({_JOBS}) j ON v.job_id = j.job_id
+  JOIN v_spec s ON s.script_id = j.script_id AND s.name = v.name
+  WHERE (j.asked OR j.n <= 1) AND (s.parser_name = '' OR s.parser_name = j.chosen)"""
+
+oracle("subparser_scope", f"""
+SELECT job_id, pos, name, parser_name, CAST(NULL AS VARCHAR) AS error FROM ({_SCOPE})
+UNION ALL
+SELECT job_id, NULL, NULL, NULL, 'A sub-command must be chosen.' FROM ({_JOBS}) WHERE NOT asked AND n > 1""")
 
 oracle("create_jobs", f"""
-SELECT v.job_id, v.pos, v.name, {coerced('v.form_field', 'v.raw')} AS value
-FROM v_param v WHERE EXISTS (SELECT 1 FROM ({_SCOPE}) s WHERE s.job_id = v.job_id AND s.pos = v.pos)""")
+SELECT v.job_id, v.pos, v.name, {coerced('v.form_field', 'v.raw')} AS value FROM ({_SCOPE}) v""")
 
 oracle("validate_submission", """
 WITH vs AS (
@@ -116,7 +121,9 @@ pf AS (
          count(*) FILTER (WHERE raw IS NOT NULL AND raw <> '') AS n,
          any_value(choice_limit) AS lim,
          count(*) FILTER (WHERE raw IS NOT NULL AND raw <> '' AND form_field = 'IntegerField'
-                          AND NOT regexp_matches(raw, '^[0-9]+$')) AS bad_int,
+                          AND NOT regexp_matches(raw, '^\\s*[+-]?[0-9]+(\\.0*)?\\s*$')) AS bad_int,
+         count(*) FILTER (WHERE raw IS NOT NULL AND raw <> '' AND form_field = 'FloatField'
+                          AND (TRY_CAST(raw AS DOUBLE) IS NULL OR NOT isfinite(TRY_CAST(raw AS DOUBLE)))) AS bad_float,
          count(*) FILTER (WHERE raw IS NOT NULL AND raw <> '' AND choices IS NOT NULL
                           AND NOT list_contains(CAST(json(choices) AS VARCHAR[]), raw)) AS bad_choice
   FROM vs GROUP BY job_id, script_id, name),
@@ -128,6 +135,7 @@ lim AS (
   FROM pf)
 SELECT job_id, name, 'Select a valid choice.' AS error FROM lim WHERE bad_choice > 0
 UNION ALL SELECT job_id, name, 'Enter a whole number.' FROM lim WHERE bad_int > 0
+UNION ALL SELECT job_id, name, 'Enter a number.' FROM lim WHERE bad_float > 0
 UNION ALL SELECT job_id, name, 'Too many values.' FROM lim WHERE max_n <> -1 AND n > max_n
 UNION ALL
 SELECT js.job_id, s.name, 'This field is required.' FROM v_job_script js JOIN v_spec s ON s.script_id = js.script_id

@@ -35,7 +35,19 @@ y AS (
          WHEN k = 0 AND NOT is_active THEN 'A disabled script version cannot be set as default.'
          WHEN k = 1 AND others = 0 THEN 'A script must have a default version.' END AS error
   FROM x),
-z AS (SELECT *, k IS NOT NULL AND error IS NULL AS applied FROM y),
+z0 AS (SELECT *, error IS NULL AS applied FROM y),
+g AS (
+  SELECT script_id,
+         count(*) FILTER (WHERE is_active AND default_version AND NOT (applied AND k IN (1, 2, 3))) AS n_left,
+         count(*) FILTER (WHERE applied AND k = 0) AS n_new,
+         max(version_id) FILTER (WHERE is_active AND default_version AND applied AND k = 1) AS last_out
+  FROM z0 GROUP BY script_id),
+z AS (
+  SELECT z0.* EXCLUDE (applied, error),
+         CASE WHEN n_left = 0 AND n_new = 0 AND version_id = last_out
+              THEN 'A script must have a default version.' ELSE error END AS error,
+         applied AND NOT coalesce(n_left = 0 AND n_new = 0 AND version_id = last_out, false) AS applied
+  FROM z0 JOIN g ON z0.script_id = g.script_id),
 w AS (SELECT script_id, arg_max(version_id, (created_date, version_id)) AS win FROM z
       WHERE applied AND k = 0 GROUP BY script_id)
 SELECT z.version_id, z.script_id,

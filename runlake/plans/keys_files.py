@@ -74,10 +74,10 @@ def _sync_plan(c):
 @key("storage_diff")
 def _storage_diff(c):
     f = c.file()
-    local = c.local().join(f.select("file_id", "content", "checksum"), "file_id").select(
-        "path", F.when(F.col("file_id") % 7 == 0, F.sha1(F.concat("content", F.lit("x"))))
-                 .otherwise(F.col("checksum")).alias("checksum"))
-    return FL.stale_copies(f.select("path", "checksum").distinct(), local).distinct()
+    local = c.local().select("file_id").join(f.select("file_id", "path", "content", "checksum"), "file_id").select(
+        "path", "file_id", F.when(F.col("file_id") % 7 == 0, F.sha1(F.concat("content", F.lit("x"))))
+                            .otherwise(F.col("checksum")).alias("checksum"))
+    return FL.stale_copies(f.select("path", "file_id", "checksum"), local)
 
 
 @key("write_content_addressed")

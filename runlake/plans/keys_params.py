@@ -97,10 +97,10 @@ def _subparser_scope(c):
 
 @key("create_jobs")
 def _create_jobs(c):
-    v = c.param()
-    scoped = PR.scope_params(v, c.spec(), c.job_script(), _chosen(c)).select("job_id", "pos")
-    return (v.join(scoped, ["job_id", "pos"], "left_semi")
-             .select("job_id", "pos", "name", coerce_value(F.col("form_field"), F.col("raw")).alias("value")))
+    """Stored values of the jobs that can be created (no scope error)."""
+    scoped = PR.scope_params(c.param(), c.spec(), c.job_script(), _chosen(c), carry=("form_field", "raw"))
+    return scoped.filter(F.col("error").isNull()).select(
+        "job_id", "pos", "name", coerce_value(F.col("form_field"), F.col("raw")).alias("value"))
 
 
 @key("validate_submission")

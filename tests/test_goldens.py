@@ -8,6 +8,7 @@ from runlake.functions import text as T
 from runlake.functions import values as V
 from runlake.functions.sequences import complement, translate_frame, translate_frame_native
 from runlake.operators import access as A
+from runlake.operators import catalog as C
 from runlake.operators import files as FL
 from runlake.operators import jobs as J
 from runlake.operators import params as PR
@@ -305,3 +306,73 @@ def test_effective_output_keeps_every_block(spark):
     out = J.effective_output(table, J.concat_output(chunks)).collect()
     assert sum(len(r["text"]) for r in out if r["job_id"] == 1 and r["channel"] == "stdout") == 3000
     assert [(r["block"], r["text"]) for r in out if r["job_id"] == 2 and r["channel"] == "stdout"] == [(0, "old")]
+
+
+# ------------------------------------------- names, purges, scopes, batches
+def test_available_names_exact(spark):
+    ex = spark.createDataFrame([("d", f) for f in (
+        "x.txt", "x_01.txt", "y_0.txt", "z.tar.gz", "w.txt", "w_2.txt", "w_99999999999999999999.txt")],
+        "folder string, filename string")
+    req = spark.createDataFrame([("d", "x", "txt"), ("d", "y", "txt"), ("d", "z", "tar.gz"), ("d", "w", "txt"),
+                                 ("d", "w", "txt"), ("e", "w", "txt")], "folder string, name string, ext string")
+    got = sorted((r["folder"], r["available"]) for r in FL.available_names(req, ex).collect())
+    assert got == [("d", "w_1.txt"), ("d", "w_3.txt"), ("d", "x_1.txt"), ("d", "y.txt"), ("d", "z_1.tar.gz"),
+                   ("e", "w.txt")]
+    assert FL.available_names(req.limit(0), ex).count() == 0
+    assert FL.available_names(req, ex.limit(0)).count() == 6
+
+
+def test_unique_slugs_never_repeat(spark):
+    names = ["a", "a", "a 2", "a", "a-3", "b", "a 2"]
+    df = spark.createDataFrame(list(enumerate(names)), "script_id long, script_name string")
+    got = {r["script_id"]: r["slug"] for r in C.unique_slugs(df, "script_name", "script_id").collect()}
+    assert got == {0: "a", 1: "a-4", 2: "a-2", 3: "a-5", 4: "a-3", 5: "b", 6: "a-2-2"}
+
+
+def test_purge_of_all_holders_drops_the_file(spark):
+    refs = spark.createDataFrame([(1, 1, None, True), (1, 2, None, True), (2, 1, None, True), (2, 3, "in", False)],
+                                 "file_id long, job_id long, param string, is_output boolean")
+    jobs = spark.createDataFrame([(1,), (2,)], "job_id long")
+    got = sorted((r["file_id"], r["job_id"], r["drop_file"]) for r in FL.purge_plan(refs, jobs).collect())
+    assert got == [(1, 1, True), (1, 2, True), (2, 1, False)]
+
+
+def test_sync_one_action_per_file(spark):
+    local = spark.createDataFrame([(1, "p", 5), (2, "q", 5), (3, "r", 5)], "file_id long, path string, size_bytes long")
+    remote = spark.createDataFrame([(1, "p", 7), (9, "p", 5), (2, "q", 0)], local.schema)
+    got = sorted((r["file_id"], r["action"]) for r in FL.sync_plan(local, remote).collect())
+    assert got == [(1, "skip"), (2, "replace"), (3, "upload")]
+
+
+def test_scope_needs_a_choice(spark):
+    spec = spark.createDataFrame([(1, "a", ""), (1, "b", "sub"), (2, "c", "only")],
+                                 "script_id long, name string, parser_name string")
+    jobs = spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "job_id long, script_id long")
+    values = spark.createDataFrame([(j, i, n) for j in (10, 11, 12) for i, n in enumerate("abc")],
+                                   "job_id long, pos int, name string")
+    chosen = spark.createDataFrame([(10, "sub")], "job_id long, parser_name string")
+    got = sorted(((r["job_id"], r["name"] or "", r["error"]) for r in
+                  PR.scope_params(values, spec, jobs, chosen).collect()), key=lambda x: x[:2])
+    assert got == [(10, "a", None), (10, "b", None), (11, "", "A sub-command must be chosen."), (12, "c", None)]
+
+
+def test_number_fields(spark):
+    spec = spark.createDataFrame([(1, "i", "IntegerField"), (1, "f", "FloatField")],
+                                 "script_id long, name string, form_field string") \
+        .selectExpr("*", "false AS required", "CAST(NULL AS STRING) AS choices", "'-1' AS choice_limit")
+    rows = [(1, "i", "-5"), (2, "i", "5.5"), (3, "f", "abc"), (4, "f", "-2.5e3"), (5, "i", " 7 ")]
+    values = spark.createDataFrame(rows, "job_id long, name string, raw string")
+    jobs = spark.createDataFrame([(j, 1) for j, *_ in rows], "job_id long, script_id long")
+    got = sorted((r["job_id"], r["error"]) for r in PR.validate(values, spec, jobs).collect())
+    assert got == [(2, "Enter a whole number."), (3, "Enter a number.")]
+
+
+def test_batch_keeps_a_default(spark):
+    v = spark.createDataFrame([(i, s, True, True, datetime(2024, 1, i)) for i, s in ((1, 1), (2, 1), (3, 2), (4, 2))],
+                              "version_id long, script_id long, is_active boolean, default_version boolean, "
+                              "created_date timestamp_ntz")
+    p = spark.createDataFrame([(1, {"default_version": "false"}), (2, {"default_version": "false"}),
+                               (3, {"default_version": "false"})], "version_id long, patch map<string,string>")
+    got = {r["version_id"]: (r["default_version"], r["error"]) for r in PT.apply_version_patches(v, p).collect()}
+    assert got == {1: (False, None), 2: (True, "A script must have a default version."), 3: (False, None),
+                   4: (True, None)}
