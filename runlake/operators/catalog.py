@@ -22,6 +22,12 @@ ISSUE_NO_ACTIVE = "This script does not have any active script versions."
 ISSUE_NO_DEFAULT = "This script does not have a default version."
 ISSUE_MANY_DEFAULTS = "This script has multiple default versions."
 
+# Parts of a version text.
+RELEASE_TEXT = r"^v?([0-9]+(?:\.[0-9]+)*)"
+PRE_TEXT = r"[0-9](a|b|rc)([0-9]+)"
+POST_TEXT = r"\.post([0-9]+)"
+DEV_TEXT = r"\.dev([0-9]+)"
+
 
 def _active_default() -> Column:
     return F.col("is_active") & F.col("default_version")
@@ -219,9 +225,22 @@ def version_labels(versions: DataFrame, scripts: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- sorts
 def version_key(v) -> Column:
-    """Numeric release key of a dotted version text (non-numbers are NULL)."""
+    """Sort key of a version text: release numbers without trailing zeros
+    (``1``, ``1.0`` and ``1.0.0`` are equal), then phase (dev < a < b < rc <
+    release < post) and the numbers of the phase, post and dev parts."""
     col = F.col(v) if isinstance(v, str) else v
-    return F.transform(F.split(col, r"\."), lambda x: x.try_cast("int"))
+
+    def part(pattern, group=1):
+        return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
+
+    release = F.regexp_replace(F.regexp_extract(col, RELEASE_TEXT, 1), r"(\.0+)+$", "")
+    pre, post, dev = part(PRE_TEXT), part(POST_TEXT), part(DEV_TEXT)
+    phase = (F.when(pre == "a", -3).when(pre == "b", -2).when(pre == "rc", -1)
+              .when(dev.isNotNull() & post.isNull(), -4).when(post.isNotNull(), 1).otherwise(0))
+    number = lambda c, missing: F.coalesce(c.try_cast("decimal(38,0)"), F.lit(missing).cast("decimal(38,0)"))
+    return F.struct(F.transform(F.split(release, r"\."), lambda x: x.try_cast("decimal(38,0)")).alias("release"),
+                    phase.alias("phase"), number(part(PRE_TEXT, 2), 0).alias("pre"), number(post, -1).alias("post"),
+                    number(dev, "9" * 38).alias("dev"))
 
 
 def order_versions(versions: DataFrame, mode: str = "parsed") -> DataFrame:

@@ -12,15 +12,16 @@ from runlake.operators.files import number_records
 def fasta_records(lines: DataFrame) -> DataFrame:
     """Line table (file_id, line_no, line) to records (file_id, rec_no,
     header, seq): header = the ``>`` line, seq = the stripped following
-    lines concatenated; records without sequence are dropped.
+    lines concatenated; records without sequence are dropped.  Text before
+    the first header is record 0 with an empty header.
 
     Records are assembled per (file, record), so a huge file spreads over
     many groups; the line order inside a record is carried explicitly.
     """
-    numbered = number_records(lines).filter(F.col("rec_no") > 0)
+    numbered = number_records(lines)
     is_hdr = F.startswith(F.col("line"), F.lit(">"))
     recs = numbered.groupBy("file_id", "rec_no").agg(
-        F.min_by("line", F.when(is_hdr, F.col("line_no"))).alias("header"),
+        F.coalesce(F.min_by("line", F.when(is_hdr, F.col("line_no"))), F.lit("")).alias("header"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_hdr, F.struct(
             "line_no", F.btrim(F.col("line"), F.lit(" \t\r")).alias("l"))))), lambda x: x["l"]), "").alias("seq"))
     return recs.filter(F.col("seq") != "")
@@ -31,11 +32,11 @@ def fasta_blocks(lines: DataFrame, block_lines: int = 4096) -> DataFrame:
     ``block`` numbers runs of at most ``block_lines`` sequence lines of a
     record; a record's sequence is its blocks in order.  No group holds more
     than ``block_lines`` lines, however long a record is."""
-    numbered = number_records(lines).filter(F.col("rec_no") > 0)
+    numbered = number_records(lines)
     is_hdr = F.startswith(F.col("line"), F.lit(">"))
     hdr = numbered.filter(is_hdr).select("file_id", "rec_no", F.col("line").alias("header"),
                                          F.col("line_no").alias("_h"))
-    body = numbered.filter(~is_hdr).join(hdr, ["file_id", "rec_no"])
+    body = numbered.filter(~is_hdr).join(hdr, ["file_id", "rec_no"], "left").fillna({"header": "", "_h": 0})
     block = F.floor((F.col("line_no") - F.col("_h") - 1) / F.lit(block_lines)).cast("bigint")
     out = body.groupBy("file_id", "rec_no", "header", block.alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(

@@ -120,10 +120,18 @@ SELECT checksum, CAST(floor((i - 1) / 1000) AS BIGINT) AS block, string_agg(lab,
        count(*) AS n
 FROM r GROUP BY checksum, CAST(floor((i - 1) / 1000) AS BIGINT)""")
 
-oracle("sort_versions", """
+oracle("sort_versions", r"""
 SELECT version_id, script_id,
        CAST(row_number() OVER (PARTITION BY script_id ORDER BY
-           list_transform(string_split(script_version, '.'), lambda x: TRY_CAST(x AS INTEGER)) DESC,
+           list_transform(string_split(regexp_replace(regexp_extract(script_version, '^v?([0-9]+(\.[0-9]+)*)', 1),
+                                                  '(\.0+)+$', ''), '.'), lambda x: TRY_CAST(x AS HUGEINT)) DESC,
+           CASE WHEN regexp_matches(script_version, '[0-9]a[0-9]') THEN -3
+                WHEN regexp_matches(script_version, '[0-9]b[0-9]') THEN -2
+                WHEN regexp_matches(script_version, '[0-9]rc[0-9]') THEN -1
+                WHEN contains(script_version, '.post') THEN 1 WHEN contains(script_version, '.dev') THEN -4 ELSE 0 END DESC,
+           coalesce(TRY_CAST(regexp_extract(script_version, '[0-9](a|b|rc)([0-9]+)', 2) AS HUGEINT), 0) DESC,
+           coalesce(TRY_CAST(regexp_extract(script_version, '\.post([0-9]+)', 1) AS HUGEINT), -1) DESC,
+           TRY_CAST(regexp_extract(script_version, '\.dev([0-9]+)', 1) AS HUGEINT) DESC NULLS FIRST,
            iteration DESC, version_id DESC) AS BIGINT) AS version_rank
 FROM v_version""")
 

@@ -11,10 +11,10 @@ WITH r AS (
   SELECT *, sum(CASE WHEN line LIKE '>%' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS rec_no
   FROM v_fasta_line),
 rec AS (
-  SELECT arg_min(line, line_no) FILTER (WHERE line LIKE '>%') AS header,
+  SELECT coalesce(arg_min(line, line_no) FILTER (WHERE line LIKE '>%'), '') AS header,
          coalesce(string_agg(CASE WHEN line NOT LIKE '>%' THEN trim(line, ' ' || chr(9) || chr(13)) END, ''
                              ORDER BY line_no), '') AS seq
-  FROM r WHERE rec_no > 0 GROUP BY file_id, rec_no HAVING seq <> '')
+  FROM r GROUP BY file_id, rec_no HAVING seq <> '')
 SELECT substr(header, 2) AS header, seq FROM rec""")
 
 oracle("scan_scripts", """

@@ -376,3 +376,19 @@ def test_batch_keeps_a_default(spark):
     got = {r["version_id"]: (r["default_version"], r["error"]) for r in PT.apply_version_patches(v, p).collect()}
     assert got == {1: (False, None), 2: (True, "A script must have a default version."), 3: (False, None),
                    4: (True, None)}
+
+
+def test_version_order(spark):
+    texts = ["1", "1.0", "1.0rc1", "1.0.0", "1.10", "1.9", "20240101123000", "1.0.dev3", "1.0.post1", "1.0b2"]
+    v = spark.createDataFrame([(i, 1, x, i) for i, x in enumerate(texts)],
+                              "version_id long, script_id long, script_version string, iteration int")
+    got = [r["script_version"] for r in C.order_versions(v).orderBy("version_rank").collect()]
+    assert got == ["20240101123000", "1.10", "1.9", "1.0.post1", "1.0.0", "1.0", "1", "1.0rc1", "1.0b2", "1.0.dev3"]
+
+
+def test_fasta_text_before_first_header(spark):
+    from runlake.operators.sequences import fasta_blocks, fasta_records
+    df = spark.createDataFrame([(1, 1, "AC"), (1, 2, "GT"), (1, 3, ">h"), (1, 4, "TT")],
+                               "file_id long, line_no long, line string")
+    for made in (fasta_records(df), fasta_blocks(df)):
+        assert sorted((r["rec_no"], r["header"], r["seq"]) for r in made.collect()) == [(0, "", "ACGT"), (1, ">h", "TT")]
