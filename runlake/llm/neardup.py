@@ -15,11 +15,13 @@ ASCII-lower-cased words).
   none with probability 2e-5, at 0.8 with 1e-7.
 * **Links.**  All members of a bucket are checked against one of them, its hub
   (a star, linear in the bucket; each bucket draws its own hub), then against
-  the best-linked one.  Classes already joined need no further check.  Among
-  the others every pair is checked that shares a rare shingle (held by at most
-  8 of them, so these pairs are linear in the shingles), and every pair of a
-  bucket whose other shingles are enough for a link.  No pair of a bucket that
-  could link is skipped.  Checks use the full sets.
+  the best-linked one.  Classes already joined need no further check.  What
+  open buckets hold together is a cluster with one pivot.  Copies of one text
+  share most shingles, so the others are compared by how they differ from the
+  pivot: two classes link only if they share a known part of their differences,
+  hence one of the rarer ones (prefix filter).  Only pairs that share such a
+  difference, at a place that leaves room for a link, are checked; no pair of
+  a bucket that could link is skipped.  Checks use the full sets.
 * **Components** run on class links.
 
 Without words or text the set is empty and linked with nothing.  A row without
@@ -34,15 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import small_batches, stage
+from runlake.llm.common import once, small_batches, stage
 from runlake.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 40
 WIDTH = ROWS * BANDS
-RARE = 8                               # classes that share a rare shingle, at most
 BROADCAST_IDS = 2_000_000              # ids (8 bytes each) that may be sent to every task
 CACHED = 100_000
 
@@ -173,25 +174,46 @@ def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     return stage(_open(rows.select(*shared.drop("root").columns, F.coalesce("root", "cid").alias("root"))), "nd-open")
 
 
-def _rare(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """s, cid, root, n: shingles that at most ``RARE`` open classes have, and those classes."""
-    classes = shared.select("cid", "root", "n").distinct()
-    rows = stage(sets.join(classes, "cid").select("cid", "root", "n", F.explode("shingles").alias("s")), "nd-shingles")
-    few = rows.groupBy("s").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= RARE)
-    return stage(rows.join(few.select("s"), "s", "left_semi"), "nd-rare")
-
-
-def _linkable(shared: DataFrame, rare: DataFrame) -> DataFrame:
-    """Bucket rows that may link with something in the bucket without sharing a rare shingle.
-
-    Adds ``common``, the shingles that are not rare.  With c of them among n, a
-    document and one of at least ``low`` shingles reach at most
-    c / (n + low - c)."""
-    own = rare.groupBy(F.col("cid").alias("_c")).agg(F.count(F.lit(1)).alias("_rare"))
-    rows = shared.join(own, F.col("cid") == F.col("_c"), "left").select(
-        *shared.columns, (F.col("n") - F.coalesce("_rare", F.lit(0))).alias("common"))
-    low = rows.groupBy("bucket").agg(F.min("n").alias("_low"))
-    return stage(_open(rows.join(low, "bucket").where("100 * common >= 75 * (n + _low - common)")), "nd-open")
+def _differences(shared: DataFrame, sets: DataFrame, degree: DataFrame) -> DataFrame:
+    """cid, root, n, cluster, pivot, near, diff: how each open class differs from the pivot of its cluster.
+
+    A cluster is what open buckets hold together; its pivot is the best-linked
+    class of it; ``near`` says that class and pivot are linked."""
+    low = shared.groupBy("bucket").agg(F.min("cid").alias("a"))
+    clusters = components(shared.join(low, "bucket").select("a", F.col("cid").alias("b"))) \
+        .select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
+    rows = shared.select("cid", "root", "n").distinct().join(clusters, "cid")
+    pivots = rows.join(degree, F.col("cid") == F.col("_c"), "left").groupBy("cluster").agg(
+        F.max_by("cid", F.struct(F.coalesce("_d", F.lit(0)), -F.col("cid"))).alias("pivot"))
+    pivots = pivots.join(sets, F.col("pivot") == F.col("cid")).select("cluster", "pivot", F.col("shingles").alias("_p"))
+    rows = rows.join(sets, "cid").join(pivots, "cluster")
+    diff = F.concat(F.array_except("shingles", "_p"), F.array_except("_p", "shingles"))
+    rows = once(rows, "diff", diff).withColumn("near", 7 * F.size("diff") <= F.col("n") + F.size("_p"))
+    return stage(rows.select("cid", "root", "n", "cluster", "pivot", "near", "diff"), "nd-diffs")
+
+
+def _alike(diffs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one cluster, not joined yet, that share enough differences from the pivot to be a link.
+
+    Classes x and y link if 7 |x ^ y| <= |x| + |y|, and |x ^ y| is d_x + d_y
+    less twice the differences they share.  With differences in one order of
+    the cluster, rarest first, a pair whose first common one has ``left_x`` and
+    ``left_y`` at or after it shares no more than the smaller of these.  Two
+    classes near the pivot are joined by it; a near class shares more than 3/7
+    of its differences with one that is not near and links."""
+    rows = diffs.where("cid <> pivot").select("cluster", "cid", "root", "n", "near", F.size("diff").alias("d"),
+                                              F.explode("diff").alias("s"))
+    held = rows.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    rows = rows.join(held, ["cluster", "s"])
+    common_first = Window.partitionBy("cid").orderBy(F.col("_k").desc(), "s")    # one document's differences
+    rows = rows.withColumn("left", F.row_number().over(common_first)).where(
+        "3 * left >= 3 * d - n and (not near or 7 * left > 3 * d)")
+    rows = stage(rows.drop("_k"), "nd-prefix")
+    far, any_ = (rows.where(only).select("cluster", "s", *[F.col(x).alias(f"{x}_{c}") for x in ("cid", "root", "n", "d", "left")],
+                                         *more) for c, only, more in (("a", "not near", []), ("b", "true", ["near"])))
+    return far.join(any_, ["cluster", "s"]).where(
+        "root_a <> root_b and (near or cid_a < cid_b) and 14 * least(left_a, left_b) >= 7 * (d_a + d_b) - (n_a + n_b)") \
+        .select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
 def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -218,21 +240,12 @@ def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     again = stage(star(again).join(tried, ["a", "b"], "left_anti"), "nd-star")
     links = links.unionByName(_verified(again, sets))
 
-    # what is still apart: pairs with a rare shingle in common, and pairs of a bucket that can link without one
+    # what is still apart: direct links with a cluster's pivot, and pairs that differ from it alike
     shared = _rooted(shared, links)
-    rare = _rare(shared, sets)
-
-    def pairs(rows: DataFrame, on: str, *more: str) -> DataFrame:
-        one, two = (rows.select(on, *[F.col(x).alias(f"{x}_{c}") for x in ("cid", "root", "n", *more)]) for c in "ab")
-        close = F.expr("cid_a < cid_b and root_a <> root_b and 100 * n_a >= 75 * n_b and 100 * n_b >= 75 * n_a")
-        if more:
-            most = F.least("common_a", "common_b")
-            close = close & (100 * most >= 75 * (F.col("n_a") + F.col("n_b") - most))
-        return one.join(two, on).where(close).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
-
-    rest = pairs(rare, "s").unionByName(pairs(_linkable(shared, rare), "bucket", "common")).distinct()
-    rest = rest.join(tried.unionByName(again), ["a", "b"], "left_anti")
-    return links.unionByName(_verified(stage(rest, "nd-rest"), sets))
+    diffs = _differences(shared, sets, degree)
+    pivots = diffs.where("near and cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b"))
+    rest = _alike(diffs).join(tried.unionByName(again), ["a", "b"], "left_anti")
+    return links.unionByName(pivots).unionByName(_verified(stage(rest, "nd-rest"), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
