@@ -247,9 +247,10 @@ def order_versions(versions: DataFrame, mode: str = "parsed") -> DataFrame:
     """Rank of each version inside its script, newest first: by parsed
     release numbers (``parsed``) or by text (``text``), then iteration."""
     k = version_key("script_version") if mode == "parsed" else F.col("script_version")
-    return row_number_by(versions.withColumn("_k", k), ["script_id"],
-                         [F.col("_k").desc(), F.col("iteration").desc(), F.col("version_id").desc()],
-                         name="version_rank").drop("_k")
+    # the first release number leads the order of both kinds of key: it is what long histories are cut by
+    lead = k["release"][0] if mode == "parsed" else k
+    return row_number_by(versions.withColumn("_k", k).withColumn("_lead", lead), ["script_id"],
+                         ["-_lead", "-_k", "-iteration", "-version_id"], name="version_rank").drop("_k", "_lead")
 
 
 def catalog_order(scripts: DataFrame) -> DataFrame:

@@ -2,22 +2,20 @@
 
 ``row_number() OVER (PARTITION BY k ORDER BY o)`` sends every row of a key
 to one task.  When one key holds a third of the table that task becomes the
-whole job.  ``row_number_by`` first counts rows per key (a partial
-aggregate) and splits the keys:
-
-* ordinary keys (at most ``hot_rows`` rows) use the plain window;
-* hot keys (their number is at most ``total / hot_rows``, so the key list
-  is small by construction) are numbered in three parallel steps:
-
-  1. range-partition their rows on ``(k, o)``: a hot key is cut into
-     consecutive slices that land in different partitions;
-  2. number rows inside each (slice, key);
-  3. add the number of rows of the same key in earlier slices (one row per
-     slice and key) joined back on (slice, key).
-
-The slice ids come from sampled range bounds, so the hot rows are written
-once to the shared checkpoint folder and both branches of step 2/3 read the
-same slices (also after executor loss).  ``order`` must be a total order
+whole job.  ``row_number_by`` is one lazy plan at every size:
+
+1. one row per key: its row count and the least and greatest value of the
+   first order column (a partial aggregate);
+2. the key's value range is cut into equal slices, about one per
+   ``slice_rows`` rows, so every row knows its slice from its own value;
+3. rows are numbered inside each (key, slice);
+4. the number of rows in the key's earlier slices is added.
+
+A slice is a function of the row and of exact per-key figures only, so every
+branch of the plan, and every recomputation after a lost executor, sees the
+same slices.  Text is cut by the bytes that follow what the key's values have
+in common.  Slices are even where the values are; rows with one value of the
+first order column always share a slice.  ``order`` must be a total order
 inside each key (add a unique tie-break).
 """
 
@@ -25,51 +23,75 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from runlake.session import ensure_checkpoint_dir
-
-HOT_ROWS = 2_000_000     # rows a single task numbers comfortably (external sort)
+SLICE_ROWS = 1_000_000   # rows a single task numbers comfortably
+MAX_SLICES = 100_000     # slices of one key; beyond, they grow wider
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _plain(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-
-
-def _sliced(df: DataFrame, by: list[str], order: list[Column], name: str,
-            partitions: int | None = None) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    args = ([partitions] if partitions else []) + [F.col(c) for c in by] + order
-    sliced = df.repartitionByRange(*args).withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
-    local = sliced.withColumn("_lrn", F.row_number().over(Window.partitionBy("_slice", *by).orderBy(*order)))
-    sizes = local.groupBy("_slice", *by).agg(F.max("_lrn").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_slice").alias("_s2"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)],
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    cond = [F.col("_slice") == F.col("_s2")] + [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
-    out = local.join(offsets, cond, "inner")
-    return out.select(*df.columns, (F.col("_lrn") + F.col("_off")).cast("bigint").alias(name))
-
-
-def row_number_by(df: DataFrame, by: list[str], order: list, name: str = "rn",
-                  hot_rows: int = HOT_ROWS, partitions: int | None = None) -> DataFrame:
-    order_cols = [_col(c) for c in order]
-    if not by:
-        # one global order: always sliced (the whole table is one group)
-        return _sliced(df, by, order_cols, name, partitions)
-    counts = df.groupBy(*by).agg(F.count("*").alias("_cnt"))
-    hot = counts.filter(F.col("_cnt") > hot_rows).select(*by)
-    if hot.isEmpty():
-        return _plain(df, by, order_cols, name)
-    # at most count / hot_rows hot keys: a proven bound for the broadcast
-    hot_b = F.broadcast(hot)
-    cold = _plain(df.join(hot_b, by, "left_anti"), by, order_cols, name)
-    warm = _sliced(df.join(hot_b, by, "left_semi"), by, order_cols, name, partitions)
-    return cold.unionByName(warm)
+def _order(c) -> Column:
+    """A column name, descending (nulls last) if it begins with ``-``."""
+    return F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc()
+
+
+def _code(value: Column, kind, low: Column, high: Column) -> Column | None:
+    """A double that never falls where the value rises; None for types without one."""
+    if isinstance(kind, NumericType):
+        return value.cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if not isinstance(kind, StringType):
+        return None
+    shortest = F.least(F.length(low), F.length(high), F.lit(256))
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(shortest, F.lit(1))),
+                             lambda i: F.left(low, i) == F.left(high, i)))
+    digits = F.substring(F.hex(F.encode(F.substr(value, shared + 1, F.lit(6)), "UTF-8")), 1, 12)
+    return F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double")
+
+
+def row_number_by(df: DataFrame, by: list[str], order: list[str], name: str = "rn",
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with ``name``: the row's number (from 1) inside its key.
+
+    ``order`` lists column names; ``-name`` means descending.  NULL keys form
+    one key.  Without ``by`` the whole table is one key.
+    """
+    lead, falling = order[0].lstrip("-"), order[0].startswith("-")
+    kind = df.schema[lead].dataType
+    stats = [F.count(F.lit(1)).alias("_cnt"), F.min(lead).alias("_low"), F.max(lead).alias("_high")]
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    if by:
+        rows = df.join(df.groupBy(*keys).agg(*stats), same)
+    else:
+        rows = df.withColumn("_all", df.agg(F.struct(*stats).alias("_all")).scalar()).select(
+            *df.columns, "_all._cnt", "_all._low", "_all._high")
+    low, high = F.col("_low"), F.col("_high")
+    code, first, last = (_code(x, kind, low, high) for x in (F.col(lead), low, high))
+    if code is None:
+        place = F.lit(0).cast("bigint")
+    else:
+        n = F.least(F.expr(f"_cnt div {slice_rows}") + 1, F.lit(MAX_SLICES))
+        share = (code - first) / F.nullif(last - first, F.lit(0.0))
+        cut = F.coalesce(F.least(F.floor(share * n), n - 1), F.lit(0)).cast("bigint")
+        # NULL stands before all values; what has no finite share (NaN, infinities in a key) stays in one slice
+        finite = F.abs(last - first) < float("inf")
+        place = F.when((n == 1) | ~F.coalesce(finite, F.lit(False)), F.lit(0)).when(F.col(lead).isNull(), F.lit(-1)).otherwise(cut)
+    rows = rows.select(*df.columns, (-place if falling else place).cast("bigint").alias("_slice"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*[_order(c) for c in order])
+    local = rows.withColumn("_local", F.row_number().over(inside))
+    sizes = rows.groupBy(*keys, F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*[f"_b{i}" for i in range(len(by))]).orderBy("_s").rowsBetween(
+        Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    out = local.join(before, [F.col("_slice") == F.col("_s"), *same])
+    return out.select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
 
 
 def top_n_by(df: DataFrame, by: list[str], order: list, n: int, name: str = "rank") -> DataFrame:

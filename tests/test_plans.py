@@ -47,14 +47,50 @@ def test_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_type:string>" in plan
 
 
-@pytest.mark.parametrize("hot_rows", [50, 10**9])
-def test_row_number_by_matches_window(spark, hot_rows):
+ORDERS = [["o", "id"], ["-o", "id"], ["t", "id"], ["-t", "-id"], ["day", "id"], ["ts", "id"], ["one", "id"], ["arr", "id"],
+          ["odd", "id"]]
+
+
+@pytest.mark.parametrize("slice_rows", [50, 10**9])
+@pytest.mark.parametrize("by", [["k"], []])
+@pytest.mark.parametrize("order", ORDERS, ids=lambda o: o[0])
+def test_row_number_by_matches_window(spark, slice_rows, by, order):
+    o = F.col("id") * 7919 % 1009
     df = spark.range(0, 3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id",
-        (F.col("id") * 7919 % 1009).alias("o"))
-    a = row_number_by(df, ["k"], ["o", "id"], hot_rows=hot_rows)
-    b = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")).cast("bigint"))
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("k"), "id",
+        F.when(F.col("id") % 11 != 0, o).alias("o"), F.lit("x").alias("one"), F.array(o).alias("arr"),
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit("common é"), F.chr(65 + o % 60), o.cast("string"))).alias("t"),
+        F.date_add(F.lit("2020-01-01"), (o % 97).cast("int")).alias("day"), F.timestamp_seconds(o * 1000).alias("ts"),
+        F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 5 == 0, float("-inf")).otherwise(o / 7).alias("odd"))
+    key = F.col(by[0]) if by else F.lit(0)
+    w = Window.partitionBy(key).orderBy(*[F.col(c[1:]).desc() if c[0] == "-" else F.col(c) for c in order])
+    a = row_number_by(df, by, order, slice_rows=slice_rows).select("id", "rn")
+    b = df.select("id", F.row_number().over(w).cast("bigint").alias("rn"))
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
+@pytest.mark.parametrize("key", ["sort_versions", "version_history", "version_labels", "sort_catalog", "unique_slug",
+                                 "group_by_name_versions", "next_iteration", "match_or_insert", "available_name",
+                                 "sort_favorites_first", "clone_jobs", "register_versions", "build_file_catalog",
+                                 "command_tokens"])
+def test_building_a_numbered_plan_runs_nothing_but_schema_reads(spark, key):
+    reads = []
+
+    class Reader:
+        def __getattr__(self, name):
+            reads.append(name)
+            return getattr(spark.read, name)
+
+    class Session:
+        read = Reader()
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    entry.queries()[key](Session(), SF_SMALL)
+    assert jobs() - before <= len(reads), key
 
 
 def test_stream_equals_batch(spark):
