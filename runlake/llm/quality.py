@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.llm.common import WHITE, once, words
+from runlake.llm.common import WHITE, once, stage, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -64,12 +64,11 @@ def _histograms(df: DataFrame) -> DataFrame:
     return once(df, P + "common", F.when(F.col(P + "places").isNotNull(), bins))
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(measured: DataFrame) -> DataFrame:
     """Summed histograms, at most one row per listed language and one more."""
-    h = _histograms(docs.select("text", "lang")).select(P + "ref", P + "chars", P + "common")
     k = len(next(iter(COMMON.values()))) + 1
-    sums = h.groupBy(P + "ref").agg(*[F.sum(F.col(P + "chars")[i]).alias(f"c{i}") for i in range(6)],
-                                    *[F.sum(F.col(P + "common")[i]).alias(f"w{i}") for i in range(k)])
+    sums = measured.groupBy(P + "ref").agg(*[F.sum(F.col(P + "chars")[i]).alias(f"c{i}") for i in range(6)],
+                                           *[F.sum(F.col(P + "common")[i]).alias(f"w{i}") for i in range(k)])
     return sums.select(F.col(P + "ref").alias(P + "of"), F.array(*[f"c{i}" for i in range(6)]).alias(P + "ref_chars"),
                        F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(k)]).alias(P + "ref_common"))
 
@@ -117,25 +116,31 @@ def _base(df: DataFrame) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one struct column ``_q_result``."""
-    refs = references(docs)
-    df = _base(_histograms(docs)).join(F.broadcast(refs), F.col(P + "ref") == F.col(P + "of"))   # at most 5 rows
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all by default) with one struct column ``_q_result``.
+
+    Each text is measured once; its counts are staged beside ``keep``, and both
+    the references and the distances are made from them."""
+    keep = keep or docs.columns
+    measured = stage(_base(_histograms(docs)).select(
+        *keep, P + "ref", P + "chars", P + "common", P + "base", F.col(P + "counted")[0].alias(P + "length")), "quality")
+    df = measured.join(F.broadcast(references(measured)), F.col(P + "ref") == F.col(P + "of"))   # at most 5 rows
     df = once(df, P + "far", F.struct(
-        F.when(F.col(P + "counted")[0] >= MIN_CHARS, js_distance(F.col(P + "chars"), F.col(P + "ref_chars"))).alias("chars"),
-        F.when(F.size(P + "words") >= MIN_WORDS, js_distance(F.col(P + "common"), F.col(P + "ref_common"))).alias("words")))
+        F.when(F.col(P + "length") >= MIN_CHARS, js_distance(F.col(P + "chars"), F.col(P + "ref_chars"))).alias("chars"),
+        F.when(F.col(P + "base")["n_words"] >= MIN_WORDS,
+               js_distance(F.col(P + "common"), F.col(P + "ref_common"))).alias("words")))
     b, far = F.col(P + "base"), F.col(P + "far")
     failed = (b["n_words"] < 20) | (100 * b["n_repeat_words"] > 30 * b["n_words"])
     near = F.coalesce(far["chars"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(far["words"] <= MAX_WORD_DISTANCE, F.lit(True))
     return once(df, P + "result", F.struct(
         *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"), (~failed & near).alias("kept"),
-        far["chars"].alias("char_distance"), far["words"].alias("word_distance"))).select(*docs.columns, P + "result")
+        far["chars"].alias("char_distance"), far["words"].alias("word_distance"))).select(*keep, P + "result")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, kept, char_distance, word_distance."""
-    return judged(docs.select("doc_id", "text", "lang")).select("doc_id", P + "result.*")
+    return judged(docs.select("doc_id", "text", "lang"), ["doc_id"]).select("doc_id", P + "result.*")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
