@@ -67,7 +67,7 @@ def sparse_patch(scripts: DataFrame, patches: DataFrame) -> DataFrame:
         pick("script_order", F.col("script_order"),
              F.when(m["script_order"] != "", m["script_order"].try_cast("int"))).alias("script_order"),
         pick("is_active", F.col("is_active"), null_boolean(m["is_active"])).alias("is_active"),
-        pick("save_path", F.lit(None).cast("string"), F.nullif(m["save_path"], F.lit(""))).alias("save_path"),
+        pick("save_path", F.col("save_path") if "save_path" in scripts.columns else F.lit(None).cast("string"), F.nullif(m["save_path"], F.lit(""))).alias("save_path"),
     )
 
 

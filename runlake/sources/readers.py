@@ -125,10 +125,20 @@ def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
                       "v")))), lambda x: x["v"]), "\n"), 1, SNIFF_BYTES).alias("_head")))
     dialect = head.select("path", _sniff(F.col("_head")).alias("delimiter")).filter(F.col("delimiter").isNotNull())
     rows = numbered.join(dialect, "path")
-    cells = F.when(F.col("delimiter") == ",", F.split("value", ",")).otherwise(F.split("value", "\t"))
+    cells = F.when(F.col("delimiter") == ",", split_cells(F.col("value"), ",")).otherwise(split_cells(F.col("value"), "\t"))
     return rows.select("path", "row_no", cells.alias("cells"), "delimiter")
 
 
+def split_cells(line: Column, sep: str) -> Column:
+    """Cells of a delimited line.  A quoted cell may hold the delimiter, and
+    a doubled quote stands for one; without quotes it is a plain split."""
+    outside = f"{sep}(?=(?:[^\"]*\"[^\"]*\")*+[^\"]*$)"
+    quoted = F.transform(F.split(line, outside), lambda c: F.when(
+        c.rlike('(?s)^".*"$') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')))
+        .otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, sep))
+
+
 def read_params(body: Column, content_type: Column) -> Column:
     """Request body to a flat string map: JSON object, or form encoding
     (``a=1&b=2``) where the last repeated key wins."""

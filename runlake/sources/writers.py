@@ -45,10 +45,22 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_addressed(files: DataFrame, root: str, mode: str = "overwrite") -> DataFrame:
-    """Store each distinct checksum once, laid out by checksum prefix and
-    suffix folders (``partitionBy``), and return the path table."""
+def write_addressed(files: DataFrame, root: str) -> DataFrame:
+    """Add each checksum that the store does not hold yet, once, laid out by
+    checksum prefix and suffix folders (``partitionBy``), and return the path
+    table.  One file id per checksum is chosen first, so contents are read
+    once and never aggregated."""
     paths = write_addressed_paths(files, root)
-    content = files.groupBy("checksum").agg(F.min_by("content", "file_id").alias("content"))
-    paths.join(content, "checksum").write.mode(mode).partitionBy("prefix", "suffix").parquet(root)
+    chosen = files.groupBy("checksum").agg(F.min("file_id").alias("file_id"))
+    if folder_exists(files.sparkSession, root):
+        stored = files.sparkSession.read.schema("checksum string").parquet(root)
+        chosen = chosen.join(stored, "checksum", "left_anti")
+    content = files.select("file_id", "content").join(chosen, "file_id").select("checksum", "content")
+    new = paths.join(content, "checksum").repartition("prefix", "suffix")
+    new.write.mode("append").partitionBy("prefix", "suffix").parquet(root)
     return paths
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

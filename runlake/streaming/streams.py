@@ -9,6 +9,8 @@ restarts) and returns that table as a batch DataFrame.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +38,19 @@ def event_time(c) -> Column:
     return F.make_timestamp(F.year(x), F.month(x), F.dayofmonth(x), F.hour(x), F.minute(x), secs, F.lit("UTC"))
 
 
-def run_stream(df: DataFrame, name: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+def run_stream(df: DataFrame, name: str, mode: str = "complete", keys: list[str] | None = None,
+               location: str | None = None) -> DataFrame:
     """Run a streaming DataFrame to completion (AvailableNow) and return the
     result table.  Complete mode rewrites the table each micro-batch;
     append mode appends; update mode appends each batch's changed rows with
     their batch id, and ``keys`` then selects the latest row per key.
-    Checkpoint and output live under the session's ``spark.checkpoint.dir``."""
+    Checkpoint and output live in ``location``, a shared folder: a run with
+    the same location goes on where the last one stopped.  Without it they
+    get a fresh folder under the session's ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    import uuid
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = (location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}").rstrip("/")
     out = f"{base}/table"
 
     def sink(batch: DataFrame, epoch: int) -> None:

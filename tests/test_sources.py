@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from runlake.operators.commands import _parse_one
 from runlake.sources import readers as R
+from runlake.sources import writers as W
+from runlake.streaming import streams as ST
 
 
 def _write(folder, name, text):
@@ -79,3 +81,34 @@ def test_write_tsv_round_trip(spark):
     R.write_tsv(df, d)
     back = spark.read.option("sep", "\t").option("header", True).csv(d)
     assert sorted((int(r["id"]), r["name"]) for r in back.collect()) == [(1, "a b"), (2, "c")]
+
+
+def test_quoted_cells(spark):
+    df = spark.createDataFrame([('1,"x,y"',), ('"a ""b""",,c',), ("p,q",), ("",), (None,)], "v string")
+    got = [r["c"] for r in df.select(R.split_cells(F.col("v"), ",").alias("c")).collect()]
+    assert got == [["1", "x,y"], ['a "b"', "", "c"], ["p", "q"], [""], None]
+
+
+def test_store_only_adds(spark):
+    root = tempfile.mkdtemp(prefix="runlake-store-") + "/store"
+    first = spark.createDataFrame([(1, "aabb", "a.txt", b"one"), (2, "aabb", "b.txt", b"one")],
+                                  "file_id long, checksum string, filename string, content binary")
+    W.write_addressed(first, root)
+    more = spark.createDataFrame([(3, "aabb", "c.txt", b"one"), (4, "ccdd", "d.txt", b"two")], first.schema)
+    W.write_addressed(more, root)
+    kept = sorted((r["checksum"], bytes(r["content"])) for r in spark.read.parquet(root).collect())
+    assert kept == [("aabb", b"one"), ("ccdd", b"two")]
+
+
+def test_stream_goes_on_where_it_stopped(spark):
+    d = tempfile.mkdtemp(prefix="runlake-stream-")
+    spark.range(3).write.parquet(d + "/in/1")
+
+    def run():
+        s = spark.readStream.schema("id long").option("recursiveFileLookup", True).parquet(d + "/in")
+        return sorted(r["id"] for r in ST.run_stream(s, "restart", "append", location=d + "/state").collect())
+
+    assert run() == [0, 1, 2]
+    assert run() == [0, 1, 2]
+    spark.range(3, 5).write.parquet(d + "/in/2")
+    assert run() == [0, 1, 2, 3, 4]
