@@ -306,6 +306,29 @@ def test_variants_that_only_link_through_their_base(spark):
     assert out == brute_components(texts)
 
 
+def test_variants_that_link_by_what_they_change_alike(spark):
+    """Many near variants of a base, and twins far from it that share their changes or drop the same words."""
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for v in range(150):
+        w = list(base)
+        for k in range(2 + v % 5):
+            w[(v * 11 + k * 37) % 150] = f"v{v}x{k}"
+        texts.append((v, " ".join(w)))
+    for g in range(40):
+        far = list(base)
+        for k in range(5 + g % 5):
+            far[(g * 13 + k * 19) % 150] = "" if g % 2 else f"g{g}x{k}"
+        for twin in range(3):
+            w = list(far)
+            for k in range(twin):
+                w[(g * 17 + k * 61 + twin) % 150] = f"g{g}t{twin}x{k}"
+            texts.append((1000 + 10 * g + twin, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(neardup.near_duplicates(docs))}
+    assert out == brute_components(texts)
+
+
 def test_near_duplicates_odd_rows(odd_documents, no_documents):
     out = rows(neardup.near_duplicates(odd_documents))
     assert len(out) == odd_documents.count()
