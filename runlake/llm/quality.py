@@ -2,49 +2,64 @@
 
 Two histograms describe a document: characters by class (capital, digit, white
 space, common punctuation, symbol, the rest) and words by common word (the
-language's listed function words, and all others).  A language's reference is
+language's most frequent words, and all others).  A language's reference is
 the sum of both over all its documents.  The Jensen-Shannon distance (base 2,
 0 to 1) between document and reference must stay within a limit; documents
 below a minimum length are too small to judge and pass.
 
-References are kept for the listed languages and one for all other documents,
-so there are a fixed few rows of them, sent to every task; for the others
-only characters are compared.  Base counts ride along: words, code points in
-words, symbols, repeated lines and words inside repeated 8-word windows
+Every language with enough documents has its own common words and reference,
+counted from its documents; both tables are bounded and read by the driver.
+A document whose language is null, rare or beyond the bound is compared with
+every reference and judged by the nearest.  Where no language has enough
+documents there is none to compare words with: all documents together are the
+one reference, for characters only.  Base counts ride along: words, code points
+in words, symbols, repeated lines and words inside repeated 8-word windows
 (windows are compared by 64-bit hashes within one document).
 
-Null text counts as empty; null or unknown languages use the shared reference;
-every row is judged by itself, so repeated rows and null ids are no special
-case; extra columns are kept apart under a prefix.  DataFrame functions only.
+Null text counts as empty; every row is judged by itself, so repeated rows and
+null ids are no special case; extra columns are kept apart under a prefix.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.llm.common import WHITE, once, stage, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-# Frequent function words of each language.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was", "with", "on", "be", "by", "are"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "dans", "qui", "par"],
-    "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "im", "dem", "nicht", "ein", "als"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
-}
+TOP_WORDS = 16                        # fixed value: common words of each language
+MIN_DOCS, MAX_LANGUAGES = 10, 64      # fixed values: documents that make a language known, and known languages at most
 MIN_CHARS, MIN_WORDS = 300, 80
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.26
 P = "_q_"                             # prefix of helper columns
 
 
-def _histograms(df: DataFrame) -> DataFrame:
-    """Adds _q_words, _q_ref, _q_chars and _q_common (arrays of counts)."""
+def common_words(docs: DataFrame) -> dict[str | None, list[str]]:
+    """Most frequent words of each known language; only None, without words, where no language is known."""
+    known = [r["lang"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count()
+             .where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    if not known:
+        return {None: []}
+    counts = docs.where(F.col("lang").isin(known)).select("lang", F.explode(words(F.col("text"))).alias("word")) \
+        .groupBy("lang", "word").count()
+    w = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    top = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TOP_WORDS)
+    out = {k: [] for k in sorted(known)}
+    for r in sorted(top.collect(), key=lambda r: r["place"]):      # at most MAX_LANGUAGES * TOP_WORDS rows
+        out[r["lang"]].append(r["word"])
+    return out
+
+
+def _histograms(df: DataFrame, common: dict[str | None, list[str]]) -> DataFrame:
+    """Adds _q_words, _q_ref (place of the known language or null), _q_chars (counts), _q_near (places of the
+    languages to compare with) and _q_common (counts, for each of these)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = once(df, P + "words", words(F.col("text")))
-    lang = F.coalesce(F.when(F.col("lang").isin(*COMMON), F.col("lang")), F.lit("*"))
-    df = once(df, P + "ref", lang)
+    place = F.lit(0) if None in common else F.array_position(F.lit(list(common)), F.col("lang")).cast("int") - 1
+    df = once(df, P + "ref", F.when(place >= 0, place))
     word_chars = F.length(F.array_join(P + "words", ""))
     counted = [F.regexp_count(text, F.lit(c)) for c in ("\\p{Lu}", "[0-9]", "[.,;:!?'\"-]", SYMBOLS)]
     df = once(df, P + "counted", F.array(F.length(text), word_chars, *counted))
@@ -52,25 +67,29 @@ def _histograms(df: DataFrame) -> DataFrame:
     upper, digit, punct, symbol = rest
     df = once(df, P + "chars", F.array(upper, digit, n - inside, punct, symbol,
                                        inside - upper - digit - punct - symbol).cast("array<double>"))
-    listed = F.lit(None).cast("array<string>")
-    for k, v in COMMON.items():
-        listed = F.when(F.col(P + "ref") == k, F.array(*[F.lit(w) for w in v])).otherwise(listed)
-    df = once(df, P + "listed", listed)
-    places = F.array_remove(F.transform(P + "words", lambda w: F.array_position(P + "listed", w)), 0)
-    df = once(df, P + "places", F.when(F.col(P + "listed").isNotNull(), places))
-    k = len(next(iter(COMMON.values())))
-    hits = [F.size(P + "places") - F.size(F.array_remove(P + "places", F.lit(i + 1).cast("long"))) for i in range(k)]
-    bins = F.array(*hits, F.size(P + "words") - F.size(P + "places")).cast("array<double>")
-    return once(df, P + "common", F.when(F.col(P + "places").isNotNull(), bins))
-
-
-def references(measured: DataFrame) -> DataFrame:
-    """Summed histograms, at most one row per listed language and one more."""
-    k = len(next(iter(COMMON.values()))) + 1
-    sums = measured.groupBy(P + "ref").agg(*[F.sum(F.col(P + "chars")[i]).alias(f"c{i}") for i in range(6)],
-                                           *[F.sum(F.col(P + "common")[i]).alias(f"w{i}") for i in range(k)])
-    return sums.select(F.col(P + "ref").alias(P + "of"), F.array(*[f"c{i}" for i in range(6)]).alias(P + "ref_chars"),
-                       F.array(*[F.coalesce(f"w{i}", F.lit(0.0)) for i in range(k)]).alias(P + "ref_common"))
+    df = once(df, P + "near", F.when(F.col(P + "ref").isNotNull(), F.array(P + "ref"))
+              .otherwise(F.sequence(F.lit(0), F.lit(len(common) - 1))))
+    every = sorted({w for listed in common.values() for w in listed})
+    df = once(df, P + "listed", F.filter(P + "words", lambda w: w.isin(every)))
+    lists = F.lit([[*listed, *[None] * (TOP_WORDS - len(listed))] for listed in common.values()]).cast("array<array<string>>")
+    df = once(df, P + "places", F.transform(P + "near", lambda j: F.array_remove(
+        F.transform(P + "listed", lambda w: F.array_position(F.get(lists, j), w)), 0)))
+    return once(df, P + "common", F.transform(P + "places", lambda p: F.array(
+        *[F.size(p) - F.size(F.array_remove(p, F.lit(i + 1).cast("long"))) for i in range(TOP_WORDS)],
+        F.size(P + "words") - F.size(p)).cast("array<double>")))
+
+
+def references(measured: DataFrame, n: int) -> tuple[Column, Column]:
+    """Summed character and word histograms of the ``n`` known languages, in their order."""
+    k = TOP_WORDS + 1
+    sums = measured.where(F.col(P + "ref").isNotNull()).groupBy(P + "ref").agg(
+        *[F.sum(F.col(P + "chars")[i]).alias(f"c{i}") for i in range(6)],
+        *[F.sum(F.col(P + "common")[0][i]).alias(f"w{i}") for i in range(k)])
+    found = {r[P + "ref"]: r for r in sums.collect()}              # at most MAX_LANGUAGES rows
+
+    def part(name: str, size: int) -> Column:
+        return F.lit([[found[j][f"{name}{i}"] if j in found else 0.0 for i in range(size)] for j in range(n)])
+    return part("c", 6), part("w", k)
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -119,16 +138,23 @@ def _base(df: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) with one struct column ``_q_result``.
 
-    Each text is measured once; its counts are staged beside ``keep``, and both
-    the references and the distances are made from them."""
+    Each text is split once for the common words and measured once; its counts
+    are staged beside ``keep``, and both the references and the distances are
+    made from them."""
     keep = keep or docs.columns
-    measured = stage(_base(_histograms(docs)).select(
-        *keep, P + "ref", P + "chars", P + "common", P + "base", F.col(P + "counted")[0].alias(P + "length")), "quality")
-    df = measured.join(F.broadcast(references(measured)), F.col(P + "ref") == F.col(P + "of"))   # at most 5 rows
+    common = common_words(docs)
+    measured = stage(_base(_histograms(docs, common)).select(
+        *keep, P + "ref", P + "near", P + "chars", P + "common", P + "base", F.col(P + "counted")[0].alias(P + "length")),
+        "quality")
+    ref_chars, ref_common = references(measured, len(common))
+    away = F.transform(P + "near", lambda j, i: F.struct(
+        js_distance(F.get(F.col(P + "common"), i), F.get(ref_common, j)).alias("words"),
+        js_distance(F.col(P + "chars"), F.get(ref_chars, j)).alias("chars")))
+    df = once(measured, P + "nearest", F.array_min(away))          # by words, then by characters
     df = once(df, P + "far", F.struct(
-        F.when(F.col(P + "length") >= MIN_CHARS, js_distance(F.col(P + "chars"), F.col(P + "ref_chars"))).alias("chars"),
-        F.when(F.col(P + "base")["n_words"] >= MIN_WORDS,
-               js_distance(F.col(P + "common"), F.col(P + "ref_common"))).alias("words")))
+        F.when(F.col(P + "length") >= MIN_CHARS, F.col(P + "nearest")["chars"]).alias("chars"),
+        F.when((F.col(P + "base")["n_words"] >= MIN_WORDS) & F.lit(None not in common),
+               F.col(P + "nearest")["words"]).alias("words")))
     b, far = F.col(P + "base"), F.col(P + "far")
     failed = (b["n_words"] < 20) | (100 * b["n_repeat_words"] > 30 * b["n_words"])
     near = F.coalesce(far["chars"] <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(far["words"] <= MAX_WORD_DISTANCE, F.lit(True))

@@ -125,6 +125,47 @@ def test_quality_keeps_clean_and_drops_poor(spark):
     assert share[1] > 0.98 and share[0] < 0.4
 
 
+def test_quality_judges_null_rare_and_new_languages_by_words(spark):
+    lang, number = F.col("lang"), F.crc32(F.col("doc_id").cast("string"))
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet").withColumn(
+        "lang", F.when(lang == "es", "xx").when(number % 5 == 0, None).when(number % 499 == 1, "rare").otherwise(lang))
+    assert "xx" in quality.common_words(docs) and "rare" not in quality.common_words(docs)
+    labels = spark.read.parquet(f"{BIGGER}/labels.parquet")
+    out = quality.quality_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("n_words >= 80")
+    assert out.where("word_distance is null").count() == 0
+    assert out.where("lang is null").count() and out.where("lang = 'xx'").count() and out.where("lang = 'rare'").count()
+    judged = rows(out.where("not base_failed and (lang is null or lang in ('xx', 'rare'))").join(labels, "doc_id"))
+    share = {q: np.mean([r["kept"] for r in judged if r["quality"] == q]) for q in (0, 1)}
+    assert share[1] > 0.97 and share[0] < 0.4
+
+
+def test_quality_word_distance_brute_force(documents):
+    docs = [{**r, "lang": None if i % 7 == 0 else r["lang"]} for i, r in enumerate(rows(documents))]
+    count = collections.defaultdict(collections.Counter)
+    for r in docs:
+        if r["lang"]:
+            count[r["lang"]].update(words(r["text"]))
+    top = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:16]] for k, c in count.items()}
+    def bins(t, k):
+        w = words(t)
+        hits = [w.count(x) for x in top[k]]
+        return np.array([*hits, len(w) - sum(hits)], float)
+    ref = {k: sum(bins(r["text"], k) for r in docs if r["lang"] == k) for k in top}
+    def js(a, b):
+        p, q = a / a.sum(), b / b.sum()
+        h = lambda x: sum(v * np.log2(2 * v / w) for v, w in zip(x, p + q) if v > 0)
+        return np.sqrt(max(0, h(p) + h(q)) / 2)
+    made = documents.sparkSession.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs],
+                                                  "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["word_distance"] for r in rows(quality.quality_report(made))}
+    for r in docs:
+        if len(words(r["text"])) >= quality.MIN_WORDS:
+            near = [js(bins(r["text"], k), ref[k]) for k in ([r["lang"]] if r["lang"] else top)]
+            assert abs(got[r["doc_id"]] - min(near)) < 1e-9
+        else:
+            assert got[r["doc_id"]] is None
+
+
 # ---------------------------------------------------------------- sharding
 def check_shards(docs, n=8):
     texts = [(r["doc_id"], r["text"] or "") for r in rows(docs)]
