@@ -392,3 +392,21 @@ def test_fasta_text_before_first_header(spark):
                                "file_id long, line_no long, line string")
     for made in (fasta_records(df), fasta_blocks(df)):
         assert sorted((r["rec_no"], r["header"], r["seq"]) for r in made.collect()) == [(0, "", "ACGT"), (1, ">h", "TT")]
+
+
+def test_heatmap_columns_reads_fifty_columns(spark):
+    import numpy as np
+
+    import __spark_entry__ as entry
+    from runlake.operators import matrix as M
+    from runlake.sources.tables import v_wide
+    got = sorted((r["position"], r["column"]) for r in entry.queries()["heatmap_columns"](spark, "/root/testdata/sf0.001").collect())
+    cols = [f"d{i}" for i in range(50)]
+    assert [p for p, _ in got] == list(range(1, 51)) and sorted(c for _, c in got) == sorted(cols)
+    wide = v_wide(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    x = wide.select(*cols).toPandas().to_numpy()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = np.where(x > 0, np.log2(x), np.where(x == 0, -np.inf, np.nan))
+    x[np.isneginf(x)] = x[np.isfinite(x)].min()
+    dist = np.sqrt(np.nansum((x[:, :, None] - x[:, None, :]) ** 2, axis=0))
+    assert [c for _, c in got] == M.average_linkage_order(cols, dist)
