@@ -26,7 +26,8 @@ ASCII-lower-cased words).
 
 Without words or text the set is empty and linked with nothing.  A row without
 doc_id links with nothing, has no component and is kept.  Rows that repeat a
-doc_id are one node.  Only doc_id and text are read.
+doc_id are one node; ``deduplicated`` takes texts as nodes instead, so no text
+is lost for sharing its id.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.llm.common import once, small_batches, stage
@@ -100,8 +101,8 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return odd[:SHINGLE], rng.integers(0, 1 << 63, 2 * WIDTH, dtype=np.uint64), odd.reshape(BANDS, ROWS)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, bands (the last two null without shingles)."""
+def sketches(docs: DataFrame, *also: Column) -> DataFrame:
+    """doc_id, columns ``also``, n_shingles, digest, bands (the last two null without shingles)."""
     @F.pandas_udf("n_shingles long, digest binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         odd, seeds, band_odd = _constants()
@@ -121,7 +122,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append(_mix64((_mix64(rows) * band_odd).sum(axis=1, dtype=np.uint64) + band_ids).view(np.int64))
             yield pd.DataFrame({"n_shingles": n, "digest": digests, "bands": bands})
 
-    return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
+    made = docs.select("doc_id", *also, sketch("text").alias("s"))
+    return made.select(*made.columns[:-1], "s.*")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -248,34 +250,49 @@ def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     return links.unionByName(pivots).unionByName(_verified(stage(rest, "nd-rest"), sets))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+def _placed(docs: DataFrame, *also: Column, id_is_node: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows that link with something, with the ``root`` of their component, and all others (doc_id, n_shingles).
+
+    With ``id_is_node`` rows that repeat a doc_id are one node, whatever their texts."""
     with small_batches(docs.sparkSession):
-        found = stage(sketches(docs).withColumn("key", F.monotonically_increasing_id()), "nd-sketches")
+        found = stage(sketches(docs, *also).withColumn("key", F.monotonically_increasing_id()), "nd-sketches")
+    extra = [c for c in found.columns if c not in ("doc_id", "n_shingles", "digest", "bands", "key")]
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = found.where(usable).groupBy("digest").agg(F.min("key").alias("cid"))
     members = stage(found.where(usable).join(classes, "digest").select(
-        "key", "doc_id", "n_shingles", "digest", "cid", F.when(F.col("key") == F.col("cid"), F.col("bands")).alias("bands")),
+        "key", "doc_id", *extra, "n_shingles", "digest", "cid", F.when(F.col("key") == F.col("cid"), F.col("bands")).alias("bands")),
         "nd-members")
     links = _class_links(members, docs)
-    # rows that repeat a doc_id are one node, whatever their texts
-    same_id = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("_top")).where("a < _top")
-    links = links.unionByName(members.join(same_id, "doc_id").select("a", F.col("cid").alias("b")).where("a < b"))
+    if id_is_node:
+        same_id = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("_top")).where("a < _top")
+        links = links.unionByName(members.join(same_id, "doc_id").select("a", F.col("cid").alias("b")).where("a < b"))
     roots = components(links)
+    placed = members.join(roots, F.col("cid") == F.col("node"), "left").select(
+        "doc_id", *extra, "n_shingles", F.coalesce("root", "cid").alias("root"))
+    return stage(placed, "nd-placed"), found.where(~usable).select("doc_id", "n_shingles")
+
 
-    placed = stage(members.join(roots, F.col("cid") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "cid").alias("root")), "nd-placed")
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    placed, others = _placed(docs, id_is_node=True)
     least = placed.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(least, F.col("root") == F.col("_root")).select("doc_id", "n_shingles", "component_id")
-    alone = found.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = others.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay: one per component, and of rows that repeat a doc_id one."""
-    kept = near_duplicates(docs).where("kept and n_shingles > 0").select("doc_id").where("doc_id is not null").distinct()
+    """Rows of ``docs`` that stay: one per component of texts, and all without doc_id or words.
+
+    Texts that share a doc_id stay apart unless they are alike.  Of a component
+    the least doc_id stays, of its texts the least by md5, and of rows equal in
+    both the least by a hash of all columns, so reruns agree."""
+    placed, _ = _placed(docs, F.md5("text").alias("_nd_text"), id_is_node=False)
+    kept = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_nd_text")).alias("k")).select("k.*")
     has_word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     linked = F.col("doc_id").isNotNull() & has_word
-    one_each = docs.where(linked).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.where(linked).withColumn("_nd_text", F.md5("text")).join(kept, ["doc_id", "_nd_text"], "left_semi")
+    one_each = rows.groupBy("doc_id", "_nd_text").agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
     return one_each.unionByName(docs.where(~linked))

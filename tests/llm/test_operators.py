@@ -380,6 +380,18 @@ def test_near_duplicates_odd_rows(odd_documents, no_documents):
     assert neardup.near_duplicates(no_documents).count() == 0
 
 
+def test_deduplicated_keeps_unrelated_texts_of_one_id(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    made = [(1, text["a"], "x"), (1, text["b"], "x"), (1, text["b"] + " end", "x"), (2, text["b"], "x"), (2, text["c"], "y"),
+            (2, text["c"], "x"), (3, text["d"], "x"), (3, text["d"].upper(), "x"), (4, text["c"], "x")]
+    left = []
+    for order in (made, made[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        left.append(sorted((r["doc_id"], r["text"], r["source"]) for r in rows(neardup.deduplicated(docs))))
+    assert left[0] == left[1]
+    assert sorted((i, t[0].lower()) for i, t, _ in left[0]) == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
 def test_sketch_agreement_is_jaccard():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
