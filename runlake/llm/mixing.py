@@ -10,7 +10,7 @@
    quota are void, and what a source still lacks is drawn by one settling
    shard: totals come out exact, whatever the noise of the draws.
 4. A slot's index gives an epoch and a position; a per-source, per-epoch
-   pseudorandom permutation maps the position to a block.  An epoch holds
+   affine permutation (multiplier and shift from hashes) maps it to a block.  An epoch holds
    each block once, so nothing is taken more than ``max_epochs`` times.  In
    the last, partial epoch the block that crosses the target is cut there.
 5. Slots and documents meet in an equi-join on (source, block).
@@ -82,6 +82,27 @@ def source_plan(targets: DataFrame, block: int) -> DataFrame:
     return t.select("*", (F.col("epochs") * F.col("blocks") + tail).cast("long").alias("slots"))
 
 
+def _multipliers() -> Column:
+    """One multiplier per epoch of a source, coprime to its blocks: the first that is so of 64 hashes.
+
+    1 and blocks - 1 keep neighbours together, so they are taken only where no other was drawn."""
+    n = F.col("blocks")
+
+    def coprime(a: Column) -> Column:
+        ends = F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(a.alias("a"), n.alias("b")), lambda s, _: F.when(
+            s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))))
+        return ends["a"] == 1
+
+    def of_epoch(epoch: Column) -> Column:
+        drawn = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.pmod(
+            F.xxhash64(F.lit(SEED), F.col("rank"), epoch, F.lit("multiplier"), i), F.greatest(n - 1, F.lit(1))) + 1)
+        fit = F.filter(drawn, coprime)
+        mixing = F.filter(fit, lambda a: (a > 1) & (a < n - 1))
+        return F.coalesce(F.get(mixing, F.lit(0)), F.get(fit, F.lit(0)), F.lit(1).cast("long"))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs")), of_epoch)
+
+
 def draw_slots(plan: DataFrame, per_shard: int) -> DataFrame:
     """The columns of ``plan`` and ``index``: one row per slot, ``slots`` per source.
 
@@ -112,11 +133,11 @@ def draw_slots(plan: DataFrame, per_shard: int) -> DataFrame:
 
 def taken_blocks(plan: DataFrame, block: int, per_shard: int) -> DataFrame:
     """rank, epoch, block, taken: the first ``taken`` words of a block are in the mix."""
-    slots = draw_slots(plan, per_shard)
+    slots = draw_slots(plan.withColumn("multipliers", _multipliers()), per_shard)
     slots = slots.select("*", F.expr("index div blocks").alias("epoch"), F.expr("index % blocks").alias("pos"))
-    # x -> (a x + b) mod n permutes 0..n-1, as the prime a does not divide n.  b is chosen so that the
-    # short last block stands at position `last_pos`, which fixes the words before every position.
-    a = F.when(F.col("blocks") % 99999989 == 0, F.lit(99999971)).otherwise(F.lit(99999989)) % F.col("blocks")
+    # x -> (a x + b) mod n permutes 0..n-1, as a and n are coprime.  b is chosen so that the short
+    # last block stands at position `last_pos`, which fixes the words before every position.
+    a = F.get("multipliers", F.col("epoch").cast("int"))
     last = F.floor(_uniform(F.col("rank"), F.col("epoch"), F.lit("last")) * F.col("blocks"))
     slots = slots.select("*", a.cast("long").alias("_a"), last.cast("long").alias("last_pos"))
     slots = slots.select("*", F.expr(

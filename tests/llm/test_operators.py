@@ -468,6 +468,22 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(frame([]), frame([])).count() == 0
 
 
+def test_mix_permutations_differ_by_source_and_epoch(spark):
+    blocks = [1, 2, 3, 4, 6, 11, 22, 44, 60, 97, 210, 1000, 1000]
+    plan = spark.createDataFrame([(i, n, 16, 2, 7 if n > 1 else 0, 3 * n if n > 1 else 2, n * 16) for i, n in enumerate(blocks)],
+                                 "rank int, blocks long, last_len long, epochs long, rest long, slots long, source_size long")
+    made = {r["rank"]: r["multipliers"] for r in rows(plan.withColumn("multipliers", mixing._multipliers()))}
+    for i, n in enumerate(blocks):
+        assert len(made[i]) == 3 and all(np.gcd(a, n) == 1 and 1 <= a <= max(1, n - 1) for a in made[i])
+        if n in (11, 22, 44, 60, 97, 210, 1000):
+            assert all(a % n not in (1, n - 1) for a in made[i])
+    assert len({tuple(made[i]) for i in (11, 12)}) == 2 and len({*made[11], *made[12]}) > 3
+    taken = rows(mixing.taken_blocks(plan, 16, 64))
+    for i, n in enumerate(blocks):
+        for epoch in (0, 1):
+            assert sorted(r["block"] for r in taken if r["rank"] == i and r["epoch"] == epoch) == list(range(n))
+
+
 # ---------------------------------------------------------------- quality and mixing on odd rows, pipeline
 def test_filters_keep_columns(odd_documents, no_documents):
     kept = quality.kept_documents(odd_documents)
