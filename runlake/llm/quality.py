@@ -2,7 +2,7 @@
 
 Two histograms describe a document: characters by class (capital, digit, white
 space, common punctuation, symbol, the rest) and words by common word (the
-language's most frequent words, and all others).  A language's reference is
+words in most of the language's documents, and all others).  A language's reference is
 the sum of both over all its documents.  The Jensen-Shannon distance (base 2,
 0 to 1) between document and reference must stay within a limit; documents
 below a minimum length are too small to judge and pass.
@@ -38,12 +38,12 @@ P = "_q_"                             # prefix of helper columns
 
 
 def common_words(docs: DataFrame) -> dict[str | None, list[str]]:
-    """Most frequent words of each known language; only None, without words, where no language is known."""
+    """Words in most documents of each known language (a text that repeats a line counts once); only None, without words, where no language is known."""
     known = [r["lang"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count()
              .where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     if not known:
         return {None: []}
-    counts = docs.where(F.col("lang").isin(known)).select("lang", F.explode(words(F.col("text"))).alias("word")) \
+    counts = docs.where(F.col("lang").isin(known)).select("lang", F.explode(F.array_distinct(words(F.col("text")))).alias("word")) \
         .groupBy("lang", "word").count()
     w = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TOP_WORDS)

@@ -139,12 +139,19 @@ def test_quality_judges_null_rare_and_new_languages_by_words(spark):
     assert share[1] > 0.97 and share[0] < 0.4
 
 
+def test_quality_common_words_ignore_repeats_in_a_document(spark):
+    made = [(i, "the cat " + ("zz " * 500 if i == 0 else "") + f"w{i}", "en") for i in range(20)]
+    made += [(100 + i, f"the cat also{i % 15} v{i}", "en") for i in range(200)]
+    top = quality.common_words(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert set(top["en"][:2]) == {"cat", "the"} and "zz" not in top["en"]
+
+
 def test_quality_word_distance_brute_force(documents):
     docs = [{**r, "lang": None if i % 7 == 0 else r["lang"]} for i, r in enumerate(rows(documents))]
     count = collections.defaultdict(collections.Counter)
     for r in docs:
         if r["lang"]:
-            count[r["lang"]].update(words(r["text"]))
+            count[r["lang"]].update(set(words(r["text"])))
     top = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:16]] for k, c in count.items()}
     def bins(t, k):
         w = words(t)
