@@ -4,6 +4,7 @@ The classifiers, tokenizers, hashes and seeded draws of the others have no SQL
 form; tests hold those queries against brute force or held-out labels.
 """
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -65,4 +66,18 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
         FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_dual_tree_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                       {_TERM}) AS ts FROM documents),
+        i AS (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                       {_TERM})) AS t FROM benchmark),
+        q AS (SELECT k, item_id, t, count(*) AS c FROM i GROUP BY ALL),
+        g AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+        f AS (SELECT k, doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+        v AS (SELECT k, doc_id, t, any_value(n) AS n, count(*) AS tf FROM f WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM v, g GROUP BY t),
+        s AS (SELECT q.k AS ik, q.item_id, v.k AS dk, v.doc_id, CAST(sum(q.c * w.w * ((1000000000 * v.tf) // (1000 * v.tf + 12 * (75 + (25 * v.n * g.docs) // g.words)))) AS BIGINT) AS score
+              FROM q JOIN v USING (t) JOIN w USING (t), g GROUP BY ALL),
+        r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY ik ORDER BY score DESC, doc_id, dk) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runlake.llm import langid, merkle, mixing, neardup, packing, preference, quality, sharding, toxicity, url_filter
+from runlake.llm import (extraction, langid, lexical, merkle, mixing, neardup, packing, preference, quality, sharding,
+                         toxicity, url_filter, whitening)
 from runlake.llm.common import crc32_fold
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,8 +76,21 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_distribution_quality, op3_byte_shards, op4_toxicity, op5_preference_pairs,
-        op6_large_item_packing, op7_merkle_fingerprints, op8_source_mixing, op9_language_id, op10_minhash_neardup)}
+        op6_large_item_packing, op7_merkle_fingerprints, op8_source_mixing, op9_language_id, op10_minhash_neardup,
+        op11_host_consensus, op12_dual_tree_search, op13_incremental_whitening)}
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -34,7 +34,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     cur = con.execute(ORACLE_SQL[name])
