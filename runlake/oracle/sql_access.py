@@ -99,3 +99,19 @@ oracle("keyword_search_docs", """
 SELECT doc_id FROM documents
 WHERE (coalesce(contains(lower(text), 'the and'), false) OR coalesce(contains(lower(source), 'the and'), false))
   AND (coalesce(contains(lower(text), 'of'), false) OR coalesce(contains(lower(source), 'of'), false))""")
+
+oracle("keyword_search_queries", r"""
+WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '[^\p{L}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+q AS (SELECT item_id AS query_id, regexp_replace(trim(coalesce(w[1], '') || ' ' || coalesce(w[2], '')), ' +', ' ', 'g') AS phrase,
+             lower(coalesce(w[5], '')) AS a, lower(coalesce(w[8], '')) AS b FROM w),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS s FROM documents)
+SELECT query_id, doc_id FROM q JOIN d
+  ON (contains(t, lower(phrase)) OR contains(s, lower(phrase))) AND (contains(t, a) OR contains(s, a))
+ AND (contains(t, b) OR contains(s, b))""")
+
+oracle("keyword_search_users", """
+WITH q AS (SELECT s_suppkey AS query_id, substr(s_name, 12, 7) AS a,
+                  CASE s_suppkey % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'ure' ELSE '' END AS b FROM supplier),
+u AS (SELECT user_id, lower(username) AS n, lower(user_group) AS g FROM v_user)
+SELECT query_id, user_id FROM q JOIN u
+  ON (contains(n, a) OR contains(g, a)) AND (contains(n, b) OR contains(g, b))""")

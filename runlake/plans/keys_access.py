@@ -80,3 +80,26 @@ def _keyword_search(c):
 @key("keyword_search_docs")
 def _keyword_search_docs(c):
     return S.keyword_search(c.t("documents"), DOC_QUERY, ["text", "source"]).select("doc_id")
+
+
+def _phrase_queries(c):
+    """A search per benchmark item: its first three words as a phrase, and its fifth and eighth word."""
+    w = F.split(F.btrim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    return c.t("benchmark").select(F.col("item_id").alias("query_id"), F.concat(
+        F.lit('"'), at(0), F.lit(" "), at(1), F.lit('" '), at(4), F.lit(" "), F.upper(at(7))).alias("query"))
+
+
+@key("keyword_search_queries")
+def _keyword_search_queries(c):
+    """Every search of a query table, over whole documents."""
+    return S.search_queries(c.t("documents"), "doc_id", _phrase_queries(c), ["text", "source"])
+
+
+@key("keyword_search_users")
+def _keyword_search_users(c):
+    """A search per supplier: its number, cut to seven digits, and a word that any segment or name may hold."""
+    asked = c.t("supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(
+        F.substring("s_name", 12, 7), F.when(F.col("s_suppkey") % 3 == 0, F.lit(" u")).when(
+            F.col("s_suppkey") % 3 == 1, F.lit(" URE")).otherwise(F.lit(""))).alias("query"))
+    return S.search_queries(c.user(), "user_id", asked, ["username", "user_group"])

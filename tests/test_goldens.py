@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlake.functions import text as T
@@ -13,7 +14,8 @@ from runlake.operators import files as FL
 from runlake.operators import jobs as J
 from runlake.operators import params as PR
 from runlake.operators import patches as PT
-from runlake.operators.search import keyword_search, search_many
+from runlake.operators import search as search_ops
+from runlake.operators.search import keyword_search, search_queries
 
 
 def _one(spark, col):
@@ -115,10 +117,24 @@ def test_keyword_search_one_and_many(spark):
         return [r["id"] for r in keyword_search(rows, query, ["name", "note"]).orderBy("id").collect()]
 
     assert found("big red") == [1, 2] and found('"red fox"') == [1] and found("") == [1, 2, 3] and found("cat") == []
-    asked = spark.createDataFrame([(7, "dog"), (8, "red"), (9, None)], "query_id int, query string")
-    got = {(r["query_id"], r["id"]) for r in search_many(rows, asked, ["name", "note"]).collect()}
-    assert got == {(7, 2), (8, 1), (8, 2), (9, 1), (9, 2), (9, 3)}
-    assert search_many(rows, asked.limit(0), ["name"]).count() == 0
+
+
+@pytest.mark.parametrize("salt_rows", [200_000, 1])
+def test_search_for_a_table_of_queries(spark, monkeypatch, salt_rows):
+    """Long, short and empty terms, phrases, terms across columns, hot grams in salted groups."""
+    monkeypatch.setattr(search_ops, "SALT_ROWS", salt_rows)
+    rows = [(1, "A  big Red fox", None), (2, "red", "BIG dog"), (3, None, None), (4, "\u00c9t\u00e9 in caf\u00e9\nnew line", "x"),
+            (5, "redo the dog", "abc"), (6, "aaab", "")] + [(i, f"common red {i}", "ab") for i in range(10, 40)]
+    asked = [(7, "dog"), (8, "red"), (9, None), (10, ""), (11, "a b"), (12, "re ed dog"), (13, '"red fox" big'), (14, "zzz red"),
+             (15, "\u00c9T\u00c9"), (16, "ab"), (17, "aaa aab"), (18, "red red"), (19, "common 1"), (8, "abc")]
+    df = spark.createDataFrame(rows, "id int, name string, note string")
+    queries = spark.createDataFrame(asked, "query_id int, query string").where("query_id <> 8 or query = 'red'")
+    got = sorted((r["query_id"], r["id"]) for r in search_queries(df, "id", queries, ["name", "note"]).collect())
+    want = sorted((k, r["id"]) for k, q in asked if (k, q) != (8, "abc")
+                  for r in keyword_search(df, q or "", ["name", "note"]).collect())
+    assert got == want
+    assert search_queries(df, "id", queries.limit(0), ["name"]).count() == 0
+    assert search_queries(df.limit(0), "id", queries, ["name"]).count() == 0
 
 
 def test_bearer_token(spark):
