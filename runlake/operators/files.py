@@ -9,17 +9,13 @@ scan.
 
 from __future__ import annotations
 
-import csv
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from runlake.functions.delimited import HEAD, delimiter_of
 from runlake.functions.paths import basename, normalize_ref
 from runlake.operators.ranking import free_numbers, row_number_by
 
-SNIFF_BYTES = 16 * 1024          # fixed value: delimiter sniff window
 FASTA_PREVIEW_LINES = 30         # fixed value: fasta preview window
 PREVIEW_HEAD = 5                 # fixed value: rows kept at each end of a long table
 PREVIEW_LIMIT = 10               # fixed value: tables up to this many rows are shown whole
@@ -74,37 +70,21 @@ def is_fasta(text: Column) -> Column:
     return F.coalesce(first_ok & (caret > 0) & has_seq, F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def sniff_delimiter(head: pd.Series) -> pd.Series:
-    """Delimiter (',' or tab) found by the standard library sniffer on the
-    16 KiB head of a file, NULL when the file is not delimited text."""
-    sniffer = csv.Sniffer()
-
-    def one(h):
-        if h is None:
-            return None
-        try:
-            return sniffer.sniff(h, delimiters=",\t").delimiter
-        except Exception:  # noqa: BLE001 - the sniffer signals "not tabular" by raising
-            return None
-
-    return head.map(one)
-
-
 def classify_files(files: DataFrame, sniff: bool = True) -> DataFrame:
     """Type per file, tested in the order image, fasta, tabular, else NULL.
 
-    Only a bounded head of each file (16 KiB) is sent to Python, and only
-    for files that are neither images nor fasta.  ``sniff=False`` applies
-    the byte and line rules only (no delimiter sniffing).
+    Only a bounded head of each file (16 KiB) decides on its delimiter, and
+    only for files that are neither images nor fasta.  ``sniff=False`` applies
+    the byte and line rules only (no delimiter).
     """
     text = F.col("content").cast("string")
     head = F.substring(F.col("content").cast("binary"), 1, 16)
     img = is_image(head)
     fa = is_fasta(text)
     typed = files.select("file_id", "path", "size_bytes", img.alias("_img"), fa.alias("_fa"),
-                         F.when(~img & ~fa, F.substring(text, 1, SNIFF_BYTES)).alias("_head"))
-    delim = sniff_delimiter(F.col("_head")) if sniff else F.lit(None).cast("string")
+                         F.when(~img & ~fa, F.substring(text, 1, HEAD)).alias("_head"),
+                         (F.length(text) <= HEAD).alias("_whole"))
+    delim = delimiter_of(F.col("_head"), F.col("_whole")) if sniff else F.lit(None).cast("string")
     return typed.select("file_id", "path", "size_bytes",
                         F.when(F.col("_img"), "image").when(F.col("_fa"), "fasta")
                          .when(delim.isNotNull(), "tabular").alias("filetype"),

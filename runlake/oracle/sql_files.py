@@ -19,6 +19,30 @@ _TYPED = r"""
 _GROUP = """CASE WHEN ends_with(path, '.tar.gz') OR ends_with(path, '.zip') THEN 'archives'
                  ELSE coalesce(filetype, 'all') END"""
 
+oracle("classify_files", r"""
+WITH c AS (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN content ELSE regexp_replace(
+             regexp_replace(content, '[,\t"]', ' ', 'g'), '(?m)^([^ \n]+) ?',
+             CASE WHEN file_id % 3 = 1 THEN '\1,"a, ""b"" c",' ELSE '\1' || chr(9) || 'x' || chr(9) END, 'g') END AS content FROM v_file),
+l AS (SELECT file_id, i AS line_no, string_split(content, chr(10))[i] AS line
+      FROM c, generate_series(1, least(30, len(string_split(content, chr(10))))) AS g(i)),
+fa AS (SELECT file_id FROM l WHERE regexp_matches(line, '\S') GROUP BY file_id
+       HAVING min(line_no) FILTER (WHERE line LIKE '>%') = min(line_no) FILTER (WHERE line NOT LIKE ';%')
+          AND max(line_no) FILTER (WHERE line NOT LIKE '>%') > min(line_no) FILTER (WHERE line LIKE '>%')),
+h AS (SELECT file_id, length(content) <= 16384 AS whole,
+             string_split(regexp_replace(substr(content, 1, 16384), '(^|[,\t\n])"(?:[^"]|"")*(?:"|$)', '\1', 'g'), chr(10)) AS ls
+      FROM c WHERE file_id NOT IN (SELECT file_id FROM fa)),
+k AS (SELECT file_id, unnest(CASE WHEN whole OR len(ls) = 1 THEN ls ELSE ls[1:len(ls) - 1] END) AS line FROM h),
+n AS (SELECT file_id, d.k, d.d, length(line) - length(replace(line, d.d, '')) AS cells
+      FROM k CROSS JOIN (VALUES (0, ','), (-1, chr(9))) AS d(k, d) WHERE rtrim(line, chr(13)) <> ''),
+a AS (SELECT file_id, k, d, cells, count(*) AS lines, sum(count(*)) OVER (PARTITION BY file_id, k, d) AS total
+      FROM n GROUP BY file_id, k, d, cells),
+b AS (SELECT file_id, d, row_number() OVER (PARTITION BY file_id ORDER BY lines DESC, cells DESC, k DESC) AS r
+      FROM (SELECT *, row_number() OVER (PARTITION BY file_id, k ORDER BY lines DESC, cells DESC) AS best FROM a WHERE cells > 0)
+      WHERE best = 1 AND lines >= 0.9 * total)
+SELECT c.file_id, CASE WHEN fa.file_id IS NOT NULL THEN 'fasta' WHEN b.d IS NOT NULL THEN 'tabular' END AS filetype,
+       b.d AS delimiter
+FROM c LEFT JOIN fa ON fa.file_id = c.file_id LEFT JOIN b ON b.file_id = c.file_id AND b.r = 1""")
+
 oracle("classify_group", f"""
 WITH t AS ({_TYPED}),
 g AS (SELECT file_id, size_bytes, {_GROUP} AS grp FROM t),

@@ -6,6 +6,15 @@ oracle("read_delimited", """
 SELECT major, minor, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3, round(c4, 6) AS c4
 FROM v_matrix""")
 
+oracle("read_sniffed", """
+SELECT ',' AS delimiter, doc_id AS id, coalesce(source, '') AS name, coalesce(text, '') AS content, CAST(3 AS BIGINT) AS n_cells
+FROM documents
+UNION ALL
+SELECT chr(9), event_id, event_type, props, CAST(3 AS BIGINT) FROM events""")
+
+oracle("read_records", """
+SELECT page_id, CAST(3 AS BIGINT) AS n_cells, sha1(coalesce(html, '')) AS html_sha1 FROM pages""")
+
 oracle("write_fasta", r"""
 WITH r AS (
   SELECT *, sum(CASE WHEN line LIKE '>%' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS rec_no

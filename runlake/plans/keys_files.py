@@ -11,8 +11,11 @@ from runlake.plans.queries import key
 
 @key("classify_files")
 def _classify_files(c):
-    """Type detection including the delimiter sniffer (rows-only check)."""
-    return FL.classify_files(c.file()).select("file_id", "filetype", "delimiter")
+    """Types of all files; a third of them hold their lines as rows of comma cells, a third as rows of tab cells."""
+    table = F.regexp_replace(F.regexp_replace("content", "[,\t\"]", " "), "(?md)^([^ \n]+) ?", F.when(
+        F.col("file_id") % 3 == 1, F.lit('$1,"a, ""b"" c",')).otherwise(F.lit("$1\tx\t")))
+    content = F.when(F.col("file_id") % 3 == 0, F.col("content")).otherwise(table)
+    return FL.classify_files(c.file().withColumn("content", content)).select("file_id", "filetype", "delimiter")
 
 
 def _typed(c):

@@ -46,15 +46,31 @@ def _scan_scripts(c):
     return paths.filter(R.script_filter(F.col("path")))
 
 
+def _quoted(df, path, sep):
+    """Written with every cell quoted, quotes doubled and line breaks kept."""
+    df.write.option("sep", sep).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 @key("read_sniffed")
 def _read_sniffed(c):
-    """Comma and tab files of unknown dialect read back (rows-only check)."""
+    """A comma file of whole texts with line breaks and a tab file of JSON, of unknown dialect, read back."""
     base = W.scratch_path(c.spark, "sniff")
-    c.matrix().write.option("header", True).csv(f"{base}/comma")
-    c.t("events").select("event_id", "event_type", "value").write.option("sep", "\t").option(
-        "header", True).csv(f"{base}/tab")
+    _quoted(c.t("documents").select("doc_id", "source", "text"), f"{base}/comma", ",")
+    c.t("events").select("event_id", "event_type", "props").write.option("sep", "\t").option("escape", '"').csv(f"{base}/tab")
     return R.read_sniffed(c.spark, base + "/*/*.csv").select(
-        "row_no", "delimiter", F.size("cells").cast("bigint").alias("n_cells"))
+        "delimiter", F.get("cells", F.lit(0)).cast("bigint").alias("id"), F.get("cells", F.lit(1)).alias("name"),
+        F.get("cells", F.lit(2)).alias("content"), F.size("cells").cast("bigint").alias("n_cells"))
+
+
+@key("read_records")
+def _read_records(c):
+    """Raw pages as one comma file, and the number of cells and the bytes of every record read back."""
+    path = W.scratch_path(c.spark, "records")
+    _quoted(c.t("pages").select("page_id", "url", "html"), path, ",")
+    return R.read_records(c.spark, path, ",").select(
+        F.get("cells", F.lit(0)).cast("bigint").alias("page_id"), F.size("cells").cast("bigint").alias("n_cells"),
+        F.sha1(F.get("cells", F.lit(2))).alias("html_sha1"))
 
 
 def _bodies(c):

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from runlake.functions.delimited import HEAD, delimiter_of, ends_inside, split_cells
 from runlake.functions.text import last_wins_map
 from runlake.operators.ranking import row_number_by
 
-SNIFF_BYTES = 16 * 1024      # fixed value: sniff window
-
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", index: str | list[str] | None = None,
                    schema=None, numeric: bool = True) -> DataFrame:
@@ -35,17 +30,21 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """FASTA files to (path, rec_no, header, seq).
 
-    The text source splits on ``\\n>`` so each row is one record (the first
-    keeps its ``>``); files are split between tasks by Hadoop's record
-    reader.  Record numbers follow file order and are computed without a
+    The text source splits on ``\\n>`` so each row is one record; files are
+    split between tasks by Hadoop's record reader.  Only the first row of a
+    file still has its ``>``; without one it is sequence under an empty
+    header.  Record numbers follow file order and are computed without a
     per-file window.
     """
     raw = (spark.read.option("lineSep", "\n>").text(path)
                 .select(F.col("_metadata.file_path").alias("path"), F.col("value"),
                         F.monotonically_increasing_id().alias("_pos")))
-    body = F.regexp_replace(F.col("value"), "^>", "")
-    lines = F.split(body, "\n")
-    rec = raw.select("path", "_pos", F.element_at(lines, 1).alias("header"),
+    first = raw.groupBy("path").agg(F.min("_pos").alias("_first"))
+    headless = (F.col("_pos") == F.col("_first")) & ~F.startswith("value", F.lit(">"))
+    raw = raw.join(first, "path").select("path", "_pos", F.when(headless, F.concat(F.lit("\n"), "value")).when(
+        F.col("_pos") == F.col("_first"), F.substr("value", F.lit(2))).otherwise(F.col("value")).alias("value"))
+    lines = F.split("value", "\n")
+    rec = raw.select("path", "_pos", F.rtrim(F.element_at(lines, 1), F.lit("\r")).alias("header"),
                      F.array_join(F.transform(F.slice(lines, 2, 1 << 30), lambda l: F.btrim(l, F.lit(" \t\r"))), "")
                       .alias("seq"))
     rec = rec.filter(F.col("seq") != "")
@@ -88,55 +87,104 @@ def scan_scripts(spark: SparkSession, folder: str) -> DataFrame:
                                                          F.sha1("content").alias("checksum"))
 
 
-@F.pandas_udf(StringType())
-def _sniff(head: pd.Series) -> pd.Series:
-    sniffer = csv.Sniffer()
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, _block (where its file block starts), _id (order within the block), value: lines, files split between tasks."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_size"), F.monotonically_increasing_id().alias("_id"), "value")
 
-    def one(h):
-        try:
-            return sniffer.sniff(h[:SNIFF_BYTES], delimiters=",\t").delimiter if h else None
-        except Exception:  # noqa: BLE001 - not delimited text
-            return None
 
-    return head.map(one)
+def _composed(order: Window, jump: Column, stay: Column) -> tuple[Column, Column]:
+    """Last jump in front of a row, and whether an odd number of flips lies between it and the row.
 
+    A line (or block) maps "inside quotes or not" in front of it to the same
+    behind it: it jumps to a fixed value (``jump``, else null), or flips, or keeps it (``stay``)."""
+    flips = F.sum(F.when(jump.isNull() & ~stay, 1).otherwise(0))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(jump.isNotNull(), F.struct(jump.alias("to"), F.col("_flips").alias("at"))), ignorenulls=True).over(before)
+    return flips.over(upto), last
+
+
+def _inside(last: Column, flips_before: Column, opened: Column) -> Column:
+    odd = lambda n: n % 2 == 1
+    return F.when(last.isNotNull(), last["to"] != odd(flips_before - last["at"])).otherwise(opened != odd(flips_before))
 
-def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited files of unknown dialect to (path, row_no, cells).
 
-    Only the first 16 KiB of each file go through the standard library
-    sniffer (one small group per file); the rows are then split natively
-    with the file's delimiter.  Files the sniffer rejects are not tabular
-    and give no rows.
+def read_records(spark: SparkSession, path: str, sep: str | None = ",", dialects: DataFrame | None = None) -> DataFrame:
+    """Delimited files to (path, row_no, delimiter, record, cells); quoted cells may hold line breaks.
+
+    Files are read in parallel blocks, and whether a line starts inside quotes
+    follows from a prefix scan: every line maps the state in front of it to
+    the state behind it, a window composes these maps within a block, one
+    small row per block is composed along the file, and each line combines
+    both.  Records of one line, nearly all, need no grouping; the lines of the
+    others are put together per record.  A quote that is never closed makes
+    the rest of its file one cell, as in other readers; empty lines are records of
+    one empty cell.  ``dialects`` (path, delimiter) gives each file its own delimiter;
+    files without one are left out.
     """
-    lines = (spark.read.text(path)
-                  .select(F.col("_metadata.file_path").alias("path"), "value",
-                          F.monotonically_increasing_id().alias("_pos")))
-    numbered = row_number_by(lines, ["path"], ["_pos"], name="row_no").drop("_pos")
-    # the 16 KiB window lies within the first 16384 lines; a running length
-    # over those (bounded) lines keeps only the lines that start inside it
-    cut = F.substring("value", 1, SNIFF_BYTES)
-    w = Window.partitionBy("path").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    first = (numbered.filter(F.col("row_no") <= SNIFF_BYTES)
-                     .withColumn("_before", F.coalesce(F.sum(F.length(cut) + 1).over(w), F.lit(0)))
-                     .filter(F.col("_before") < SNIFF_BYTES))
-    head = (first.groupBy("path")
-                 .agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", cut.alias(
-                      "v")))), lambda x: x["v"]), "\n"), 1, SNIFF_BYTES).alias("_head")))
-    dialect = head.select("path", _sniff(F.col("_head")).alias("delimiter")).filter(F.col("delimiter").isNotNull())
-    rows = numbered.join(dialect, "path")
-    cells = F.when(F.col("delimiter") == ",", split_cells(F.col("value"), ",")).otherwise(split_cells(F.col("value"), "\t"))
-    return rows.select("path", "row_no", cells.alias("cells"), "delimiter")
-
-
-def split_cells(line: Column, sep: str) -> Column:
-    """Cells of a delimited line.  A quoted cell may hold the delimiter, and
-    a doubled quote stands for one; without quotes it is a plain split."""
-    outside = f"{sep}(?=(?:[^\"]*\"[^\"]*\")*+[^\"]*$)"
-    quoted = F.transform(F.split(line, outside), lambda c: F.when(
-        c.rlike('(?s)^".*"$') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')))
-        .otherwise(c))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, sep))
+    lines = _file_lines(spark, path)
+    if dialects is not None:
+        lines = lines.join(dialects.select("path", "delimiter"), "path")
+    else:
+        lines = lines.withColumn("delimiter", F.lit(sep))
+    d = F.col("delimiter")
+    maps = lines.withColumns({"_out": ends_inside(F.col("value"), d), "_in": ends_inside(F.col("value"), d, True)})
+    order = Window.partitionBy("path", "_block").orderBy("_id")
+    jump, stay = F.when(F.col("_out") == F.col("_in"), F.col("_out")), F.col("_in")
+    flips, last = _composed(order, jump, stay)
+    at = maps.withColumn("_flips", flips).withColumn("_last", last)
+    own = F.when(jump.isNull() & ~stay, 1).otherwise(0)
+    ahead = F.col("_flips") - own
+    at = at.withColumns({f"_s{int(o)}": _inside(F.col("_last"), ahead, F.lit(o)) for o in (False, True)})
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumns({f"_n{k}": F.sum(F.when(F.col(f"_s{k}"), 0).otherwise(1)).over(upto) for k in (0, 1)})
+    ends = at.withColumn("_e0", F.when(F.col("_s0"), F.col("_in")).otherwise(F.col("_out"))) \
+             .withColumn("_e1", F.when(F.col("_s1"), F.col("_in")).otherwise(F.col("_out")))
+    blocks = ends.groupBy("path", "_block").agg(F.max_by(F.struct("_e0", "_e1"), "_id").alias("e"),
+                                                F.max("_n0").alias("n0"), F.max("_n1").alias("n1"))
+    along = Window.partitionBy("path").orderBy("_block")
+    b_flips, b_last = _composed(along, F.when(F.col("e._e0") == F.col("e._e1"), F.col("e._e0")), F.col("e._e1"))
+    b_own = F.when((F.col("e._e0") != F.col("e._e1")) & ~F.col("e._e1"), 1).otherwise(0)
+    blocks = blocks.withColumn("_flips", b_flips).withColumn("_l", b_last).withColumn(
+        "_opened", _inside(F.col("_l"), F.col("_flips") - b_own, F.lit(False)))
+    started = F.when(F.col("_opened"), F.col("n1")).otherwise(F.col("n0"))
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum(started).over(
+        along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "_block", "_opened", "_offset")
+    o = F.col("_opened")
+    placed = at.join(blocks, ["path", "_block"]).select(
+        "path", "_block", "_id", "delimiter", "value", F.when(o, F.col("_s1")).otherwise(F.col("_s0")).alias("_before"), "_in", "_out",
+        (F.col("_offset") + F.when(o, F.col("_n1")).otherwise(F.col("_n0"))).alias("row_no"))
+    after = F.when(F.col("_before"), F.col("_in")).otherwise(F.col("_out"))
+    line = F.when(after, F.col("value")).otherwise(F.regexp_replace("value", "\r$", ""))
+    placed = placed.withColumn("value", line).withColumn("_many", F.col("_before") | after)
+    single = placed.where("not _many").select("path", "row_no", "delimiter", F.col("value").alias("record"))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "_id", "value")))
+    several = placed.where("_many").groupBy("path", "row_no", "delimiter").agg(
+        F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("record"))
+    return single.unionByName(several).withColumn("cells", split_cells(F.col("record"), F.col("delimiter")))
+
+
+def file_dialects(spark: SparkSession, path: str) -> DataFrame:
+    """path, delimiter of the delimited files among ``path``, from their first 16 KiB."""
+    first = _file_lines(spark, path).where("_block = 0")
+    rank = Window.partitionBy("path").orderBy("_id")
+    cut = first.select("path", "_id", "_size", F.substring("value", 1, HEAD).alias("value")) \
+               .withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= HEAD)
+    before = F.coalesce(F.sum(F.length("value") + 1).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = F.array_sort(F.collect_list(F.struct("_id", "value")))
+    heads = cut.withColumn("_at", before).where(F.col("_at") < HEAD).groupBy("path").agg(
+        F.substring(F.array_join(F.transform(lines, lambda l: l["value"]), "\n"), 1, HEAD).alias("head"),
+        (F.max("_size") <= HEAD).alias("whole"))
+    return heads.select("path", delimiter_of(F.col("head"), F.col("whole")).alias("delimiter")).where("delimiter is not null")
+
+
+def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited files of unknown dialect to (path, row_no, delimiter, record, cells).
+
+    Files that are not delimited give no rows."""
+    return read_records(spark, path, dialects=file_dialects(spark, path))
 
 
 def read_params(body: Column, content_type: Column) -> Column:

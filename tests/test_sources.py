@@ -1,10 +1,15 @@
 """Readers and writers on tiny files in a scratch folder."""
 
+import csv
 import os
+import random
 import tempfile
 
+import duckdb
 from pyspark.sql import functions as F
 
+from runlake.functions.delimited import delimiter_of, split_cells
+
 from runlake.operators.commands import _parse_one
 from runlake.sources import readers as R
 from runlake.sources import writers as W
@@ -42,6 +47,73 @@ def test_read_sniffed_dialects(spark):
     assert got == {("a.csv", ","), ("b.txt", "\t")}
 
 
+def _csv_rows(path, sep):
+    with open(path, newline="") as fh:
+        return list(csv.reader(fh, delimiter=sep))
+
+
+def test_records_over_split_files(spark):
+    """Blocks of a few bytes: line breaks, quotes and delimiters inside cells, quotes that are none, an open quote at the end."""
+    d = tempfile.mkdtemp(prefix="runlake-rec-")
+    rng = random.Random(4)
+    cell = lambda: rng.choice(["a", "", "b c", "x,y", "two\nlines", 'say ""hi""', "\n", 'end ""', "\t", '5"'])
+
+    def written(x):
+        return x if x == '5"' or rng.random() < 0.3 and not set(x) & set(',\n"\t') else f'"{x}"' if x != '5"' else x
+
+    for k in range(4):
+        body = "\n".join(",".join(written(cell()) for _ in range(3)) for _ in range(120))
+        _write(d, f"f{k}.csv", body + ('\n"open, to\nthe end' if k == 1 else "\n" if k == 2 else ""))
+    _write(d, "crlf.csv", 'a,b\r\n"c\nd",e\r\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        got = {}
+        blocks = R._file_lines(spark, d).select("path", "_block").distinct().count()
+        for r in R.read_records(spark, d).collect():
+            got.setdefault(os.path.basename(r["path"]), {})[r["row_no"]] = r["cells"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert blocks > 60
+    for name in os.listdir(d):
+        if name.endswith(".csv"):
+            want = _csv_rows(os.path.join(d, name), ",")
+            assert [got[name][k + 1] for k in range(len(want))] == want and len(got[name]) == len(want), name
+
+
+def test_records_equal_duckdb(spark):
+    d = tempfile.mkdtemp(prefix="runlake-rec-")
+    path = _write(d, "t.csv", '1,"x\ny",2\n3,"a ""b"", c",4\n5,,"6,\n,6"\n')
+    want = duckdb.connect().execute(f"SELECT * FROM read_csv('{path}', header=false, all_varchar=true, auto_detect=false, "
+                                    "columns={'a': 'VARCHAR', 'b': 'VARCHAR', 'c': 'VARCHAR'}, delim=',', quote='\"')").fetchall()
+    got = [tuple(r["cells"]) for r in R.read_records(spark, d).orderBy("row_no").collect()]
+    assert got == [tuple(x or "" for x in w) for w in want] and got[0] == ("1", "x\ny", "2")
+
+
+def test_cells_equal_the_csv_module(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(['"', "a", ",", "b", '""', " "]) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_cells(F.col("t"), ",").alias("c"))
+    assert all(r["c"] == next(csv.reader([r["t"]])) for r in df.collect())
+
+
+def test_delimiter_choice(spark):
+    cases = [("a,b\n1,2\n", ","), ("a\tb,c\n1\t2\n3\t4\n", "\t"), ("plain text\nwithout any\n", None), ("", None), (None, None),
+             ("a,b,c\td\n1,2,3\t4\n", ","), ('"x\ty",1\n"z\tw\tv",2\n', ","), ("a,b\nno\nc\nd,e\n", None),
+             ("one,line only", ","), ('"open, quote\tto the end', None), ("a,b\r\n\r\n1,2\r\n", ","),
+             ("h,i\n" * 18 + "x\n" * 2, ","), ("h,i\n" * 17 + "x\n" * 3, None), ("a,b\n" * 5000 + "c,d,e", ",")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select(
+        "k", delimiter_of(F.substring("t", 1, 16384), F.length("t") <= 16384).alias("d"))
+    assert {r["k"]: r["d"] for r in df.collect()} == {k: d for k, (_, d) in enumerate(cases)}
+
+
+def test_read_fasta_keeps_text_before_the_first_header(spark):
+    d = tempfile.mkdtemp(prefix="runlake-fa-")
+    _write(d, "a.fasta", "ACGT\nTT\n>h1\nGG\n")
+    recs = sorted((r["rec_no"], r["header"], r["seq"]) for r in R.read_fasta(spark, d).collect())
+    assert recs == [(1, "", "ACGTTT"), (2, "h1", "GG")]
+
+
 def test_scan_inventory_and_scripts(spark):
     d = tempfile.mkdtemp(prefix="runlake-scan-")
     _write(d, "x/run.py", "print(1)\n")
