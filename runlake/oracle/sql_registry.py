@@ -180,3 +180,23 @@ SELECT '+1' AS param_frame, seq_id, {_translate('seq', 0)} AS protein FROM v_seq
 UNION ALL
 SELECT '-2', seq_id, {_translate("translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', 'TGCANtgcan')", 1)}
 FROM v_seq""")
+
+oracle("parse_commands", """
+WITH o AS (SELECT o_orderkey AS job_id, o_orderkey % 6 AS kind, o_orderkey % 7 = 0 AS short, o_orderstatus AS s, o_orderpriority AS p,
+                  CAST(o_custkey AS VARCHAR) AS who, CAST(CAST(floor(o_totalprice) - 200000 AS BIGINT) AS VARCHAR) AS total
+           FROM orders),
+r AS (
+  SELECT job_id, 'status' AS dest, 1 AS position, s AS value, 'command' AS origin FROM o WHERE kind < 3
+  UNION ALL SELECT job_id, 'customer', 1, who, 'command' FROM o WHERE kind < 3
+  UNION ALL SELECT job_id, 'customer', 2, CASE kind WHEN 0 THEN '7' ELSE '8' END, 'command' FROM o WHERE kind IN (0, 2)
+  UNION ALL SELECT job_id, 'customer', 3, '9', 'command' FROM o WHERE kind = 2
+  UNION ALL SELECT job_id, 'priority', 1, p, 'command' FROM o WHERE kind < 2 OR (kind = 2 AND NOT short)
+  UNION ALL SELECT job_id, 'priority', 1, '3-MEDIUM', 'default' FROM o WHERE kind = 2 AND short
+  UNION ALL SELECT job_id, 'subparser', 1, 'sub', 'command' FROM o WHERE kind = 0
+  UNION ALL SELECT job_id, 'total', 1, total, 'command' FROM o WHERE kind = 0
+  UNION ALL SELECT job_id, 'total', 2, '-5', 'command' FROM o WHERE kind = 0
+  UNION ALL SELECT job_id, 'flag', 1, 'True', 'command' FROM o WHERE kind = 0
+  UNION ALL SELECT job_id, NULL, 0, CASE kind WHEN 3 THEN 'the following arguments are required: --customer'
+                                              WHEN 4 THEN 'unrecognized arguments: --bogus'
+                                              ELSE 'No closing quotation' END, 'error' FROM o WHERE kind > 2)
+SELECT job_id, dest, CAST(position AS INTEGER) AS position, value, origin FROM r""")

@@ -86,19 +86,34 @@ def _clone_jobs(c):
     return new_params.join(cloned.select(F.col("new_job_id").alias("job_id"), "source_job_id", "user_id"), "job_id")
 
 
+def _command_spec(c):
+    """Specification of every script as the parser reads it."""
+    return c.spec().select(
+        "script_id", F.col("parser_name").alias("parser"), F.col("name").alias("dest"), F.col("short_param").alias("flag"),
+        F.when(F.col("form_field") == "BooleanField", "0").when(F.col("choice_limit") == '"+"', "+")
+         .when(F.col("choice_limit") != "null", "*").otherwise("1").alias("nargs"), "required",
+        F.when(F.col("name") == "priority", "3-MEDIUM").alias("default"), F.col("param_order").alias("position"))
+
+
+def _command_lines(c):
+    """A command per order: quoting, abbreviations, a sub-parser, and commands that are wrong in three ways."""
+    k, text = F.col("o_orderkey"), F.format_string
+    s, p, who = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey").cast("string")
+    total = (F.floor("o_totalprice") - 200000).cast("bigint").cast("string")
+    command = F.when(k % 6 == 0, text("--customer %s 7 --status '%s' \"%s\" sub --total %s -5 --flag", who, s, p, total)) \
+        .when(k % 6 == 1, text("--status=%s  --customer=%s\t%s", s, who, F.replace(p, F.lit(" "), F.lit("\\ ")))) \
+        .when(k % 6 == 2, F.concat(text("--sta %s --cust %s 8 ''9", s, who),
+                                   F.when(k % 7 == 0, "").otherwise(text(" -- \"%s\"", p)))) \
+        .when(k % 6 == 3, text("--status %s '%s'", s, p)) \
+        .when(k % 6 == 4, text("--status %s --customer %s --bogus '%s'", s, who, p)) \
+        .otherwise(text("--status %s --customer %s \"%s", s, who, p))
+    return c.t("orders").select(k.alias("job_id"), F.col("o_custkey").alias("script_id"), command.alias("command"))
+
+
 @key("parse_commands")
 def _parse_commands(c):
-    """Commands assembled from the submitted values, parsed back (rows-only)."""
-    cmds = assemble_commands(c.param()).select("job_id", F.array_join(F.transform(
-        "tokens", lambda t: F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))), " ")
-        .alias("command"))
-    spec = {"--status": "1", "--customer": "+", "--total": "1", "--flag": "0"}
-    # the command text is a lambda-heavy expression: evaluate it before the
-    # Python stage (the Arrow UDF then reads a plain column)
-    out = CM.parse_commands(cmds.repartition("job_id"), spec)
-    # explode_outer: an inner explode makes the optimizer infer a filter on
-    # the UDF result, which it cannot evaluate outside the Python node
-    return out.select("job_id", F.explode_outer("options").alias("option", "value"))
+    """One command per job against the specification of its script."""
+    return CM.parse_commands(_command_lines(c), _command_spec(c))
 
 
 @key("register_versions")

@@ -100,12 +100,6 @@ def test_stream_equals_batch(spark):
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
 
 
-def test_parse_commands_round_trip(spark):
-    parsed = entry.queries()["parse_commands"](spark, SF_SMALL)
-    assert parsed.filter(F.col("option") == "__error__").count() == 0
-    assert parsed.filter(F.col("option") == "--status").count() > 0
-
-
 @pytest.mark.parametrize("stream_key,batch_key", [("stream_output", "concat_output"),
                                                   ("stream_expiry", "expire_jobs"),
                                                   ("stream_uploads", "write_content_addressed")])

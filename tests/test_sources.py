@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from runlake.functions.delimited import delimiter_of, split_cells
 
-from runlake.operators.commands import _parse_one
 from runlake.sources import readers as R
 from runlake.sources import writers as W
 from runlake.streaming import streams as ST
@@ -139,14 +138,6 @@ def test_prefill_from_url(spark):
     assert got == {"page": ["3"], "ref": ["x", "y"]}
 
 
-def test_parse_command_line():
-    flags = {"--status": "1", "--customer": "+", "--flag": "0"}
-    assert _parse_one("--status O pos1 --customer 1 2 --flag", flags) == {
-        "--status": "O", "": "pos1", "--customer": "1 2", "--flag": ""}
-    assert "__error__" in _parse_one("--nope 1", flags)
-    assert "__error__" in _parse_one("'unterminated", flags)
-
-
 def test_write_tsv_round_trip(spark):
     d = tempfile.mkdtemp(prefix="runlake-w-") + "/out"
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, name string")
