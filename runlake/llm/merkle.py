@@ -1,32 +1,36 @@
 """Document fingerprints: Merkle trees over paragraphs and sections.
 
-Leaves are paragraphs of up to 240 characters: they end behind sentences of odd
-length, so an insertion does not move later cuts.  Near the start of a text,
-where short documents live, they are finer (words in the first 128 characters,
-then up to 48).  Consecutive leaves form
-sections; a section ends behind a leaf whose digest has three low zero bits,
-so boundaries follow the content and not the position.  A section's digest is
-taken over its leaves', the root over the sections'.
+A paragraph ends behind a run of line breaks.  Long paragraphs are cut into
+leaves by their content alone: behind a character where a rolling hash of the
+last ``WINDOW`` characters hits one value in ``CUT``, but never less than ``LEAST`` or more than ``MOST``
+characters apart.  No position enters a cut, so behind an insertion the cuts
+fall into place again, in any script, with or without spaces and punctuation.
+Texts of up to ``SHORT`` characters, which would be one or two leaves, are cut at half of the hashes and from two characters on.
+Consecutive leaves form sections; a section ends behind a leaf whose digest has
+four low zero bits, so that sections follow the content, too.  A section's
+digest is taken over its leaves', the root over the sections'.
 
 The fingerprint is the tree as text: ``root|section|section...``, the root as
-32 hex digits, a section as 8 digits followed by 10 per leaf (8 of its digest,
-2 of its length).  Equal roots mean equal texts.  ``likeness`` is the share of
-characters in leaves that both trees have, ``first_change`` walks down the
-branches whose digests differ.  Its size is about a quarter of the text's.
+32 hex digits; a section is four characters of its digest, then four of every leaf's
+digest, then one for every leaf's length (24 bits and six bits in base 64).
+Equal roots mean equal texts.  ``likeness`` is the share of characters in
+leaves that both trees have, ``first_change`` walks down the branches whose
+digests differ.
 
 Null text counts as empty and has the tree of one empty leaf; rows are ordered
 by (doc_id, text checksum), null ids first; equal rows stand side by side; an
-empty table gives no rows; only doc_id and text are read.
+empty table gives no rows; only doc_id and text are read, other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
+from base64 import b64encode
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -34,61 +38,100 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import small_batches, stage
 
-CUTS = (
-    (0, 128, re.compile(r"\S+\s?|\s{1,16}")),
-    (128, 512, re.compile(r".{16,48}?(?:\s|$)|.{1,48}", re.S)),
-    (512, None, re.compile(r".{1,238}?(?:[.!?;|\n]\s?|$)|.{1,240}", re.S)),
-)
+WINDOW, CUT, LEAST, MOST, SHORT = 8, 16, 8, 63, 64
+BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+POWERS = [np.uint64(pow(BASE, j, 1 << 64)) for j in range(WINDOW)]
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+PIECE = 4_000_000              # characters hashed at a time: bounds the memory of very long texts
+
+
+def _candidates(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character positions where a leaf may end, whether a paragraph ends there, and their byte offsets in UTF-8."""
+    ends, hard, offsets, bytes_before = [], [], [], 0
+    shift = np.uint64(63 if len(text) <= SHORT else 64 - CUT.bit_length() + 1)
+    for start in range(0, len(text), PIECE):
+        lead = min(start, WINDOW - 1)
+        c = np.frombuffer(text[start - lead:start + PIECE + 1].encode("utf-32-le", "surrogatepass"), "<u4")
+        n = min(PIECE, len(text) - start)
+        h = np.zeros(len(c), np.uint64)
+        for j, power in enumerate(POWERS):
+            h[j:] += c[:max(len(c) - j, 0)] * power
+        c, following, h = c[lead:lead + n], c[lead + 1:lead + 1 + n], h[lead:lead + n]
+        paragraph = c == 10
+        paragraph[:len(following)] &= following != 10
+        at = np.flatnonzero(((h * np.uint64(MIX)) >> shift == 0) | paragraph)
+        sizes = 1 + (c >= 0x80).astype(np.int8) + (c >= 0x800) + (c >= 0x10000)
+        upto = np.cumsum(sizes, dtype=np.int64)
+        ends.append(at + 1 + start)
+        hard.append(paragraph[at])
+        offsets.append(upto + bytes_before)
+        bytes_before += int(upto[-1])
+    if not ends:
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+    return np.concatenate(ends), np.concatenate(hard), np.concatenate(offsets)
+
+
+def _cuts(text: str) -> tuple[list[int], np.ndarray]:
+    """Where leaves end, and the byte offset behind every character."""
+    ends, hard, offsets = _candidates(text)
+    out, last, least = [], 0, 2 if len(text) <= SHORT else LEAST
+    for p, paragraph in zip(ends.tolist(), hard.tolist()):
+        while p - last > MOST:
+            last += MOST
+            out.append(last)
+        if p > last and (paragraph or p - last >= least):
+            out.append(p)
+            last = p
+    while len(text) - last > MOST:
+        last += MOST
+        out.append(last)
+    if last < len(text) or not out:
+        out.append(len(text))
+    return out, offsets
 
 
 def leaves(text: str) -> list[str]:
-    """The text's paragraphs; joined, they give the text."""
-    *fine, tail = [cut.findall(text[lo:hi]) for lo, hi, cut in CUTS]
-    out, own = [x for part in fine for x in part], ""
-    for x in tail:
-        if len(own) + len(x) > 240:
-            out.append(own)
-            own = ""
-        own += x
-        if len(x) & 1:                 # the sentence itself says whether a paragraph ends behind it
-            out.append(own)
-            own = ""
-    return out + [own] * bool(own) or [""]
+    """The text's paragraphs, long ones in pieces; joined, they give the text."""
+    cuts, _ = _cuts(text)
+    return [text[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 def fingerprint(text: str) -> str:
-    sections, own = [], []
-    digests = []
-    for leaf in leaves(text):
-        d = xxhash.xxh3_128_digest(leaf.encode("utf-8", "surrogatepass"))
-        own.append(d)
-        if not d[-1] & 7:
-            sections.append(own)
-            own = []
-        digests.append((d[:4].hex(), len(leaf)))
-    if own:
-        sections.append(own)
-    out, at, tops = [], 0, []
-    for s in sections:
-        top = hashlib.sha256(b"".join(s)).digest()
-        tops.append(top)
-        out.append(top[:4].hex() + "".join(f"{h}{n:02x}" for h, n in digests[at:at + len(s)]))
-        at += len(s)
-    return "|".join([hashlib.sha256(b"".join(tops)).hexdigest()[:32], *out])
+    cuts, offsets = _cuts(text)
+    raw = text.encode("utf-8", "surrogatepass")
+    digest = xxhash.xxh3_128_digest
+    bounds = [0, *offsets[np.array(cuts) - 1].tolist()] if text else [0, 0]
+    digests = [digest(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+    sizes = [LETTERS[b - a] for a, b in zip([0, *cuts], cuts)]
+    sections, tops, start = [], [], 0
+    for k, d in enumerate(digests, 1):
+        if not d[-1] & 15 or k == len(digests):
+            own = digests[start:k]
+            top = hashlib.sha256(b"".join(own)).digest()
+            tops.append(top)
+            sections.append(b64encode(top[:3] + b"".join([x[:3] for x in own]), b"-_").decode() + "".join(sizes[start:k]))
+            start = k
+    return "|".join([hashlib.sha256(b"".join(tops)).hexdigest()[:32], *sections])
 
 
 def _leaf_tokens(section: str) -> list[str]:
-    return [section[i:i + 10] for i in range(8, len(section), 10)]
+    """Digest and length of every leaf of a section."""
+    n = (len(section) - 4) // 5
+    return [section[4 + 4 * i:8 + 4 * i] + section[4 + 4 * n + i] for i in range(n)]
+
+
+def _leaf_counts(tree: str) -> Counter:
+    return Counter(t for s in tree.split("|")[1:] for t in _leaf_tokens(s))
 
 
 def likeness(a: str, b: str) -> float:
     """Share of characters in common leaves, 0 to 1, from fingerprints alone."""
     if a[:32] == b[:32]:
         return 1.0
-    x = Counter(t for s in a.split("|")[1:] for t in _leaf_tokens(s))
-    y = Counter(t for s in b.split("|")[1:] for t in _leaf_tokens(s))
-    total = sum(int(t[8:], 16) * n for c in (x, y) for t, n in c.items())
-    return 2.0 * sum(int(t[8:], 16) * min(n, y[t]) for t, n in x.items() if t in y) / total if total else 0.0
+    x, y = _leaf_counts(a), _leaf_counts(b)
+    size = {c: i for i, c in enumerate(LETTERS)}
+    total = sum(size[t[4]] * n for c in (x, y) for t, n in c.items())
+    return 2.0 * sum(size[t[4]] * min(n, y[t]) for t, n in x.items() if t in y) / total if total else 0.0
 
 
 def first_change(a: str, b: str) -> tuple[int, int] | None:
