@@ -139,12 +139,18 @@ def bearer_token(header) -> Column:
     return F.when((F.size(parts) == 2) & (F.element_at(parts, 1) == "Bearer"), F.element_at(parts, 2))
 
 
-# Fixed value: a version text accepted as is (release numbers, optional
-# pre/post/dev tags); anything else defaults to "1".
-VERSION_PATTERN = r"^v?[0-9]+(\.[0-9]+)*((a|b|rc)[0-9]+)?(\.post[0-9]+)?(\.dev[0-9]+)?$"
+# The parts of a version text (epoch, release, pre-release, post-release, development release, local
+# version), each with the spellings it may have; case and surrounding white space do not matter.
+VERSION_PATTERN = (
+    r"(?i)^\s*v?([0-9]+!)?[0-9]+(\.[0-9]+)*"
+    r"([-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?[0-9]*)?"
+    r"(-[0-9]+|[-_.]?(post|rev|r)[-_.]?[0-9]*)?"
+    r"([-_.]?dev[-_.]?[0-9]*)?"
+    r"(\+[a-z0-9]+([-_.][a-z0-9]+)*)?\s*$")
 
 
 def version_or_default(c) -> Column:
+    """The version text if it is valid, else "1"."""
     v = _c(c)
     return F.when(v.isNotNull() & v.rlike(VERSION_PATTERN), v).otherwise(F.lit("1"))
 

@@ -38,20 +38,49 @@ def _groups(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(c))
 
 
+# Fixed value: what a user without access to a restricted object is told.
+FORBIDDEN = "You are not permitted to use this script"
+
+
+def rule_error(obj_groups: Column, authenticated: Column, allow_anonymous: bool) -> Column:
+    """What is said where the rule fails: only restricted objects explain it, and only to users who may come in."""
+    told = (authenticated | F.lit(allow_anonymous)) & (F.size(obj_groups) > 0)
+    return F.when(told, F.lit(FORBIDDEN)).otherwise(F.lit(""))
+
+
+def _with_groups(requests: DataFrame, users: DataFrame, scripts: DataFrame, how: str) -> DataFrame:
+    u = users.select("user_id", F.array("user_group").alias("ugroups"))
+    s = scripts.select("script_id", "is_active", "group_active", _groups(F.col("script_group")).alias("own"),
+                       _groups(F.col("parent_group")).alias("parent"))
+    r = requests.join(u, "user_id", "left").join(s, "script_id", how)
+    return r.withColumn("ugroups", F.coalesce("ugroups", F.array().cast("array<string>")))
+
+
+def script_rule(requests: DataFrame, users: DataFrame, scripts: DataFrame, allow_anonymous: bool = True) -> DataFrame:
+    """Every request (with user_id, script_id) with ``permitted`` and ``refusal``, by the rule of the script alone.
+
+    An unknown script is not permitted, without a reason."""
+    r = _with_groups(requests, users, scripts, "left")
+    auth, groups = F.col("user_id").isNotNull(), F.array_union("own", "parent")
+    ok = F.coalesce(group_rule(groups, F.col("is_active"), F.col("ugroups"), auth, allow_anonymous), F.lit(False))
+    told = F.coalesce(rule_error(groups, auth, allow_anonymous), F.lit(""))
+    return r.select(*requests.columns, ok.alias("permitted"), F.when(~ok, told).alias("refusal"))
+
+
 def access_check(requests: DataFrame, users: DataFrame, scripts: DataFrame,
                  allow_anonymous: bool = True, show_locked: bool = True) -> DataFrame:
     """Per request (request_id, user_id, script_id): the script rule AND the
     rule of its script group must both pass.  A script's groups are its own
-    plus its group's; the group has its own groups only."""
-    u = users.select("user_id", F.array("user_group").alias("ugroups"))
-    s = scripts.select("script_id", "is_active", _groups(F.col("script_group")).alias("own"),
-                       _groups(F.col("parent_group")).alias("parent"))
-    r = requests.join(u, "user_id", "left").join(s, "script_id", "inner")
-    auth = F.col("user_id").isNotNull()
-    ug = F.coalesce(F.col("ugroups"), F.array().cast("array<string>"))
-    script_ok = group_rule(F.array_union("own", "parent"), F.col("is_active"), ug, auth, allow_anonymous)
-    group_ok = group_rule(F.col("parent"), F.lit(True), ug, auth, allow_anonymous)
-    return r.select("request_id", "user_id", "script_id", (script_ok & group_ok).alias("valid"),
+    plus its group's; the group has its own groups and its own activity.
+    ``error`` is the reason of the first rule that fails ('' if it gives none)."""
+    r = _with_groups(requests, users, scripts, "inner")
+    auth, ug = F.col("user_id").isNotNull(), F.col("ugroups")
+    every = F.array_union("own", "parent")
+    script_ok = group_rule(every, F.col("is_active"), ug, auth, allow_anonymous)
+    group_ok = group_rule(F.col("parent"), F.col("group_active"), ug, auth, allow_anonymous)
+    error = F.when(~script_ok, rule_error(every, auth, allow_anonymous)).when(
+        ~group_ok, rule_error(F.col("parent"), auth, allow_anonymous))
+    return r.select("request_id", "user_id", "script_id", (script_ok & group_ok).alias("valid"), error.alias("error"),
                     F.lit("disabled" if show_locked else "hide").alias("display"))
 
 

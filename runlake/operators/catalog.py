@@ -22,11 +22,14 @@ ISSUE_NO_ACTIVE = "This script does not have any active script versions."
 ISSUE_NO_DEFAULT = "This script does not have a default version."
 ISSUE_MANY_DEFAULTS = "This script has multiple default versions."
 
-# Parts of a version text.
-RELEASE_TEXT = r"^v?([0-9]+(?:\.[0-9]+)*)"
-PRE_TEXT = r"[0-9](a|b|rc)([0-9]+)"
-POST_TEXT = r"\.post([0-9]+)"
-DEV_TEXT = r"\.dev([0-9]+)"
+# Fixed value: the parts of a lower-cased version text: epoch, release, pre-release and its number, post-release in either
+# spelling and its number, development release and its number, local version.
+VERSION_PARTS = (
+    r"^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)"
+    r"(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]*))?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?"
+    r"(?:[-_.]?(dev)[-_.]?([0-9]*))?"
+    r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$")
 
 
 def _active_default() -> Column:
@@ -225,30 +228,39 @@ def version_labels(versions: DataFrame, scripts: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- sorts
 def version_key(v) -> Column:
-    """Sort key of a version text: release numbers without trailing zeros
-    (``1``, ``1.0`` and ``1.0.0`` are equal), then phase (dev < a < b < rc <
-    release < post) and the numbers of the phase, post and dev parts."""
+    """Sort key of a version text: epoch, release numbers without trailing
+    zeros (``1``, ``1.0`` and ``1.0.0`` are equal), then phase (dev < a < b <
+    rc < release) with its number, post-release, development release and local version.  All
+    spellings of a part are equal (``1.0-beta`` and ``1.0b0``, ``1.0-1`` and
+    ``1.0.post1``).  One regular expression takes the text apart, once."""
     col = F.col(v) if isinstance(v, str) else v
-
-    def part(pattern, group=1):
-        return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
-
-    release = F.regexp_replace(F.regexp_extract(col, RELEASE_TEXT, 1), r"(\.0+)+$", "")
-    pre, post, dev = part(PRE_TEXT), part(POST_TEXT), part(DEV_TEXT)
-    phase = (F.when(pre == "a", -3).when(pre == "b", -2).when(pre == "rc", -1)
-              .when(dev.isNotNull() & post.isNull(), -4).when(post.isNotNull(), 1).otherwise(0))
-    number = lambda c, missing: F.coalesce(c.try_cast("decimal(38,0)"), F.lit(missing).cast("decimal(38,0)"))
-    return F.struct(F.transform(F.split(release, r"\."), lambda x: x.try_cast("decimal(38,0)")).alias("release"),
-                    phase.alias("phase"), number(part(PRE_TEXT, 2), 0).alias("pre"), number(post, -1).alias("post"),
-                    number(dev, "9" * 38).alias("dev"))
+    spread = F.split(F.regexp_replace(F.lower(col), VERSION_PARTS, "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10"), r"\|")
+    wide = lambda c: c.try_cast("decimal(38,0)")
+
+    def key(p: Column) -> Column:
+        # a text that is no version keeps its place by its text alone, below all versions
+        at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
+        number = lambda i: F.coalesce(wide(at(i)), F.lit(0).cast("decimal(38,0)"))
+        release = F.regexp_replace(at(1), r"(\.0+)+$", "")
+        pre, post, dev = at(2), (at(4) != "") | (at(5) != ""), at(7) != ""
+        phase = (F.when(pre.isin("a", "alpha"), -3).when(pre.isin("b", "beta"), -2).when(pre != "", -1)
+                  .when(dev & ~post, -4).otherwise(0))
+        local = F.transform(F.split(at(9), "[-_.]"), lambda x: F.struct(wide(x).isNotNull().alias("numeric"), wide(x).alias("n"), x.alias("t")))
+        return F.struct(
+            number(0).alias("epoch"), F.transform(F.split(release, r"\."), wide).alias("release"), phase.alias("phase"),
+            number(3).alias("pre"), F.when(at(4) != "", number(4)).when(post, number(6)).otherwise(F.lit(-1).cast("decimal(38,0)")).alias("post"),
+            F.when(dev, number(8)).otherwise(F.lit("9" * 38).cast("decimal(38,0)")).alias("dev"),
+            F.when(at(9) != "", local).alias("local"))
+
+    return F.element_at(F.transform(F.array(spread), key), 1)
 
 
 def order_versions(versions: DataFrame, mode: str = "parsed") -> DataFrame:
     """Rank of each version inside its script, newest first: by parsed
     release numbers (``parsed``) or by text (``text``), then iteration."""
     k = version_key("script_version") if mode == "parsed" else F.col("script_version")
-    # the first release number leads the order of both kinds of key: it is what long histories are cut by
-    lead = k["release"][0] if mode == "parsed" else k
+    # epoch and first release number as one number lead the order: it is what long histories are cut by
+    lead = k["epoch"].cast("double") * 1e31 + F.least(k["release"][0].cast("double"), F.lit(1e30)) if mode == "parsed" else k
     return row_number_by(versions.withColumn("_k", k).withColumn("_lead", lead), ["script_id"],
                          ["-_lead", "-_k", "-iteration", "-version_id"], name="version_rank").drop("_k", "_lead")
 

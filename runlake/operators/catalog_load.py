@@ -12,38 +12,69 @@ from runlake.operators import files as FL
 from runlake.operators.ranking import row_number_by
 
 
-def register_versions(versions: DataFrame, scripts: DataFrame, batch: DataFrame) -> DataFrame:
+def register_versions(versions: DataFrame, scripts: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Load a batch of script files (batch_id, script_name, checksum,
-    version_text, description, set_default).
-
-    A file whose (name, checksum) already exists is a duplicate and reports
-    the existing version (last by version text, iteration).  Otherwise the
-    version text is checked (invalid or missing -> "1"), the iteration is
-    the largest existing one of (script, version) plus its rank in the
-    batch, and the script description is filled only when empty.
+    version_text, description, set_default) in order of batch_id.
+
+    The result is that of loading them one after another, where later rows
+    see earlier ones, found by set operations:
+
+    * a file whose (name, checksum) is in the catalog, or came earlier in the
+      batch, is a duplicate and names that version (of several in the catalog
+      the last by version text and iteration);
+    * a name that is not in the catalog makes a script; its id follows the
+      largest one, in order of first appearance; its first version is the default;
+    * the version text is checked (invalid or missing -> "1"), the iteration
+      counts on from the largest of (script, version);
+    * a row with ``set_default`` takes the default from all earlier versions
+      of its script, those of the catalog and of the batch;
+    * an empty description is filled by the first row that has one.
+
+    Returns (rows, scripts, unset): every batch row with its outcome, script,
+    version, iteration and whether it is a default in the end; every script
+    that got a version, with its description; the catalog versions that are no
+    default any more.
     """
-    named = versions.join(scripts.select("script_id", "script_name", "description"), "script_id")
+    named = versions.join(scripts.select("script_id", "script_name"), "script_id")
     existing = named.groupBy("script_name", "checksum").agg(
         F.max_by("version_id", F.struct("script_version", "iteration", "version_id")).alias("existing_id"))
-    sid = scripts.groupBy("script_name").agg(F.min("script_id").alias("script_id"))
-    b = (batch.join(existing, ["script_name", "checksum"], "left").join(sid, "script_name", "left")
-              .withColumn("script_version", version_or_default(F.col("version_text"))))
-    dup = b.filter(F.col("existing_id").isNotNull())
-    new = b.filter(F.col("existing_id").isNull())
+    known = scripts.groupBy("script_name").agg(F.min("script_id").alias("known_id"))
+    first = batch.groupBy("script_name", "checksum").agg(F.min("batch_id").alias("first_id"))
+    b = (batch.join(first, ["script_name", "checksum"]).join(existing, ["script_name", "checksum"], "left")
+              .join(known, "script_name", "left").withColumn("script_version", version_or_default(F.col("version_text"))))
+    fresh = b.filter(F.col("existing_id").isNull() & (F.col("batch_id") == F.col("first_id")))
+    # a name's first appearance is never a duplicate, so new names can be read from the batch alone
+    names = batch.join(known, "script_name", "left_anti").groupBy("script_name").agg(F.min("batch_id").alias("made_by"))
+    names = row_number_by(names, [], ["made_by"], name="_s").select(
+        "script_name", "made_by", (F.col("_s") + F.coalesce(scripts.select(F.max("script_id")).scalar(), F.lit(0))).alias("made_id"))
+    fresh = fresh.join(names, "script_name", "left").select(
+        "batch_id", "script_name", F.coalesce("known_id", "made_id").alias("script_id"), "script_version", "description",
+        "set_default", F.coalesce(F.col("made_by") == F.col("batch_id"), F.lit(False)).alias("creates"))
+    numbers = row_number_by(fresh.select("batch_id"), [], ["batch_id"], name="_v")
+    turns = row_number_by(fresh.select("batch_id", "script_id", "script_version"), ["script_id", "script_version"], ["batch_id"], name="_k")
     base = versions.groupBy("script_id", "script_version").agg(F.max("iteration").alias("_max"))
-    ranked = row_number_by(new, ["script_id", "script_version"], ["batch_id"], name="_k")
-    desc = scripts.select("script_id", F.col("description").alias("_old_desc"))
-    new_rows = (ranked.join(base, ["script_id", "script_version"], "left").join(desc, "script_id", "left")
-                      .select("batch_id", F.lit("new").alias("outcome"), "script_id", "script_version",
-                              (F.coalesce("_max", F.lit(0)) + F.col("_k")).cast("bigint").alias("iteration"),
-                              F.col("set_default").alias("default_version"),
-                              F.lit(None).cast("bigint").alias("existing_id"),
-                              F.when(F.coalesce(F.col("_old_desc"), F.lit("")) == "", F.col("description"))
-                               .otherwise(F.col("_old_desc")).alias("description")))
-    dup_rows = dup.select("batch_id", F.lit("duplicate").alias("outcome"), "script_id", "script_version",
-                          F.lit(None).cast("bigint").alias("iteration"), F.lit(None).cast("boolean").alias(
-                              "default_version"), "existing_id", F.lit(None).cast("string").alias("description"))
-    return new_rows.unionByName(dup_rows)
+    taken = fresh.filter(F.col("set_default") & ~F.col("creates")).groupBy("script_id").agg(F.max("batch_id").alias("_last"))
+    ids = numbers.select("batch_id", (F.col("_v") + F.coalesce(versions.select(F.max("version_id")).scalar(), F.lit(0))).alias("version_id"))
+    new_rows = (fresh.join(ids, "batch_id").join(turns.select("batch_id", "_k"), "batch_id")
+                     .join(base, ["script_id", "script_version"], "left").join(taken, "script_id", "left")
+                     .select("batch_id", F.lit("new").alias("outcome"), "script_id", "version_id", "script_version",
+                             (F.coalesce("_max", F.lit(0)) + F.col("_k")).cast("bigint").alias("iteration"),
+                             ((F.col("creates") | F.col("set_default")) & (F.col("_last").isNull() | (F.col("batch_id") >= F.col("_last"))))
+                             .alias("default_version")))
+    dup = b.filter(F.col("existing_id").isNotNull() | (F.col("batch_id") != F.col("first_id")))
+    dup_rows = (dup.join(ids.select(F.col("batch_id").alias("first_id"), F.col("version_id").alias("first_version")), "first_id", "left")
+                   .join(names.select("script_name", "made_id"), "script_name", "left")
+                   .select("batch_id", F.lit("duplicate").alias("outcome"), F.coalesce("known_id", "made_id").alias("script_id"),
+                           F.coalesce("existing_id", "first_version").alias("version_id"), F.lit(None).cast("string").alias("script_version"),
+                           F.lit(None).cast("bigint").alias("iteration"), F.lit(None).cast("boolean").alias("default_version")))
+    told = F.when(F.coalesce("description", F.lit("")) != "", F.col("description"))
+    after = (fresh.groupBy("script_id").agg(
+                F.min_by(told, F.when(told.isNotNull(), F.col("batch_id"))).alias("_told"), F.bool_or("creates").alias("created"),
+                F.first("script_name").alias("script_name"))
+             .join(scripts.select("script_id", F.nullif("description", F.lit("")).alias("_old")), "script_id", "left")
+             .select("script_id", "script_name", F.coalesce("_old", "_told", F.lit("")).alias("description"), "created"))
+    unset = versions.filter("default_version").join(taken, "script_id", "left_semi").select("version_id", "script_id")
+    return new_rows.unionByName(dup_rows), after, unset
 
 
 def build_file_catalog(refs: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:

@@ -6,31 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlake.functions.shell import let, shell_tokens
+from runlake.operators.access import script_rule
 from runlake.operators.jobs import REVOKED, SUBMITTED, DELETED
 from runlake.operators.ranking import row_number_by
 
 # Commands of the job command endpoint and the status they set.
 COMMAND_STATUS = {"rerun": SUBMITTED, "delete": DELETED, "stop": REVOKED}
 ERR_UNKNOWN = "Unknown Command"
-ERR_FORBIDDEN = "You are not permitted to use this script"
+ERR_JOB = "Unknown Job"
 
 
-def apply_commands(jobs: DataFrame, log: DataFrame) -> DataFrame:
-    """Fold a command log (cmd_id, job_id, user_id, command) into the jobs.
+def apply_commands(jobs: DataFrame, log: DataFrame, users: DataFrame, scripts: DataFrame,
+                   allow_anonymous: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold a command log (cmd_id, job_id, user_id, command) into the jobs (with script_id).
 
-    A command is allowed when the requester owns the job or the job has no
-    owner.  Status commands (rerun, delete, stop) apply in log order, the
-    last one wins; a rerun also counts a new attempt; every allowed resubmit
-    creates a new job (see ``clone_jobs``).  Returns (jobs, resubmits,
-    errors) where errors are (cmd_id, error).
+    The requester must be permitted to use the job's script, and own the job
+    unless nobody does.  Status commands (rerun, delete, stop) apply in log
+    order, the last one wins; a rerun also counts a new attempt; every allowed
+    resubmit creates a new job (see ``clone_jobs``).  Returns (jobs, resubmits,
+    errors); errors are (cmd_id, error), one for every command not done: an
+    unknown job, the refusal of the script rule, '' for a job of somebody
+    else, an unknown command.
     """
-    j = jobs.select("job_id", F.col("user_id").alias("owner_id"))
-    lg = log.join(j, "job_id", "inner")
-    allowed = F.col("owner_id").isNull() | (F.col("user_id").isNotNull() & (F.col("user_id") == F.col("owner_id")))
-    known = F.col("command").isin("resubmit", *COMMAND_STATUS)
-    errors = lg.filter(~allowed | ~known).select(
-        "cmd_id", F.when(~known, F.lit(ERR_UNKNOWN)).otherwise(F.lit(ERR_FORBIDDEN)).alias("error"))
-    ok = lg.filter(allowed & known)
+    j = jobs.select("job_id", F.col("user_id").alias("owner_id"), "script_id", F.lit(True).alias("found"))
+    lg = script_rule(log.select("cmd_id", "job_id", "user_id", "command").join(j, "job_id", "left"), users, scripts, allow_anonymous)
+    found = F.coalesce("found", F.lit(False))
+    owned = F.col("owner_id").isNull() | F.coalesce(F.col("user_id") == F.col("owner_id"), F.lit(False))
+    known = F.coalesce(F.col("command").isin("resubmit", *COMMAND_STATUS), F.lit(False))
+    error = F.when(~found, ERR_JOB).when(~F.col("permitted"), F.col("refusal")).when(~owned, "").when(~known, ERR_UNKNOWN)
+    lg = lg.withColumn("error", error)
+    errors = lg.filter(F.col("error").isNotNull()).select("cmd_id", "error")
+    ok = lg.filter(F.col("error").isNull())
     status_map = F.create_map(*[F.lit(x) for kv in COMMAND_STATUS.items() for x in kv])
     per_job = (ok.filter(F.col("command") != "resubmit")
                  .groupBy("job_id")

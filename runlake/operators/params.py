@@ -261,22 +261,34 @@ def merge_values(a, b) -> Column:
     return F.array_union(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
-def reuse_params(old: DataFrame, new: DataFrame, attrs: list[str]) -> DataFrame:
-    """Match new parameter definitions to existing rows equal on every
-    attribute (NULL-safe).  Returns (new_key, param_id, is_new).
-
-    Old rows are first reduced to one row per distinct attribute tuple (its
-    lowest id, a partial aggregate), so many identical definitions never
-    multiply the join; all attributes are hashed into one join key and then
-    compared NULL-safely to rule out hash collisions.
+def reuse_params(old: DataFrame, new: DataFrame, attrs: list[str], key: str = "version_id") -> DataFrame:
+    """Parameters of the definitions ``new`` of versions (``key``, script_id,
+    position and attributes), loaded in order of version and position.
+
+    A definition uses the parameter of its script, parser and group that is
+    equal in flag and all ``attrs`` (nulls are equal); a positional one must
+    also have its position.  The parameter may come from ``old`` (its lowest
+    id) or from an earlier definition; otherwise it is made, with the next id in order.
+    Gives (``key``, position, param_id, is_new).
+
+    Equal definitions share a parameter, so all that counts is the distinct
+    tuples: both sides are reduced to them by partial aggregates, and
+    identical definitions never multiply the join.
     """
-    h = F.xxhash64(*[F.col(a) for a in attrs])
-    o = (old.groupBy(h.alias("_oh"), *[F.col(a).alias(f"_o_{a}") for a in attrs])
-            .agg(F.min("param_id").alias("_old_id")))
-    n = new.select("new_key", *attrs, h.alias("_h"))
-    cond = [F.col("_h") == F.col("_oh")] + [F.col(a).eqNullSafe(F.col(f"_o_{a}")) for a in attrs]
-    j = n.join(o, cond, "left").groupBy("new_key").agg(F.min("_old_id").alias("param_id"))
-    return j.select("new_key", "param_id", F.col("param_id").isNull().alias("is_new"))
+    place = F.when(F.coalesce("short_param", F.lit("")) == "", F.col("position"))
+    parts = ["script_id", "parser_name", "group_name", "short_param", *attrs]
+    # nulls as a marked text: tuples become join keys that hash and sort alike
+    tuples = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"c{i}") for i, c in enumerate(parts)],
+                                F.coalesce(place.cast("string"), F.lit("")).alias("place")))
+    found = old.groupBy(tuples.alias("_t")).agg(F.min("param_id").alias("_old_id"))
+    n = new.select(key, "position", tuples.alias("_t"))
+    firsts = n.groupBy("_t").agg(F.min(F.struct(key, "position")).alias("_f"))
+    made = row_number_by(firsts.join(found, "_t", "left_anti").select("_t", F.col(f"_f.{key}").alias("_v"), F.col("_f.position").alias("_p")),
+                         [], ["_v", "_p"], name="_k")
+    ids = made.select("_t", "_v", "_p", (F.col("_k") + F.coalesce(old.select(F.max("param_id")).scalar(), F.lit(0))).alias("_made_id"))
+    return n.join(found, "_t", "left").join(ids, "_t", "left").select(
+        key, "position", F.coalesce("_old_id", "_made_id").alias("param_id"),
+        F.coalesce((F.col("_v") == F.col(key)) & (F.col("_p") == F.col("position")), F.lit(False)).alias("is_new"))
 
 
 def distinct_matches(df: DataFrame, keys: list[str]) -> DataFrame:

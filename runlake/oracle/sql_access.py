@@ -3,7 +3,7 @@
 from runlake.oracle.sql import oracle
 
 _REQ = """
-  SELECT r.request_id, r.user_id, r.script_id, s.is_active, r.user_id IS NOT NULL AS auth,
+  SELECT r.request_id, r.user_id, r.script_id, s.is_active, s.group_active, r.user_id IS NOT NULL AS auth,
          CASE WHEN s.script_group = '' THEN []::VARCHAR[] ELSE [s.script_group] END AS own,
          CASE WHEN s.parent_group = '' THEN []::VARCHAR[] ELSE [s.parent_group] END AS parent,
          CASE WHEN u.user_id IS NULL THEN []::VARCHAR[] ELSE [u.user_group] END AS ug
@@ -20,7 +20,11 @@ def _rule(groups: str, active: str) -> str:
 oracle("access_check", f"""
 WITH x AS ({_REQ}), y AS (SELECT *, list_distinct(list_concat(own, parent)) AS allg FROM x)
 SELECT request_id, user_id, script_id,
-       {_rule('allg', 'is_active')} AND {_rule('parent', 'true')} AS valid,
+       {_rule('allg', 'is_active')} AND {_rule('parent', 'group_active')} AS valid,
+       CASE WHEN NOT {_rule('allg', 'is_active')} THEN
+                 CASE WHEN len(allg) > 0 THEN 'You are not permitted to use this script' ELSE '' END
+            WHEN NOT {_rule('parent', 'group_active')} THEN
+                 CASE WHEN len(parent) > 0 THEN 'You are not permitted to use this script' ELSE '' END END AS error,
        'disabled' AS display
 FROM y""")
 

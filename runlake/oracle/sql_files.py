@@ -201,7 +201,7 @@ _NORMALIZE = """CASE WHEN trim(ref) = '' OR ref IS NULL OR starts_with(replace(t
 
 oracle("resolve_file_ref", f"""
 WITH refs AS (
-  SELECT file_id AS ref_id, file_id % 150 AS viewer_id,
+  SELECT file_id AS ref_id, CAST(floor(file_id / 7) AS BIGINT) AS viewer_id,
          CASE file_id % 6 WHEN 0 THEN path WHEN 1 THEN '  ' || replace(path, '/', chr(92)) || ' '
                           WHEN 2 THEN '../' || path WHEN 3 THEN path || '/../x' WHEN 4 THEN ''
                           ELSE './' || CAST(job_id AS VARCHAR) || '//' || filename END AS ref

@@ -147,16 +147,36 @@ SELECT file_id, row_no,
 FROM v_cells""")
 
 oracle("reuse_params", """
-WITH o AS (SELECT * FROM v_spec WHERE parser_name = ''),
-n AS (SELECT * FROM v_spec)
-SELECT n.param_id AS new_key, min(o.param_id) AS param_id, min(o.param_id) IS NULL AS is_new
-FROM n LEFT JOIN o ON n.name IS NOT DISTINCT FROM o.name AND n.form_field IS NOT DISTINCT FROM o.form_field
-  AND n.short_param IS NOT DISTINCT FROM o.short_param AND n.collapse IS NOT DISTINCT FROM o.collapse
-  AND n.required IS NOT DISTINCT FROM o.required AND n.choices IS NOT DISTINCT FROM o.choices
-  AND n.choice_limit IS NOT DISTINCT FROM o.choice_limit AND n.group_name IS NOT DISTINCT FROM o.group_name
-  AND n.parser_name IS NOT DISTINCT FROM o.parser_name AND n.param_order IS NOT DISTINCT FROM o.param_order
-  AND n.hidden IS NOT DISTINCT FROM o.hidden
-GROUP BY n.param_id""")
+WITH s AS (
+  SELECT *, param_order + 1 AS position, slot = 3 AS is_output, slot = 4 AS is_checked,
+         CASE WHEN form_field = 'IntegerField' THEN 'int' ELSE 'str' END AS input_type,
+         'about ' || name || ' ' || CAST(script_id % 3 AS VARCHAR) AS param_help,
+         CASE WHEN slot = 1 THEN CAST(script_id % 2 AS VARCHAR) END AS "default"
+  FROM v_spec),
+n AS (
+  SELECT script_id * 2 AS version_id, * FROM s
+  UNION ALL BY NAME
+  SELECT script_id * 2 + 1 AS version_id, * REPLACE (5 - param_order AS position,
+         CASE WHEN script_id % 4 = 0 AND slot = 2 THEN 'new text' ELSE param_help END AS param_help) FROM s),
+o AS (
+  SELECT script_id, parser_name, group_name, short_param, name, is_output, required, form_field, input_type, choices, choice_limit,
+         param_help, is_checked, collapse, "default", CASE WHEN short_param = '' THEN position END AS place, min(param_id) AS old_id
+  FROM s WHERE parser_name = '' GROUP BY ALL),
+m AS (
+  SELECT n.version_id, n.position, o.old_id, dense_rank() OVER (ORDER BY n.script_id, n.parser_name, n.group_name, n.short_param, n.name,
+         n.is_output, n.required, n.form_field, n.input_type, n.choices, n.choice_limit, n.param_help, n.is_checked, n.collapse, n."default",
+         CASE WHEN n.short_param = '' THEN n.position END) AS t
+  FROM n LEFT JOIN o ON n.script_id = o.script_id AND n.parser_name = o.parser_name AND n.group_name = o.group_name
+   AND n.short_param = o.short_param AND n.name = o.name AND n.is_output = o.is_output AND n.required = o.required
+   AND n.form_field = o.form_field AND n.input_type = o.input_type AND n.choices IS NOT DISTINCT FROM o.choices
+   AND n.choice_limit = o.choice_limit AND n.param_help = o.param_help AND n.is_checked = o.is_checked AND n.collapse = o.collapse
+   AND n."default" IS NOT DISTINCT FROM o."default"
+   AND CASE WHEN n.short_param = '' THEN n.position END IS NOT DISTINCT FROM o.place),
+f AS (SELECT t, min((version_id, position)) AS first FROM m WHERE old_id IS NULL GROUP BY t),
+g AS (SELECT t, first, (SELECT max(param_id) FROM s WHERE parser_name = '') + row_number() OVER (ORDER BY first) AS made FROM f)
+SELECT m.version_id, m.position, coalesce(m.old_id, g.made) AS param_id,
+       coalesce(g.first = (m.version_id, m.position), false) AS is_new
+FROM m LEFT JOIN g ON m.t = g.t""")
 
 oracle("distinct_rows", """
 SELECT DISTINCT js.script_id, v.name FROM v_param v JOIN v_job_script js ON v.job_id = js.job_id""")

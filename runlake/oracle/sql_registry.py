@@ -61,30 +61,40 @@ FROM z LEFT JOIN w ON z.script_id = w.script_id""")
 
 oracle("apply_job_commands", """
 WITH lg AS (
-  SELECT event_id AS cmd_id, (event_id * 13) % 10007 AS job_id,
+  SELECT event_id AS cmd_id,
+         CASE WHEN event_id % 17 = 0 THEN -1 - event_id ELSE xor(event_id, event_id % 2 * 4) END AS job_id,
          CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS user_id,
          ['resubmit', 'rerun', 'delete', 'stop', 'bogus'][event_id % 5 + 1] AS command
   FROM events),
 x AS (
-  SELECT lg.*, j.user_id AS owner_id,
-         j.user_id IS NULL OR (lg.user_id IS NOT NULL AND lg.user_id = j.user_id) AS allowed,
-         lg.command IN ('resubmit', 'rerun', 'delete', 'stop') AS known
-  FROM lg JOIN v_job j ON lg.job_id = j.job_id),
+  SELECT lg.*, j.job_id IS NOT NULL AS found,
+         lg.user_id IS NULL AND s.script_id IS NOT NULL AND s.script_group = '' AND s.parent_group = '' AS anonymous_ok,
+         coalesce(s.is_active AND ((s.script_group = '' AND s.parent_group = '')
+                                   OR coalesce(u.user_group IN (nullif(s.script_group, ''), nullif(s.parent_group, '')), false)),
+                  false) OR anonymous_ok AS permitted,
+         coalesce(s.script_group, '') <> '' OR coalesce(s.parent_group, '') <> '' AS grouped,
+         j.user_id IS NULL OR (lg.user_id IS NOT NULL AND lg.user_id = j.user_id) AS owned,
+         lg.command IN ('resubmit', 'rerun', 'delete', 'stop') AS known,
+         found AND permitted AND owned AND known AS done
+  FROM lg LEFT JOIN v_job j ON lg.job_id = j.job_id LEFT JOIN v_script s ON s.script_id = j.script_id
+  LEFT JOIN v_user u ON u.user_id = lg.user_id),
 st AS (
   SELECT job_id,
          arg_max(CASE command WHEN 'rerun' THEN 'submitted' WHEN 'delete' THEN 'deleted' ELSE 'REVOKED' END, cmd_id)
              AS new_status,
          count(*) FILTER (WHERE command = 'rerun') AS reruns
-  FROM x WHERE allowed AND known AND command <> 'resubmit' GROUP BY job_id)
+  FROM x WHERE done AND command <> 'resubmit' GROUP BY job_id)
 SELECT 'job' AS kind, j.job_id AS id, coalesce(st.new_status, j.status) AS status,
        CAST(coalesce(st.reruns, 0) AS BIGINT) AS n
 FROM v_job j LEFT JOIN st ON j.job_id = st.job_id
 UNION ALL
-SELECT 'resubmit', cmd_id, CAST(NULL AS VARCHAR), job_id FROM x WHERE allowed AND known AND command = 'resubmit'
+SELECT 'resubmit', cmd_id, CAST(NULL AS VARCHAR), job_id FROM x WHERE done AND command = 'resubmit'
 UNION ALL
-SELECT 'error', cmd_id, CASE WHEN NOT known THEN 'Unknown Command' ELSE 'You are not permitted to use this script' END,
+SELECT 'error', cmd_id, CASE WHEN NOT found THEN 'Unknown Job'
+                            WHEN NOT permitted THEN CASE WHEN grouped THEN 'You are not permitted to use this script' ELSE '' END
+                            WHEN NOT owned THEN '' ELSE 'Unknown Command' END,
        CAST(NULL AS BIGINT)
-FROM x WHERE NOT allowed OR NOT known""")
+FROM x WHERE NOT done""")
 
 oracle("clone_jobs", """
 WITH r AS (
@@ -97,35 +107,45 @@ FROM n JOIN v_param p ON p.job_id = n.job_id""")
 
 oracle("register_versions", f"""
 WITH b AS (
-  SELECT p_partkey AS batch_id, p_name AS script_name,
-         CASE WHEN p_partkey % 2 = 0 THEN sha1(CAST(p_partkey AS VARCHAR) || '|' || CAST(p_partkey % 7 AS VARCHAR))
-              ELSE sha1(CAST(p_partkey AS VARCHAR) || '|new') END AS checksum,
-         CASE WHEN p_partkey % 3 = 0 THEN '2.0' WHEN p_partkey % 3 = 1 THEN 'not a version!' END AS version_text,
-         p_type AS description, p_size % 2 = 0 AS set_default
+  SELECT p_partkey AS batch_id,
+         CASE WHEN p_partkey % 5 = 0 THEN p_brand || '-' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS VARCHAR) ELSE p_name END AS script_name,
+         CASE WHEN p_partkey % 5 = 0 THEN sha1(CAST(CAST(floor(p_partkey / 15) AS BIGINT) AS VARCHAR))
+              WHEN p_partkey % 2 = 0 THEN sha1(CAST(p_partkey AS VARCHAR) || '|' || CAST(p_partkey % 7 AS VARCHAR))
+              ELSE sha1(CAST(p_partkey % 300 AS VARCHAR) || '|new') END AS checksum,
+         CASE p_partkey % 4 WHEN 0 THEN '2.0-beta1' WHEN 2 THEN '1!2.0+x' ELSE '1' END AS script_version,
+         CASE WHEN p_partkey % 6 = 0 THEN '' ELSE p_type END AS description, p_size % 9 = 0 AS set_default
   FROM part),
 named AS (SELECT v.*, s.script_name FROM v_version v JOIN v_script s ON v.script_id = s.script_id),
 ex AS (SELECT script_name, checksum, arg_max(version_id, (script_version, iteration, version_id)) AS existing_id
        FROM named GROUP BY script_name, checksum),
 sid AS (SELECT script_name, min(script_id) AS script_id FROM v_script GROUP BY script_name),
+made AS (SELECT script_name, min(batch_id) AS made_by,
+                (SELECT max(script_id) FROM v_script) + row_number() OVER (ORDER BY min(batch_id)) AS script_id
+         FROM b WHERE script_name NOT IN (SELECT script_name FROM sid) GROUP BY script_name),
 bb AS (
-  SELECT b.*, ex.existing_id, sid.script_id,
-         CASE WHEN version_text IS NOT NULL AND regexp_matches(version_text, '{VERSION_PATTERN}')
-              THEN version_text ELSE '1' END AS script_version
+  SELECT b.*, ex.existing_id, coalesce(sid.script_id, made.script_id) AS script_id, coalesce(made.made_by = b.batch_id, false) AS creates,
+         min(batch_id) OVER (PARTITION BY b.script_name, b.checksum) AS first_id
   FROM b LEFT JOIN ex ON b.script_name = ex.script_name AND b.checksum = ex.checksum
-  LEFT JOIN sid ON b.script_name = sid.script_name),
+  LEFT JOIN sid ON b.script_name = sid.script_name LEFT JOIN made ON b.script_name = made.script_name),
 base AS (SELECT script_id, script_version, max(iteration) AS mx FROM v_version GROUP BY script_id, script_version),
-nw AS (SELECT bb.*, row_number() OVER (PARTITION BY script_id, script_version ORDER BY batch_id) AS k
-       FROM bb WHERE existing_id IS NULL)
-SELECT nw.batch_id, 'new' AS outcome, nw.script_id, nw.script_version,
-       CAST(coalesce(base.mx, 0) + nw.k AS BIGINT) AS iteration, nw.set_default AS default_version,
-       CAST(NULL AS BIGINT) AS existing_id,
-       CASE WHEN coalesce(s.description, '') = '' THEN nw.description ELSE s.description END AS description
+nw AS (SELECT *, row_number() OVER (PARTITION BY script_id, script_version ORDER BY batch_id) AS k,
+              (SELECT max(version_id) FROM v_version) + row_number() OVER (ORDER BY batch_id) AS version_id,
+              max(CASE WHEN set_default AND NOT creates THEN batch_id END) OVER (PARTITION BY script_id) AS taken
+       FROM bb WHERE existing_id IS NULL AND batch_id = first_id),
+t AS (SELECT script_id, arg_min(nullif(description, ''), batch_id) AS told, bool_or(creates) AS created, max(taken) AS taken
+      FROM nw GROUP BY script_id)
+SELECT 'new' AS kind, nw.batch_id AS id, nw.script_id, nw.version_id, nw.script_version, CAST(coalesce(base.mx, 0) + nw.k AS BIGINT) AS iteration,
+       (creates OR set_default) AND (taken IS NULL OR batch_id >= taken) AS flag, CAST(NULL AS VARCHAR) AS text
 FROM nw LEFT JOIN base ON nw.script_id = base.script_id AND nw.script_version = base.script_version
-LEFT JOIN v_script s ON s.script_id = nw.script_id
 UNION ALL
-SELECT batch_id, 'duplicate', script_id, script_version, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), existing_id,
-       CAST(NULL AS VARCHAR)
-FROM bb WHERE existing_id IS NOT NULL""")
+SELECT 'duplicate', bb.batch_id, bb.script_id, coalesce(bb.existing_id, nw.version_id), NULL, NULL, NULL, NULL
+FROM bb LEFT JOIN nw ON nw.batch_id = bb.first_id WHERE bb.existing_id IS NOT NULL OR bb.batch_id <> bb.first_id
+UNION ALL
+SELECT 'script', t.script_id, t.script_id, NULL, NULL, NULL, created, coalesce(nullif(s.description, ''), told, '')
+FROM t LEFT JOIN v_script s ON s.script_id = t.script_id
+UNION ALL
+SELECT 'unset', v.version_id, v.script_id, v.version_id, NULL, NULL, false, NULL
+FROM v_version v JOIN t ON t.script_id = v.script_id WHERE v.default_version AND t.taken IS NOT NULL""")
 
 oracle("build_file_catalog", f"""
 WITH known AS (
@@ -175,11 +195,10 @@ oracle("scan_catalog", "\nUNION ALL\n".join(
 
 oracle("run_job", f"SELECT seq_id, {_translate('seq', 2)} AS protein FROM v_seq")
 
-oracle("run_sweep", f"""
-SELECT '+1' AS param_frame, seq_id, {_translate('seq', 0)} AS protein FROM v_seq
-UNION ALL
-SELECT '-2', seq_id, {_translate("translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', 'TGCANtgcan')", 1)}
-FROM v_seq""")
+_COMPLEMENT = "translate(regexp_replace(seq, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', 'TGCANtgcan')"
+oracle("run_sweep", "\nUNION ALL\n".join(
+    f"SELECT '{sign}{i + 1}' AS param_frame, seq_id, {_translate(strand, i)} AS protein FROM v_seq"
+    for sign, strand in (("+", "seq"), ("-", _COMPLEMENT)) for i in range(3)))
 
 oracle("parse_commands", """
 WITH o AS (SELECT o_orderkey AS job_id, o_orderkey % 6 AS kind, o_orderkey % 7 = 0 AS short, o_orderstatus AS s, o_orderpriority AS p,

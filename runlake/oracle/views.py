@@ -32,7 +32,7 @@ VIEW_SQL: dict[str, str] = {
         WHERE status = 'running' AND job_id % 3 = 0 AND celery_id IS NOT NULL""",
     "v_job_request": """
         SELECT event_id AS request_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS viewer_id,
-               (event_id * 37) % 10007 AS job_id, event_id % 11 = 0 AS by_uuid
+               CASE WHEN event_id % 13 = 0 THEN -1 - event_id ELSE xor(event_id, event_id % 3) END AS job_id, event_id % 11 = 0 AS by_uuid
         FROM events""",
     "v_status_event": """
         SELECT CAST(floor(job_id / 10) AS BIGINT) AS job_id, job_id % 2 AS attempt, created_date AS ts,
@@ -43,7 +43,8 @@ VIEW_SQL: dict[str, str] = {
                CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS description,
                p_size AS script_order, p_size % 7 <> 0 AS is_active,
                CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'BUILDING' ELSE 'MACHINERY' END AS script_group,
-               CASE WHEN p_brand = 'Brand#2' THEN 'BUILDING' ELSE '' END AS parent_group
+               CASE WHEN p_brand = 'Brand#2' THEN 'BUILDING' ELSE '' END AS parent_group,
+               p_brand NOT IN ('Brand#2', 'Brand#7', 'Brand#19') AS group_active
         FROM part""",
     "v_version": """
         SELECT l_partkey * 100000 + l_suppkey AS version_id, l_partkey AS script_id,
@@ -101,9 +102,9 @@ VIEW_SQL: dict[str, str] = {
                  parser_name)""",
     "v_job_script": "SELECT o_orderkey AS job_id, o_custkey AS script_id FROM orders",
     "v_file": """
-        SELECT doc_id AS file_id, doc_id % 97 AS job_id,
+        SELECT doc_id AS file_id, CAST(floor(doc_id / 11) AS BIGINT) AS job_id,
                source || '_' || lang || CASE WHEN doc_id % 13 = 0 THEN '.zip' ELSE '.txt' END AS filename,
-               'jobs/' || CAST(doc_id % 97 AS VARCHAR) || '/' || source || '_' || lang
+               'jobs/' || CAST(CAST(floor(doc_id / 11) AS BIGINT) AS VARCHAR) || '/' || source || '_' || lang
                    || CASE WHEN doc_id % 13 = 0 THEN '.zip' ELSE '.txt' END AS path,
                text AS content, CAST(strlen(text) AS BIGINT) AS size_bytes, sha1(text) AS checksum,
                doc_id % 2 = 0 AS is_output,
@@ -112,14 +113,14 @@ VIEW_SQL: dict[str, str] = {
     "v_user_file": """
         SELECT file_id, job_id, is_output, param FROM v_file
         UNION ALL
-        SELECT file_id, (file_id + 1) % 97 AS job_id, false AS is_output, 'in' AS param
+        SELECT file_id, job_id + 1 AS job_id, false AS is_output, 'in' AS param
         FROM v_file WHERE file_id % 4 = 0""",
     "v_local": "SELECT file_id, path, size_bytes FROM v_file WHERE file_id % 5 <> 0",
     "v_remote": """
         SELECT file_id, path, CASE WHEN file_id % 7 = 0 THEN CAST(0 AS BIGINT) ELSE size_bytes END AS size_bytes
         FROM v_file WHERE file_id % 3 <> 0""",
     "v_favorite": """
-        SELECT doc_id % 10 AS user_id, 'userfile' AS content_type, doc_id AS object_id
+        SELECT CAST(floor(doc_id / 9) AS BIGINT) AS user_id, 'userfile' AS content_type, doc_id AS object_id
         FROM labels WHERE quality = 1""",
     "v_toggle": f"SELECT user_id, CAST({JSON_K} AS INTEGER) AS object_id, ts FROM events",
     "v_chunk": """

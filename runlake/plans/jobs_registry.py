@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -83,6 +84,12 @@ def run_job(name: str, version: str, values: dict, df: DataFrame) -> DataFrame:
     return spec.fn(df, **validate(spec, values))
 
 
+def choice_grid(name: str, version: str, over: list[str]) -> list[dict]:
+    """Every combination of the choices that a job declares for the parameters ``over``."""
+    choices = {p.name: p.choices for p in REGISTRY[(name, version)].params}
+    return [dict(zip(over, values)) for values in product(*(choices[p] for p in over))]
+
+
 def run_sweep(name: str, version: str, grid: list[dict], df: DataFrame) -> DataFrame:
     """One plan per combination, tagged with the combination's values."""
     plans = []

@@ -127,7 +127,7 @@ def _available_name(c):
 @key("resolve_file_ref")
 def _resolve_file_ref(c):
     f = c.file()
-    refs = f.select(F.col("file_id").alias("ref_id"), (F.col("file_id") % 150).alias("viewer_id"),
+    refs = f.select(F.col("file_id").alias("ref_id"), F.floor(F.col("file_id") / 7).cast("bigint").alias("viewer_id"),
                     _ref(f).alias("ref"))
     return FL.resolve_refs(refs, c.user_file(), f, c.job())
 

@@ -8,8 +8,9 @@ from runlake.functions.values import coerce_value
 from runlake.operators import params as PR
 from runlake.plans.queries import key
 
-REUSE_ATTRS = ["name", "form_field", "short_param", "collapse", "required", "choices", "choice_limit",
-               "group_name", "parser_name", "param_order", "hidden"]
+# attributes besides script, parser, group and flag in which a definition must equal a known parameter
+REUSE_ATTRS = ["name", "is_output", "required", "form_field", "input_type", "choices", "choice_limit", "param_help", "is_checked",
+               "collapse", "default"]
 
 
 @key("assemble_command")
@@ -115,12 +116,25 @@ def _merge_values(c):
         PR.merge_values(F.col("cells"), F.split(F.lower(F.array_join("cells", ",")), ","))), "|").alias("merged"))
 
 
+def _definitions(c):
+    """Parameter definitions with all attributes; a script's text differs by script."""
+    k = F.col("script_id")
+    return c.spec().withColumns({
+        "position": F.col("param_order") + 1, "is_output": F.col("slot") == 3, "is_checked": F.col("slot") == 4,
+        "input_type": F.when(F.col("form_field") == "IntegerField", "int").otherwise("str"),
+        "param_help": F.concat(F.lit("about "), F.col("name"), F.lit(" "), (k % 3).cast("string")),
+        "default": F.when(F.col("slot") == 1, (k % 2).cast("string"))})
+
+
 @key("reuse_params")
 def _reuse_params(c):
-    s = c.spec()
-    old = s.filter(F.col("parser_name") == "")
-    new = s.withColumn("new_key", F.col("param_id"))
-    return PR.reuse_params(old, new, REUSE_ATTRS)
+    """Two new versions of every script: one in the known order, one in reverse order with a changed help text here and there."""
+    s = _definitions(c)
+    k = F.col("script_id")
+    same = s.withColumn("version_id", k * 2)
+    turned = s.withColumns({"version_id": k * 2 + 1, "position": F.lit(5) - F.col("param_order"), "param_help": F.when(
+        (k % 4 == 0) & (F.col("slot") == 2), "new text").otherwise(F.col("param_help"))})
+    return PR.reuse_params(s.filter(F.col("parser_name") == ""), same.unionByName(turned), REUSE_ATTRS)
 
 
 @key("distinct_rows")

@@ -55,7 +55,8 @@ def _version_patch_rules(c):
 def _command_log(c):
     e = c.t("events")
     cmds = F.array(*[F.lit(x) for x in ("resubmit", "rerun", "delete", "stop", "bogus")])
-    return e.select(F.col("event_id").alias("cmd_id"), ((F.col("event_id") * 13) % 10007).alias("job_id"),
+    k = F.col("event_id")
+    return e.select(k.alias("cmd_id"), F.when(k % 17 == 0, -1 - k).otherwise(k.bitwiseXOR(k % 2 * 4)).alias("job_id"),
                     F.when(F.col("event_id") % 9 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id"))
                      .alias("user_id"),
                     F.element_at(cmds, (F.col("event_id") % 5 + 1).cast("int")).alias("command"))
@@ -63,7 +64,9 @@ def _command_log(c):
 
 @key("apply_job_commands")
 def _apply_job_commands(c):
-    jobs, resub, errs = CM.apply_commands(c.job().select("job_id", "user_id", "status"), _command_log(c))
+    jobs, resub, errs = CM.apply_commands(c.job().select("job_id", "user_id", "status", "script_id"), _command_log(c),
+                                          c.user(), c.script())
+    jobs = jobs.drop("script_id")
     a = jobs.select(F.lit("job").alias("kind"), F.col("job_id").alias("id"), "status",
                     F.col("reruns").cast("bigint").alias("n"))
     b = resub.select(F.lit("resubmit").alias("kind"), F.col("cmd_id").alias("id"), F.lit(None).cast("string")
@@ -116,18 +119,32 @@ def _parse_commands(c):
     return CM.parse_commands(_command_lines(c), _command_spec(c))
 
 
+def _registration_batch(c):
+    """Files of known scripts (a half of them known, too) and of new ones, some of which come twice."""
+    k, new = F.col("p_partkey"), F.col("p_partkey") % 5 == 0
+    tenth = F.floor(k / 10).cast("string")
+    return c.t("part").select(
+        k.alias("batch_id"), F.when(new, F.concat("p_brand", F.lit("-"), tenth)).otherwise(F.col("p_name")).alias("script_name"),
+        F.when(new, F.sha1(F.floor(k / 15).cast("string"))).when(
+            k % 2 == 0, F.sha1(F.concat(k.cast("string"), F.lit("|"), (k % 7).cast("string"))))
+         .otherwise(F.sha1(F.concat((k % 300).cast("string"), F.lit("|new")))).alias("checksum"),
+        F.when(k % 4 == 0, F.lit("2.0-beta1")).when(k % 4 == 1, F.lit("not a version!")).when(k % 4 == 2, F.lit("1!2.0+x")).alias("version_text"),
+        F.when(k % 6 == 0, F.lit("")).otherwise(F.col("p_type")).alias("description"), (F.col("p_size") % 9 == 0).alias("set_default"))
+
+
 @key("register_versions")
 def _register_versions(c):
-    p = c.t("part")
-    k = F.col("p_partkey")
-    batch = p.select(
-        k.alias("batch_id"), F.col("p_name").alias("script_name"),
-        F.when(k % 2 == 0, F.sha1(F.concat(k.cast("string"), F.lit("|"), (k % 7).cast("string"))))
-         .otherwise(F.sha1(F.concat(k.cast("string"), F.lit("|new")))).alias("checksum"),
-        F.when(k % 3 == 0, F.lit("2.0")).when(k % 3 == 1, F.lit("not a version!")).otherwise(
-            F.lit(None).cast("string")).alias("version_text"),
-        F.col("p_type").alias("description"), (F.col("p_size") % 2 == 0).alias("set_default"))
-    return CL.register_versions(c.version(), c.script(), batch)
+    rows, scripts, unset = CL.register_versions(c.version(), c.script(), _registration_batch(c))
+    null = F.lit(None)
+    a = rows.select(F.col("outcome").alias("kind"), F.col("batch_id").alias("id"), "script_id", "version_id", "script_version", "iteration",
+                    F.col("default_version").alias("flag"), null.cast("string").alias("text"))
+    b = scripts.select(F.lit("script").alias("kind"), F.col("script_id").alias("id"), "script_id", null.cast("bigint").alias("version_id"),
+                       null.cast("string").alias("script_version"), null.cast("bigint").alias("iteration"), F.col("created").alias("flag"),
+                       F.col("description").alias("text"))
+    d = unset.select(F.lit("unset").alias("kind"), F.col("version_id").alias("id"), "script_id", "version_id",
+                     null.cast("string").alias("script_version"), null.cast("bigint").alias("iteration"), F.lit(False).alias("flag"),
+                     null.cast("string").alias("text"))
+    return a.unionByName(b).unionByName(d)
 
 
 @key("build_file_catalog")
@@ -170,7 +187,7 @@ def _run_job(c):
 
 @key("run_sweep")
 def _run_sweep(c):
-    grid = [{"frame": f} for f in ("+1", "-2")]
-    return R.run_sweep("translate", "1", grid, c.seq()).select("param_frame", "seq_id", "protein")
+    """All choices of the frame, over all sequences."""
+    return R.run_sweep("translate", "1", R.choice_grid("translate", "1", ["frame"]), c.seq()).select("param_frame", "seq_id", "protein")
 
 

@@ -57,12 +57,12 @@ def v_active(jobs: DataFrame) -> DataFrame:
 
 
 def v_job_request(events: DataFrame) -> DataFrame:
-    """Viewers opening job pages: anonymous for every 5th event."""
+    """Viewers opening job pages: anonymous for every 5th event, unknown jobs for every 13th."""
     e = F.col("event_id")
     return events.select(
         e.alias("request_id"),
         F.when(e % 5 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id")).alias("viewer_id"),
-        ((e * 37) % 10007).alias("job_id"),
+        F.when(e % 13 == 0, -1 - e).otherwise(e.bitwiseXOR(e % 3)).alias("job_id"),
         (e % 11 == 0).alias("by_uuid"))
 
 
@@ -87,6 +87,7 @@ def v_script(part: DataFrame) -> DataFrame:
         (F.col("p_size") % 7 != 0).alias("is_active"),
         F.when(k % 3 == 0, "").when(k % 3 == 1, "BUILDING").otherwise("MACHINERY").alias("script_group"),
         F.when(F.col("p_brand") == "Brand#2", "BUILDING").otherwise("").alias("parent_group"),
+        (~F.col("p_brand").isin("Brand#2", "Brand#7", "Brand#19")).alias("group_active"),
     )
 
 
@@ -220,7 +221,7 @@ def v_job_script(orders: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- file views
 def v_file(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
-    job = d % 97
+    job = F.floor(d / 11).cast("bigint")
     filename = F.concat(F.col("source"), F.lit("_"), F.col("lang"),
                         F.when(d % 13 == 0, F.lit(".zip")).otherwise(F.lit(".txt")))
     return documents.select(
@@ -239,7 +240,7 @@ def v_file(documents: DataFrame) -> DataFrame:
 def v_user_file(files: DataFrame) -> DataFrame:
     base = files.select("file_id", "job_id", "is_output", "param")
     extra = (files.filter(F.col("file_id") % 4 == 0)
-                  .select("file_id", ((F.col("file_id") + 1) % 97).alias("job_id"),
+                  .select("file_id", (F.col("job_id") + 1).alias("job_id"),
                           F.lit(False).alias("is_output"), F.lit("in").alias("param")))
     return base.unionByName(extra)
 
@@ -257,7 +258,7 @@ def v_remote(files: DataFrame) -> DataFrame:
 
 def v_favorite(labels: DataFrame) -> DataFrame:
     return (labels.filter(F.col("quality") == 1)
-                  .select((F.col("doc_id") % 10).alias("user_id"), F.lit("userfile").alias("content_type"),
+                  .select(F.floor(F.col("doc_id") / 9).cast("bigint").alias("user_id"), F.lit("userfile").alias("content_type"),
                           F.col("doc_id").alias("object_id")))
 
 

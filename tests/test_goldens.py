@@ -10,6 +10,8 @@ from runlake.functions import values as V
 from runlake.functions.sequences import complement, translate_frame, translate_frame_native
 from runlake.operators import access as A
 from runlake.operators import catalog as C
+from runlake.operators import catalog_load as CL
+from runlake.operators import commands as CM
 from runlake.operators import files as FL
 from runlake.operators import jobs as J
 from runlake.operators import params as PR
@@ -249,16 +251,40 @@ def test_visibility_rule(spark):
 # --------------------------------------------------------------- access
 def test_access_matrix(spark):
     users = spark.createDataFrame([(1, "g1"), (2, "g2")], "user_id long, user_group string")
-    scripts = spark.createDataFrame([(10, True, "g1", ""), (11, True, "", ""), (12, False, "", "")],
-                                    "script_id long, is_active boolean, script_group string, parent_group string")
-    req = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, None, 11), (4, None, 10), (5, None, 12), (6, 1, 12)],
-                                "request_id long, user_id long, script_id long")
-    got = {r["request_id"]: r["valid"] for r in A.access_check(req, users, scripts).collect()}
+    scripts = spark.createDataFrame([(10, True, "g1", "", True), (11, True, "", "", True), (12, False, "", "", True),
+                                     (13, True, "", "", False), (14, True, "g1", "g1", False)],
+                                    "script_id long, is_active boolean, script_group string, parent_group string, group_active boolean")
+    req = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, None, 11), (4, None, 10), (5, None, 12), (6, 1, 12), (7, 1, 13),
+                                 (8, None, 13), (9, 1, 14)], "request_id long, user_id long, script_id long")
+    checked = A.access_check(req, users, scripts).collect()
+    got = {r["request_id"]: r["valid"] for r in checked if r["request_id"] < 7}
+    # an inactive group blocks users, also members; only restricted objects say why
+    assert {r["request_id"]: r["valid"] for r in checked if r["request_id"] > 6} == {7: False, 8: True, 9: False}
+    told = A.FORBIDDEN
+    assert {r["request_id"]: r["error"] for r in checked} == {1: None, 2: told, 3: None, 4: told, 5: None, 6: "", 7: "", 8: None, 9: told}
     # member ok, non-member blocked, anonymous on open script ok, anonymous on
     # restricted blocked, anonymous ignores is_active, inactive blocks users
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
 
 
+def test_command_log_outcomes(spark):
+    users = spark.createDataFrame([(1, "g1"), (2, "g2")], "user_id long, user_group string")
+    scripts = spark.createDataFrame([(10, True, "g1", "", True), (11, True, "", "", True)],
+                                    "script_id long, is_active boolean, script_group string, parent_group string, group_active boolean")
+    jobs = spark.createDataFrame([(1, 1, "running", 10), (2, 2, "running", 11), (3, None, "running", 11), (4, 2, "running", 10)],
+                                 "job_id long, user_id long, status string, script_id long")
+    log = spark.createDataFrame([(1, 1, 1, "stop"), (2, 2, 1, "stop"), (3, 3, None, "rerun"), (4, 4, 2, "delete"), (5, 9, 1, "stop"),
+                                 (6, 1, 1, "bogus"), (7, 4, 2, "bogus"), (8, 1, 1, "resubmit"), (9, 3, 1, "delete")],
+                                "cmd_id long, job_id long, user_id long, command string")
+    after, resubmits, errors = CM.apply_commands(jobs, log, users, scripts)
+    assert {r["job_id"]: (r["status"], r["reruns"]) for r in after.collect()} == {
+        1: (J.REVOKED, 0), 2: ("running", 0), 3: (J.DELETED, 1), 4: ("running", 0)}
+    assert [r["cmd_id"] for r in resubmits.collect()] == [8]
+    # 2: not the owner, 4 and 7: no access to the script (said first), 5: no such job
+    assert {r["cmd_id"]: r["error"] for r in errors.collect()} == {
+        2: "", 4: A.FORBIDDEN, 5: CM.ERR_JOB, 6: CM.ERR_UNKNOWN, 7: A.FORBIDDEN}
+
+
 def test_toggle_favorites(spark):
     fav = spark.createDataFrame([(1, "script", 7)], "user_id long, content_type string, object_id long")
     log = spark.createDataFrame([(1, "script", 7), (1, "script", 8), (1, "script", 8), (2, "script", 7)],
@@ -394,6 +420,22 @@ def test_batch_keeps_a_default(spark):
                    4: (True, None)}
 
 
+def test_version_spellings(spark):
+    order = ["1.0.dev3", "1.0a", "1.0-alpha2.post1", "1.0-beta", "1.0_B_1", "1.0c1", "1.0preview2", "1.0", "1.0+local.2", "1.0+local.10",
+             "1.0-1", "1.0.rev2", "1.1.dev1", "v2", "1!0.5"]
+    v = spark.createDataFrame([(i, 1, t, 1) for i, t in enumerate(order)],
+                              "version_id long, script_id long, script_version string, iteration int")
+    got = [r["script_version"] for r in C.order_versions(v).orderBy(F.desc("version_rank")).collect()]
+    assert got == order
+    same = spark.createDataFrame([("1.0-beta", "1.0b0"), ("1.0-1", "v1.post1"), ("1.0ALPHA3", "1a3"), (" 1.0.r ", "1.0.post0"), ("0!1", "1.0.0")],
+                                 "a string, b string").select((C.version_key("a") == C.version_key("b")).alias("e"))
+    assert all(r["e"] for r in same.collect())
+    texts = {"1.0-beta": True, "1.0+x": True, "1!2.0": True, "1.0.dev": True, " 1.0 ": True, "1.0 beta": False, "x": False, "": False,
+             "1..0": False, "1.0+": False, "1.0rc": True, "1.0-1.dev2+a.b-c": True}
+    df = spark.createDataFrame(list(texts), "string").select("value", T.version_or_default("value").alias("v"))
+    assert {r["value"]: r["v"] == r["value"] for r in df.collect()} == texts
+
+
 def test_version_order(spark):
     texts = ["1", "1.0", "1.0rc1", "1.0.0", "1.10", "1.9", "20240101123000", "1.0.dev3", "1.0.post1", "1.0b2"]
     v = spark.createDataFrame([(i, 1, x, i) for i, x in enumerate(texts)],
@@ -426,3 +468,44 @@ def test_heatmap_columns_reads_fifty_columns(spark):
     x[np.isneginf(x)] = x[np.isfinite(x)].min()
     dist = np.sqrt(np.nansum((x[:, :, None] - x[:, None, :]) ** 2, axis=0))
     assert [c for _, c in got] == M.average_linkage_order(cols, dist)
+
+
+# ---------------------------------------------------------- registration
+def test_ordered_batch_registration(spark):
+    """Two new scripts, copies inside the batch, defaults forced and flipped, descriptions filled once."""
+    versions = spark.createDataFrame([(100, 5, "1", 1, True, "c0"), (101, 5, "2.0", 3, False, "c1"), (102, 6, "1", 1, True, "d0")],
+                                     "version_id long, script_id long, script_version string, iteration int, default_version boolean, "
+                                     "checksum string")
+    scripts = spark.createDataFrame([(5, "old", ""), (6, "kept", "has one")], "script_id long, script_name string, description string")
+    batch = spark.createDataFrame([
+        (1, "new a", "x1", "1.0-beta", "", False), (2, "new b", "x1", None, "b text", False), (3, "new a", "x1", "9", "copy", True),
+        (4, "new a", "x2", "1.0-beta", "a text", True), (5, "old", "c0", "3", "dup", True), (6, "old", "c2", "2.0", "first", True),
+        (7, "old", "c3", "2.0", "second", False), (8, "kept", "d1", "bad version!", "other", False), (9, "old", "c2", "2.0", "x", True)],
+        "batch_id long, script_name string, checksum string, version_text string, description string, set_default boolean")
+    made, after, unset = CL.register_versions(versions, scripts, batch)
+    got = {r["batch_id"]: (r["outcome"], r["script_id"], r["version_id"], r["script_version"], r["iteration"], r["default_version"])
+           for r in made.collect()}
+    assert got == {1: ("new", 7, 103, "1.0-beta", 1, False), 2: ("new", 8, 104, "1", 1, True), 3: ("duplicate", 7, 103, None, None, None),
+                   4: ("new", 7, 105, "1.0-beta", 2, True), 5: ("duplicate", 5, 100, None, None, None),
+                   6: ("new", 5, 106, "2.0", 4, True), 7: ("new", 5, 107, "2.0", 5, False), 8: ("new", 6, 108, "1", 1 + 1, False),
+                   9: ("duplicate", 5, 106, None, None, None)}
+    assert {(r["script_id"], r["description"], r["created"]) for r in after.collect()} == {
+        (7, "a text", True), (8, "b text", True), (5, "first", False), (6, "has one", False)}
+    assert [r["version_id"] for r in unset.collect()] == [100]
+
+
+def test_parameters_are_reused_from_version_to_version(spark):
+    """v1 has --one, v2 adds a positional and --two, v3 drops --two and moves the positional."""
+    cols = "script_id long, version_id long, position int, parser_name string, group_name string, short_param string, name string, " \
+           "required boolean, default string"
+    base = spark.createDataFrame([(1, 10, 1, "", "g", "--one", "one", True, None)], cols).withColumn("param_id", F.lit(50).cast("long"))
+    new = spark.createDataFrame([
+        (1, 20, 1, "", "g", "", "pos", True, None), (1, 20, 2, "", "g", "--one", "one", True, None), (1, 20, 3, "", "g", "--two", "two", False, None),
+        (1, 30, 1, "", "g", "--one", "one", True, None), (1, 30, 2, "", "g", "", "pos", True, None), (1, 30, 3, "", "h", "--two", "two", False, None),
+        (2, 40, 1, "", "g", "--one", "one", True, None), (1, 50, 1, "", "g", "--one", "one", True, ""), (1, 50, 2, "sub", "g", "--two", "two", False, None)],
+        cols)
+    attrs = ["name", "required", "default"]
+    got = {(r["version_id"], r["position"]): (r["param_id"], r["is_new"]) for r in PR.reuse_params(base, new, attrs).collect()}
+    # keyword parameters are found whatever their order; a positional only at the same place; script, group and parser must be the same
+    assert got == {(20, 1): (51, True), (20, 2): (50, False), (20, 3): (52, True), (30, 1): (50, False), (30, 2): (53, True),
+                   (30, 3): (54, True), (40, 1): (55, True), (50, 1): (56, True), (50, 2): (57, True)}
