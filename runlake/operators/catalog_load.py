@@ -99,9 +99,9 @@ def build_file_catalog(refs: DataFrame, files: DataFrame, stored: DataFrame) ->
                           "created"))
 
 
-def backfill_bridge(versions: DataFrame, spec: DataFrame) -> DataFrame:
-    """Bridge rows version x parameter from the parameter's script key."""
-    return versions.select("version_id", "script_id").join(spec.select("script_id", "param_id"), "script_id")
+def backfill_bridge(params: DataFrame) -> DataFrame:
+    """Bridge rows (version, parameter): one for each parameter's foreign key to its version; rows without one have none."""
+    return params.filter(F.col("version_id").isNotNull()).select("version_id", "param_id").distinct()
 
 
 def backfill_uuid(jobs: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def assemble_commands(values: DataFrame) -> DataFrame:
     """Fold value rows into the ordered token list of each job.
 
     Base-parser values first, then sub-parser values; tokens grouped by flag
-    in first-seen order; a flag without values is emitted alone; a
-    collapsing flag is written once, otherwise before every value; a
-    positional (empty) flag writes values only; the sub-parser name comes
-    once before its first token.
+    alone in first-seen order, and the last value's parameter says which
+    parser the flag belongs to and whether it collapses; a flag without values
+    is emitted alone; a collapsing flag is written once, otherwise before
+    every value; a positional (empty) flag writes values only; the sub-parser
+    name comes once before its first token.
 
     One shuffle: rows are hash-partitioned by job once; the per-flag and the
     per-job aggregation both reuse that partitioning (a job's values are
@@ -56,8 +57,8 @@ def assemble_commands(values: DataFrame) -> DataFrame:
     v = v.withColumn("_val", subprocess_value(F.col("form_field"), F.col("raw"))).filter(F.col("_val").isNotNull())
     order = (F.col("parser_name") != "").cast("bigint") * F.lit(1 << 32) + F.col("pos").cast("bigint")
     v = v.withColumn("_ord", order).repartition("job_id")
-    per_flag = v.groupBy("job_id", "parser_name", F.col("short_param").alias("flag")).agg(
-        F.min("_ord").alias("first"),
+    per_flag = v.groupBy("job_id", F.col("short_param").alias("flag")).agg(
+        F.min("_ord").alias("first"), F.max_by("parser_name", "_ord").alias("parser_name"),
         F.max_by("collapse", "_ord").alias("collapse"),
         F.array_sort(F.collect_list(F.when(F.col("_val") != "", F.struct("_ord", "_val")))).alias("vals"))
     flag, vals = F.col("flag"), F.transform(F.col("vals"), lambda x: x["_val"])
@@ -66,11 +67,11 @@ def assemble_commands(values: DataFrame) -> DataFrame:
                                                         F.array(flag, x)).otherwise(F.array(x)))))
     per_job = per_flag.groupBy("job_id").agg(F.array_sort(F.collect_list(
         F.struct("first", F.col("parser_name").alias("parser"), toks.alias("toks")))).alias("_e"))
-    e = F.col("_e")
+    e = F.filter("_e", lambda x: F.size(x["toks"]) > 0)
     parsers = F.transform(e, lambda x: x["parser"])
     # the sub-parser name goes before the first entry of its parser
     with_parser = F.transform(e, lambda x, i: F.when(
-        (x["parser"] != "") & (F.size(x["toks"]) > 0) & (F.array_position(parsers, x["parser"]) == i + 1),
+        (x["parser"] != "") & (F.array_position(parsers, x["parser"]) == i + 1),
         F.concat(F.array(x["parser"]), x["toks"])).otherwise(x["toks"]))
     return per_job.select("job_id", F.flatten(with_parser).alias("tokens"))
 
@@ -79,7 +80,7 @@ def command_tokens(values: DataFrame) -> DataFrame:
     """The same command as ``assemble_commands`` as a token table
     (job_id, token_pos, token) that never gathers a job's values.
 
-    Entries are (job, parser, flag) groups: their first position, collapse
+    Entries are (job, flag) groups: their first position, parser, collapse
     flag and value count come from partial aggregates; entry order and
     token offsets use windows over the entries of one job (one row per
     distinct flag).  Each value's index inside its flag group comes from
@@ -91,9 +92,9 @@ def command_tokens(values: DataFrame) -> DataFrame:
     v = v.withColumn("_val", subprocess_value(F.col("form_field"), F.col("raw"))).filter(F.col("_val").isNotNull())
     v = v.withColumn("_ord", (F.col("parser_name") != "").cast("bigint") * F.lit(1 << 32)
                      + F.col("pos").cast("bigint")).withColumn("flag", F.col("short_param"))
-    key = ["job_id", "parser_name", "flag"]
-    ent = v.groupBy(*key).agg(F.min("_ord").alias("first"), F.max_by("collapse", "_ord").alias("collapse"),
-                              F.count_if(F.col("_val") != "").alias("n_vals"))
+    key = ["job_id", "flag"]
+    ent = v.groupBy(*key).agg(F.min("_ord").alias("first"), F.max_by("parser_name", "_ord").alias("parser_name"),
+                              F.max_by("collapse", "_ord").alias("collapse"), F.count_if(F.col("_val") != "").alias("n_vals"))
     has_flag = F.col("flag") != ""
     n_tok = (F.when(has_flag & (F.col("n_vals") == 0), F.lit(1))
               .when(has_flag & F.col("collapse"), F.col("n_vals") + 1)
@@ -101,8 +102,8 @@ def command_tokens(values: DataFrame) -> DataFrame:
               .otherwise(F.col("n_vals")))
     by_job = Window.partitionBy("job_id").orderBy("first")
     first_of_parser = F.col("first") == F.min("first").over(Window.partitionBy("job_id", "parser_name"))
-    lead = (first_of_parser & (F.col("parser_name") != "") & (n_tok > 0)).cast("long")
-    ent = ent.withColumn("_lead", lead).withColumn("_n", n_tok + F.col("_lead"))
+    lead = (first_of_parser & (F.col("parser_name") != "")).cast("long")
+    ent = ent.filter(n_tok > 0).withColumn("_lead", lead).withColumn("_n", n_tok + F.col("_lead"))
     ent = ent.withColumn("_off", F.coalesce(F.sum("_n").over(by_job.rowsBetween(Window.unboundedPreceding, -1)),
                                             F.lit(0)))
     # parser names and flags written once per entry

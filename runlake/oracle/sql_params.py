@@ -12,23 +12,29 @@ def coerced(ff: str = "form_field", raw: str = "raw") -> str:
        ELSE CAST(to_json({raw}) AS VARCHAR) END)"""
 
 
-oracle("assemble_command", f"""
-WITH v AS (
-  SELECT job_id, pos, short_param AS flag, collapse,
+_TOKENS = f"""WITH v AS (
+  SELECT job_id, short_param AS flag, collapse, CASE WHEN pos IN (4, 5) AND job_id % 3 <> 0 THEN 'sub' ELSE '' END AS parser,
+         CASE WHEN pos IN (4, 5) AND job_id % 3 <> 0 THEN 100 ELSE 0 END + pos AS ord,
          CASE WHEN {coerced()} IS NULL THEN NULL WHEN form_field = 'BooleanField' THEN ''
               WHEN form_field = 'IntegerField' THEN {coerced()} ELSE raw END AS val
   FROM v_param),
 f AS (
-  SELECT job_id, flag, min(pos) AS first, arg_max(collapse, pos) AS collapse,
-         list(val ORDER BY pos) FILTER (WHERE val <> '') AS vals
+  SELECT job_id, flag, min(ord) AS first, arg_max(collapse, ord) AS collapse, arg_max(parser, ord) AS parser,
+         list(val ORDER BY ord) FILTER (WHERE val <> '') AS vals
   FROM v WHERE val IS NOT NULL GROUP BY job_id, flag),
 t AS (
-  SELECT job_id, first,
+  SELECT job_id, first, parser,
          CASE WHEN flag <> '' AND len(coalesce(vals, [])) = 0 THEN [flag]
               ELSE flatten(list_transform(coalesce(vals, []), lambda x, i:
                    CASE WHEN flag <> '' AND (NOT collapse OR i = 1) THEN [flag, x] ELSE [x] END)) END AS toks
   FROM f),
-a AS (SELECT job_id, flatten(list(toks ORDER BY first)) AS tokens FROM t GROUP BY job_id)
+p AS (SELECT job_id, first, CASE WHEN parser <> '' AND row_number() OVER (PARTITION BY job_id, parser ORDER BY first) = 1
+             THEN list_concat([parser], toks) ELSE toks END AS toks
+      FROM t WHERE len(toks) > 0),
+a AS (SELECT job_id, flatten(list(toks ORDER BY first)) AS tokens FROM p GROUP BY job_id)"""
+
+oracle("assemble_command", f"""
+{_TOKENS}
 SELECT job_id, array_to_string(tokens, ' ') AS command, CAST(len(tokens) AS BIGINT) AS n_tokens FROM a""")
 
 _PREFILL = f"""
@@ -183,20 +189,5 @@ SELECT DISTINCT js.script_id, v.name FROM v_param v JOIN v_job_script js ON v.jo
 
 
 oracle("command_tokens", f"""
-WITH v AS (
-  SELECT job_id, pos, short_param AS flag, collapse,
-         CASE WHEN {coerced()} IS NULL THEN NULL WHEN form_field = 'BooleanField' THEN ''
-              WHEN form_field = 'IntegerField' THEN {coerced()} ELSE raw END AS val
-  FROM v_param),
-f AS (
-  SELECT job_id, flag, min(pos) AS first, arg_max(collapse, pos) AS collapse,
-         list(val ORDER BY pos) FILTER (WHERE val <> '') AS vals
-  FROM v WHERE val IS NOT NULL GROUP BY job_id, flag),
-t AS (
-  SELECT job_id, first,
-         CASE WHEN flag <> '' AND len(coalesce(vals, [])) = 0 THEN [flag]
-              ELSE flatten(list_transform(coalesce(vals, []), lambda x, i:
-                   CASE WHEN flag <> '' AND (NOT collapse OR i = 1) THEN [flag, x] ELSE [x] END)) END AS toks
-  FROM f),
-a AS (SELECT job_id, flatten(list(toks ORDER BY first)) AS tokens FROM t GROUP BY job_id)
+{_TOKENS}
 SELECT job_id, CAST(i AS BIGINT) AS token_pos, tokens[i] AS token FROM a, generate_series(1, len(tokens)) AS g(i)""")

@@ -174,7 +174,8 @@ SELECT s.job_id, s.file_id, s.path, s.source, s."group", s.checksum,
 FROM s LEFT JOIN ex ON s.checksum = ex.checksum LEFT JOIN fresh ON s.checksum = fresh.checksum""")
 
 oracle("backfill_versions_bridge", """
-SELECT v.version_id, v.script_id, s.param_id FROM v_version v JOIN v_spec s ON v.script_id = s.script_id""")
+SELECT CASE WHEN s.param_id % 3 = 0 THEN max(v.version_id) ELSE min(v.version_id) END AS version_id, s.param_id
+FROM v_version v JOIN v_spec s ON v.script_id = s.script_id GROUP BY s.param_id""")
 
 oracle("backfill_uuid", """
 WITH h AS (SELECT job_id, sha256('job:' || CAST(job_id AS VARCHAR)) AS h FROM v_job)

@@ -81,5 +81,6 @@ SELECT version_id,
 FROM v_version""")
 
 oracle("bridge_join", """
-SELECT v.version_id, s.param_id, s.name, v.script_version
-FROM v_version v JOIN v_spec s ON v.script_id = s.script_id""")
+WITH b AS (SELECT CASE WHEN s.param_id % 3 = 0 THEN max(v.version_id) ELSE min(v.version_id) END AS version_id, s.param_id, s.name
+           FROM v_version v JOIN v_spec s ON v.script_id = s.script_id GROUP BY s.param_id, s.name)
+SELECT b.version_id, b.param_id, b.name, v.script_version FROM b JOIN v_version v ON v.version_id = b.version_id""")

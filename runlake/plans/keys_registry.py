@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from runlake.operators import catalog_load as CL
 from runlake.operators import commands as CM
 from runlake.operators import patches as PT
-from runlake.operators.params import assemble_commands
 from runlake.plans import jobs_registry as R
 from runlake.plans.queries import key
 
@@ -153,9 +152,16 @@ def _build_file_catalog(c):
     return CL.build_file_catalog(c.user_file(), f, f.select("file_id", "checksum"))
 
 
+def owned_params(c):
+    """Parameters as they were before the bridge: each with the key of one version, the first or, for every third, the last."""
+    v = c.version().groupBy("script_id").agg(F.min("version_id").alias("first"), F.max("version_id").alias("last"))
+    return c.spec().join(v, "script_id", "left").select("param_id", "script_id", "name", F.when(
+        F.col("param_id") % 3 == 0, F.col("last")).otherwise(F.col("first")).alias("version_id"))
+
+
 @key("backfill_versions_bridge")
 def _backfill_versions_bridge(c):
-    return CL.backfill_bridge(c.version(), c.spec())
+    return CL.backfill_bridge(owned_params(c))
 
 
 @key("backfill_uuid")

@@ -10,6 +10,7 @@ from runlake.functions.sequences import complement
 from runlake.operators import catalog as C
 from runlake.operators import catalog_load as CL
 from runlake.operators.jobs import status_label, submitted_text
+from runlake.plans.keys_registry import owned_params
 from runlake.plans.queries import key
 
 
@@ -118,6 +119,6 @@ def _audit_stamp(c):
 
 @key("bridge_join")
 def _bridge_join(c):
-    bridge = CL.backfill_bridge(c.version(), c.spec())
+    bridge = CL.backfill_bridge(owned_params(c))
     return C.version_params(c.version(), bridge, c.spec().select("param_id", "name")).select(
         "version_id", "param_id", "name", "script_version")

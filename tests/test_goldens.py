@@ -64,6 +64,18 @@ def test_subparser_name_once_before_first_token(spark):
     assert PR.assemble_commands(v).first()["tokens"] == ["--base", "2.3", "sub1", "--sp", "3", "--sq", "4"]
 
 
+def test_a_flag_of_two_parsers_belongs_to_the_last(spark):
+    schema = ("job_id long, pos int, name string, form_field string, short_param string, collapse boolean, "
+              "raw string, parser_name string")
+    v = spark.createDataFrame([(1, 0, "a", "CharField", "--x", False, "1", ""), (1, 1, "b", "CharField", "--x", True, "2", "sub"),
+                               (1, 2, "c", "CharField", "--y", True, "3", ""),
+                               (2, 0, "p", "BooleanField", "", True, "True", "sub"), (2, 1, "q", "CharField", "--z", True, "4", "sub")], schema)
+    got = {r["job_id"]: r["tokens"] for r in PR.assemble_commands(v).collect()}
+    assert got == {1: ["sub", "--x", "1", "2", "--y", "3"], 2: ["sub", "--z", "4"]}
+    rows = PR.command_tokens(v).orderBy("job_id", "token_pos").collect()
+    assert {k: [r["token"] for r in rows if r["job_id"] == k] for k in got} == got
+
+
 # ------------------------------------------------------------ value rules
 def test_choice_limits(spark):
     got = [_one(spark, F.struct(V.multiple_choice(F.lit(j)), V.max_choices(F.lit(j))))
