@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from runlake.llm.common import small_batches, stage
 
-WINDOW, CUT, LEAST, MOST, SHORT = 8, 16, 8, 63, 64
+WINDOW, CUT, LEAST, MOST, SHORT = 8, 16, 12, 63, 64
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 POWERS = [np.uint64(pow(BASE, j, 1 << 64)) for j in range(WINDOW)]
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"

@@ -299,7 +299,7 @@ def test_fingerprints(documents, odd_documents, no_documents):
 def plain_tree(text):
     """The tree by its definition, character by character: leaves, digests of sections, root."""
     cuts, last, wrap = [], 0, 1 << 64
-    least, shift = (2, 63) if len(text) <= 64 else (8, 60)
+    least, shift = (2, 63) if len(text) <= 64 else (12, 60)
     for i, c in enumerate(text):
         h = sum(ord(text[i - j]) * pow(0x9E3779B97F4A7C15, j, wrap) for j in range(min(8, i + 1))) % wrap
         paragraph = c == "\n" and text[i + 1:i + 2] != "\n"
