@@ -299,13 +299,3 @@ def unique_slugs(df: DataFrame, col: str, key: str) -> DataFrame:
     later = free_numbers(later, taken, ["_slug"], "_idx", "_rank", "_no", start=2)
     return first.select(key, col, F.col("_slug").alias("slug")).unionByName(
         later.select(key, col, F.concat(F.col("_slug"), F.lit("-"), F.col("_no").cast("string")).alias("slug")))
-
-
-def cascade_delete(scripts: DataFrame, versions: DataFrame, jobs: DataFrame,
-                   params: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
-    """Deleting scripts removes their versions, jobs and job values."""
-    s = scripts.join(deleted, "script_id", "left_anti")
-    v = versions.join(deleted, "script_id", "left_anti")
-    j = jobs.join(deleted, "script_id", "left_anti")
-    p = params.join(j.select("job_id"), "job_id", "left_semi")
-    return {"scripts": s, "versions": v, "jobs": j, "params": p}

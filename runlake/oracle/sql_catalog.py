@@ -166,9 +166,17 @@ SELECT script_id, script_name, CASE WHEN r.n = 1 THEN r.base ELSE r.base || '-'
 FROM r LEFT JOIN free ON free.base = r.base AND free.n = r.n""")
 
 oracle("cascade_delete", """
-WITH d AS (SELECT script_id FROM v_script WHERE script_order > 45),
-j AS (SELECT job_id FROM v_job WHERE script_id NOT IN (SELECT script_id FROM d) OR script_id IS NULL)
-SELECT 'scripts' AS "table", count(*) AS remaining FROM v_script WHERE script_id NOT IN (SELECT script_id FROM d)
-UNION ALL SELECT 'versions', count(*) FROM v_version WHERE script_id NOT IN (SELECT script_id FROM d)
-UNION ALL SELECT 'jobs', count(*) FROM j
-UNION ALL SELECT 'params', count(*) FROM v_param WHERE job_id IN (SELECT job_id FROM j)""")
+WITH s AS (SELECT script_id FROM v_script WHERE script_order > 45), u AS (SELECT user_id FROM v_user WHERE NOT is_active),
+f AS (SELECT file_id FROM v_file WHERE ends_with(filename, '.zip')),
+j AS (SELECT job_id FROM v_job WHERE script_id IN (SELECT script_id FROM s))
+SELECT 'scripts' AS "table", script_id AS id, CAST(NULL AS BIGINT) AS other FROM v_script WHERE script_order <= 45
+UNION ALL SELECT 'versions', version_id, script_id FROM v_version WHERE script_id NOT IN (SELECT script_id FROM s)
+UNION ALL SELECT 'jobs', job_id, CASE WHEN user_id IN (SELECT user_id FROM u) THEN NULL ELSE user_id END FROM v_job
+          WHERE job_id NOT IN (SELECT job_id FROM j)
+UNION ALL SELECT 'values', job_id, pos FROM v_param WHERE job_id NOT IN (SELECT job_id FROM j)
+UNION ALL SELECT 'files', file_id, NULL FROM v_file WHERE file_id NOT IN (SELECT file_id FROM f)
+UNION ALL SELECT 'user_files', file_id, job_id FROM v_user_file
+          WHERE job_id NOT IN (SELECT job_id FROM j) AND file_id NOT IN (SELECT file_id FROM f)
+UNION ALL SELECT 'users', user_id, NULL FROM v_user WHERE is_active
+UNION ALL SELECT 'favorites', user_id, object_id FROM v_favorite WHERE user_id NOT IN (SELECT user_id FROM u)
+UNION ALL SELECT 'api_keys', key_id, user_id FROM v_key WHERE user_id NOT IN (SELECT user_id FROM u)""")

@@ -26,9 +26,24 @@ SELECT epoch_us(date_trunc('day', created_date)) AS window_start_us, count(*) AS
        count(*) FILTER (WHERE {_TERM}) AS finished
 FROM v_job GROUP BY date_trunc('day', created_date)""")
 
-oracle("stream_favorites", """
-SELECT user_id, object_id, count(*) AS toggles, count(*) % 2 = 1 AS is_favorite FROM v_toggle
-GROUP BY user_id, object_id""")
+oracle("stream_favorites", _RAW["toggle_favorites"])
+
+oracle("stream_output_blocks", """
+WITH c AS (SELECT *, CAST(floor(seq / 2) AS BIGINT) AS block, job_id * 60 + seq AS s FROM v_chunk),
+b AS (SELECT job_id, channel, block, string_agg(coalesce(chunk, ''), '' ORDER BY seq) AS text, count(*) AS n_chunks,
+             count(*) >= 2 AS "full", max(s) AS last FROM c GROUP BY job_id, channel, block)
+SELECT job_id, channel, block, text, n_chunks, "full" FROM b
+WHERE "full" OR last + 600.5 <= (SELECT max(s) FROM c) - 600""")
+
+oracle("stream_dead_status", f"""
+WITH j AS (SELECT job_id, max(epoch_us(ts) // 1000) AS last, bool_or({_TERM}) AS ended FROM v_status_event GROUP BY job_id)
+SELECT job_id, 'FAILURE' AS status, last + 21600500 AS dead_at_ms FROM j
+WHERE NOT ended AND last + 21600500 <= (SELECT max(epoch_us(ts) // 1000) FROM v_status_event) - 21600000""")
+
+oracle("stream_catalog", """
+WITH f AS (SELECT checksum, arg_min(file_id, (-file_id, file_id)) AS stored_id FROM v_file GROUP BY checksum)
+SELECT v.file_id, v.checksum, f.stored_id, v.file_id = f.stored_id AS created
+FROM v_file v JOIN f ON v.checksum IS NOT DISTINCT FROM f.checksum""")
 
 oracle("stream_uploads", "SELECT DISTINCT checksum FROM v_file")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from runlake.operators import catalog as C
+from runlake.operators.deletion import SET_NULL, Reference, delete_along
 from runlake.plans.queries import key
 
 
@@ -130,12 +133,30 @@ def _unique_slug(c):
     return C.unique_slugs(c.script(), "script_name", "script_id")
 
 
+REFERENCES = [Reference("versions", "script_id", "scripts"), Reference("jobs", "script_id", "scripts"),
+              Reference("jobs", "user_id", "users", SET_NULL), Reference("values", "job_id", "jobs"),
+              Reference("user_files", "job_id", "jobs"), Reference("user_files", "file_id", "files"),
+              Reference("favorites", "user_id", "users"), Reference("api_keys", "user_id", "users")]
+
+
 @key("cascade_delete")
 def _cascade_delete(c):
-    deleted = c.script().filter(F.col("script_order") > 45).select("script_id")
-    out = C.cascade_delete(c.script(), c.version(), c.job(), c.param(), deleted)
-    parts = [out[k].select(F.lit(k).alias("table"), F.count("*").alias("remaining")) for k in out]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    """All rows that are left once some scripts, users and files are deleted."""
+    tables = {
+        "scripts": (c.script().select("script_id"), "script_id"), "versions": (c.version().select("version_id", "script_id"), "version_id"),
+        "jobs": (c.job().select("job_id", "script_id", "user_id"), "job_id"), "values": (c.param().select("job_id", "pos"), None),
+        "files": (c.file().select("file_id"), "file_id"), "user_files": (c.user_file().select("file_id", "job_id"), None),
+        "users": (c.user().select("user_id"), "user_id"), "favorites": (c.favorite().select("user_id", "object_id"), None),
+        "api_keys": (c.key().select("key_id", "user_id"), "key_id")}
+    left = delete_along(tables, REFERENCES, {
+        "scripts": c.script().filter(F.col("script_order") > 45).select("script_id"),
+        "users": c.user().filter("not is_active").select("user_id"),
+        "files": c.file().filter(F.col("filename").endswith(".zip")).select("file_id")})
+    shown = {"scripts": ("script_id", None), "versions": ("version_id", "script_id"), "jobs": ("job_id", "user_id"), "values": ("job_id", "pos"),
+             "files": ("file_id", None), "user_files": ("file_id", "job_id"), "users": ("user_id", None),
+             "favorites": ("user_id", "object_id"), "api_keys": ("key_id", "user_id")}
+    parts = [left[t].select(F.lit(t).alias("table"), F.col(a).cast("bigint").alias("id"),
+                            (F.col(b) if b else F.lit(None)).cast("bigint").alias("other")) for t, (a, b) in shown.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+

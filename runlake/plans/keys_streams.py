@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from runlake.plans.queries import key
 from runlake.sources import tables as T
+from runlake.sources.writers import scratch_path
+from runlake.streaming import stateful as SF
 from runlake.streaming import streams as ST
 
 
@@ -43,7 +45,34 @@ def _stream_queue_depth(c):
 
 @key("stream_favorites")
 def _stream_favorites(c):
-    return ST.run_stream(ST.stream_favorites(T.v_toggle(_events(c))), "favorites", "complete")
+    """Favorites after a stream of toggles that starts from the favorites table."""
+    toggles = T.v_toggle(_events(c)).select("user_id", F.lit("userfile").alias("content_type"),
+                                            F.col("object_id").cast("bigint").alias("object_id"))
+    changes = ST.run_stream(SF.stream_favorites(toggles, c.favorite()), "favorites", "update", keys=SF.FAVORITE)
+    return SF.favorites_after(c.favorite(), changes)
+
+
+@key("stream_output_blocks")
+def _stream_output_blocks(c):
+    """Blocks of two chunks that are full or silent; a conversation is a job that writes a chunk a second."""
+    chunks = T.v_chunk(ST.read_stream(c.spark, c.sf_dir, "conversations"))
+    chunks = chunks.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("job_id") * 60 + F.col("seq")))
+    return ST.run_stream(SF.stream_output_blocks(chunks, block_size=2), "blocks", "append")
+
+
+@key("stream_dead_status")
+def _stream_dead_status(c):
+    """Jobs without a terminal status that went silent, and when."""
+    ev = T.v_status_event(_events(c)).select("job_id", "status", ST.event_time("ts").alias("ts"))
+    return ST.run_stream(SF.stream_dead_status(ev, "6 hours", 21_600_500), "dead_status", "append")
+
+
+@key("stream_catalog")
+def _stream_catalog(c):
+    """Uploads merged into a file catalog: which stored file holds each upload."""
+    files = T.v_file(ST.read_stream(c.spark, c.sf_dir, "documents")).select(
+        "file_id", "checksum", F.timestamp_seconds(F.lit(1704067200) - F.col("file_id") * 7).alias("uploaded_at"))
+    return SF.run_catalog(files, scratch_path(c.spark, "catalog")).select("file_id", "checksum", "stored_id", "created")
 
 
 @key("stream_uploads")

@@ -159,12 +159,6 @@ def stream_queue_depth(jobs: DataFrame, width: str = "1 day", delay: str = "1 ho
         F.count_if(F.col("status").isin(*TERMINAL_STATES)).alias("finished"))
 
 
-def stream_favorites(toggles: DataFrame) -> DataFrame:
-    """Number of toggles per (user, object); odd = favorite (complete mode)."""
-    return toggles.groupBy("user_id", "object_id").agg(F.count("*").alias("toggles")).withColumn(
-        "is_favorite", F.col("toggles") % 2 == 1)
-
-
 def stream_uploads(files: DataFrame, delay: str = "365 days") -> DataFrame:
     """First upload per checksum within the watermark (append mode); later
     copies are matched by the batch ``match_files``."""
