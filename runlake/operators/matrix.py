@@ -127,15 +127,23 @@ def nested_pages(df: DataFrame, major: str, minor: str, cols: list[str],
 
 def column_distance(df: DataFrame, cols: list[str]) -> DataFrame:
     """Euclidean distance between every pair of (<= 50) columns over rows
-    where both are present: one aggregate of <= 1225 sums, then unpivot."""
+    where both are present: every row gives its <= 1225 squared differences,
+    which are summed per pair by a partial aggregate.  A table without rows
+    has no pairs."""
     if len(cols) > MAX_COLUMNS:
         raise ValueError("Too many columns")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    sums = df.select(*[F.sum(F.pow(F.col(a) - F.col(b), 2)).alias(f"{a}|{b}") for a, b in pairs])
-    stacked = sums.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}|{b}`").alias("ss"))
-        for a, b in pairs])).alias("p")).select("p.*")
-    return stacked.select("col_a", "col_b", F.sqrt("ss").alias("distance"))
+    n = len(cols)
+    if n < 2:
+        return df.select(F.lit("").alias("col_a"), F.lit("").alias("col_b"), F.lit(0.0).alias("distance")).limit(0)
+    # one expression for all pairs: a plan of the same size for 2 columns and for 50
+    at = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+    gap = lambda i, j: F.pow(F.element_at("v", i) - F.element_at("v", j), F.lit(2.0))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.transform(
+        F.sequence(i + 1, F.lit(n)), lambda j: F.struct(i.alias("i"), j.alias("j"), gap(i, j).alias("ss")))))
+    sums = at.select(F.inline(pairs)).groupBy("i", "j").agg(F.sum("ss").alias("ss"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(F.element_at(names, F.col("i")).alias("col_a"), F.element_at(names, F.col("j")).alias("col_b"),
+                       F.sqrt("ss").alias("distance"))
 
 
 def average_linkage_order(names: list[str], dist: np.ndarray) -> list[str]:

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.functions.values import (BOOLEAN, CHAR, FLOAT, INTEGER, coerce_value, max_choices)
+from runlake.functions.values import (BOOLEAN, CHAR, FILE, FLOAT, INTEGER, coerce_value, max_choices)
+from runlake.operators.files import resolve_refs
+from runlake.operators.jobs import SUBMITTED
 from runlake.operators.ranking import row_number_by
 
 # Validation messages.
@@ -20,6 +22,8 @@ ERR_INTEGER = "Enter a whole number."
 ERR_TOO_MANY = "Too many values."
 ERR_NUMBER = "Enter a number."
 ERR_PARSER = "A sub-command must be chosen."
+ERR_FILE_UNKNOWN = "Referenced file could not be found."
+ERR_FILE_FORBIDDEN = "You are not permitted to access this file."
 
 # Texts a form accepts as a whole number (zero decimals allowed) and as a finite number.
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
@@ -222,22 +226,25 @@ def scope_params(values: DataFrame, spec: DataFrame, job_script: DataFrame, chos
     return kept.unionByName(errors, allowMissingColumns=True)
 
 
-def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame) -> DataFrame:
-    """Errors per (job, field): required, choice, type and count rules.
+def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame, file_errors: DataFrame | None = None,
+             names: DataFrame | None = None) -> DataFrame:
+    """Errors per (job, field): required, choice, type, count, file and job name rules.
 
-    Missing required fields are found with one left join from the expected
-    (job, required field) pairs to the submitted ones, per job's script.
+    Every field a job's script expects is joined to the job's values once, so
+    that one aggregate over (job, field) finds wrong, too many and missing
+    values.  ``file_errors`` (job_id, name, error) are the files that could
+    not be used (see ``file_value_errors``); a field with such an error is not
+    called missing as well.  ``names`` (job_id, job_name) are the job names, which may not be blank.
     """
     # choice lists and limits are parsed once per specification row, not per value
     sp = spec.select("script_id", "name", "form_field", "required",
                      F.from_json(F.col("choices"), "array<string>").alias("_choices"),
                      max_choices(F.col("choice_limit")).alias("_max"))
-    v = values.select("job_id", "name", "raw").join(job_script, "job_id")
-    vs = v.join(sp.drop("required"), ["script_id", "name"])
+    fields = job_script.select("job_id", "script_id").join(sp, "script_id")
+    v = fields.join(values.select("job_id", "name", "raw"), ["job_id", "name"], "left")
     present = F.col("raw").isNotNull() & (F.col("raw") != "")
-    per_field = vs.groupBy("job_id", "script_id", "name").agg(
-        F.count_if(present).alias("n"),
-        F.first("_max").alias("_max"),
+    per_field = v.groupBy("job_id", "name").agg(
+        F.count_if(present).alias("n"), F.bool_or("required").alias("required"), F.max("_max").alias("_max"),
         F.count_if(present & (F.col("form_field") == INTEGER) & ~F.col("raw").rlike(INTEGER_TEXT)).alias("bad_int"),
         F.count_if(present & (F.col("form_field") == FLOAT) & ~F.col("raw").rlike(FLOAT_TEXT)).alias("bad_float"),
         F.count_if(present & F.col("_choices").isNotNull()
@@ -247,14 +254,56 @@ def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame) -> DataF
         F.when(F.col("bad_choice") > 0, F.lit(ERR_CHOICE)),
         F.when(F.col("bad_int") > 0, F.lit(ERR_INTEGER)),
         F.when(F.col("bad_float") > 0, F.lit(ERR_NUMBER)),
-        F.when((lim != -1) & (F.col("n") > lim), F.lit(ERR_TOO_MANY))), lambda x: x.isNotNull())
+        F.when((lim != -1) & (F.col("n") > lim), F.lit(ERR_TOO_MANY)),
+        F.when(F.col("required") & (F.col("n") == 0), F.lit(ERR_REQUIRED))), lambda x: x.isNotNull())
     found = per_field.select("job_id", "name", F.explode(errs).alias("error"))
-    required = sp.filter("required").select("script_id", "name")
-    expected = job_script.join(required, "script_id")
-    have = per_field.filter(F.col("n") > 0).select("job_id", "name")
-    missing = expected.join(have, ["job_id", "name"], "left_anti").select(
-        "job_id", "name", F.lit(ERR_REQUIRED).alias("error"))
-    return found.unionByName(missing)
+    if file_errors is not None:
+        found = found.unionByName(file_errors.select("job_id", "name", "error").distinct())
+    if names is not None:
+        blank = F.btrim(F.coalesce("job_name", F.lit(""))) == ""
+        nameless = job_script.select("job_id").join(names.select("job_id", "job_name"), "job_id", "left").filter(blank)
+        found = found.unionByName(nameless.select("job_id", F.lit("job_name").alias("name"), F.lit(ERR_REQUIRED).alias("error")))
+    return found
+
+
+def file_value_errors(values: DataFrame, owners: DataFrame, user_files: DataFrame, files: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(job_id, name, error) of file values (job_id, pos, name, form_field, raw) that do not resolve for the job's user.
+
+    A value names a file of an earlier job; it is found, unknown, or belongs to somebody else (``owners``: job_id, user_id)."""
+    asked = values.filter((F.col("form_field") == FILE) & (F.coalesce("raw", F.lit("")) != ""))
+    asked = asked.join(owners.select("job_id", F.col("user_id").alias("viewer_id")), "job_id", "left").withColumn(
+        "ref_id", F.struct("job_id", "pos", "name"))
+    found = resolve_refs(asked.select("ref_id", "viewer_id", F.col("raw").alias("ref")), user_files, files, jobs)
+    error = F.when(F.col("outcome") == "not found", ERR_FILE_UNKNOWN).when(F.col("outcome") == "not permitted", ERR_FILE_FORBIDDEN)
+    return found.select("ref_id.job_id", "ref_id.name", error.alias("error")).filter(F.col("error").isNotNull())
+
+
+def create_jobs(requests: DataFrame, values: DataFrame, spec: DataFrame, last_id) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs and stored values for submissions (request_id, user_id, script_id, parser_name or null, job_name, job_description).
+
+    A script with several parsers, the base one counted, needs a chosen one;
+    without it the submission is an error.  New ids follow ``last_id`` in order
+    of request.  A job starts as submitted, with empty logs and no task.  The
+    values (request_id, pos, name, form_field, raw) of the chosen and of the
+    base parser are stored as JSON by the type of their parameter, each as a row of its own;
+    others are not.  Returns (jobs, values, errors)."""
+    parsers = spec.groupBy("script_id").agg(F.count_distinct("parser_name").alias("_n"), F.min("parser_name").alias("_only"))
+    r = requests.join(parsers, "script_id", "left")
+    several = F.col("parser_name").isNull() & (F.coalesce("_n", F.lit(0)) > 1)
+    errors = r.filter(several).select("request_id", F.lit(ERR_PARSER).alias("error"))
+    good = r.filter(~several).select("request_id", "user_id", "script_id", "job_name", "job_description",
+                                     F.coalesce("parser_name", F.when(F.col("_n") == 1, F.col("_only"))).alias("_chosen"))
+    ids = row_number_by(good.select("request_id"), [], ["request_id"], name="_k")
+    ids = ids.select("request_id", (F.col("_k") + F.coalesce(last_id, F.lit(0))).alias("job_id"))
+    made = good.join(ids, "request_id")
+    jobs = made.select("job_id", "request_id", "user_id", "script_id", "job_name", F.coalesce("job_description", F.lit("")).alias("job_description"),
+                       F.lit(SUBMITTED).alias("status"), F.lit("").alias("stdout"), F.lit("").alias("stderr"), F.lit(None).cast("string").alias("celery_id"))
+    known = spec.select("script_id", "name", F.col("parser_name").alias("_of"), F.col("form_field").alias("_field"), "param_id", "param_order")
+    stored = (values.select("request_id", "pos", "name", "raw").join(made.select("request_id", "job_id", "script_id", "_chosen"), "request_id")
+                    .join(known, ["script_id", "name"])
+                    .filter((F.col("_of") == "") | (F.col("_of") == F.col("_chosen"))))
+    stored = stored.select("job_id", "param_id", "param_order", "pos", coerce_value(F.col("_field"), F.col("raw")).alias("value"))
+    return jobs, stored, errors
 
 
 def merge_values(a, b) -> Column:

@@ -103,21 +103,32 @@ def top_n_by(df: DataFrame, by: list[str], order: list, n: int, name: str = "ran
 
 
 def free_numbers(requests: DataFrame, taken: DataFrame, by: list[str], idx: str, rank: str, name: str,
-                 start: int = 0) -> DataFrame:
+                 start: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Give the request of rank r (from 1) of a key the r-th whole number from
     ``start`` upward that is not among the key's ``taken`` numbers.
 
     A taken number with f free numbers below it is passed over by every
-    request of rank above f, so one running maximum over the two kinds of
+    request of rank above f, so a running maximum over the two kinds of
     rows finds how many numbers a request passes over; no list of taken
-    numbers is gathered.  Keys are compared like grouping keys (NULL equals
-    NULL).
+    numbers is gathered.  The maximum runs in parallel: ranks are whole numbers
+    without gaps, so ``slice_rows`` of them make a slice of that many requests at
+    most (and as many steps), each slice runs on its own, and the greatest
+    value of a key's earlier slices, one small row per slice, is carried in.
+    Keys are compared like grouping keys (NULL equals NULL).
     """
     t = taken.select(*by, F.col(idx).cast("bigint").alias("_t")).filter(F.col("_t") >= start).distinct()
     t = row_number_by(t, by, ["_t"], name="_i")
     steps = t.groupBy(*by, (F.col("_t") - start - F.col("_i") + 1).alias("_free")).agg(F.max("_i").alias("_skip"))
     rows = requests.withColumn("_free", F.col(rank).cast("bigint") - 1).withColumn("_ask", F.lit(True))
-    both = rows.unionByName(steps.withColumn("_ask", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_free", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    number = F.col("_free") + F.lit(start) + F.coalesce(F.max("_skip").over(w), F.lit(0))
-    return both.withColumn(name, number.cast("bigint")).filter("_ask").drop("_free", "_ask", "_skip")
+    both = rows.unionByName(steps.withColumn("_ask", F.lit(False)), allowMissingColumns=True) \
+               .withColumn("_slice", F.expr(f"_free div {slice_rows}"))
+    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    earlier = Window.partitionBy(*[f"_b{i}" for i in range(len(by))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, F.col("_slice").alias("_s")).agg(F.max("_skip").alias("_top")) \
+                  .withColumn("_carry", F.max("_top").over(earlier))
+    inside = Window.partitionBy(*by, "_slice").orderBy("_free", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = both.withColumn("_run", F.max("_skip").over(inside)).filter("_ask")
+    out = run.join(carried, [F.col("_slice") == F.col("_s"), *same])
+    number = F.col("_free") + F.lit(start) + F.coalesce(F.greatest("_run", "_carry"), F.lit(0))
+    return out.withColumn(name, number.cast("bigint")).select(*requests.columns, name)

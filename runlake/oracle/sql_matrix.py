@@ -3,7 +3,7 @@
 from runlake.oracle.sql import oracle
 
 _C = ["c1", "c2", "c3", "c4"]
-_W = [f"d{i}" for i in range(10)]
+_W = [f"d{i}" for i in range(50)]
 
 
 def _least_min(cols):

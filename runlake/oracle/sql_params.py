@@ -114,14 +114,36 @@ SELECT job_id, pos, name, parser_name, CAST(NULL AS VARCHAR) AS error FROM ({_SC
 UNION ALL
 SELECT job_id, NULL, NULL, NULL, 'A sub-command must be chosen.' FROM ({_JOBS}) WHERE NOT asked AND n > 1""")
 
+_SUBMITTED = """
+p AS (
+  SELECT job_id, pos, name, raw FROM v_param
+  UNION ALL SELECT o_orderkey, 7, 'infile', CASE WHEN o_orderkey % 3 <> 0 THEN coalesce(f.path, 'jobs/0/none.txt') END
+            FROM orders LEFT JOIN v_file f ON f.file_id = o_orderkey
+  UNION ALL SELECT o_orderkey, 8, 'ratio', ['0.5', 'abc', '-1e3', 'nan', ''][o_orderkey % 5 + 1] FROM orders),
+sp AS (
+  SELECT script_id, name, form_field, required, choices, choice_limit, parser_name, param_id FROM v_spec
+  UNION ALL SELECT p_partkey, 'infile', 'FileField', p_partkey % 2 = 0, NULL, 'null', '', p_partkey * 10 + 7 FROM part
+  UNION ALL SELECT p_partkey, 'ratio', 'FloatField', false, NULL, 'null', '', p_partkey * 10 + 8 FROM part)"""
+
 oracle("create_jobs", f"""
-SELECT v.job_id, v.pos, v.name, {coerced('v.form_field', 'v.raw')} AS value FROM ({_SCOPE}) v""")
+WITH {_SUBMITTED.strip()},
+j AS (SELECT o_orderkey AS request_id, o_custkey AS user_id, (SELECT max(job_id) FROM v_job) + row_number() OVER (ORDER BY o_orderkey) AS job_id,
+             CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE 'order ' || CAST(o_orderkey AS VARCHAR) END AS job_name
+      FROM orders WHERE o_orderstatus = 'F')
+SELECT 'job' AS kind, job_id, request_id, user_id, CAST(NULL AS BIGINT) AS param_id, CAST(NULL AS INTEGER) AS pos,
+       job_name || '||submitted||' AS text FROM j
+UNION ALL
+SELECT 'value', j.job_id, NULL, NULL, sp.param_id, p.pos, {coerced('sp.form_field', 'p.raw')}
+FROM j JOIN p ON p.job_id = j.request_id JOIN sp ON sp.script_id = j.user_id AND sp.name = p.name
+UNION ALL
+SELECT 'error', NULL, o_orderkey, NULL, NULL, NULL, 'A sub-command must be chosen.' FROM orders WHERE o_orderstatus <> 'F'""")
 
-oracle("validate_submission", """
-WITH vs AS (
+oracle("validate_submission", f"""
+WITH {_SUBMITTED.strip()},
+vs AS (
   SELECT v.job_id, js.script_id, v.name, v.raw, s.form_field, s.choices, s.choice_limit
-  FROM v_param v JOIN v_job_script js ON v.job_id = js.job_id
-  JOIN v_spec s ON s.script_id = js.script_id AND s.name = v.name),
+  FROM p v JOIN v_job_script js ON v.job_id = js.job_id
+  JOIN sp s ON s.script_id = js.script_id AND s.name = v.name),
 pf AS (
   SELECT job_id, script_id, name,
          count(*) FILTER (WHERE raw IS NOT NULL AND raw <> '') AS n,
@@ -138,13 +160,21 @@ lim AS (
                  WHEN regexp_matches(trim(json_extract_string(lim, '$')), '^[+-]?[0-9]+$')
                       THEN CAST(trim(json_extract_string(lim, '$')) AS BIGINT)
                  ELSE -1 END AS max_n
-  FROM pf)
+  FROM pf),
+own AS (SELECT f.path, j.user_id AS owner_id FROM v_user_file u JOIN v_file f ON u.file_id = f.file_id LEFT JOIN v_job j ON u.job_id = j.job_id),
+seen AS (SELECT path, bool_or(owner_id IS NULL) AS pub, list(DISTINCT owner_id) AS owners FROM own GROUP BY path),
+file_errors AS (
+  SELECT p.job_id, CASE WHEN seen.path IS NULL THEN 'Referenced file could not be found.'
+                        WHEN NOT seen.pub AND NOT list_contains(seen.owners, o.o_custkey) THEN 'You are not permitted to access this file.' END AS error
+  FROM p JOIN orders o ON o.o_orderkey = p.job_id LEFT JOIN seen ON seen.path = p.raw WHERE p.name = 'infile' AND p.raw IS NOT NULL)
 SELECT job_id, name, 'Select a valid choice.' AS error FROM lim WHERE bad_choice > 0
 UNION ALL SELECT job_id, name, 'Enter a whole number.' FROM lim WHERE bad_int > 0
 UNION ALL SELECT job_id, name, 'Enter a number.' FROM lim WHERE bad_float > 0
 UNION ALL SELECT job_id, name, 'Too many values.' FROM lim WHERE max_n <> -1 AND n > max_n
+UNION ALL SELECT job_id, 'infile', error FROM file_errors WHERE error IS NOT NULL
+UNION ALL SELECT o_orderkey, 'job_name', 'This field is required.' FROM orders WHERE o_orderkey % 9 = 0
 UNION ALL
-SELECT js.job_id, s.name, 'This field is required.' FROM v_job_script js JOIN v_spec s ON s.script_id = js.script_id
+SELECT js.job_id, s.name, 'This field is required.' FROM v_job_script js JOIN sp s ON s.script_id = js.script_id
 WHERE s.required AND NOT EXISTS (SELECT 1 FROM lim WHERE lim.job_id = js.job_id AND lim.name = s.name AND lim.n > 0)""")
 
 oracle("merge_values", """

@@ -9,8 +9,7 @@ from runlake.plans.queries import key
 from runlake.sources.tables import MATRIX_COLS
 
 COLS = MATRIX_COLS
-WIDE_COLS = [f"d{i}" for i in range(10)]             # as in the SQL twins of column_distance and heatmap_table
-HEATMAP_COLS = [f"d{i}" for i in range(M.MAX_COLUMNS)]
+WIDE_COLS = [f"d{i}" for i in range(M.MAX_COLUMNS)]        # the limit of the feature
 
 
 def _r(df, cols, n=6):
@@ -95,6 +94,6 @@ def _heatmap_table(c):
 def _heatmap_columns(c):
     """Clustered column order of the heatmap table (rows-only check): the
     distance aggregate has at most 1225 rows, so only it reaches the driver."""
-    sel = M.select_columns(c.wide(), ",".join(HEATMAP_COLS))
-    order = M.column_cluster_order(M.log_normalize(sel, HEATMAP_COLS), HEATMAP_COLS)
+    sel = M.select_columns(c.wide(), ",".join(WIDE_COLS))
+    order = M.column_cluster_order(M.log_normalize(sel, WIDE_COLS), WIDE_COLS)
     return c.spark.createDataFrame([(i + 1, col) for i, col in enumerate(order)], "position int, column string")

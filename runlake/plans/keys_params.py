@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlake.functions.values import coerce_value
+from runlake.functions.values import FILE, FLOAT
 from runlake.operators import params as PR
 from runlake.plans.queries import key
 
@@ -101,17 +101,58 @@ def _subparser_scope(c):
     return PR.scope_params(c.param(), c.spec(), c.job_script(), _chosen(c))
 
 
+def _full_spec(c):
+    """Specification with a number and a file parameter besides the others."""
+    cols = ["script_id", "name", "form_field", "required", "choices", "choice_limit", "parser_name", "param_id", "param_order"]
+    extra = c.t("part").select(F.col("p_partkey").alias("script_id"), F.inline(F.array(*[F.struct(
+        F.lit(n).alias("name"), F.lit(ff).alias("form_field"), rq.alias("required"), F.lit(None).cast("string").alias("choices"),
+        F.lit("null").alias("choice_limit"), F.lit("").alias("parser_name"), (F.col("p_partkey") * 10 + k).alias("param_id"),
+        F.lit(k).alias("param_order")) for k, n, ff, rq in ((7, "infile", FILE, F.col("p_partkey") % 2 == 0), (8, "ratio", FLOAT, F.lit(False)))])))
+    return c.spec().select(*cols).unionByName(extra)
+
+
+def _submitted(c):
+    """Submitted values, with a file of an earlier job (some unknown, some missing) and a number (some wrong)."""
+    k = F.col("o_orderkey")
+    row = lambda pos, name, ff, raw: [k.alias("job_id"), F.lit(pos).alias("pos"), F.lit(name).alias("name"),
+                                      F.lit(ff).alias("form_field"), raw.alias("raw")]
+    files = c.t("orders").join(c.file().select("file_id", "path"), k == F.col("file_id"), "left").select(
+        *row(7, "infile", FILE, F.when(k % 3 != 0, F.coalesce("path", F.lit("jobs/0/none.txt")))))
+    ratio = F.element_at(F.array(*[F.lit(x) for x in ("0.5", "abc", "-1e3", "nan", "")]), (k % 5 + 1).cast("int"))
+    return c.param().select("job_id", "pos", "name", "form_field", "raw").unionByName(files).unionByName(
+        c.t("orders").select(*row(8, "ratio", FLOAT, ratio)))
+
+
+def _requests(c):
+    """A submission per order; those in status F choose the sub-parser, every ninth has no name."""
+    k = F.col("o_orderkey")
+    return c.t("orders").select(
+        k.alias("request_id"), F.col("o_custkey").alias("user_id"), F.col("o_custkey").alias("script_id"),
+        F.when(F.col("o_orderstatus") == "F", "sub").alias("parser_name"),
+        F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("order "), k.cast("string"))).alias("job_name"),
+        F.lit(None).cast("string").alias("job_description"))
+
+
 @key("create_jobs")
 def _create_jobs(c):
-    """Stored values of the jobs that can be created (no scope error)."""
-    scoped = PR.scope_params(c.param(), c.spec(), c.job_script(), _chosen(c), carry=("form_field", "raw"))
-    return scoped.filter(F.col("error").isNull()).select(
-        "job_id", "pos", "name", coerce_value(F.col("form_field"), F.col("raw")).alias("value"))
+    """Jobs, stored values and refused submissions."""
+    values = _submitted(c).withColumnRenamed("job_id", "request_id")
+    jobs, stored, errors = PR.create_jobs(_requests(c), values, _full_spec(c), c.job().select(F.max("job_id")).scalar())
+    no = lambda t: F.lit(None).cast(t)
+    a = jobs.select(F.lit("job").alias("kind"), "job_id", "request_id", "user_id", no("bigint").alias("param_id"), no("int").alias("pos"),
+                    F.concat_ws("|", "job_name", "job_description", "status", "stdout", "stderr").alias("text"))
+    b = stored.select(F.lit("value").alias("kind"), "job_id", no("bigint").alias("request_id"), no("bigint").alias("user_id"), "param_id", "pos",
+                      F.col("value").alias("text"))
+    d = errors.select(F.lit("error").alias("kind"), no("bigint").alias("job_id"), "request_id", no("bigint").alias("user_id"),
+                      no("bigint").alias("param_id"), no("int").alias("pos"), F.col("error").alias("text"))
+    return a.unionByName(b).unionByName(d)
 
 
 @key("validate_submission")
 def _validate_submission(c):
-    return PR.validate(c.param(), c.spec(), c.job_script())
+    values, owners = _submitted(c), _requests(c).select(F.col("request_id").alias("job_id"), "user_id", "job_name")
+    wrong = PR.file_value_errors(values, owners, c.user_file(), c.file(), c.job())
+    return PR.validate(values, _full_spec(c), c.job_script(), wrong, owners)
 
 
 @key("merge_values")

@@ -521,3 +521,32 @@ def test_parameters_are_reused_from_version_to_version(spark):
     # keyword parameters are found whatever their order; a positional only at the same place; script, group and parser must be the same
     assert got == {(20, 1): (51, True), (20, 2): (50, False), (20, 3): (52, True), (30, 1): (50, False), (30, 2): (53, True),
                    (30, 3): (54, True), (40, 1): (55, True), (50, 1): (56, True), (50, 2): (57, True)}
+
+
+def test_submission_rules_and_jobs(spark):
+    spec = spark.createDataFrame([
+        (1, "n", "IntegerField", True, None, "null", "", 1, 1), (1, "f", "FileField", True, None, "null", "", 2, 2),
+        (1, "s", "CharField", False, None, "null", "sub", 3, 3), (2, "c", "CharField", True, None, "null", "", 4, 1)],
+        "script_id long, name string, form_field string, required boolean, choices string, choice_limit string, parser_name string, "
+        "param_id long, param_order int")
+    rows = [(10, 0, "n", "IntegerField", "4"), (10, 1, "f", "FileField", "jobs/1/a.txt"), (11, 0, "f", "FileField", "jobs/1/a.txt"),
+            (12, 0, "n", "IntegerField", "x"), (12, 1, "f", "FileField", "jobs/9/none.txt"), (13, 0, "c", "CharField", ""),
+            (10, 2, "s", "CharField", "text")]
+    values = spark.createDataFrame(rows, "job_id long, pos int, name string, form_field string, raw string")
+    requests = spark.createDataFrame([(10, 5, 1, "sub", "a job", None), (11, 6, 1, None, "", "d"), (12, 6, 1, "sub", None, "d"), (13, 7, 2, None, "x", "")],
+                                     "request_id long, user_id long, script_id long, parser_name string, job_name string, job_description string")
+    files = spark.createDataFrame([(100, "a.txt", "jobs/1/a.txt")], "file_id long, filename string, path string")
+    user_files = spark.createDataFrame([(100, 1)], "file_id long, job_id long")
+    old = spark.createDataFrame([(1, 5)], "job_id long, user_id long")
+    owners = requests.withColumnRenamed("request_id", "job_id")
+    wrong = PR.file_value_errors(values, owners, user_files, files, old)
+    got = sorted((r["job_id"], r["name"], r["error"]) for r in PR.validate(
+        values, spec, owners.select("job_id", "script_id"), wrong, owners).collect())
+    assert got == [(11, "f", PR.ERR_FILE_FORBIDDEN), (11, "job_name", PR.ERR_REQUIRED), (11, "n", PR.ERR_REQUIRED),
+                   (12, "f", PR.ERR_FILE_UNKNOWN), (12, "job_name", PR.ERR_REQUIRED), (12, "n", PR.ERR_INTEGER), (13, "c", PR.ERR_REQUIRED)]
+    jobs, stored, errors = PR.create_jobs(requests, values.withColumnRenamed("job_id", "request_id"), spec, F.lit(50))
+    assert {r["request_id"]: (r["job_id"], r["user_id"], r["status"], r["job_description"]) for r in jobs.collect()} == {
+        10: (51, 5, "submitted", ""), 12: (52, 6, "submitted", "d"), 13: (53, 7, "submitted", "")}
+    assert sorted((r["job_id"], r["param_id"], r["value"]) for r in stored.collect() if r["value"] is not None) == [
+        (51, 1, "4"), (51, 2, '"jobs/1/a.txt"'), (51, 3, '"text"'), (52, 2, '"jobs/9/none.txt"')]
+    assert [(r["request_id"], r["error"]) for r in errors.collect()] == [(11, PR.ERR_PARSER)]
