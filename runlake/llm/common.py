@@ -48,6 +48,21 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
+def apart(docs: DataFrame, prefix: str, needed: list[str], run) -> DataFrame:
+    """``run(docs)``, a stage that returns the columns of ``docs`` and uses own columns that begin with ``prefix``.
+
+    Where a column of the input begins like them, all columns but the ``needed``
+    ones travel in one struct, so that any names work."""
+    if not any(c.lower().startswith(prefix) for c in docs.columns):
+        return run(docs)
+    own = [c for c in needed if c in docs.columns]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    others = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, F.struct(*[quoted[c].alias(f"c{i}") for i, c in enumerate(others)]).alias("others"))
+    out = run(packed)
+    return out.select(*[F.col(c) if c in own else F.col(f"others.c{others.index(c)}").alias(c) for c in docs.columns])
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null and blank texts give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

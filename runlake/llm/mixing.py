@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import once, running_totals, stage, words
+from runlake.llm.common import apart, once, running_totals, stage, words
 
 SEED = 20240
 
@@ -196,6 +196,10 @@ def mix(docs: DataFrame, block: int = 256, per_shard: int = 4096, **targets_args
     A document taken whole keeps its text; otherwise the text is the taken
     words, joined by spaces.  ``n_chars``, if there, is brought up to date.
     Documents without words are never taken."""
+    return apart(docs, "_mix_", ["doc_id", "text", "source", "n_chars"], lambda d: _mixed(d, block, per_shard, **targets_args))
+
+
+def _mixed(docs: DataFrame, block: int, per_shard: int, **targets_args) -> DataFrame:
     keyed = stage(docs.withColumn("_mix_key", F.monotonically_increasing_id()), "mix-in")
     rows, taken = _mix(_sized(keyed, F.col("_mix_key")), block, per_shard, **targets_args)
     spans = taken.groupBy(F.col("key").alias("_mix_of"), F.col("epoch").alias("_mix_epoch")).agg(

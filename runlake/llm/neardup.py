@@ -40,13 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import once, small_batches, stage
+from runlake.llm.common import apart, once, small_batches, stage
 from runlake.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 40
 WIDTH = ROWS * BANDS
 BROADCAST_IDS = 2_000_000              # ids (8 bytes each) that may be sent to every task
-CACHED = 100_000
+CACHED, LONGEST = 100_000, 64          # words a task remembers, and up to which length
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED:
+        if len(self) < CACHED and len(word) <= LONGEST:
             self[word] = h
         return h
 
@@ -288,11 +288,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Texts that share a doc_id stay apart unless they are alike.  Of a component
     the least doc_id stays, of its texts the least by md5, and of rows equal in
     both the least by a hash of all columns, so reruns agree."""
+    return apart(docs, "_nd_", ["doc_id", "text"], _one_each)
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
     placed, _ = _placed(docs, F.md5("text").alias("_nd_text"), id_is_node=False)
     kept = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_nd_text")).alias("k")).select("k.*")
     has_word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     linked = F.col("doc_id").isNotNull() & has_word
     rows = docs.where(linked).withColumn("_nd_text", F.md5("text")).join(kept, ["doc_id", "_nd_text"], "left_semi")
     one_each = rows.groupBy("doc_id", "_nd_text").agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*[_hashable(docs, c) for c in docs.columns])).alias("r")).select("r.*")
     return one_each.unionByName(docs.where(~linked))
+
+
+def _hashable(docs: DataFrame, column: str):
+    """The column, or its JSON if it holds a map, which has no hash."""
+    c = F.col("`" + column.replace("`", "``") + "`")
+    kind = docs.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(c.alias("c"))) if "map<" in kind else c

@@ -39,7 +39,8 @@ from runlake.llm.common import running_totals, stage
 CAPACITY = 4096
 END = (1).to_bytes(4, "little")        # the id that closes every document
 MAX_RUNS = 2_000_000
-CACHED = 400_000                       # words and pieces a task remembers
+CACHED = 400_000                       # words and pieces a task remembers,
+CACHED_CHARS = 20_000_000              # and how many characters of words
 # one pre-token of the vocabulary's own pattern: contraction, letters, one digit, other signs
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -68,12 +69,15 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     byte_char = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
     pieces: dict[str, bytes] = {}
     known: dict[str, bytes] = {"": b""}
+    held = 0                               # characters of the words in ``known``
 
     def ids(encoding) -> bytes:
         return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
 
     def learn(new: list[str]) -> None:
-        if len(pieces) > CACHED:
+        nonlocal held
+        held += sum(map(len, new))
+        if len(pieces) > CACHED or held > CACHED_CHARS:
             pieces.clear()
         parts = {}
         for w in new:
@@ -91,11 +95,13 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
             known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
 
     def encode(text: str) -> bytes:
+        nonlocal held
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(known)
         if new:
-            if len(known) > CACHED:
+            if len(known) > CACHED or held > CACHED_CHARS:
                 known.clear()
+                held = 0
                 known[""] = b""
                 new = set(words) - {""}
             learn(list(new))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import WHITE, once, stage, words
+from runlake.llm.common import WHITE, apart, once, stage, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -171,4 +171,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that pass, unchanged."""
-    return judged(docs).where(F.col(P + "result")["kept"]).select(*docs.columns)
+    return apart(docs, P, ["doc_id", "text", "lang"],
+                 lambda d: judged(d).where(F.col(P + "result")["kept"]).select(*d.columns))

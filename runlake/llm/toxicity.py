@@ -29,19 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlake.llm.common import apart
+
 BITS = 20
 SAMPLE_ROWS = 16_000
 REPLAY = 30_000_000
 PASSES = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
-CACHED = 100_000
+CACHED, LONGEST = 100_000, 64          # words a task remembers, and up to which length: bounds their bytes
 WORD = re.compile(r"\w+")
 
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < CACHED:
+        if len(self) < CACHED and len(word) <= LONGEST:
             self[word] = h
         return h
 
@@ -148,4 +150,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, usable) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame, usable, limit: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score below ``limit``, unchanged."""
     score = scorer(docs.sparkSession, fit(docs, labels, usable))
-    return docs.withColumn("_toxicity", score("text")).where(F.col("_toxicity") < limit).select(*docs.columns)
+    return apart(docs, "_toxicity", ["doc_id", "text"], lambda d: d.withColumn("_toxicity", score("text")).where(
+        F.col("_toxicity") < limit).select(*d.columns))

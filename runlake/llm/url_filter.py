@@ -48,8 +48,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 class DigestIndex:
     """Sorted digests, offsets and strings of patterns, in files that Spark ships to executors."""
 
-    def __init__(self, names: dict[str, str], path_lengths: list[int]):
-        self.names, self.path_lengths = names, path_lengths
+    def __init__(self, names: dict[str, str], path_lengths: list[int], longest_host: int):
+        self.names, self.path_lengths, self.longest_host = names, path_lengths, longest_host
 
     @classmethod
     def build(cls, spark: SparkSession, patterns: DataFrame) -> DigestIndex:
@@ -70,7 +70,7 @@ class DigestIndex:
         for k, name in names.items():
             path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
             out[k] = path.getFileSystem(hadoop).create(path)
-        end, lengths, part = 0, set(), {k: bytearray() for k in names}
+        end, lengths, longest, part = 0, set(), 0, {k: bytearray() for k in names}
 
         def flush() -> None:
             for k in names:
@@ -83,7 +83,9 @@ class DigestIndex:
             part["offsets"] += np.uint64(end).tobytes()
             part["strings"] += text
             end += len(text)
-            lengths.add(len(row["pattern"]) - len(row["pattern"].partition("/")[0]))
+            host = len(row["pattern"].partition("/")[0])
+            lengths.add(len(row["pattern"]) - host)
+            longest = max(longest, host)
             if len(part["strings"]) > 1 << 20:
                 flush()
         part["offsets"] += np.uint64(end).tobytes()
@@ -93,7 +95,7 @@ class DigestIndex:
         for k, name in names.items():
             out[k].close()
             spark.sparkContext.addFile(f"{base}/{name}")
-        return cls(names, sorted(lengths))
+        return cls(names, sorted(lengths), longest)
 
     def open(self) -> _OpenIndex:
         return _OpenIndex(self)
@@ -106,16 +108,16 @@ class _OpenIndex:
 
         self.offsets, self.strings = mapped("offsets", "<u8"), mapped("strings", "u1")
         self.digests = mapped("digests", "<u8")[:len(self.offsets) - 1]
-        self.path_lengths = index.path_lengths
+        self.path_lengths, self.longest_host = index.path_lengths, index.longest_host
 
     def candidates(self, host: str, path: str) -> list[str]:
-        """Patterns that would fit, best first."""
+        """Patterns that would fit, best first; host suffixes longer than any stored host cannot."""
         if not host:
             return []
-        parts = host.split(".")
-        found = [(len(suffix) + n, len(suffix), suffix + path[:n])
-                 for suffix in (".".join(parts[i:]) for i in range(len(parts)))
-                 for n in self.path_lengths if n <= len(path)]
+        first = max(len(host) - self.longest_host, 0)
+        starts = [0] * (first == 0) + [k + 1 for k in range(max(first - 1, 0), len(host)) if host[k] == "."]
+        found = [(len(host) - k + n, len(host) - k, host[k:] + path[:n])
+                 for k in starts for n in self.path_lengths if n <= len(path)]
         return [c[2] for c in sorted(found, reverse=True)]
 
     def holds(self, candidates: list[str]) -> np.ndarray:

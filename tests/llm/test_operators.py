@@ -554,6 +554,44 @@ def test_filters_keep_columns(odd_documents, no_documents):
     assert neardup.deduplicated(odd_documents).columns == odd_documents.columns
 
 
+def test_clashing_columns_and_maps_pass_through(spark, odd_documents):
+    names = ["_q_words", "_q_ref", "_mix_key", "_mix_n", "_mix_words", "_nd_text", "_toxicity", "_Q_Result", "others", "root"]
+    odd = odd_documents.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names],
+                               F.create_map(F.lit("a"), F.col("doc_id")).alias("m"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (7, 0)], "doc_id long, toxic int")
+    stages = {"toxicity": lambda d: toxicity.clean_documents(d, labels, F.lit(True)), "quality": quality.kept_documents,
+              "neardup": neardup.deduplicated, "mixing": mixing.mix}
+    for name, run in stages.items():
+        got, plain = run(odd), run(odd_documents)
+        assert got.columns == odd.columns, name
+        found = rows(got)
+        key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+        assert sorted(map(key, found)) == sorted(map(key, rows(plain))), name
+        for r in found:
+            i = r["doc_id"]
+            assert all(r[n] == (None if i is None else f"{n}{i}") for n in names) and r["m"] == {"a": i}, name
+
+
+def test_long_hosts_take_linear_time(spark):
+    host = "a." * 40_000 + "cheap-pills.example.net"
+    pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, "http://" + "b" * 200_000), (3, "http://cheap-pills.example.net"),
+                                   (4, "http://xcheap-pills.example.net/"), (5, "http://." * 3)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in rows(url_filter.judged(pages, {}, ["cheap-pills.example.net"]))}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_very_long_words(spark):
+    """A word of 20 MB: scored, linked and packed; caches do not keep it."""
+    long = "x" * 20_000_000
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "a b c")], "doc_id long, text string").withColumns(
+        {"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity_scores(docs, labels, F.lit(True)).count() == 3
+    assert {(r["doc_id"], r["component_id"]) for r in rows(neardup.near_duplicates(docs))} == {(1, 1), (2, 1), (3, 3)}
+    known = toxicity._WordHashes()
+    assert known[long] == known[long] and known["short"] and list(known) == ["short"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
