@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlake.functions.shell import let, shell_tokens
 from runlake.operators.access import script_rule
 from runlake.operators.jobs import REVOKED, SUBMITTED, DELETED
+from runlake.operators.joins import shuffled
 from runlake.operators.ranking import row_number_by
 
 # Commands of the job command endpoint and the status they set.
@@ -101,7 +102,7 @@ def option_table(spec: DataFrame) -> DataFrame:
     rules = spec.groupBy("script_id").agg(
         F.array_sort(F.collect_list(F.struct("parser", "position", "dest", "flag", "required", "default"))).alias("rules"),
         F.array_sort(F.collect_set(F.when(F.col("parser") != "", F.col("parser")))).alias("parsers"))
-    return rules.join(options, "script_id", "left").join(placed, "script_id", "left").select(
+    return rules.join(shuffled(options), "script_id", "left").join(shuffled(placed), "script_id", "left").select(
         "script_id", "rules", "parsers", F.coalesce("options", F.create_map().cast(named_map(named))).alias("options"),
         F.coalesce("positionals", F.array().cast(placed.schema["positionals"].dataType)).alias("positionals"))
 
@@ -205,7 +206,7 @@ def parse_commands(commands: DataFrame, spec: DataFrame, key: str = "job_id") ->
     script's specification in one equi-join and are scanned inside their row.
     """
     told = commands.select(F.col(key), "script_id", shell_tokens(F.coalesce("command", F.lit(""))).alias("t")) \
-        .join(option_table(spec), "script_id", "left")
+        .join(shuffled(option_table(spec)), "script_id", "left")
     known = F.col("rules").isNotNull() & F.col("t.error").isNull()
     read = told.withColumn("s", F.when(known, _scan(F.col("t.tokens"), F.col("options"), F.col("positionals"), F.col("parsers"))))
     live = read.withColumn("live", F.filter("rules", lambda r: (r["parser"] == "") | (r["parser"] == F.col("s.parser"))))
