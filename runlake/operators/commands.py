@@ -57,11 +57,11 @@ def clone_jobs(jobs: DataFrame, params: DataFrame, requests: DataFrame, id_base)
     files are shared."""
     numbered = row_number_by(requests, [], ["request_id"], name="_k")
     numbered = numbered.withColumn("new_job_id", F.col("_k") + id_base)
-    cloned = (numbered.join(jobs, "job_id").select(
+    cloned = (numbered.join(shuffled(jobs), "job_id").select(
         "new_job_id", F.col("job_id").alias("source_job_id"), F.col("requester_id").alias("user_id"),
         F.lit(SUBMITTED).alias("status"), F.lit(None).cast("string").alias("celery_id"),
         F.lit("").alias("stdout"), F.lit("").alias("stderr")))
-    p = numbered.select("job_id", "new_job_id").join(params, "job_id")
+    p = numbered.select("job_id", "new_job_id").join(shuffled(params), "job_id")
     is_out = F.coalesce(F.col("is_output"), F.lit(False)) if "is_output" in params.columns else F.lit(False)
     value = F.when(is_out, F.regexp_replace(F.col("raw"), r"(^|/)" + r"jobs/[0-9]+/",
                                             F.concat(F.lit("$1jobs/"), F.col("new_job_id").cast("string"), F.lit("/"))))
