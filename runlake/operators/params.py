@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from runlake.functions.values import (BOOLEAN, CHAR, FILE, FLOAT, INTEGER, coerce_value, max_choices)
 from runlake.operators.files import resolve_refs
 from runlake.operators.jobs import SUBMITTED
+from runlake.operators.joins import shuffled
 from runlake.operators.ranking import row_number_by
 
 # Validation messages.
@@ -116,7 +117,7 @@ def command_tokens(values: DataFrame) -> DataFrame:
     alone = ent.filter(has_flag & ((F.col("n_vals") == 0) | F.col("collapse"))).select(
         "job_id", (F.col("_off") + F.col("_lead") + 1).alias("token_pos"), F.col("flag").alias("token"))
     vals = row_number_by(v.filter(F.col("_val") != "").select(*key, "_ord", "_val"), key, ["_ord"], name="_j")
-    vals = vals.join(ent.select(*key, F.col("collapse").alias("_coll"), "_lead", "_off"), key)
+    vals = vals.join(shuffled(ent.select(*key, F.col("collapse").alias("_coll"), "_lead", "_off")), key)
     base = F.col("_off") + F.col("_lead")
     j = F.col("_j")
     value_pos = (F.when(has_flag & F.col("_coll"), base + 1 + j)
