@@ -289,19 +289,19 @@ def create_jobs(requests: DataFrame, values: DataFrame, spec: DataFrame, last_id
     base parser are stored as JSON by the type of their parameter, each as a row of its own;
     others are not.  Returns (jobs, values, errors)."""
     parsers = spec.groupBy("script_id").agg(F.count_distinct("parser_name").alias("_n"), F.min("parser_name").alias("_only"))
-    r = requests.join(parsers, "script_id", "left")
+    r = requests.join(shuffled(parsers), "script_id", "left")
     several = F.col("parser_name").isNull() & (F.coalesce("_n", F.lit(0)) > 1)
     errors = r.filter(several).select("request_id", F.lit(ERR_PARSER).alias("error"))
     good = r.filter(~several).select("request_id", "user_id", "script_id", "job_name", "job_description",
                                      F.coalesce("parser_name", F.when(F.col("_n") == 1, F.col("_only"))).alias("_chosen"))
     ids = row_number_by(good.select("request_id"), [], ["request_id"], name="_k")
     ids = ids.select("request_id", (F.col("_k") + F.coalesce(last_id, F.lit(0))).alias("job_id"))
-    made = good.join(ids, "request_id")
+    made = good.join(shuffled(ids), "request_id")
     jobs = made.select("job_id", "request_id", "user_id", "script_id", "job_name", F.coalesce("job_description", F.lit("")).alias("job_description"),
                        F.lit(SUBMITTED).alias("status"), F.lit("").alias("stdout"), F.lit("").alias("stderr"), F.lit(None).cast("string").alias("celery_id"))
     known = spec.select("script_id", "name", F.col("parser_name").alias("_of"), F.col("form_field").alias("_field"), "param_id", "param_order")
-    stored = (values.select("request_id", "pos", "name", "raw").join(made.select("request_id", "job_id", "script_id", "_chosen"), "request_id")
-                    .join(known, ["script_id", "name"])
+    stored = (values.select("request_id", "pos", "name", "raw").join(shuffled(made.select("request_id", "job_id", "script_id", "_chosen")), "request_id")
+                    .join(shuffled(known), ["script_id", "name"])
                     .filter((F.col("_of") == "") | (F.col("_of") == F.col("_chosen"))))
     stored = stored.select("job_id", "param_id", "param_order", "pos", coerce_value(F.col("_field"), F.col("raw")).alias("value"))
     return jobs, stored, errors
