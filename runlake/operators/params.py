@@ -241,8 +241,8 @@ def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame, file_err
     sp = spec.select("script_id", "name", "form_field", "required",
                      F.from_json(F.col("choices"), "array<string>").alias("_choices"),
                      max_choices(F.col("choice_limit")).alias("_max"))
-    fields = job_script.select("job_id", "script_id").join(sp, "script_id")
-    v = fields.join(values.select("job_id", "name", "raw"), ["job_id", "name"], "left")
+    fields = job_script.select("job_id", "script_id").join(shuffled(sp), "script_id")
+    v = fields.join(shuffled(values.select("job_id", "name", "raw")), ["job_id", "name"], "left")
     present = F.col("raw").isNotNull() & (F.col("raw") != "")
     per_field = v.groupBy("job_id", "name").agg(
         F.count_if(present).alias("n"), F.bool_or("required").alias("required"), F.max("_max").alias("_max"),
@@ -262,7 +262,7 @@ def validate(values: DataFrame, spec: DataFrame, job_script: DataFrame, file_err
         found = found.unionByName(file_errors.select("job_id", "name", "error").distinct())
     if names is not None:
         blank = F.btrim(F.coalesce("job_name", F.lit(""))) == ""
-        nameless = job_script.select("job_id").join(names.select("job_id", "job_name"), "job_id", "left").filter(blank)
+        nameless = job_script.select("job_id").join(shuffled(names.select("job_id", "job_name")), "job_id", "left").filter(blank)
         found = found.unionByName(nameless.select("job_id", F.lit("job_name").alias("name"), F.lit(ERR_REQUIRED).alias("error")))
     return found
 
@@ -272,7 +272,7 @@ def file_value_errors(values: DataFrame, owners: DataFrame, user_files: DataFram
 
     A value names a file of an earlier job; it is found, unknown, or belongs to somebody else (``owners``: job_id, user_id)."""
     asked = values.filter((F.col("form_field") == FILE) & (F.coalesce("raw", F.lit("")) != ""))
-    asked = asked.join(owners.select("job_id", F.col("user_id").alias("viewer_id")), "job_id", "left").withColumn(
+    asked = asked.join(shuffled(owners.select("job_id", F.col("user_id").alias("viewer_id"))), "job_id", "left").withColumn(
         "ref_id", F.struct("job_id", "pos", "name"))
     found = resolve_refs(asked.select("ref_id", "viewer_id", F.col("raw").alias("ref")), user_files, files, jobs)
     error = F.when(F.col("outcome") == "not found", ERR_FILE_UNKNOWN).when(F.col("outcome") == "not permitted", ERR_FILE_FORBIDDEN)

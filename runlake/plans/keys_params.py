@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runlake.functions.values import FILE, FLOAT
 from runlake.operators import params as PR
+from runlake.operators.joins import shuffled
 from runlake.plans.queries import key
 
 # attributes besides script, parser, group and flag in which a definition must equal a known parameter
@@ -116,7 +117,7 @@ def _submitted(c):
     k = F.col("o_orderkey")
     row = lambda pos, name, ff, raw: [k.alias("job_id"), F.lit(pos).alias("pos"), F.lit(name).alias("name"),
                                       F.lit(ff).alias("form_field"), raw.alias("raw")]
-    files = c.t("orders").join(c.file().select("file_id", "path"), k == F.col("file_id"), "left").select(
+    files = c.t("orders").join(shuffled(c.file().select("file_id", "path")), k == F.col("file_id"), "left").select(
         *row(7, "infile", FILE, F.when(k % 3 != 0, F.coalesce("path", F.lit("jobs/0/none.txt")))))
     ratio = F.element_at(F.array(*[F.lit(x) for x in ("0.5", "abc", "-1e3", "nan", "")]), (k % 5 + 1).cast("int"))
     return c.param().select("job_id", "pos", "name", "form_field", "raw").unionByName(files).unionByName(
