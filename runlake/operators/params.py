@@ -334,10 +334,10 @@ def reuse_params(old: DataFrame, new: DataFrame, attrs: list[str], key: str = "v
     found = old.groupBy(tuples.alias("_t")).agg(F.min("param_id").alias("_old_id"))
     n = new.select(key, "position", tuples.alias("_t"))
     firsts = n.groupBy("_t").agg(F.min(F.struct(key, "position")).alias("_f"))
-    made = row_number_by(firsts.join(found, "_t", "left_anti").select("_t", F.col(f"_f.{key}").alias("_v"), F.col("_f.position").alias("_p")),
+    made = row_number_by(firsts.join(shuffled(found), "_t", "left_anti").select("_t", F.col(f"_f.{key}").alias("_v"), F.col("_f.position").alias("_p")),
                          [], ["_v", "_p"], name="_k")
     ids = made.select("_t", "_v", "_p", (F.col("_k") + F.coalesce(old.select(F.max("param_id")).scalar(), F.lit(0))).alias("_made_id"))
-    return n.join(found, "_t", "left").join(ids, "_t", "left").select(
+    return n.join(shuffled(found), "_t", "left").join(shuffled(ids), "_t", "left").select(
         key, "position", F.coalesce("_old_id", "_made_id").alias("param_id"),
         F.coalesce((F.col("_v") == F.col(key)) & (F.col("_p") == F.col("position")), F.lit(False)).alias("is_new"))
 
