@@ -139,8 +139,8 @@ def explode_values(jobs: DataFrame, col: str = "values") -> DataFrame:
 def prefill_from_job(values: DataFrame, spec: DataFrame, job_script: DataFrame) -> DataFrame:
     """Form prefill from an earlier job: per (job, form slug) the non-null
     values in submitted order."""
-    v = (values.join(job_script, "job_id")
-               .join(spec.select("script_id", "name", "param_id"), ["script_id", "name"]))
+    v = (values.join(shuffled(job_script), "job_id")
+               .join(shuffled(spec.select("script_id", "name", "param_id")), ["script_id", "name"]))
     v = v.withColumn("_stored", coerce_value(F.col("form_field"), F.col("raw"))).filter(F.col("_stored").isNotNull())
     slug = F.concat_ws("-", F.col("param_id").cast("string"), F.col("name"))
     return v.groupBy("job_id", slug.alias("form_slug")).agg(
