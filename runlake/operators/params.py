@@ -215,12 +215,12 @@ def scope_params(values: DataFrame, spec: DataFrame, job_script: DataFrame, chos
     parsers = spec.groupBy("script_id").agg(F.countDistinct("parser_name").alias("_n"),
                                             F.min("parser_name").alias("_only"))
     c = chosen.select("job_id", F.col("parser_name").alias("_asked"))
-    jobs = job_script.join(c, "job_id", "left").join(parsers, "script_id", "left").select(
+    jobs = job_script.join(shuffled(c), "job_id", "left").join(shuffled(parsers), "script_id", "left").select(
         "job_id", "script_id", F.coalesce("_asked", F.when(F.col("_n") == 1, F.col("_only"))).alias("_chosen"),
         (F.col("_asked").isNull() & (F.coalesce("_n", F.lit(0)) > 1)).alias("_unchosen"))
     s = spec.select("script_id", "name", "parser_name")
-    v = (values.select("job_id", "pos", "name", *carry).join(jobs.filter(~F.col("_unchosen")), "job_id")
-               .join(s, ["script_id", "name"]))
+    v = (values.select("job_id", "pos", "name", *carry).join(shuffled(jobs.filter(~F.col("_unchosen"))), "job_id")
+               .join(shuffled(s), ["script_id", "name"]))
     kept = v.filter((F.col("parser_name") == "") | (F.col("parser_name") == F.col("_chosen"))).select(
         "job_id", "pos", "name", "parser_name", F.lit(None).cast("string").alias("error"), *carry)
     errors = jobs.filter("_unchosen").select("job_id", F.lit(ERR_PARSER).alias("error"))
