@@ -186,7 +186,7 @@ def _reuse_params(c):
 
 @key("distinct_rows")
 def _distinct_rows(c):
-    v = c.param().join(c.job_script(), "job_id")
+    v = c.param().join(shuffled(c.job_script()), "job_id")
     return PR.distinct_matches(v.select("script_id", "name"), ["script_id", "name"])
 
 
