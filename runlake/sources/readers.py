@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from runlake.functions.delimited import HEAD, delimiter_of, ends_inside, split_cells
 from runlake.functions.text import last_wins_map
+from runlake.operators.joins import shuffled
 from runlake.operators.ranking import row_number_by
 
+SLICE_BITS = 14   # lines of a file block are scanned in slices of up to 2 ** 14
+
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", index: str | list[str] | None = None,
                    schema=None, numeric: bool = True) -> DataFrame:
@@ -116,9 +119,9 @@ def read_records(spark: SparkSession, path: str, sep: str | None = ",", dialects
 
     Files are read in parallel blocks, and whether a line starts inside quotes
     follows from a prefix scan: every line maps the state in front of it to
-    the state behind it, a window composes these maps within a block, one
-    small row per block is composed along the file, and each line combines
-    both.  Records of one line, nearly all, need no grouping; the lines of the
+    the state behind it, a window composes these maps within a slice (some ten
+    thousand lines of a block), one small row per slice is composed along the
+    file, and each line combines both.  Records of one line, nearly all, need no grouping; the lines of the
     others are put together per record.  A quote that is never closed makes
     the rest of its file one cell, as in other readers; empty lines are records of
     one empty cell.  ``dialects`` (path, delimiter) gives each file its own delimiter;
@@ -126,12 +129,13 @@ def read_records(spark: SparkSession, path: str, sep: str | None = ",", dialects
     """
     lines = _file_lines(spark, path)
     if dialects is not None:
-        lines = lines.join(dialects.select("path", "delimiter"), "path")
+        lines = lines.join(F.broadcast(dialects.select("path", "delimiter")), "path")
     else:
         lines = lines.withColumn("delimiter", F.lit(sep))
     d = F.col("delimiter")
     maps = lines.withColumns({"_out": ends_inside(F.col("value"), d), "_in": ends_inside(F.col("value"), d, True)})
-    order = Window.partitionBy("path", "_block").orderBy("_id")
+    maps = maps.withColumn("_slice", F.shiftright(F.col("_id").bitwiseAND((1 << 33) - 1), SLICE_BITS))
+    order = Window.partitionBy("path", "_block", "_slice").orderBy("_id")
     jump, stay = F.when(F.col("_out") == F.col("_in"), F.col("_out")), F.col("_in")
     flips, last = _composed(order, jump, stay)
     at = maps.withColumn("_flips", flips).withColumn("_last", last)
@@ -142,18 +146,18 @@ def read_records(spark: SparkSession, path: str, sep: str | None = ",", dialects
     at = at.withColumns({f"_n{k}": F.sum(F.when(F.col(f"_s{k}"), 0).otherwise(1)).over(upto) for k in (0, 1)})
     ends = at.withColumn("_e0", F.when(F.col("_s0"), F.col("_in")).otherwise(F.col("_out"))) \
              .withColumn("_e1", F.when(F.col("_s1"), F.col("_in")).otherwise(F.col("_out")))
-    blocks = ends.groupBy("path", "_block").agg(F.max_by(F.struct("_e0", "_e1"), "_id").alias("e"),
+    blocks = ends.groupBy("path", "_block", "_slice").agg(F.max_by(F.struct("_e0", "_e1"), "_id").alias("e"),
                                                 F.max("_n0").alias("n0"), F.max("_n1").alias("n1"))
-    along = Window.partitionBy("path").orderBy("_block")
+    along = Window.partitionBy("path").orderBy("_block", "_slice")
     b_flips, b_last = _composed(along, F.when(F.col("e._e0") == F.col("e._e1"), F.col("e._e0")), F.col("e._e1"))
     b_own = F.when((F.col("e._e0") != F.col("e._e1")) & ~F.col("e._e1"), 1).otherwise(0)
     blocks = blocks.withColumn("_flips", b_flips).withColumn("_l", b_last).withColumn(
         "_opened", _inside(F.col("_l"), F.col("_flips") - b_own, F.lit(False)))
     started = F.when(F.col("_opened"), F.col("n1")).otherwise(F.col("n0"))
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum(started).over(
-        along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "_block", "_opened", "_offset")
+        along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "_block", "_slice", "_opened", "_offset")
     o = F.col("_opened")
-    placed = at.join(blocks, ["path", "_block"]).select(
+    placed = at.join(shuffled(blocks), ["path", "_block", "_slice"]).select(
         "path", "_block", "_id", "delimiter", "value", F.when(o, F.col("_s1")).otherwise(F.col("_s0")).alias("_before"), "_in", "_out",
         (F.col("_offset") + F.when(o, F.col("_n1")).otherwise(F.col("_n0"))).alias("row_no"))
     after = F.when(F.col("_before"), F.col("_in")).otherwise(F.col("_out"))
