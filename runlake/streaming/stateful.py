@@ -136,22 +136,25 @@ class Deadline(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_ms long, ended boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, ended = self.last.get() if self.last.exists() else (0, False)
-        for batch in rows:
-            last, ended = max(last, int(batch["ts_ms"].max())), ended or bool(batch["status"].isin(TERMINAL_STATES).any())
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before, ended = self.last.get() or (None, False)
+        last = before
+        for r in rows:
+            last = last if r["ts_ms"] is None else max(last or 0, int(r["ts_ms"]))
+            ended = ended or r["status"] in TERMINAL_STATES
         self.last.update((last, ended))
-        self.handle.registerTimer(last + self.silence_ms)
-        yield pd.DataFrame({"job_id": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="str"),
-                            "dead_at_ms": pd.Series([], dtype="int64")})
+        # a job has one timer, at its last sign of life and the silence
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.silence_ms)
+            self.handle.registerTimer(last + self.silence_ms)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, ended = self.last.get() if self.last.exists() else (0, True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, ended = self.last.get() or (0, True)
         self.last.clear()
         if not ended:
-            yield pd.DataFrame({"job_id": [key[0]], "status": [FAILED], "dead_at_ms": [last + self.silence_ms]})
+            yield Row(job_id=key[0], status=FAILED, dead_at_ms=last + self.silence_ms)
 
     def close(self) -> None:
         pass
@@ -164,7 +167,7 @@ def stream_dead_status(events: DataFrame, delay: str = "1 hour", silence_ms: int
     that stragglers do not revive it."""
     use_rocksdb(events.sparkSession)
     e = events.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts")).select("job_id", "status", "ts", "ts_ms")
-    return e.groupBy("job_id").transformWithStateInPandas(
+    return e.groupBy("job_id").transformWithState(
         statefulProcessor=Deadline(silence_ms), outputStructType="job_id long, status string, dead_at_ms long",
         outputMode="Append", timeMode="EventTime")
 
