@@ -261,6 +261,31 @@ def test_packing_round_trip(documents, odd_documents, no_documents):
     assert packing.pack_documents(no_documents, VOCABULARY).count() == 0
 
 
+def test_encoder_equals_the_tokenizer_and_forgets_long_words():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(VOCABULARY)
+    tok.encode_special_tokens = True
+    encode = packing._encoder(VOCABULARY)
+    latin = "".join(c for c in map(chr, range(0x21, 0x180)) if not 0x7f <= ord(c) <= 0xa0)
+    texts = ["", " ", "\n", "It's WE'RE they'd 'sharp \"'s I'LL x'S 'Tis 're've", "a1b22 x² ¼½ ½kg 10³", "Ünïcode İstanbul ŉ ſ ß µ ª\xad",
+             "!!...### $%&|<> _a__b a-b", latin, " ".join(latin), "'".join(latin), "two\nlines  and   gaps \n", "<|endoftext|> <|startoftext|>x"]
+    # the same and others in texts that are not plain Latin
+    texts += [f"{t} {sign}" for t in texts for sign in ("\t", "\xa0", "\x7f", "’", "漢字", "ё", "e\u0301", "\u2028x")]
+    for t in [*texts, *texts]:
+        assert encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+    long_words = ["".join(chr(97 + (i * i + k * 7) % 26) for i in range(20_000)) + "q" * k for k in range(60)]
+    tracemalloc.start()
+    try:
+        for w in long_words:
+            assert encode(w) and encode(f"{w} ’")
+        assert tracemalloc.get_traced_memory()[0] < 1_000_000      # bytes kept, of 1.2 million characters
+    finally:
+        tracemalloc.stop()
+
+
 def test_large_items_pair_greedily_and_runs_cover_every_piece():
     rng = np.random.default_rng(1)
     counts = collections.Counter(rng.integers(1, 65, 3000).tolist())
