@@ -3,6 +3,9 @@
 * ``stage`` writes an intermediate result as Parquet into the shared folder
   named by ``spark.checkpoint.dir`` and reads it back: the lineage is cut, a
   lost executor only costs its running tasks, and two branches see one result.
+  Told how many rows of ids a table holds at most, it writes files by rows, not
+  one per shuffle partition: Spark's writer starts several processes for each
+  file of a local folder, and opens each file again for reading.
 * ``once`` evaluates an expression exactly once per row, also when later
   columns, lambdas or filters use it several times.
 * ``running_totals`` gives exact global prefix sums without gathering the
@@ -21,10 +24,18 @@ from runlake.session import ensure_checkpoint_dir
 
 WHITE = " \t\n\x0b\x0c\r"                  # what separates words: [\x20\x09-\x0D]
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
+FILE_ROWS = 100_000                         # rows of a few ids in one file
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def files(spark: SparkSession, rows: int) -> int:
+    """How many files hold ``rows`` rows of ids: as many as there are cores, more if rows ask for it."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def stage(df: DataFrame, tag: str, at_most: int | None = None) -> DataFrame:
+    """``df``, written and read again; ``at_most`` is a bound on its rows, for narrow rows that are cheaply made."""
     spark = df.sparkSession
+    df = df if at_most is None else df.coalesce(files(spark, at_most))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

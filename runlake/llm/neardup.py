@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import apart, once, small_batches, stage
+from runlake.llm.common import apart, files, once, small_batches, stage
 from runlake.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 40
@@ -160,7 +160,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select(
         "a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_i"),
         (F.size("_sa") + F.size("_sb")).alias("_n"))
-    return stage(both.where("100 * _i >= 75 * (_n - _i)").select("a", "b"), "nd-links")
+    found = both.where("100 * _i >= 75 * (_n - _i)").select("a", "b")
+    return stage(found.repartition(files(pairs.sparkSession, pairs.count())), "nd-links")     # after the checks, which stay spread
 
 
 def _open(shared: DataFrame) -> DataFrame:
@@ -171,9 +172,9 @@ def _open(shared: DataFrame) -> DataFrame:
 
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Bucket rows with their components under ``links``; only buckets that still hold two."""
-    roots = components(links)
+    roots = components(links, links.count())
     rows = shared.drop("root").join(roots, F.col("cid") == F.col("node"), "left")
-    return stage(_open(rows.select(*shared.drop("root").columns, F.coalesce("root", "cid").alias("root"))), "nd-open")
+    return stage(_open(rows.select(*shared.drop("root").columns, F.coalesce("root", "cid").alias("root"))), "nd-open", shared.count())
 
 
 def _differences(shared: DataFrame, sets: DataFrame, degree: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def _differences(shared: DataFrame, sets: DataFrame, degree: DataFrame) -> DataF
     A cluster is what open buckets hold together; its pivot is the best-linked
     class of it; ``near`` says that class and pivot are linked."""
     low = shared.groupBy("bucket").agg(F.min("cid").alias("a"))
-    clusters = components(shared.join(low, "bucket").select("a", F.col("cid").alias("b"))) \
+    clusters = components(shared.join(low, "bucket").select("a", F.col("cid").alias("b")), shared.count()) \
         .select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
     rows = shared.select("cid", "root", "n").distinct().join(clusters, "cid")
     pivots = rows.join(degree, F.col("cid") == F.col("_c"), "left").groupBy("cluster").agg(
@@ -224,13 +225,13 @@ def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     # every bucket has a hub of its own, so a member of a large group meets up to one hub per band
     hubs = rows.groupBy("bucket").agg(F.min_by("cid", F.xxhash64("cid", "bucket")).alias("hub"),
                                       F.min("cid").alias("_low"), F.max("cid").alias("_top")).where("_low < _top")
-    shared = stage(rows.join(hubs.select("bucket", "hub"), "bucket"), "nd-buckets")
+    shared = stage(rows.join(hubs.select("bucket", "hub"), "bucket"), "nd-buckets", BANDS * members.count())
     sets = _class_sets(shared.select("cid").distinct(), members, docs)
 
     def star(rows: DataFrame) -> DataFrame:
         return rows.where("hub <> cid").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
 
-    tried = stage(star(shared), "nd-star")
+    tried = stage(star(shared), "nd-star", shared.count())
     links = _verified(tried, sets)
 
     # once more around the best-linked member: variants of one text all resemble it, if nothing else
@@ -239,7 +240,7 @@ def _class_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = shared.join(degree, F.col("cid") == F.col("_c"), "left")
     best = ranked.groupBy("bucket").agg(F.max_by(F.struct("cid", "root"), F.struct(F.coalesce("_d", F.lit(0)), -F.col("cid"))).alias("h"))
     again = shared.join(best, "bucket").where("h.root <> root").select("cid", F.col("h.cid").alias("hub"))
-    again = stage(star(again).join(tried, ["a", "b"], "left_anti"), "nd-star")
+    again = stage(star(again).join(tried, ["a", "b"], "left_anti"), "nd-star", shared.count())
     links = links.unionByName(_verified(again, sets))
 
     # what is still apart: direct links with a cluster's pivot, and pairs that differ from it alike
@@ -261,12 +262,12 @@ def _placed(docs: DataFrame, *also: Column, id_is_node: bool) -> tuple[DataFrame
     classes = found.where(usable).groupBy("digest").agg(F.min("key").alias("cid"))
     members = stage(found.where(usable).join(classes, "digest").select(
         "key", "doc_id", *extra, "n_shingles", "digest", "cid", F.when(F.col("key") == F.col("cid"), F.col("bands")).alias("bands")),
-        "nd-members")
+        "nd-members", found.count())
     links = _class_links(members, docs)
     if id_is_node:
         same_id = members.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("_top")).where("a < _top")
         links = links.unionByName(members.join(same_id, "doc_id").select("a", F.col("cid").alias("b")).where("a < b"))
-    roots = components(links)
+    roots = components(links, links.count())
     placed = members.join(roots, F.col("cid") == F.col("node"), "left").select(
         "doc_id", *extra, "n_shingles", F.coalesce("root", "cid").alias("root"))
     return stage(placed, "nd-placed"), found.where(~usable).select("doc_id", "n_shingles")

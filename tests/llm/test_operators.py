@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 import zlib
 
@@ -498,6 +499,32 @@ def test_components(spark):
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_duplicates_stage_files_by_rows(spark):
+    """Small tables of ids are not written as one file per shuffle partition, and the rows stay the same."""
+    text = "".join(f"w{i % 50}x{i} " for i in range(80))
+    texts = [text + " ".join(f"t{i}y{k}" for k in range(8 + i % 5)) for i in range(60)] + [f"alone {i} " * 9 for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    before = sorted(map(str, rows(neardup.near_duplicates(docs))))
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) / "llm"
+    earlier = set(folder.iterdir())
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        after = sorted(map(str, rows(neardup.near_duplicates(docs))))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert after == before and len({r["component_id"] for r in rows(neardup.near_duplicates(docs))}) < 100
+    written = collections.defaultdict(list)
+    for made in set(folder.iterdir()) - earlier:
+        written[made.name.rsplit("-", 1)[0]].append(len(list(made.glob("part-*"))))
+    by_rows = {t: n for t, n in written.items() if t.startswith("cc-") or t in ("nd-buckets", "nd-star", "nd-links", "nd-open")}
+    assert {"cc-edges", "cc-up", "cc-labels", "nd-buckets", "nd-links"} <= set(by_rows)
+    assert max(max(n) for n in by_rows.values()) <= spark.sparkContext.defaultParallelism
+
+
 # ---------------------------------------------------------------- classifiers
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
