@@ -9,6 +9,7 @@ from runlake.functions.delimited import HEAD, delimiter_of, ends_inside, split_c
 from runlake.functions.text import last_wins_map
 from runlake.operators.joins import shuffled
 from runlake.operators.ranking import row_number_by
+from runlake.sources.checksums import checksummed
 
 SLICE_BITS = 14   # lines of a file block are scanned in slices of up to 2 ** 14
 
@@ -63,17 +64,13 @@ def write_fasta(df: DataFrame, path: str, header: str = "header", seq: str = "se
 def scan_inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Recursive listing: relative path, size, sha1 and modification time.
 
-    ``binaryFile`` reads each file as one row; the hash is computed on the
-    executors (files above Spark's 2 GiB row limit need a chunked reader).
+    Hashed on the executors; large files in blocks (``sources/checksums.py``).
     """
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.load(root)
+    df = checksummed(spark, root, glob)
     base = root.rstrip("/") + "/"
     return df.select(
         F.regexp_replace(F.col("path"), r"^file:", "").alias("abs_path"),
-        F.col("length").alias("size_bytes"), F.sha1(F.col("content")).alias("checksum"),
+        F.col("length").alias("size_bytes"), "checksum",
         F.col("modificationTime").alias("modified")).withColumn(
         "path", F.substring_index(F.col("abs_path"), base.rstrip("/").split("/")[-1] + "/", -1))
 
@@ -84,10 +81,8 @@ def script_filter(path: Column) -> Column:
 
 
 def scan_scripts(spark: SparkSession, folder: str) -> DataFrame:
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-               .option("pathGlobFilter", "*.py").load(folder))
-    return df.filter(script_filter(F.col("path"))).select("path", F.col("length").alias("size_bytes"),
-                                                         F.sha1("content").alias("checksum"))
+    return checksummed(spark, folder, "*.py").filter(script_filter(F.col("path"))).select(
+        "path", F.col("length").alias("size_bytes"), "checksum")
 
 
 def _file_lines(spark: SparkSession, path: str) -> DataFrame:
