@@ -96,7 +96,8 @@ def _stream_expiry(c):
 @key("stream_files")
 def _stream_files(c):
     """New files of the data folder through the binary file stream (rows-only)."""
-    out = ST.run_stream(ST.stream_files(c.spark, c.sf_dir, "*.parquet"), "files", "append")
+    out = ST.run_stream(ST.stream_files(c.spark, c.sf_dir, "*.parquet"), "files", "append",
+                        finish=ST.large_files(c.sf_dir, "*.parquet"))
     return out.select(F.substring_index("path", "/", -1).alias("name"), "size_bytes", "checksum")
 
 
