@@ -15,6 +15,10 @@
    the last, partial epoch the block that crosses the target is cut there.
 5. Slots and documents meet in an equi-join on (source, block).
 
+Spark estimates staged figures and exploded slots far too small.  So tables of
+documents, blocks and slots are joined by key, and those with a row per source
+stand right in a left join (each source has a row): only they can be broadcast.
+
 Null text has no words; a null source is a source of its own, ordered last;
 repeated rows are separate documents; an empty table gives no rows.  Only id,
 text and source are read.  All steps are DataFrame functions and all random
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.llm.common import apart, once, running_totals, stage, words
+from runlake.operators.joins import shuffled
 
 SEED = 20240
 
@@ -126,7 +131,7 @@ def draw_slots(plan: DataFrame, per_shard: int) -> DataFrame:
     lacking = plan.join(made, F.col("rank") == F.col("_rank"), "left").select(
         F.col("rank").alias("_rank"), (F.col("slots") - F.coalesce("_made", F.lit(0))).alias("count"),
         F.coalesce("_made", F.lit(0)).alias("from"))
-    runs = counts.unionByName(lacking.where("count > 0")).join(plan, F.col("rank") == F.col("_rank"))
+    runs = counts.unionByName(lacking.where("count > 0")).join(plan, F.col("rank") == F.col("_rank"), "left")
     runs = runs.withColumn("to", F.least(F.col("from") + F.col("count"), F.col("slots"))).where("`from` < `to`")
     return runs.select(*plan.columns, F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("index"))
 
@@ -167,11 +172,11 @@ def _mix(sized: DataFrame, block: int, per_shard: int, **targets_args) -> tuple[
     firsts = totals.groupBy(F.col("source").alias("_src")).agg(F.min("before_words").alias("_first"))
     info = targets.join(firsts, F.col("source").eqNullSafe(F.col("_src"))).select(
         F.col("source").alias("_source"), "rank", "source_size", "target", "_first")
-    docs = stage(totals.join(info, F.col("source").eqNullSafe(F.col("_source"))).select(
+    docs = stage(totals.join(info, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         "doc_id", "key", "source", "size", "rank", "source_size", "target",
         (F.col("before_words") - F.col("_first")).alias("start")), "mix-docs")
     blocks = taken_blocks(source_plan(targets, block), block, per_shard)
-    taken = _pieces(docs, block).join(blocks, ["rank", "block"]).select(
+    taken = _pieces(docs, block).join(shuffled(blocks), ["rank", "block"]).select(
         "key", "epoch", "at", (F.least("hi", "taken") - F.col("lo")).alias("n")).where("n > 0")
     return docs, taken
 
@@ -186,7 +191,7 @@ def mix_counts(docs: DataFrame, block: int = 256, per_shard: int = 4096, **targe
     sized = stage(_sized(docs, F.monotonically_increasing_id()), "mix-sizes")
     rows, taken = _mix(sized, block, per_shard, **targets_args)
     per_doc = taken.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("taken"))
-    return rows.join(per_doc, F.col("key") == F.col("_key"), "left").select(
+    return rows.join(shuffled(per_doc), F.col("key") == F.col("_key"), "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
@@ -204,7 +209,7 @@ def _mixed(docs: DataFrame, block: int, per_shard: int, **targets_args) -> DataF
     rows, taken = _mix(_sized(keyed, F.col("_mix_key")), block, per_shard, **targets_args)
     spans = taken.groupBy(F.col("key").alias("_mix_of"), F.col("epoch").alias("_mix_epoch")).agg(
         F.sum("n").alias("_mix_n"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_mix_spans"))
-    out = keyed.join(spans, F.col("_mix_key") == F.col("_mix_of"))
+    out = keyed.join(shuffled(spans), F.col("_mix_key") == F.col("_mix_of"))
     out = once(out, "_mix_words", words(F.col("text")))
     some = F.array_join(F.flatten(F.transform("_mix_spans", lambda s: F.slice(
         F.col("_mix_words"), (s["at"] + 1).cast("int"), s["n"].cast("int")))), " ")

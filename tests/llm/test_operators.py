@@ -581,6 +581,23 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(frame([]), frame([])).count() == 0
 
 
+def test_mix_broadcasts_rows_per_source_only(documents, monkeypatch):
+    """Spark takes staged figures and exploded slots for small: documents, blocks and slots must not pass through the driver."""
+    plans, stage = {}, mixing.stage
+
+    def staged(df, tag, *args):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, tag, *args)
+
+    monkeypatch.setattr(mixing, "stage", staged)
+    for name, make in (("counts", mixing.mix_counts), ("mix", mixing.mix)):
+        plans[name] = make(documents, block=16, per_shard=64)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for tag in (name, "mix-docs") for line in plans[tag].splitlines() if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if re.search(r"\b(key|_key|_mix_key|_mix_of|block)#", line.partition("Join")[2])]
+        of_sources = [line for line in joins if re.search(r"\b(_source|_rank)#", line)]
+        assert of_sources and all("BuildRight" in line for line in of_sources)
+
+
 def test_mix_permutations_differ_by_source_and_epoch(spark):
     blocks = [1, 2, 3, 4, 6, 11, 22, 44, 60, 97, 210, 1000, 1000]
     plan = spark.createDataFrame([(i, n, 16, 2, 7 if n > 1 else 0, 3 * n if n > 1 else 2, n * 16) for i, n in enumerate(blocks)],
