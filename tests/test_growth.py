@@ -1,5 +1,6 @@
 """Joins of tables that grow with the catalog are spread by key, long keys alone are cut, streams work on rows."""
 
+import hashlib
 import tempfile
 
 import pytest
@@ -149,3 +150,33 @@ def test_records_cross_slices_of_lines(spark, monkeypatch):
         f.write("".join(",".join('"' + c.replace('"', '""') + '"' for c in r) + "\n" for r in cells))
     got = readers.read_records(spark, path, ",").orderBy("row_no").collect()
     assert [r["cells"] for r in got] == cells and [r["row_no"] for r in got] == [*range(1, 51)]
+
+
+def test_contents_are_not_shuffled_into_the_file_catalog(spark):
+    """Checksum and type are taken where a file is read; repeated ids, null paths and null contents give the rows they always gave."""
+    files = spark.createDataFrame(
+        [(1, 7, "a.txt", ">h\nACGT", 7), (1, 7, "b.zip", "x", 1), (2, 7, "c.txt", "y", 1), (3, 8, "a.txt", "y", 1), (4, 8, None, "z", 1),
+         (5, 9, "d.txt", None, None), (None, 9, "e.txt", "y", 1)], "file_id long, job_id long, path string, content string, size_bytes long").withColumn(
+        "filename", F.col("path"))
+    refs = spark.createDataFrame([(1, "out"), (1, "out"), (2, "in"), (2, None), (None, "out")], "file_id long, param string")
+    old = "9" * 40
+    df = CL.build_file_catalog(refs, files, spark.createDataFrame([(20, old), (30, None)], "file_id long, checksum string"))
+
+    def shuffled(node):
+        children = node.children()
+        own = [node.output().mkString(" ")] if "Exchange" in node.nodeName() else []
+        return own + [x for i in range(children.size()) for x in shuffled(children.apply(i))]
+
+    moved = shuffled(df._jdf.queryExecution().executedPlan().initialPlan())
+    assert moved and not [x for x in moved if "content#" in x]
+    sha = lambda job, path, content: hashlib.sha1(f"{job}{path}output{content}".encode()).hexdigest()
+    # the two rows of file 1 meet each other's type
+    want = [(7, 1, "a.txt", "parameter", g, sha(7, "a.txt", ">h\nACGT")) for g in ("fasta", "all")] + [
+        (7, 1, "b.zip", "parameter", "archives", sha(7, "b.zip", "x"))] * 2 + [(7, 2, "c.txt", "walked", "all", sha(7, "c.txt", "y"))]
+    # each of the two meets both of the matches of its checksum
+    want = want[:2] * 2 + want[2:4] * 2 + want[4:] + [(8, 4, None, "walked", "all", sha(8, "", "z"))]
+    got = df.collect()
+    assert sorted(map(str, (tuple(r)[:6] for r in got))) == sorted(map(str, want))
+    new = sorted({r["checksum"] for r in got})
+    # ids follow the largest one; the null checksum of file 5 takes the first
+    assert all(r["created"] and r["stored_id"] == 32 + new.index(r["checksum"]) for r in got)
