@@ -14,6 +14,7 @@ from runlake.operators import params as PR
 from runlake.operators.ranking import row_number_by
 from runlake.sources import readers
 from runlake.streaming import stateful as SF
+from runlake.streaming import streams as ST
 
 SPEC = ("script_id long, name string, form_field string, required boolean, choices string, choice_limit string, parser_name string, "
         "param_id long, param_order int, group_name string, short_param string, position int")
@@ -180,3 +181,30 @@ def test_contents_are_not_shuffled_into_the_file_catalog(spark):
     new = sorted({r["checksum"] for r in got})
     # ids follow the largest one; the null checksum of file 5 takes the first
     assert all(r["created"] and r["stored_id"] == 32 + new.index(r["checksum"]) for r in got)
+
+
+def test_favorites_of_a_bucket_share_one_state():
+    """However many favorites are toggled, a bucket costs one read and one write, and none that is off is kept."""
+    state, toggle, favorite = State(), SF.Toggle(), lambda i: Row(user_id=i, content_type=None, object_id=2)
+    toggle.init(state)
+    toggle.handleInitialState((0,), Row(favorites=[favorite(i).asDict() for i in range(3)]), None)
+    state.calls = 0
+    got = {(r["user_id"], r["is_favorite"]) for r in toggle.handleInputRows((0,), iter(map(favorite, [0, 1, 1, *range(3, 50)])), None)}
+    assert got == {(0, False), *((i, True) for i in range(3, 50))} and state.calls == 2
+    got = {(r["user_id"], r["is_favorite"]) for r in toggle.handleInputRows((0,), iter(map(favorite, range(1, 50))), None)}
+    assert got == {(i, False) for i in range(1, 50)} and state.value is None
+
+
+def test_favorites_are_grouped_by_bucket_and_not_broadcast(spark):
+    schema = "user_id long, content_type string, object_id long"
+    favorites = spark.createDataFrame([(1, "f", 1), (1, "f", 1), (None, "f", 2)], schema)
+    folder = tempfile.mkdtemp(prefix="runlake-fav-")
+    spark.createDataFrame([(1, "f", 1), (None, "f", 2), (None, "f", 3), (4, None, 4), (4, None, 4)], schema).write.mode("overwrite").parquet(folder)
+    stream = SF.stream_favorites(spark.readStream.schema(schema).parquet(folder), favorites)
+    assert "TransformWithStateInPySpark" in str(stream._jdf.queryExecution().analyzed()) and "bucket#" in str(stream._jdf.queryExecution().analyzed())
+    changes = ST.run_stream(stream, "fav", "append")
+    assert {tuple(r) for r in changes.collect()} == {(1, "f", 1, False), (None, "f", 2, False), (None, "f", 3, True)}
+    after = SF.favorites_after(favorites, changes)
+    assert "BroadcastHashJoin" not in after._jdf.queryExecution().executedPlan().toString()
+    # a null key is never equal in the join, as before
+    assert {tuple(r) for r in after.collect()} == {(None, "f", 2), (None, "f", 3)}
